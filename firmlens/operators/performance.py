@@ -52,7 +52,7 @@ def median_change(banded: DataFrame, item: str, first: int, last: int) -> DataFr
     wide = banded.groupBy(item).agg(at(first).alias("y_first"), at(last).alias("y_last"))
     pct = F.round(F.try_divide((F.col("y_last") - F.col("y_first")) * 100, F.col("y_first")), 1)
     sign = F.when(pct > 0, "+").otherwise("")
-    label = F.concat(F.lit("Δ: "), F.coalesce(F.concat(sign, F.format_number(pct, "0.0"), F.lit("%")), F.lit("n.a.")))
+    label = F.concat(F.lit("Δ: "), F.when(pct.isNull(), "n.a.").otherwise(F.concat(sign, F.format_string("%.1f", pct), F.lit("%"))))
     return wide.withColumn("change", label)
 
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlens.session import cut_lineage
@@ -27,16 +28,24 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     The driver never sees more than ``max_rows + 1`` rows.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A code table as a broadcast relation the planner knows the size of."""
+    fields = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    columns = {name: pa.array([r[i] for r in rows], types[kind]) for i, (name, kind) in enumerate(fields)}
+    return F.broadcast(spark.createDataFrame(pa.table(columns), schema))
+
+
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Evaluate once: as a local (broadcastable) table if small, else as a checkpoint."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return cut_lineage(df)
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

@@ -1,4 +1,4 @@
 """Importing the plan modules fills the registry."""
 
-from firmlens.plans import panel_queries  # noqa: F401
+from firmlens.plans import firm_queries, panel_queries, unit_queries  # noqa: F401
 from firmlens.plans.registry import ORACLES, QUERIES  # noqa: F401

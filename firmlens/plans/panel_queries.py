@@ -209,11 +209,11 @@ def _(spark, d):
 @query(
     "h14_floored_p10",
     f"""WITH {VALUES}, b AS (SELECT label, year, quantile_cont(value_final / 2000 - 1, 0.1) AS p10 FROM vals WHERE value_final IS NOT NULL GROUP BY ALL)
-  SELECT label, year, round({FLOOR_SQL}, 6) AS p10 FROM b""",
+  SELECT label, year, round({FLOOR_SQL}, 4) AS p10 FROM b""",
 )
 def _(spark, d):
     shifted = labelled(spark, d).withColumn("value_final", F.col("value_final") / 2000 - 1)
-    return rounded(P.floored_p10(exact_quantiles(shifted, ["label", "year"], "value_final", [0.1], ["p10"])), "p10")
+    return rounded(P.floored_p10(exact_quantiles(shifted, ["label", "year"], "value_final", [0.1], ["p10"])), "p10", digits=4)
 
 
 @query(

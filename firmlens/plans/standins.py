@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.ratings import TOPIC_LEVELS, TRIPLE_SCALE, rating_codes
+from firmlens.operators.scale import local_table
 from firmlens.operators.transparency import enrich_facts
 
 # indicator, area, standard, topic, label
@@ -30,9 +31,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession) -> DataFrame:
-    return F.broadcast(
-        spark.createDataFrame(META, "indicator int, topic string, standard string, standard_topic string, label string")
-    )
+    return local_table(spark, META, "indicator int, topic string, standard string, standard_topic string, label string")
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +93,7 @@ def firm_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_index(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICE_INDEX, "year int, index double")
+    return local_table(spark, PRICE_INDEX, "year int, index double")
 
 
 # --- the same as SQL -------------------------------------------------------
@@ -102,6 +101,8 @@ def price_index(spark: SparkSession) -> DataFrame:
 
 def values(rows_) -> str:
     def lit(v):
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return "NULL" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v))
 
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows_)
