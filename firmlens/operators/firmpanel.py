@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,13 +67,13 @@ def enriched(df: DataFrame, dimension: DataFrame | None, on: Sequence[str] = ("f
     return df.join(dimension.drop(*overlap), list(on), "left")
 
 
-def optional_table(spark, path: str | None, reader=None) -> DataFrame | None:
+def optional_table(spark: SparkSession, path: str | None, reader=None) -> DataFrame | None:
     """A table if its path exists, else None."""
     if path is None:
         return None
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return (reader or spark.read.parquet)(path)
-
-
+    try:
+        return (reader or spark.read.parquet)(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
