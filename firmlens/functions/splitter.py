@@ -9,10 +9,12 @@ span reaches back over whole pieces worth up to ``overlap`` characters. Spans ar
 
 from __future__ import annotations
 
-# Separators from coarse to fine.
-SEPARATORS = ["\n\n\n", "\n \n \n", "\n\n", "\n \n", ". ", "; ", "\n"]
+import re
+
+# Separators from coarse to fine, as patterns.
+SEPARATORS = [r"\n\n\n", r"\n \n \n", r"\n\n", r"\n \n", r"\. ", r"; ", r"\n"]
 MARKDOWN_SEPARATORS = [
-    "\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n", "\n***\n", "\n---\n", "\n___\n", "\n\n", "\n", " ", "",
+    r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", r" ", r"",
 ]
 
 Span = tuple[int, int]
@@ -22,13 +24,9 @@ def _cut(text: str, start: int, end: int, separator: str) -> list[Span]:
     """Pieces of text[start:end]; a separator stays at the front of the piece it opens."""
     if not separator:
         return [(i, i + 1) for i in range(start, end)]
-    marks = [start]
-    at = text.find(separator, start, end)
-    while at != -1:
-        if at > start:
-            marks.append(at)
-        at = text.find(separator, at + len(separator), end)
-    return [(a, b) for a, b in zip(marks, [*marks[1:], end]) if b > a]
+    marks = [m.start() for m in re.compile(separator).finditer(text, start, end)]
+    marks = [start, *[m for m in marks if m > start], end]
+    return list(zip(marks, marks[1:]))
 
 
 def _pack(pieces: list[Span], size: int, overlap: int) -> list[Span]:
@@ -46,7 +44,7 @@ def _pack(pieces: list[Span], size: int, overlap: int) -> list[Span]:
 
 
 def _split(text: str, start: int, end: int, size: int, overlap: int, separators: list[str]) -> list[Span]:
-    depth = next((i for i, s in enumerate(separators) if not s or text.find(s, start, end) != -1), len(separators) - 1)
+    depth = next((i for i, s in enumerate(separators) if not s or re.compile(s).search(text, start, end)), len(separators) - 1)
     finer = separators[depth + 1 :]
     out: list[Span] = []
     short: list[Span] = []

@@ -19,32 +19,39 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def fourgram_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per (document, 4-gram) with its count and the document's total.
+def _push(top: Column, run: Column, k: int) -> Column:
+    """Keep the ``k`` largest counts, largest first."""
+    grown = F.slice(F.reverse(F.array_sort(F.array_append(top, run))), 1, k)
+    return F.when(run > F.element_at(top, k), grown).otherwise(top)
 
-    All 4-grams of a document start in one task, so the map-side combine has
-    done the whole count before the shuffle.
-    """
-    tokens = df.select(key, words(F.col(text)).alias("__t")).where(F.size("__t") >= 4)
-    gram = lambda i: F.array_join(F.slice("__t", i, 4), " ")
-    grams = tokens.select(
-        key, (F.size("__t") - 3).alias("total"), F.explode(F.transform(F.sequence(F.lit(1), F.size("__t") - 3), gram)).alias("gram")
-    )
-    return grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
 
+def _share(tokens: Column, k: int) -> Column:
+    n = F.size(tokens) - 3
+    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tokens, i, 4), " "))
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).cast("long").alias("run"), F.array_repeat(F.lit(0).cast("long"), k).alias("top"))
 
-def top_fourgram_share(df: DataFrame, key: str, text: str, k: int = TOP_K) -> DataFrame:
-    """Share of the ``k`` most frequent 4-grams among all of a document, 0 below four tokens.
+    def step(acc, gram):
+        again = gram == acc["gram"]
+        return F.struct(
+            gram.alias("gram"),
+            F.when(again, acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
+            F.when(again, acc["top"]).otherwise(_push(acc["top"], acc["run"], k)).alias("top"),
+        )
 
-    Only counts above one compete through the window; a missing rank counts one,
-    since every further distinct 4-gram occurs once.
-    """
-    from pyspark.sql import Window
+    def total(acc):
+        return F.aggregate(_push(acc["top"], acc["run"], k), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    # equal grams are neighbours after sorting, so one pass over the array counts them
+    return F.when(F.size(tokens) < 4, F.lit(0.0)).otherwise(F.aggregate(F.array_sort(grams), start, step, total) / n)
 
-    counts = fourgram_rows(df, key, text)
-    ranked = counts.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n")))).where(F.col("__r") <= k)
-    share = ranked.groupBy(key).agg((F.sum("n") / F.first("total")).alias("top5_share"))
-    return df.select(key).join(share, key, "left").withColumn("top5_share", F.coalesce("top5_share", F.lit(0.0)))
+
+def top_fourgram_share(text: Column, k: int = TOP_K) -> Column:
+    """Share of the ``k`` most frequent 4-grams among all of a text, 0 below four tokens.
+
+    Counted inside the row: exploding grams would shuffle several times the text.
+    The one-element ``transform`` binds the tokens, so they are extracted once.
+    """
+    return F.get(F.transform(F.array(words(text)), lambda tokens: _share(tokens, k)), F.lit(0))
 
 
 def newline_density(text: Column) -> Column:
@@ -62,10 +69,11 @@ def fog_index(text: Column) -> Column:
     )
 
 
-def text_quality(df: DataFrame, key: str, text: str) -> DataFrame:
+def text_quality(df: DataFrame, text: str) -> DataFrame:
     """Quality record per document: fog index, newline density, repeated 4-gram share."""
-    scores = df.select("*", fog_index(F.col(text)).alias("fog_index"), newline_density(F.col(text)).alias("newline_density"))
-    return scores.drop(text).join(top_fourgram_share(df, key, text), key)
+    t = F.col(text)
+    scores = {"fog_index": fog_index(t), "newline_density": newline_density(t), "top5_share": top_fourgram_share(t)}
+    return df.withColumns(scores).drop(text)
 
 
 def quality_flags(df: DataFrame, pillars: Sequence[str], by: Sequence[str] = ("year",), prob: float = 2 / 3) -> DataFrame:

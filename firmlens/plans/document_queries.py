@@ -219,12 +219,12 @@ PILLARS = ["newline_density", "top5_share", "fog_index"]
 
 def quality(spark, d):
     docs = S.read(spark, d, "documents").select("doc_id", "source", (F.lit(1995) + F.col("n_chars") % 7).cast("int").alias("year"), "text")
-    return Q.text_quality(docs, "doc_id", "text")
+    return Q.text_quality(docs, "text")
 
 
 @query("g01_fourgram_share", f"WITH {GRAM_SQL} SELECT doc_id, round(top5_share, 6) AS top5_share FROM share")
 def _(spark, d):
-    return rounded(Q.top_fourgram_share(S.read(spark, d, "documents"), "doc_id", "text"), "top5_share")
+    return rounded(S.read(spark, d, "documents").select("doc_id", Q.top_fourgram_share(F.col("text")).alias("top5_share")), "top5_share")
 
 
 @query("g02_newline_density", f"SELECT doc_id, round({DENSITY}, 6) AS newline_density FROM documents")
