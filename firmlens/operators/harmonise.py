@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions import units as U
-from firmlens.operators.scale import BROADCAST_ROWS, join_on, local_table, settle, small_side
+from firmlens.operators.scale import BROADCAST_ROWS, collect_bounded, join_on, local_table, small_side
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WORD_BEFORE, WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -132,9 +132,10 @@ def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame |
     """Unit columns for every row. Unit texts repeat, so each distinct text of
     ``units`` is parsed once and looked up; with more than ``max_units`` texts
     every row parses its own, still without a shuffle."""
-    if units.limit(max_units + 1).count() > max_units:
+    texts = collect_bounded(units.toDF(text), max_units)
+    if texts is None:
         return resolve_units(rows, text, quoted)
-    return join_on(rows, settle(resolve_units(units.toDF(text), text, quoted), max_units), [text], "left")
+    return join_on(rows, F.broadcast(resolve_units(texts, text, quoted)), [text], "left")
 
 
 def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False, max_units: int = BROADCAST_ROWS) -> DataFrame:
@@ -170,11 +171,12 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
     quoted = None if fx is None else small_side(fx.select("currency").distinct())
     units = df.select("unit").union(local_table(spark, [("percent",)], "unit string")).distinct()
     t = with_units(t, "__unit", units, quoted, max_units)
+    yearly = None if fx is None else small_side(fx.select("year", "currency", "rate"))
     for side in ("num", "den"):
-        if fx is None:
+        if yearly is None:
             t = t.withColumn(f"rate_{side}", F.lit(None).cast("double"))
             continue
-        rates = small_side(fx.select("year", "currency", "rate")).toDF("__y", "__c", f"rate_{side}")
+        rates = yearly.toDF("__y", "__c", f"rate_{side}")
         t = t.join(rates, (col("year") == col("__y")) & (col(f"unified_{side}") == col("__c")), "left").drop("__y", "__c")
 
     # value in the target unit of the type

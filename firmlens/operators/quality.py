@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import join_on
+from firmlens.session import cut_lineage
 
 # Fixed value: what counts as one word token.
 WORD = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)?"
@@ -77,13 +78,19 @@ def text_quality(df: DataFrame, text: str) -> DataFrame:
 
 
 def quality_flags(df: DataFrame, pillars: Sequence[str], by: Sequence[str] = ("year",), prob: float = 2 / 3) -> DataFrame:
-    """One flag per pillar for values at or above the group's quantile, and their number."""
-    out = df
-    for pillar in pillars:
-        cut = exact_quantiles(df, list(by), pillar, [prob], [f"__{pillar}"])
-        bad = F.coalesce((F.col(pillar) >= F.col(f"__{pillar}")).cast("int"), F.lit(0))
-        out = join_on(out, cut, list(by), "left").withColumn(f"bad_{pillar}", bad).drop(f"__{pillar}")
-    return out.withColumn("n_bad_pillars", sum((F.col(f"bad_{p}") for p in pillars), F.lit(0)))
+    """One flag per pillar for values at or above the group's quantile, and their number.
+
+    The records are checkpointed: they are small, and scoring the texts again for
+    the thresholds would cost a second pass over all text.
+    """
+    by, pillars = list(by), list(pillars)
+    records = cut_lineage(df)
+    long = records.select(*by, *[F.col(p).cast("double").alias(p) for p in pillars]).unpivot(by, pillars, "pillar", "score")
+    cuts = exact_quantiles(long, [*by, "pillar"], "score", [prob], ["cut"])
+    wide = cuts.groupBy(*by).agg(*[F.max(F.when(F.col("pillar") == p, F.col("cut"))).alias(f"__{p}") for p in pillars])
+    flags = {f"bad_{p}": F.coalesce((F.col(p) >= F.col(f"__{p}")).cast("int"), F.lit(0)) for p in pillars}
+    out = join_on(records, F.broadcast(wide), by, "left").withColumns(flags).drop(*[f"__{p}" for p in pillars])
+    return out.withColumn("n_bad_pillars", sum((F.col(f) for f in flags), F.lit(0)))
 
 
 def high_quality(df: DataFrame, pillars: Sequence[str], by: Sequence[str] = ("year",)) -> DataFrame:

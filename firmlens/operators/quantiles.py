@@ -39,9 +39,10 @@ def exact_quantiles(
     )
     try:
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        hot = small_side(sizes.where(F.col("__n") > group_rows))
-        if hot.isEmpty():
+        largest = sizes.agg(F.max("__n")).first()[0] or 0
+        if largest <= group_rows:
             return settle(_gathered(rows, keys, probs, names))
+        hot = small_side(sizes.where(F.col("__n") > group_rows))
         cold = join_on(rows, hot.select(*keys), keys, "left_anti")
         parts = _gathered(cold, keys, probs, names)
         return settle(parts.unionByName(_counted(rows, keys, hot, probs, names, group_rows)))

@@ -1,7 +1,7 @@
 """Building blocks that keep every other operator safe on large, skewed data.
 
 * ``small_side``     broadcast a table only after its size was counted
-* ``settle``         keep a small result as a local table, a large one as a checkpoint
+* ``settle``         keep a small result as a local table, a large one as a staged table
 * ``with_each``      pair rows with the values of a small dimension, without a join
 * ``running_before`` ordered running sum inside groups of any size
 * ``bounded_lists``  group members as lists whose length has a limit, losing nothing
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlens.session import cut_lineage
@@ -23,17 +23,23 @@ GROUP_ROWS = 1_000_000  # rows one task may sort for one group
 LIST_ITEMS = 10_000  # members per emitted list
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the join to AQE.
+def collect_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` as a local table to broadcast, or None if it has more than ``max_rows`` rows.
 
     The driver never sees more than ``max_rows + 1`` rows.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
+        return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to broadcast if its counted size allows; otherwise as is, and AQE picks the join."""
+    local = collect_bounded(df, max_rows)
+    return df if local is None else local
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A code table as a broadcast relation the planner knows the size of."""
     fields = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
@@ -43,16 +49,9 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Evaluate once: as a local (broadcastable) table if small, else as a checkpoint."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return cut_lineage(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys`` (a null key is a group of its own)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    """Evaluate once: as a local (broadcastable) table if small, else as a staged table."""
+    local = collect_bounded(df, max_rows)
+    return cut_lineage(df) if local is None else local
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

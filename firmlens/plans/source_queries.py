@@ -100,7 +100,7 @@ def nested_results(spark, d):
 @query(
     "a09_csv_results",
     f"""WITH {S.FACTS} SELECT firm || '_' || year AS company_year, indicator AS data_point_id, value_final AS value,
-  '{{' || CASE WHEN value_final IS NOT NULL THEN '"value":"' || value_final || '",' ELSE '' END || '"unit":"kg"}}' AS model_output, '[["' || '"]]' AS marker, '[[' || year || ',' || indicator || ']]' AS page_numbers FROM facts""",
+  '{{' || CASE WHEN value_final IS NOT NULL THEN '"value":"' || value_final || '",' ELSE '' END || '"unit":"kg"}}' AS model_output, '[[' || year || ',' || indicator || ']]' AS page_numbers FROM facts""",
 )
 def _(spark, d):
     path = staging_path(spark, "results")
@@ -111,7 +111,7 @@ def _(spark, d):
         spark, path + "/complete", "company_year string, data_point_id int, model_output string, value double, retrieved_context string, page_numbers string"
     ).select("company_year", "data_point_id", "model_output", "page_numbers")
     small = R.read_csv(spark, path + "/numerical", "company_year string, data_point_id int, value double")
-    return small.join(full, ["company_year", "data_point_id"]).withColumn("marker", F.lit('[[""]]'))
+    return small.join(full, ["company_year", "data_point_id"])
 
 
 @query(
