@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from firmlens.functions.dist import t_p_value
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import collect_bounded, join_on, small_side
+from firmlens.session import cut_lineage
 
 MAX_LEVELS = 500  # levels of the small fixed effect next to a large one
 SCHEMA = "spec string, term string, estimate double, std_error double, t double, p double, stars string, n long, r2 double, adj_r2 double"
@@ -46,15 +47,21 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def products(df: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Matrix of sums of products in one aggregate."""
+def products(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, int]:
+    """Matrix of sums of products and the number of rows, in one aggregate."""
     k = len(names)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(*[F.sum(_c(names[i]) * _c(names[j])).alias(f"p{i}_{j}") for i, j in cells]).first()
+    row = df.agg(*[F.sum(_c(names[i]) * _c(names[j])).alias(f"p{i}_{j}") for i, j in cells], F.count(F.lit(1)).alias("n")).first()
     out = np.zeros((k, k))
     for (i, j), value in zip(cells, row):
         out[i, j] = out[j, i] = value or 0.0
-    return out
+    return out, row["n"]
+
+
+def spreads(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Sum of squares around the mean of every column."""
+    n = F.count(F.lit(1))
+    return np.array(rows.agg(*[F.coalesce(F.var_pop(_c(x)), F.lit(0.0)) * n for x in names]).first(), dtype=float)
 
 
 def _demeaned(rows: DataFrame, names: Sequence[str], group: Sequence[str]) -> DataFrame:
@@ -77,10 +84,6 @@ def _usable(gram: np.ndarray, raw: np.ndarray) -> list[int]:
     return kept
 
 
-def _meat(scores: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
-    return products(scores, names), scores.count()
-
-
 def fit(
     df: DataFrame,
     y: str,
@@ -115,10 +118,9 @@ def _one_way(rows: DataFrame, y: str, xs: list[str], group: list[str], cluster:
         data, terms, fixed = _demeaned(rows, names, group), xs, rows.select(*group).distinct().count()
     else:
         data, terms, fixed = rows.withColumn("(Intercept)", F.lit(1.0)), ["(Intercept)", *xs], 0
-    gram = products(data, [y, *terms])
-    n = rows.count()
-    raw = np.array([products(rows, [x])[0, 0] if group else gram[1 + i, 1 + i] for i, x in enumerate(terms)])
-    kept = _usable(gram[1:, 1:], raw)
+    gram, n = products(data, [y, *terms])
+    spread = spreads(rows, names)
+    kept = _usable(gram[1:, 1:], spread[1:] if group else np.diag(gram)[1:])
     inverse = np.linalg.inv(gram[1:, 1:][np.ix_(kept, kept)])
     beta = inverse @ gram[1:, 0][kept]
     used = [terms[i] for i in kept]
@@ -126,12 +128,12 @@ def _one_way(rows: DataFrame, y: str, xs: list[str], group: list[str], cluster:
     scores = (
         data.withColumn("__u", residual).groupBy(cluster).agg(*[F.sum(_c(t) * F.col("__u")).alias(f"s{i}") for i, t in enumerate(used)])
     )
-    meat, clusters = _meat(scores, [f"s{i}" for i in range(len(used))])
+    meat, clusters = products(scores, [f"s{i}" for i in range(len(used))])
     nested = group == [cluster]
     k_all = len(used) + fixed
     k_se = len(used) + (1 if nested else fixed)
     ssr = float(gram[0, 0] - 2 * beta @ gram[1:, 0][kept] + beta @ gram[1:, 1:][np.ix_(kept, kept)] @ beta)
-    return _result(rows, y, used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, [] if group else ["(Intercept)"])
+    return _result(spread[0], used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, [] if group else ["(Intercept)"])
 
 
 def _two_way(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster: str) -> dict:
@@ -174,8 +176,8 @@ def _two_way(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster:
     inner = np.linalg.pinv(gram[k:, k:], rcond=1e-10)
     loadings = inner @ gram[k:, :k]
     reduced = gram[:k, :k] - gram[:k, k:] @ loadings
-    raw = np.diag(gram)[1:k]
-    kept = _usable(reduced[1:, 1:], raw)
+    spread = spreads(rows, names)
+    kept = _usable(reduced[1:, 1:], spread[1:])
     inverse = np.linalg.inv(reduced[1:, 1:][np.ix_(kept, kept)])
     beta = inverse @ reduced[1:, 0][kept]
     used = [xs[i] for i in kept]
@@ -192,17 +194,17 @@ def _two_way(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster:
     kind = dict(rows.dtypes)[cluster]
     schema = ", ".join([f"{cluster} {kind}", *[f"s{i} double" for i in range(len(used))]])
     scores = data.mapInPandas(score_part, schema).groupBy(cluster).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(used))])
-    meat, clusters = _meat(scores, [f"s{i}" for i in range(len(used))])
+    meat, clusters = products(scores, [f"s{i}" for i in range(len(used))])
     n = rows.count()
     rank = int(np.linalg.matrix_rank(gram[k:, k:], tol=1e-8 * max(1.0, np.abs(gram[k:, k:]).max())))
     ssr = float(reduced[0, 0] - 2 * beta @ reduced[1:, 0][kept] + beta @ reduced[1:, 1:][np.ix_(kept, kept)] @ beta)
-    return _result(rows, y, used, beta, inverse, meat, clusters, n, len(used) + g, len(used) + rank + clusters, ssr, [])
+    return _result(spread[0], used, beta, inverse, meat, clusters, n, len(used) + g, len(used) + rank + clusters, ssr, [])
 
 
-def _result(rows, y, used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, intercept) -> dict:
+def _result(total, used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, intercept) -> dict:
+    total, ssr = float(total), float(ssr)
     adjust = (n - 1) / (n - k_se) * clusters / (clusters - 1)
     errors = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * adjust, 0.0))
-    total = rows.agg(F.var_pop(_c(y))).first()[0] * n
     return {
         "used": used, "beta": beta, "errors": errors, "df": clusters - 1, "n": n, "intercept": intercept,
         "r2": 1 - ssr / total if total else None,
@@ -235,6 +237,7 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
 def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str]) -> DataFrame:
     """Six specifications: none, controls, then year, sector, sector x year, and sector x year + firm effects."""
     full = [*main, *controls]
+    panel = cut_lineage(panel.select("firm", "year", "sector", "transp", *full))
     return union_all(
         [
             fit(panel, "transp", main, "0 none"),
@@ -250,7 +253,7 @@ def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str])
 def trend_models(panel: DataFrame, controls: Sequence[str]) -> DataFrame:
     """Diverging trends of the bottom and top tenth: plain, controls, sector effects, firm effects."""
     base = ["q10", "q90", "t", "q10:t", "q90:t"]
-    data = with_interactions(panel, [("q10", "t"), ("q90", "t")])
+    data = with_interactions(cut_lineage(panel.select("firm", "sector", "transp", "q10", "q90", "t", *controls)), [("q10", "t"), ("q90", "t")])
     full = [*base, *controls]
     return union_all(
         [
@@ -264,7 +267,7 @@ def trend_models(panel: DataFrame, controls: Sequence[str]) -> DataFrame:
 
 def outcome_models(df: DataFrame, outcome: str, years: Sequence[int], extra: str = "transp") -> DataFrame:
     """Log outcome on year dummies, without and with one more regressor; exp(estimate) for reading."""
-    data = with_dummies(df, "year", list(years), "year")
+    data = with_dummies(cut_lineage(df.select("firm", "year", outcome, extra)), "year", list(years), "year")
     dummies = [f"year{v}" for v in list(years)[1:]]
     both = union_all([fit(data, outcome, dummies, "1 years"), fit(data, outcome, [*dummies, extra], f"2 years and {extra}")])
     return both.withColumn("exp_estimate", F.when(F.col("term") != "(Intercept)", F.exp("estimate")))
