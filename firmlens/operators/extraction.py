@@ -47,10 +47,16 @@ def without_thousands(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
 
 
+def is_one_json_value(text: Column) -> Column:
+    """The whole text is one JSON value; read inside brackets, so that trailing text counts."""
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1)
+
+
 def strict_answer(text: Column) -> Column:
     """(value, unit) of a JSON object with exactly these two keys, null otherwise."""
     keys = F.array_sort(F.json_object_keys(text))
-    exact = F.try_parse_json(text).isNotNull() & (keys == F.array(F.lit("unit"), F.lit("value")))
+    exact = is_one_json_value(text) & (keys == F.array(F.lit("unit"), F.lit("value")))
     return F.when(exact, F.from_json(text, ANSWER))
 
 
@@ -67,8 +73,8 @@ def stored_answer(text: Column) -> Column:
     body = F.trim(text)
     schema = "value string, unit string, _corrupt string"
     lenient = F.from_json(python_to_json(body), schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    literal = F.when(body.startswith("{") & lenient["_corrupt"].isNull(), lenient)
-    strict = F.when(F.try_parse_json(body).isNotNull() & body.startswith("{"), F.from_json(body, ANSWER))
+    literal = F.when(body.rlike(r"(?s)^\{.*\}$") & lenient["_corrupt"].isNull(), lenient)
+    strict = F.when(is_one_json_value(body) & body.startswith("{"), F.from_json(body, ANSWER))
     return F.coalesce(strict, F.when(literal.isNotNull(), F.struct(literal["value"].alias("value"), literal["unit"].alias("unit"))))
 
 
