@@ -38,6 +38,11 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def pieces(text: Column, size: int) -> Column:
+    """Consecutive pieces of ``size`` characters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def name_key(file_name: Column) -> dict[str, Column]:
     """Company, year and report type from '{company}_{year}[_{type}].ext'; nulls when the name does not fit."""
     part = lambda i: F.nullif(F.regexp_extract(file_name, NAME_KEY, i), F.lit(""))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.splitter import MARKDOWN_SEPARATORS, SEPARATORS, split_spans
+from firmlens.functions.text import pieces
 from firmlens.operators.scale import bounded_lists, running_before
 
 CHUNK_SIZE = 400
@@ -29,27 +30,31 @@ def files_by_key(files: DataFrame, keys: Sequence[str] = ("company_id", "year"))
 
 
 def page_ledger(pages: DataFrame, key: str = "doc_key") -> DataFrame:
-    """Start and end offset of each page inside its document.
+    """Start and end offset of each page inside its document, without the text.
 
     One space follows every page and a blank line every source file; both are
-    counted, so offsets agree with the assembled text. Needs (key, file_no, page_no, text).
+    counted, so offsets agree with the assembled text. Needs (key, file_no, page_no,
+    source_document, text).
     """
-    last = pages.groupBy(key, "file_no").agg(F.max("page_no").alias("__last"))
-    sized = pages.join(last, [key, "file_no"]).withColumns(
-        {
-            "text_length": F.length("text"),
-            "__step": F.length("text") + 1 + F.when(F.col("page_no") == F.col("__last"), 2).otherwise(0),
-        }
-    )
-    placed = running_before(sized, [key], ["file_no", "page_no"], "__step", "page_start")
-    return placed.withColumn("page_end", F.col("page_start") + F.col("text_length")).withColumnRenamed("__step", "step").drop("__last")
+    lengths = pages.select(key, "file_no", "page_no", "source_document", F.length("text").alias("text_length"))
+    last = lengths.groupBy(key, "file_no").agg(F.max("page_no").alias("last"))
+    gap = F.when(F.col("page_no") == F.col("last"), 3).otherwise(1)
+    sized = lengths.join(last, [key, "file_no"]).withColumn("step", F.col("text_length") + gap).drop("last")
+    placed = running_before(sized, [key], ["file_no", "page_no"], "step", "page_start")
+    return placed.withColumn("page_end", F.col("page_start") + F.col("text_length"))
+
 
+def assemble(pages: DataFrame, key: str = "doc_key", part_characters: int = PART_CHARACTERS) -> DataFrame:
+    """Document text and page metadata in page order, as (key, part_no, part_start, text, metadata).
 
-def assemble(ledger: DataFrame, key: str = "doc_key", part_characters: int = PART_CHARACTERS) -> DataFrame:
-    """Document text and page metadata in page order, as (key, part_no, part_start, text, metadata)."""
+    Offsets come from the narrow ledger, so the text itself is moved twice only:
+    to meet its offset and to join its part.
+    """
+    ids = [key, "file_no", "page_no"]
+    ledger = page_ledger(pages, key).drop("source_document")
     gap = F.when(F.col("step") > F.col("text_length") + 1, " \n\n").otherwise(" ")
     page = F.struct("file_no", "page_no", F.concat("text", gap).alias("text"), "source_document", "text_length", "page_start")
-    parts = ledger.withColumn("part_no", F.floor(F.col("page_start") / part_characters).cast("int"))
+    parts = pages.join(ledger, ids).withColumn("part_no", F.floor(F.col("page_start") / part_characters).cast("int"))
     packed = parts.groupBy(key, "part_no").agg(F.array_sort(F.collect_list(page)).alias("p"))
     return packed.select(
         key,
@@ -77,14 +82,22 @@ def error_ledger(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Overlapping windows over the whole text, numbered from 1; a text shorter than one window is one chunk."""
+    """Overlapping windows over the whole text, numbered from 1; a text shorter than one window is one chunk.
+
+    The text is cut once into steps and a chunk is the step and the start of the
+    next ones: linear in the text, where one substring per chunk would scan from
+    the beginning each time. The one-element ``transform`` binds the steps.
+    """
     step = size - overlap
+    ahead = -(-size // step)
+
+    def chunk(steps: Column, i: Column) -> Column:
+        text = F.left(F.array_join(F.slice(steps, i + 1, ahead), ""), F.lit(size))
+        return F.struct((i + 1).alias("sequence_number"), (i * step).alias("start_index"), text.alias("text"))
+
     last = F.greatest(F.ceil((F.length("text") - overlap) / step) - 1, F.lit(0)).cast("int")
-    starts = F.when(F.length("text") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step))
-    cut = docs.select(key, "text", F.posexplode(starts).alias("pos", "start_index"))
-    return cut.select(
-        key, (F.col("pos") + 1).alias("sequence_number"), "start_index", F.substring("text", F.col("start_index") + 1, F.lit(size)).alias("text")
-    )
+    cut = F.transform(F.array(pieces(F.col("text"), step)), lambda steps: F.transform(F.sequence(F.lit(0), last), lambda i: chunk(steps, i)))
+    return docs.where(F.length("text") > 0).select(key, F.inline(F.get(cut, F.lit(0))))
 
 
 def recursive_chunks(
@@ -97,21 +110,16 @@ def recursive_chunks(
     """Separator-aware chunks with their start offsets, numbered from 1 in text order.
 
     The splitting rule is sequential inside one text, so each text goes through
-    an Arrow batch; only (start, end) pairs come back and the text is cut natively.
+    an Arrow batch.
     """
     split = partial(split_spans, size=size, overlap=overlap, separators=list(separators))
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in split(t)] if t else [])
+    @F.pandas_udf("array<struct<start_index:int,text:string>>")
+    def chunked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start_index": a, "text": t[a:b]} for a, b in split(t)] if t else [])
 
-    cut = docs.select(key, "text", F.posexplode(spans("text")).alias("pos", "span"))
-    return cut.select(
-        key,
-        (F.col("pos") + 1).alias("sequence_number"),
-        F.col("span.start").alias("start_index"),
-        F.substring("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("text"),
-    )
+    cut = docs.select(key, F.posexplode(chunked("text")).alias("pos", "c"))
+    return cut.select(key, (F.col("pos") + 1).alias("sequence_number"), "c.start_index", "c.text")
 
 
 def markdown_chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

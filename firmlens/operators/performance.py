@@ -11,6 +11,7 @@ from firmlens.functions.labels import NO_FLOOR_LABEL
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import join_on, small_side, with_each
 from firmlens.operators.transparency import group_by_thresholds
+from firmlens.session import cut_lineage
 
 BAND_PROBS = [0.10, 0.25, 0.50, 0.75, 0.90]
 BAND_NAMES = ["p10", "q1", "median", "q3", "p90"]
@@ -92,10 +93,11 @@ def cohort_bands(
 ) -> DataFrame:
     """Bands of all firms and of a cohort, with the cohort's group sizes on both.
 
-    ``cohort`` lists the members by ``on``: (firm, indicator) or (firm, year).
+    ``cohort`` lists the members by ``on``: (firm, indicator) or (firm, year). The
+    needed columns are staged once, as several passes read them.
     """
     keys = list(keys)
-    values = values.where(F.col("value_final").isNotNull())
+    values = cut_lineage(values.where(F.col("value_final").isNotNull()).select(*dict.fromkeys([*keys, *on, "value_final"])))
     members = values.join(cohort.select(*on).distinct(), list(on), "left_semi")
     everyone = bands(values, keys).withColumn("cohort", F.lit("All companies"))
     inside = bands(winsorised(members, keys) if winsorise else members, keys).withColumn("cohort", F.lit(name))
@@ -108,6 +110,7 @@ def bands_by_score_group(values: DataFrame, score: str, best: str = "high", keys
     """Bands of the top and bottom decile by ``score`` (thresholds over indicator rows),
     of the rest as the null group, and the median of all companies."""
     keys = list(keys)
+    values = cut_lineage(values.select(*keys, "value_final", score))
     grouped = group_by_thresholds(values, score, "grp", best=best, null_score="middle")
     grouped = grouped.withColumn("grp", F.when(F.col("grp") != "Middle 80%", F.col("grp")))
     sizes = group_sizes(grouped, [*keys, "grp"])

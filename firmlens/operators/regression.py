@@ -234,40 +234,45 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def fit_all(df: DataFrame, y: str, models: Sequence[tuple[str, Sequence[str], Sequence[str], bool]], cluster: str = "firm") -> DataFrame:
+    """Several models (spec, regressors, effect, firm effect) over one staged copy of the columns they use."""
+    used = dict.fromkeys([cluster, y, *[c for _, xs, effect, _ in models for c in (*xs, *effect)]])
+    rows = cut_lineage(df.select(*[_c(c) for c in used]))
+    return union_all([fit(rows, y, xs, spec, effect, firm, cluster) for spec, xs, effect, firm in models])
+
+
 def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str]) -> DataFrame:
     """Six specifications: none, controls, then year, sector, sector x year, and sector x year + firm effects."""
     full = [*main, *controls]
-    panel = cut_lineage(panel.select("firm", "year", "sector", "transp", *full))
-    return union_all(
+    return fit_all(
+        panel,
+        "transp",
         [
-            fit(panel, "transp", main, "0 none"),
-            fit(panel, "transp", full, "1 controls"),
-            fit(panel, "transp", full, "2 year", ["year"]),
-            fit(panel, "transp", full, "3 sector", ["sector"]),
-            fit(panel, "transp", full, "4 sector-year", ["sector", "year"]),
-            fit(panel, "transp", full, "5 sector-year and firm", ["sector", "year"], firm_effect=True),
-        ]
+            ("0 none", main, [], False),
+            ("1 controls", full, [], False),
+            ("2 year", full, ["year"], False),
+            ("3 sector", full, ["sector"], False),
+            ("4 sector-year", full, ["sector", "year"], False),
+            ("5 sector-year and firm", full, ["sector", "year"], True),
+        ],
     )
 
 
 def trend_models(panel: DataFrame, controls: Sequence[str]) -> DataFrame:
     """Diverging trends of the bottom and top tenth: plain, controls, sector effects, firm effects."""
     base = ["q10", "q90", "t", "q10:t", "q90:t"]
-    data = with_interactions(cut_lineage(panel.select("firm", "sector", "transp", "q10", "q90", "t", *controls)), [("q10", "t"), ("q90", "t")])
+    data = with_interactions(panel, [("q10", "t"), ("q90", "t")])
     full = [*base, *controls]
-    return union_all(
-        [
-            fit(data, "transp", base, "1 plain"),
-            fit(data, "transp", full, "2 controls"),
-            fit(data, "transp", full, "3 sector", ["sector"]),
-            fit(data, "transp", full, "4 firm", firm_effect=True),
-        ]
+    return fit_all(
+        data,
+        "transp",
+        [("1 plain", base, [], False), ("2 controls", full, [], False), ("3 sector", full, ["sector"], False), ("4 firm", full, [], True)],
     )
 
 
 def outcome_models(df: DataFrame, outcome: str, years: Sequence[int], extra: str = "transp") -> DataFrame:
     """Log outcome on year dummies, without and with one more regressor; exp(estimate) for reading."""
-    data = with_dummies(cut_lineage(df.select("firm", "year", outcome, extra)), "year", list(years), "year")
+    data = with_dummies(df, "year", list(years), "year")
     dummies = [f"year{v}" for v in list(years)[1:]]
-    both = union_all([fit(data, outcome, dummies, "1 years"), fit(data, outcome, [*dummies, extra], f"2 years and {extra}")])
+    both = fit_all(data, outcome, [("1 years", dummies, [], False), (f"2 years and {extra}", [*dummies, extra], [], False)])
     return both.withColumn("exp_estimate", F.when(F.col("term") != "(Intercept)", F.exp("estimate")))

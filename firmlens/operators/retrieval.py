@@ -210,6 +210,7 @@ def context_text(texts: Column) -> Column:
 
 def prompt_text(company: Column, year: Column, context: Column, request: Column) -> Column:
     """Request text for the extractor."""
+    # fixed values: the wording of the request
     return F.concat(
         F.lit("Corporate report ("), company, F.lit(", year "), year.cast("string"), F.lit("): "), context,
         F.lit("\n\nRequested data point: "), request, F.lit("\n\nAnswer:"),

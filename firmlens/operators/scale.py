@@ -61,6 +61,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan to all cores if it has fewer splits than cores.
+
+    For row-wise work that costs far more than moving the row (text scoring,
+    parsing). A large input has splits enough and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_each(df: DataFrame, values: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pair every row of ``df`` with every row of the small dimension ``values``.
 

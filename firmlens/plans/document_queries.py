@@ -45,7 +45,7 @@ HTML_SQL = "trim(regexp_replace(" + _entities(
 
 @query("a15_page_text", f"SELECT page_id, url, {HTML_SQL} AS text FROM pages")
 def _(spark, d):
-    return S.read(spark, d, "pages").select("page_id", "url", X.html_text(F.col("html")).alias("text"))
+    return S.read_spread(spark, d, "pages").select("page_id", "url", X.html_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -65,14 +65,14 @@ PAGES_SQL = f"""pages_ AS (SELECT source || '_' || lang AS doc_key, doc_id AS fi
 
 
 def page_rows(spark, d):
-    n = F.greatest(F.ceil(F.length("text") / PAGE), F.lit(1)).cast("int")
-    pages = S.read(spark, d, "documents").select("doc_id", "source", "lang", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
+    slices = F.when(F.length("text") > 0, X.pieces(F.col("text"), PAGE)).otherwise(F.array(F.lit("")))
+    pages = S.read_spread(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(slices).alias("p", "text"))
     return pages.select(
         F.concat_ws("_", "source", "lang").alias("doc_key"),
         F.col("doc_id").alias("file_no"),
         (F.col("p") + 1).alias("page_no"),
         F.concat(F.lit("file"), F.col("doc_id"), F.lit(".pdf")).alias("source_document"),
-        F.substring("text", F.col("p") * PAGE + 1, F.lit(PAGE)).alias("text"),
+        "text",
     )
 
 
@@ -82,7 +82,7 @@ def page_rows(spark, d):
   SELECT doc_key, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest, CAST(n_pages AS INT) AS n_pages FROM a""",
 )
 def _(spark, d):
-    docs = D.assemble(D.page_ledger(page_rows(spark, d)))
+    docs = D.assemble(page_rows(spark, d))
     return docs.select("doc_key", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.size("metadata").alias("n_pages"))
 
 
@@ -107,7 +107,7 @@ def _clean_sql():
 
 @query("b04_clean_text", f"SELECT doc_id, CAST(length(c) AS INT) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {_clean_sql()} AS c FROM documents)")
 def _(spark, d):
-    cleaned = S.read(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("c"))
+    cleaned = S.read_spread(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("c"))
     return cleaned.select("doc_id", F.length("c").alias("n_chars"), F.md5("c").alias("digest"))
 
 
@@ -122,7 +122,7 @@ def _(spark, d):
   FROM documents LEFT JOIN labels l USING (doc_id)) WHERE error IS NOT NULL""",
 )
 def _(spark, d):
-    rows = S.read(spark, d, "documents").join(S.read(spark, d, "labels"), "doc_id", "left")
+    rows = S.read_spread(spark, d, "documents").join(S.read(spark, d, "labels"), "doc_id", "left")
     checks = {
         "empty text": F.length("text") > 0,
         "short text": F.length("text") >= 100,
@@ -137,7 +137,7 @@ CHUNK_SQL = """chunks AS (SELECT doc_id, CAST(i + 1 AS INT) AS sequence_number,
 
 
 def chunks(spark, d):
-    return D.fixed_chunks(S.read(spark, d, "documents"))
+    return D.fixed_chunks(S.read_spread(spark, d, "documents"))
 
 
 @query("b07_fixed_chunks", f"WITH {CHUNK_SQL} SELECT doc_id, start_index, text FROM chunks")
@@ -147,12 +147,12 @@ def _(spark, d):
 
 @query("b08_recursive_chunks")
 def _(spark, d):
-    return D.recursive_chunks(S.read(spark, d, "documents"))
+    return D.recursive_chunks(S.read_spread(spark, d, "documents"))
 
 
 @query("b09_markdown_chunks")
 def _(spark, d):
-    return D.markdown_chunks(S.read(spark, d, "documents"))
+    return D.markdown_chunks(S.read_spread(spark, d, "documents"))
 
 
 @query("b10_chunk_sequence", f"WITH {CHUNK_SQL} SELECT doc_id, sequence_number, start_index FROM chunks")
@@ -218,23 +218,23 @@ PILLARS = ["newline_density", "top5_share", "fog_index"]
 
 
 def quality(spark, d):
-    docs = S.read(spark, d, "documents").select("doc_id", "source", (F.lit(1995) + F.col("n_chars") % 7).cast("int").alias("year"), "text")
+    docs = S.read_spread(spark, d, "documents").select("doc_id", "source", (F.lit(1995) + F.col("n_chars") % 7).cast("int").alias("year"), "text")
     return Q.text_quality(docs, "text")
 
 
 @query("g01_fourgram_share", f"WITH {GRAM_SQL} SELECT doc_id, round(top5_share, 6) AS top5_share FROM share")
 def _(spark, d):
-    return rounded(S.read(spark, d, "documents").select("doc_id", Q.top_fourgram_share(F.col("text")).alias("top5_share")), "top5_share")
+    return rounded(S.read_spread(spark, d, "documents").select("doc_id", Q.top_fourgram_share(F.col("text")).alias("top5_share")), "top5_share")
 
 
 @query("g02_newline_density", f"SELECT doc_id, round({DENSITY}, 6) AS newline_density FROM documents")
 def _(spark, d):
-    return rounded(S.read(spark, d, "documents").select("doc_id", Q.newline_density(F.col("text")).alias("newline_density")), "newline_density")
+    return rounded(S.read_spread(spark, d, "documents").select("doc_id", Q.newline_density(F.col("text")).alias("newline_density")), "newline_density")
 
 
 @query("g03_fog_index", f"SELECT doc_id, round({FOG}, 4) AS fog_index FROM documents")
 def _(spark, d):
-    return rounded(S.read(spark, d, "documents").select("doc_id", Q.fog_index(F.col("text")).alias("fog_index")), "fog_index", digits=4)
+    return rounded(S.read_spread(spark, d, "documents").select("doc_id", Q.fog_index(F.col("text")).alias("fog_index")), "fog_index", digits=4)
 
 
 @query(

@@ -218,7 +218,7 @@ def raw_answers(spark, d):
         .when(F.col("l_returnflag") == "A", '{"value": null, "unit": null}')
         .when(F.col("l_returnflag") == "N", '{"value": " ", "unit": "t"}')
     )
-    return S.read(spark, d, "lineitem").select(*KEYS, "l_returnflag", "l_extendedprice", text.alias("raw_output"))
+    return S.read_spread(spark, d, "lineitem").select(*KEYS, "l_returnflag", "l_extendedprice", text.alias("raw_output"))
 
 
 @query("c14_thousands_commas", f"WITH {RAW_SQL} SELECT {KEYSQL}, c AS cleaned FROM cleaned")

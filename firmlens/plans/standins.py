@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.ratings import TOPIC_LEVELS, TRIPLE_SCALE, rating_codes
-from firmlens.operators.scale import local_table
+from firmlens.operators.scale import local_table, spread
 from firmlens.operators.transparency import enrich_facts
 
 # indicator, area, standard, topic, label
@@ -30,6 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table for costly row-wise work, on all cores even if it is a single file."""
+    return spread(read(spark, sf_dir, table))
+
+
 def metadata(spark: SparkSession) -> DataFrame:
     return local_table(spark, META, "indicator int, topic string, standard string, standard_topic string, label string")
 

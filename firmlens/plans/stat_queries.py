@@ -205,9 +205,8 @@ WAYS = [("0 none", "1", "1", []), ("2 year", "year", "(SELECT count(DISTINCT yea
     + " UNION ALL ".join(f"SELECT spec, 'q10' AS term, n, b1 AS b, e1 AS e FROM r{s[0]} UNION ALL SELECT spec, 'q90', n, b2, e2 FROM r{s[0]}" for s, *_ in WAYS) + ")",
 )
 def _(spark, d):
-    data = panel(spark, d)
-    tables = [G.fit(data, "transp", ["q10", "q90"], spec, effect) for spec, _, _, effect in WAYS]
-    out = G.union_all(tables).where(F.col("term") != "(Intercept)")
+    models = [(spec, ["q10", "q90"], effect, False) for spec, _, _, effect in WAYS]
+    out = G.fit_all(panel(spark, d), "transp", models).where(F.col("term") != "(Intercept)")
     return rounded(out.select("spec", "term", "n", "estimate", "std_error"), "estimate", "std_error")
 
 

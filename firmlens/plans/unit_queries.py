@@ -48,7 +48,7 @@ def answers(spark, d):
         .otherwise(price)
     )
     return (
-        S.read(spark, d, "lineitem")
+        S.read_spread(spark, d, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "year",

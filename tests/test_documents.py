@@ -2,6 +2,7 @@
 
 import math
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,10 +28,10 @@ def pages(spark):
 def test_offsets_agree_with_assembled_text(spark, part):
     """Offsets include the blank line after each file, so they point at the page in the text."""
     ledger = D.page_ledger(pages(spark))
-    parts = D.assemble(ledger, part_characters=part).orderBy("part_no").collect()
+    parts = D.assemble(pages(spark), part_characters=part).orderBy("part_no").collect()
     text = {k: "".join(r["text"] for r in parts if r["doc_key"] == k) for k in "kz"}
     assert text["k"] == "alpha  \n\nbeta beta gamma \n\n" and text["z"] == "solo \n\n"
-    for r in ledger.collect():
+    for r in ledger.join(pages(spark), ["doc_key", "file_no", "page_no"]).collect():
         assert text[r["doc_key"]][r["page_start"] : r["page_end"]] == r["text"]
     assert [m["page_number"] for r in parts if r["doc_key"] == "k" for m in r["metadata"]] == [1, 2, 1, 2]
 
@@ -240,7 +241,7 @@ def test_attempts_prefer_valid_then_earliest(spark):
 def test_new_documents_are_chunked_once(spark, tmp_path):
     from firmlens.streaming.incremental import chunk_new_documents
 
-    source, target, name = str(tmp_path / "docs"), str(tmp_path / "chunks"), tmp_path.name
+    source, target, name = str(tmp_path / "docs"), str(tmp_path / "chunks"), uuid.uuid4().hex
     spark.createDataFrame([(1, "x" * 500)], "doc_id long, text string").write.parquet(source)
     chunk_new_documents(spark, source, target, name)
     spark.createDataFrame([(2, "y" * 100)], "doc_id long, text string").write.mode("append").parquet(source)
