@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.operators.scale import running_before, with_each
+from firmlens.session import cut_lineage
 
 MIN_TEXT_CHARACTERS = 5000
 
@@ -107,21 +108,24 @@ def eligible_firm_years(stages: DataFrame) -> DataFrame:
     return firm_year_stages(stages).where(F.col("chunks_present")).select("firm", "year")
 
 
-def indicator_observations(stages: DataFrame, results: DataFrame) -> DataFrame:
-    """Presence per (firm, year, indicator) of eligible firm-years: extracted, final."""
+def _observations(eligible: DataFrame, results: DataFrame) -> DataFrame:
     # reduce first: the join then carries one row per cell, however often it was extracted
     cells = results.where("firm IS NOT NULL AND year IS NOT NULL AND indicator IS NOT NULL").groupBy("firm", "year", "indicator").agg(
         any_of(F.col("extracted")).alias("extracted"), any_of(F.col("value_final").isNotNull()).alias("final")
     )
-    return cells.join(eligible_firm_years(stages), ["firm", "year"])
+    return cells.join(eligible, ["firm", "year"])
+
+
+def indicator_observations(stages: DataFrame, results: DataFrame) -> DataFrame:
+    """Presence per (firm, year, indicator) of eligible firm-years: extracted, final."""
+    return _observations(eligible_firm_years(stages), results)
 
 
 def opportunity_counts(stages: DataFrame, results: DataFrame) -> DataFrame:
     """Possible, extracted and final observations over all eligible firm-years."""
-    seen = indicator_observations(stages, results).agg(
-        F.count_if("extracted").alias("n_extracted"), F.count_if("final").alias("n_final")
-    )
-    n_fy = eligible_firm_years(stages).agg(F.count(F.lit(1)).alias("n")).scalar()
+    eligible = cut_lineage(eligible_firm_years(stages))
+    seen = _observations(eligible, results).agg(F.count_if("extracted").alias("n_extracted"), F.count_if("final").alias("n_final"))
+    n_fy = eligible.agg(F.count(F.lit(1)).alias("n")).scalar()
     k = results.agg(F.count_distinct("indicator").alias("k")).scalar()
     return seen.select(n_fy.alias("n_fy_ok"), k.alias("k_indicators"), "n_extracted", "n_final").select(
         "n_fy_ok",
@@ -136,8 +140,9 @@ def opportunity_counts(stages: DataFrame, results: DataFrame) -> DataFrame:
 
 def extractability_counts(stages: DataFrame, results: DataFrame) -> DataFrame:
     """Possible, extracted and final per indicator over the full year x indicator grid."""
-    possible = eligible_firm_years(stages).groupBy("year").agg(F.count(F.lit(1)).alias("n_possible"))
-    counted = indicator_observations(stages, results).groupBy("year", "indicator").agg(
+    eligible = cut_lineage(eligible_firm_years(stages))
+    possible = eligible.groupBy("year").agg(F.count(F.lit(1)).alias("n_possible"))
+    counted = _observations(eligible, results).groupBy("year", "indicator").agg(
         F.count_if("extracted").alias("n_extracted"), F.count_if("final").alias("n_final")
     )
     ids = results.select("indicator").where(F.col("indicator").isNotNull()).distinct()

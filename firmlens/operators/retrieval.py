@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.operators.scale import small_side, with_each
+from firmlens.session import cut_lineage
 
 CANDIDATES = 30
 KEPT = 10
@@ -109,23 +110,22 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
 def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """BM25 of each query against the chunks of each document (its own corpus), matches only.
 
-    Term statistics are computed once per document. Tokens that no query uses are
-    dropped before any shuffle, and weights are placed by chunk, so the sum over
-    query terms needs no further exchange.
+    The text is read once: term counts are staged and the document statistics come
+    from them. Tokens that no query uses are folded before the shuffle, and weights
+    are placed by chunk, so the sum over query terms needs no further exchange.
     """
     wanted = small_side(
         queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("q"))
     )
-    used = small_side(wanted.select("term").distinct())
-    sized = chunks.select("doc", "chunk", terms(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    counts = (
-        sized.select("doc", "chunk", "length", F.explode("t").alias("term"))
-        .join(used, "term")
-        .groupBy("doc", "chunk", "term", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    used = wanted.select("term").distinct().withColumn("used", F.lit(True))
+    # one closing null per chunk: it carries the length and gathers the unused tokens
+    tokens = chunks.select("doc", "chunk", terms(F.col("text")).alias("t")).select(
+        "doc", "chunk", F.size("t").alias("length"), F.explode_outer(F.array_append("t", F.lit(None))).alias("term")
     )
-    corpus = sized.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    spread = counts.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"))
+    marked = tokens.join(small_side(used), "term", "left").withColumn("term", F.when(F.col("used"), F.col("term")))
+    counts = cut_lineage(marked.groupBy("doc", "chunk", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    corpus = counts.where(F.col("term").isNull()).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    spread = counts.where(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     weighted = counts.join(spread.join(corpus, "doc"), ["doc", "term"]).select("doc", "chunk", "term", weight.alias("w"))

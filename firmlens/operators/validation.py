@@ -11,6 +11,7 @@ from firmlens.functions.dist import p_values, stars, t_quantile
 from firmlens.operators.harmonise import safe_number
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import GROUP_ROWS, join_on, running_before
+from firmlens.session import cut_lineage
 
 
 def split_company_year(df: DataFrame, key: str = "company_year") -> DataFrame:
@@ -61,7 +62,7 @@ def accuracy(rows: DataFrame) -> DataFrame:
 def trimmed_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, scale: bool) -> DataFrame:
     """Rows where both sources survive the pooled 99 % trim of their group, min-max scaled if asked."""
     keys = list(keys)
-    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = cut_lineage(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b))
     pooled = both.select(*keys, F.explode(F.array(a, b)).alias("v"))
     cut = exact_quantiles(pooled, keys, "v", [0.99], ["__cut"])
     limited = join_on(pooled, cut, keys).where(F.col("v") <= F.col("__cut"))
@@ -126,7 +127,8 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, group_rows:
     nothing and a group of any size is ranked without gathering it.
     """
     keys = list(keys)
-    counts = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("c"))
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    counts = cut_lineage(known.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("c")))
     ranked = join_on(counts, average_ranks(counts, keys, a, "ra", group_rows), [*keys, a])
     ranked = join_on(ranked, average_ranks(counts, keys, b, "rb", group_rows), [*keys, b])
     ra, rb, c = F.col("ra"), F.col("rb"), F.col("c")

@@ -13,6 +13,7 @@ from firmlens.operators.quality import high_quality
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.plans import standins as S
 from firmlens.plans.registry import query
+from firmlens.session import cut_lineage
 
 FIRST, LAST = 1995, 2000
 STEADY = [1995, 1996, 1997, 1998]
@@ -113,8 +114,8 @@ ROW_GROUPS = f"""{RATED}, q AS (SELECT year, quantile_cont(score, 0.1) AS lo, qu
 
 
 def row_groups(spark, d):
-    rated = rated_rows(spark, d)
-    grouped = T.group_by_thresholds(rated.where(F.col("score").isNotNull()), "score", "rating_group", best="low")
+    rated = cut_lineage(rated_rows(spark, d).where(F.col("score").isNotNull()).select("firm", "year", "score"))
+    grouped = T.group_by_thresholds(rated, "score", "rating_group", best="low")
     return grouped.select("firm", "year", "rating_group").distinct()
 
 
@@ -135,7 +136,7 @@ def firm_groups(spark, d, keep=None):
     if keep is not None:
         facts = facts.join(keep, ["firm", "year"], "left_semi")
     panel = T.firm_year_transparency(T.firm_cells(facts)).join(S.firm_years(spark, d), ["firm", "year"], "left")
-    return T.group_by_thresholds(panel, "mkcap", "grp")
+    return T.group_by_thresholds(cut_lineage(panel.select("firm", "year", "transp", "mkcap")), "mkcap", "grp")
 
 
 @query(

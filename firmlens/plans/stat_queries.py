@@ -11,6 +11,7 @@ from firmlens.operators import validation as V
 from firmlens.plans import standins as S
 from firmlens.plans.panel_queries import FIRM_GROUPS, firm_groups, rounded
 from firmlens.plans.registry import query
+from firmlens.session import cut_lineage
 
 NOISE = "(1 + (l_partkey % 21 - 10) / CAST(200 AS DOUBLE))"
 
@@ -168,7 +169,7 @@ def panel(spark, d):
         .join(S.firms(spark, d).select("firm", "sector"), "firm", "left")
         .select("firm", "year", "sector", "transp", F.ln("mkcap").alias("size"), score.cast("double").alias("score"), F.col("n_orders").cast("double").alias("n_orders"))
     )
-    return G.decile_dummies(wide, "size", "q10", "q90")
+    return G.decile_dummies(cut_lineage(wide), "size", "q10", "q90")
 
 
 PANEL = f"""{S.ENRICHED}, {S.FIRMS}, {S.FIRM_YEARS}, base AS (SELECT t.firm, t.year, sector, transp, ln(mkcap) AS size, {S.cases('y.rating', S.HIGH_BEST)} AS score, n_orders
