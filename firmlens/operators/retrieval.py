@@ -67,6 +67,19 @@ def _unit_rows(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _query_slices(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """All queries on the driver, at most about ``QUERY_SLICE`` at a time."""
+    first = queries.limit(QUERY_SLICE + 1).toPandas()
+    if len(first) <= QUERY_SLICE:
+        yield first
+        return
+    slices = -(-queries.count() // QUERY_SLICE)
+    for s in range(slices):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
+        if not part.empty:
+            yield part
+
+
 def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Cosine top-k chunks (doc, chunk, vector) per document for each (query_id, vector).
 
@@ -74,14 +87,10 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
     ``k`` of a batch per (document, query) leave the task.
     """
     spark = chunks.sparkSession
-    slices = max(1, -(-queries.count() // QUERY_SLICE))
     types = dict(chunks.dtypes), dict(queries.dtypes)
     schema = f"doc {types[0]['doc']}, query_id {types[1]['query_id']}, chunk {types[0]['chunk']}, score double"
     found = None
-    for s in range(slices):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
-        if part.empty:
-            continue
+    for part in _query_slices(queries):
         shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit_rows(part["vector"])))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

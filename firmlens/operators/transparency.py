@@ -58,11 +58,14 @@ def with_overall(series: DataFrame, overall: DataFrame, label: str, text: str =
     return series.unionByName(overall.withColumn(label, F.lit(text)), allowMissingColumns=True)
 
 
-def transparency_by_topic(facts: DataFrame, flag: str = "exists") -> DataFrame:
-    """Yearly transparency per topic with the overall line."""
-    cells = firm_cells(facts, ["std"], flag)
+def transparency_by_topic(facts: DataFrame, flag: str = "exists", by: Sequence[str] = ("std",)) -> DataFrame:
+    """Yearly transparency per topic with the overall line, labelled in the last column of ``by``.
+
+    ``by`` may name finer cells, such as area, standard and topic.
+    """
+    cells = firm_cells(facts, by, flag)
     overall = firm_year_transparency(cells).groupBy("year").agg(F.avg("transp").alias("transp"))
-    return with_overall(mean_of_means(cells, ["year", "std"]), overall, "std")
+    return with_overall(mean_of_means(cells, ["year", *by]), overall, by[-1])
 
 
 def transparency_by_sector(facts: DataFrame, firms: DataFrame) -> DataFrame:

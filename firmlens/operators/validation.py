@@ -193,8 +193,9 @@ def welch(df: DataFrame, value: str, group: str, targets: Sequence[str], referen
         .groupBy(group)
         .agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("n"))
     )
-    base = stats.where(F.col(group) == reference).select(F.col("m").alias("m0"), F.col("v").alias("v0"), F.col("n").alias("n0"), F.lit(1).alias("__one"))
-    rows = stats.where(F.col(group) != reference).withColumn("__one", F.lit(1)).join(F.broadcast(base), "__one").drop("__one")
+    base = stats.where(F.col(group) == reference).agg(F.first(F.struct("m", "v", "n")).alias("base")).scalar()
+    rows = stats.where(F.col(group) != reference).withColumn("base", base)
+    rows = rows.select(group, "m", "v", "n", F.col("base.m").alias("m0"), F.col("base.v").alias("v0"), F.col("base.n").alias("n0"))
     e1, e0 = F.col("v") / F.col("n"), F.col("v0") / F.col("n0")
     rows = rows.withColumns(
         {

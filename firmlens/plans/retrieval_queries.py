@@ -134,49 +134,56 @@ def _(spark, d):
 
 
 def contexts(spark, d):
-    """Per conversation: its turns as context chunks; system turns carry no page."""
-    turns = S.read(spark, d, "conversations")
-    info = F.when(F.col("role") == "user", F.array(F.struct(F.col("role").alias("source_document"), F.col("turn").cast("int").alias("page_number")))).otherwise(
-        F.array().cast("array<struct<source_document:string,page_number:int>>")
-    )
-    chunk = F.struct("turn", "text", info.alias("source_info"))
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(chunk)).alias("context"))
+    """Per document: its ten best chunks in rank order; some chunks carry no page."""
+    c, _ = targets(spark, d)
+    starts = doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "start_index")
+    score = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
+    best = R.top_k(c.select("doc", F.lit(1).alias("query_id"), "chunk", score.alias("score")), R.KEPT)
+    page = lambda at: F.floor(at / 1500).cast("int") + 1
+    numbers = F.sequence(page(F.col("start_index")), page(F.col("start_index") + F.length("text")))
+    info = F.transform(numbers, lambda p: F.struct(F.lit("report.pdf").alias("source_document"), p.alias("page_number")))
+    some = F.when(F.col("chunk") % 5 != 4, info).otherwise(F.array().cast("array<struct<source_document:string,page_number:int>>"))
+    chunk = F.struct("rank", "text", some.alias("source_info"))
+    rows = best.select("doc", "chunk", "rank").join(c, ["doc", "chunk"]).join(starts, ["doc", "chunk"])
+    return rows.groupBy("doc").agg(F.array_sort(F.collect_list(chunk)).alias("context"))
 
 
-CONTEXT_SQL = """ctx AS (SELECT conv_id, arg_min(role, turn) AS first_role, string_agg(CASE WHEN role = 'user' THEN '[' || turn || ']' ELSE '[]' END, ';' ORDER BY turn, text) AS pages,
-  string_agg(text, '|' ORDER BY turn, text) AS texts, list(text ORDER BY turn, text) AS l FROM conversations GROUP BY ALL),
-  blocks AS (SELECT *, replace(replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: 'Chunk ' || i || ':' || chr(10) || l[i]), chr(10) || chr(10)), '{', '{{'), '}', '}}') AS context FROM ctx)"""
+CONTEXT_SQL = f"""{CHUNK_SQL}, scored AS (SELECT *, length(text) - length(replace(text, 'e', '')) AS score FROM chunks),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sequence_number) AS rank FROM scored) WHERE rank <= 10),
+  ctx AS (SELECT doc_id AS doc, arg_min(sequence_number % 5 <> 4, rank) AS first_has, list(text ORDER BY rank) AS l, string_agg('[' || CASE WHEN sequence_number % 5 = 4 THEN '' ELSE
+    array_to_string(range(start_index // 1500 + 1, (start_index + length(text)) // 1500 + 2), ',') END || ']', ';' ORDER BY rank) AS pages FROM best GROUP BY ALL),
+  blocks AS (SELECT *, replace(replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: 'Chunk ' || i || ':' || chr(10) || l[i]), chr(10) || chr(10)), '{{', '{{{{'), '}}', '}}}}') AS context FROM ctx)"""
 
 
 @query(
     "c09_context_parts",
-    f"WITH {CONTEXT_SQL} SELECT conv_id, md5(texts) AS texts, CASE WHEN first_role = 'user' THEN 'user' ELSE 'Unknown' END AS source_document, pages AS page_numbers FROM ctx",
+    f"WITH {CONTEXT_SQL} SELECT doc, md5(array_to_string(l, '|')) AS texts, CASE WHEN first_has THEN 'report.pdf' ELSE 'Unknown' END AS source_document, pages AS page_numbers FROM ctx",
 )
 def _(spark, d):
     parts = contexts(spark, d).withColumns(R.context_columns(F.col("context")))
     pages = F.transform("page_numbers", lambda p: F.concat(F.lit("["), F.array_join(p.cast("array<string>"), ","), F.lit("]")))
-    return parts.select("conv_id", F.md5(F.array_join("texts", "|")).alias("texts"), "source_document", F.array_join(pages, ";").alias("page_numbers"))
+    return parts.select("doc", F.md5(F.array_join("texts", "|")).alias("texts"), "source_document", F.array_join(pages, ";").alias("page_numbers"))
 
 
 def prompts(spark, d):
     c = contexts(spark, d).withColumn("text", R.context_text(F.transform("context", lambda x: x["text"])))
-    names = S.read(spark, d, "customer").select(F.col("c_custkey").alias("conv_id"), F.col("c_name").alias("company"))
-    joined = c.join(names, "conv_id", "left").withColumn("company", F.coalesce("company", F.lit("?")))
-    return joined.select("conv_id", R.prompt_text(F.col("company"), F.lit(2023), F.col("text"), F.lit("Water consumption")).alias("prompt"))
+    names = S.read(spark, d, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("company"))
+    joined = c.join(names, "doc", "left").withColumn("company", F.coalesce("company", F.lit("?")))
+    return joined.select("doc", R.prompt_text(F.col("company"), F.lit(2023), F.col("text"), F.lit("Water consumption")).alias("prompt"))
 
 
-PROMPT_SQL = f"""{CONTEXT_SQL}, prompts AS (SELECT conv_id, 'Corporate report (' || coalesce(c_name, '?') || ', year 2023): ' || context || chr(10) || chr(10) || 'Requested data point: Water consumption' || chr(10) || chr(10) || 'Answer:' AS prompt
-  FROM blocks LEFT JOIN customer ON c_custkey = conv_id)"""
+PROMPT_SQL = f"""{CONTEXT_SQL}, prompts AS (SELECT doc, 'Corporate report (' || coalesce(c_name, '?') || ', year 2023): ' || context || chr(10) || chr(10) || 'Requested data point: Water consumption' || chr(10) || chr(10) || 'Answer:' AS prompt
+  FROM blocks LEFT JOIN customer ON c_custkey = doc)"""
 
 
-@query("c10_prompt_text", f"WITH {PROMPT_SQL} SELECT conv_id, md5(prompt) AS digest FROM prompts")
+@query("c10_prompt_text", f"WITH {PROMPT_SQL} SELECT doc, md5(prompt) AS digest FROM prompts")
 def _(spark, d):
-    return prompts(spark, d).select("conv_id", F.md5("prompt").alias("digest"))
+    return prompts(spark, d).select("doc", F.md5("prompt").alias("digest"))
 
 
-@query("c11_prompt_size", f"WITH {PROMPT_SQL} SELECT conv_id, CAST(len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda x: x <> '')) AS INT) AS n_tokens FROM prompts")
+@query("c11_prompt_size", f"WITH {PROMPT_SQL} SELECT doc, CAST(len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda x: x <> '')) AS INT) AS n_tokens FROM prompts")
 def _(spark, d):
-    return prompts(spark, d).select("conv_id", R.prompt_size(F.col("prompt")).alias("n_tokens"))
+    return prompts(spark, d).select("doc", R.prompt_size(F.col("prompt")).alias("n_tokens"))
 
 
 @query(
