@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from firmlens.schemas import RESULTS
 
-ANSWER = "struct<value:string,unit:string>"
 # number followed by a unit word or sign
 FIRST_QUANTITY = r"(-?\d[\d.,]*)\s*([%€$£]|[^\W\d_][\w²³₂/]*)"
 
@@ -47,17 +46,25 @@ def without_thousands(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
 
 
-def is_one_json_value(text: Column) -> Column:
-    """The whole text is one JSON value; read inside brackets, so that trailing text counts."""
-    listed = F.concat(F.lit("["), text, F.lit("]"))
-    return F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1)
+def _json_object(text: Column, read) -> Column:
+    """``read`` applied to the one JSON object that is the whole text, null otherwise.
+
+    Parsed once, inside brackets, so that trailing text or a second value counts
+    as an error; the one-element ``transform`` binds the result.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    one = lambda values: F.when(F.size(values) == 1, read(F.get(values, F.lit(0))))
+    return F.get(F.transform(F.array(listed), one), F.lit(0))
+
+
+def _answer(fields: Column) -> Column:
+    return F.struct(F.try_element_at(fields, F.lit("value")).alias("value"), F.try_element_at(fields, F.lit("unit")).alias("unit"))
 
 
 def strict_answer(text: Column) -> Column:
     """(value, unit) of a JSON object with exactly these two keys, null otherwise."""
-    keys = F.array_sort(F.json_object_keys(text))
-    exact = is_one_json_value(text) & (keys == F.array(F.lit("unit"), F.lit("value")))
-    return F.when(exact, F.from_json(text, ANSWER))
+    exact = lambda m: F.array_sort(F.array_distinct(F.map_keys(m))) == F.array(F.lit("unit"), F.lit("value"))
+    return _json_object(text, lambda m: F.when(exact(m), _answer(m)))
 
 
 def python_to_json(text: Column) -> Column:
@@ -74,7 +81,7 @@ def stored_answer(text: Column) -> Column:
     schema = "value string, unit string, _corrupt string"
     lenient = F.from_json(python_to_json(body), schema, {"columnNameOfCorruptRecord": "_corrupt"})
     literal = F.when(body.rlike(r"(?s)^\{.*\}$") & lenient["_corrupt"].isNull(), lenient)
-    strict = F.when(is_one_json_value(body) & body.startswith("{"), F.from_json(body, ANSWER))
+    strict = _json_object(body, lambda m: F.when(m.isNotNull(), _answer(m)))
     return F.coalesce(strict, F.when(literal.isNotNull(), F.struct(literal["value"].alias("value"), literal["unit"].alias("unit"))))
 
 

@@ -27,9 +27,9 @@ STEPS = [
 
 def safe_number(text: Column, underscores: bool = False) -> Column:
     """Text as double, null unless all of it is one plain number ('nan', '1.0d' are not)."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    trimmed = F.btrim(text, F.lit(" \t\n\r\f\v"))
     if underscores:
-        trimmed = F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")
+        trimmed = F.when(F.contains(trimmed, F.lit("_")), F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")).otherwise(trimmed)
     return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
 
 
@@ -123,9 +123,14 @@ def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFra
     t = t.withColumns(
         {"unit_key": unit_key(col("usd_num"), col("usd_den")), "dimension": F.when(col("usd_den").isNull(), col("__n_dim")).otherwise(ratio)}
     )
-    return t.withColumn("factor", F.when(col("dimension").isNotNull(), col("__n_fac"))).drop(
-        *[f"__n_{c}" for c in aliases.columns], "__d_alias", "__d_dim"
+    t = t.withColumns(
+        {
+            "factor": F.when(col("dimension").isNotNull(), col("__n_fac")),
+            "kind": F.regexp_replace("dimension", r":[A-Z]+$", ""),
+            "currency": F.nullif(F.regexp_extract("dimension", r"currency:([A-Z]+)$", 1), F.lit("")),
+        }
     )
+    return t.drop(*[f"__n_{c}" for c in aliases.columns], "__d_alias", "__d_dim")
 
 
 def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame | None, max_units: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,15 +143,29 @@ def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame |
     return join_on(rows, F.broadcast(resolve_units(texts, text, quoted)), [text], "left")
 
 
+def typed_indicators(types: DataFrame) -> DataFrame:
+    """The indicator table with what its type asks for, so that rows carry flags instead of type names."""
+    kind, no = F.col("type_standard"), F.lit(False)
+    targets = local_table(types.sparkSession, [(k, *v) for k, v in U.TARGETS.items()], "__type string, __tdim string, __tfac double, __tunit string")
+    flags = {
+        "__number": kind.isin(U.NUMBER_TYPES),
+        "__percent": kind == "percent",
+        "__date": kind == "date",
+        "__free": kind.isin(U.UNITLESS_TYPES),
+        "__needs": kind.isin(U.UNIT_TYPES),
+    }
+    listed = types.select("indicator", "type_standard")
+    local = collect_bounded(listed)
+    flagged = (listed if local is None else local).withColumns({name: F.coalesce(flag, no) for name, flag in flags.items()})
+    full = flagged.join(targets, kind == F.col("__type"), "left").drop("__type")
+    return full if local is None else F.broadcast(full)
+
+
 def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False, max_units: int = BROADCAST_ROWS) -> DataFrame:
     """Standard value and unit per row; ``trace`` keeps the intermediate columns."""
     spark, col, no = df.sparkSession, F.col, F.lit(False)
-    t = df.join(small_side(types.select("indicator", "type_standard")), "indicator", "left")
-    kind = col("type_standard")
-    is_number, is_percent, is_date, is_free, needs_unit = (
-        F.coalesce(c, no)
-        for c in (kind.isin(U.NUMBER_TYPES), kind == "percent", kind == "date", kind.isin(U.UNITLESS_TYPES), kind.isin(U.UNIT_TYPES))
-    )
+    t = df.join(typed_indicators(types), "indicator", "left")
+    is_number, is_percent, is_date, is_free, needs_unit = (F.coalesce(col(f"__{f}"), no) for f in ("number", "percent", "date", "free", "needs"))
 
     # required units, plain numbers, percent, dates
     missing = needs_unit & col("value").isNotNull() & col("unit").isNull()
@@ -185,18 +204,15 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
         col("number") * col("multiplier_num") * F.coalesce(col("rate_num"), one) * col("suffix_num")
         / (col("multiplier_den") * F.coalesce(col("rate_den"), one)) / col("suffix_den")
     )
-    targets = local_table(spark, [(k, *v) for k, v in U.TARGETS.items()], "__type string, __tdim string, __tfac double, __tunit string")
-    t = t.join(targets, kind == col("__type"), "left")
     no_rate = F.coalesce((col("quoted_num") & col("rate_num").isNull()) | (col("quoted_den") & col("rate_den").isNull()), no)
     quantity = ~is_free & col("dimension").isNotNull() & col("number").isNotNull()
-    matches = F.coalesce(F.regexp_replace("dimension", r":[A-Z]+$", "") == col("__tdim"), no) & ~no_rate
+    matches = F.coalesce(col("kind") == col("__tdim"), no) & ~no_rate
     if fx is None:
         matches = matches & ~col("unit").eqNullSafe(U.EXCLUDED_UNIT)
     unknown_unit = col("unit_key").isNotNull() & col("dimension").isNull()
     broken = ~is_free & (unknown_unit | (col("__has") & col("number").isNull()) | no_rate)
     t = t.withColumns({"value_scaled": F.when(~is_free, scaled), "__quantity": quantity, "__fits": F.when(quantity, matches).otherwise(col("__ok") & ~broken)})
-    currency = F.regexp_extract("dimension", r"currency:([A-Z]+)$", 1)
-    unit_name = F.when(currency != "", F.replace("__tunit", F.lit("USD"), currency)).otherwise(col("__tunit"))
+    unit_name = F.when(col("currency").isNotNull(), F.replace("__tunit", F.lit("USD"), col("currency"))).otherwise(col("__tunit"))
     value_num = F.when(is_free, col("number")).when(col("__quantity"), col("value_scaled") * col("factor") / col("__tfac"))
     results = [
         F.when(col("__fits"), value_num).alias("value_num"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.operators.quantiles import exact_quantiles
-from firmlens.operators.scale import join_on
+from firmlens.operators.scale import join_on, small_side
 from firmlens.session import cut_lineage
 
 # Fixed value: what counts as one word token.
@@ -89,7 +89,7 @@ def quality_flags(df: DataFrame, pillars: Sequence[str], by: Sequence[str] = ("y
     cuts = exact_quantiles(long, [*by, "pillar"], "score", [prob], ["cut"])
     wide = cuts.groupBy(*by).agg(*[F.max(F.when(F.col("pillar") == p, F.col("cut"))).alias(f"__{p}") for p in pillars])
     flags = {f"bad_{p}": F.coalesce((F.col(p) >= F.col(f"__{p}")).cast("int"), F.lit(0)) for p in pillars}
-    out = join_on(records, F.broadcast(wide), by, "left").withColumns(flags).drop(*[f"__{p}" for p in pillars])
+    out = join_on(records, small_side(wide), by, "left").withColumns(flags).drop(*[f"__{p}" for p in pillars])
     return out.withColumn("n_bad_pillars", sum((F.col(f) for f in flags), F.lit(0)))
 
 

@@ -11,6 +11,7 @@ from firmlens.operators import transparency as T
 from firmlens.operators.coverage import has_value_text
 from firmlens.operators.quality import high_quality
 from firmlens.operators.quantiles import exact_quantiles
+from firmlens.operators.scale import small_side
 from firmlens.plans import standins as S
 from firmlens.plans.registry import query
 from firmlens.session import cut_lineage
@@ -275,7 +276,7 @@ REAL_SQL = f"""{S.FIRM_YEARS}, {S.INDEX}, {FX_SQL}, real_ AS (SELECT firm, year,
 
 def real_sales(spark, d):
     fy = S.firm_years(spark, d)
-    local = fy.select("firm", "year", "sales").distinct().join(F.broadcast(P.implied_fx(fy, "mkcap", "sales")), "year")
+    local = fy.select("firm", "year", "sales").distinct().join(small_side(P.implied_fx(fy, "mkcap", "sales")), "year")
     local = local.withColumn("sales_local", F.col("sales") * F.col("rate"))
     return P.deflated(local, "sales_local", "real_sales", S.price_index(spark), 2001).select("firm", "year", "real_sales")
 

@@ -75,7 +75,7 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     return (
         read(spark, sf_dir, "customer")
-        .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("c_custkey").alias("firm"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("sector"), "country")
     )
 
