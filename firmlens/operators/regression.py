@@ -3,7 +3,7 @@
 Sums of products are Spark aggregates; only k x k matrices reach the driver. One
 set of fixed effects is removed by group means. With a second set, the large one
 (firms) is removed by means and the small one enters as columns that were demeaned
-the same way, so no iteration over the data is needed.
+the same way, so no iteration over the data is needed unless both sets are large.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import collect_bounded, join_on, small_side
 from firmlens.session import cut_lineage
 
-MAX_LEVELS = 500  # levels of the small fixed effect next to a large one
+MAX_LEVELS = 500  # levels of the small fixed effect next to a large one; beyond, means are removed in turn
+MAX_ROUNDS, TOLERANCE = 500, 1e-10
 SCHEMA = "spec string, term string, estimate double, std_error double, t double, p double, stars string, n long, r2 double, adj_r2 double"
 
 
@@ -113,14 +114,35 @@ def fit(
 
 
 def _one_way(rows: DataFrame, y: str, xs: list[str], group: list[str], cluster: str) -> dict:
+    if not group:
+        return _solve(rows.withColumn("(Intercept)", F.lit(1.0)), rows, y, xs, ["(Intercept)", *xs], cluster, 0, 0)
+    levels = rows.select(*group).distinct().count()
+    nested = group == [cluster]
+    return _solve(_demeaned(rows, [y, *xs], group), rows, y, xs, xs, cluster, 1 if nested else levels, levels)
+
+
+def _alternating(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster: str, levels: int) -> dict:
+    """Two large effects: subtract both group means in turn until nothing changes.
+
+    Each round is staged, so the lineage stays short and a lost executor costs one round.
+    """
     names = [y, *xs]
-    if group:
-        data, terms, fixed = _demeaned(rows, names, group), xs, rows.select(*group).distinct().count()
-    else:
-        data, terms, fixed = rows.withColumn("(Intercept)", F.lit(1.0)), ["(Intercept)", *xs], 0
+    data = rows
+    for _ in range(MAX_ROUNDS):
+        data = cut_lineage(_demeaned(_demeaned(data, names, effect), names, [cluster]))
+        left = data.groupBy(*effect).agg(*[F.avg(_c(n)).alias(f"m{i}") for i, n in enumerate(names)])
+        if max(left.agg(*[F.max(F.abs(f"m{i}")) for i in range(len(names))]).first()) < TOLERANCE:
+            break
+    clusters = rows.select(cluster).distinct().count()
+    return _solve(data, rows, y, xs, xs, cluster, levels, levels + clusters - 1)
+
+
+def _solve(data: DataFrame, rows: DataFrame, y: str, xs: list[str], terms: list[str], cluster: str, fixed_se: int, fixed_all: int) -> dict:
+    """Coefficients and clustered errors of demeaned columns; ``fixed_*`` count the absorbed levels."""
+    grouped = terms == xs
     gram, n = products(data, [y, *terms])
-    spread = spreads(rows, names)
-    kept = _usable(gram[1:, 1:], spread[1:] if group else np.diag(gram)[1:])
+    spread = spreads(rows, [y, *xs])
+    kept = _usable(gram[1:, 1:], spread[1:] if grouped else np.diag(gram)[1:])
     inverse = np.linalg.inv(gram[1:, 1:][np.ix_(kept, kept)])
     beta = inverse @ gram[1:, 0][kept]
     used = [terms[i] for i in kept]
@@ -129,18 +151,18 @@ def _one_way(rows: DataFrame, y: str, xs: list[str], group: list[str], cluster:
         data.withColumn("__u", residual).groupBy(cluster).agg(*[F.sum(_c(t) * F.col("__u")).alias(f"s{i}") for i, t in enumerate(used)])
     )
     meat, clusters = products(scores, [f"s{i}" for i in range(len(used))])
-    nested = group == [cluster]
-    k_all = len(used) + fixed
-    k_se = len(used) + (1 if nested else fixed)
     ssr = float(gram[0, 0] - 2 * beta @ gram[1:, 0][kept] + beta @ gram[1:, 1:][np.ix_(kept, kept)] @ beta)
-    return _result(spread[0], used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, [] if group else ["(Intercept)"])
+    return _result(
+        spread[0], used, beta, inverse, meat, clusters, n, len(used) + fixed_se, len(used) + fixed_all, ssr, [] if grouped else ["(Intercept)"]
+    )
 
 
 def _two_way(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster: str) -> dict:
     """Firm effects by means, the small effect as firm-demeaned columns."""
-    levels = collect_bounded(rows.select(*effect).distinct(), MAX_LEVELS)
+    distinct = rows.select(*effect).distinct()
+    levels = collect_bounded(distinct, MAX_LEVELS)
     if levels is None:
-        raise ValueError(f"the small fixed effect has more than {MAX_LEVELS} levels")
+        return _alternating(rows, y, xs, effect, cluster, distinct.count())
     listed = sorted(tuple(r) for r in levels.collect())
     g = len(listed)
     ids = F.broadcast(rows.sparkSession.createDataFrame([(*v, i) for i, v in enumerate(listed)], T.StructType([*levels.schema.fields, T.StructField("__g", T.IntegerType())])))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from firmlens.functions.dist import incomplete_beta, t_p_value, t_quantile
+from firmlens.operators import regression
 from firmlens.operators.regression import fit
 from firmlens.operators.validation import icc, welch
 
@@ -56,6 +57,15 @@ def test_fit_equals_dense(spark, panel, effect, firm, effects, nested):
     assert np.allclose([got["x1"]["std_error"], got["x2"]["std_error"]], errors, rtol=1e-6)
 
 
+def test_two_large_effects_by_turns(spark, panel, monkeypatch):
+    monkeypatch.setattr(regression, "MAX_LEVELS", 2)
+    monkeypatch.setattr(regression, "TOLERANCE", 1e-6)
+    got = {r["term"]: r for r in fit(spark.createDataFrame(panel), "y", ["x1", "x2"], "s", ["year"], True).collect()}
+    beta, errors = dense(panel, ["x1", "x2"], [["year"], ["firm"]], [["firm"]])
+    assert np.allclose([got["x1"]["estimate"], got["x2"]["estimate"]], beta, atol=1e-5)
+    assert np.allclose([got["x1"]["std_error"], got["x2"]["std_error"]], errors, rtol=1e-3)
+
+
 def test_column_without_own_variation_is_dropped(spark, panel):
     got = {r["term"]: r["estimate"] for r in fit(spark.createDataFrame(panel), "y", ["x1", "constant_in_firm"], "s", [], True).collect()}
     assert got["constant_in_firm"] is None and got["x1"] is not None
