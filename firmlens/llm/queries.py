@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, exactdup, packing, simhash
+from firmlens.llm import bpe, exactdup, multiset, packing, simhash
 from firmlens.llm.common import small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op5_multiset_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
