@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, exactdup, multiset, packing, simhash
-from firmlens.llm.common import small_batches, table
+from firmlens.llm import bpe, exactdup, langid, multiset, packing, simhash, urls
+from firmlens.llm.common import LOWER, UPPER, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -27,11 +27,49 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op5_multiset_fingerprints")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query(
+    "op6_url_filter",
+    f"""
+    WITH cut AS (
+        SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+    ), rules(verdict, host, path) AS (
+        VALUES {", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)}
+    ), fits AS (
+        SELECT p.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+        FROM parts p JOIN rules r ON ends_with('.' || p.host, '.' || r.host) AND starts_with(p.path, r.path) GROUP BY p.page_id
+    ), words AS (
+        SELECT page_id, translate(host || path, '{UPPER}', '{LOWER}') AS s FROM parts
+    ), hits AS (
+        SELECT page_id, regexp_matches(s, '(^|[^a-z0-9])({"|".join(urls.STRICT)})([^a-z0-9]|$)') AS strict,
+               {" + ".join(f"regexp_matches(s, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in urls.SOFT)} AS soft
+        FROM words
+    )
+    SELECT p.page_id, p.host, p.path, f.rule,
+           coalesce(f.verdict, CASE WHEN h.strict OR h.soft >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parts p JOIN hits h USING (page_id) LEFT JOIN fits f USING (page_id)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
