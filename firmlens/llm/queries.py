@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, exactdup, langid, multiset, packing, simhash, urls
+from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, simhash, urls
 from firmlens.llm.common import LOWER, UPPER, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = blocklabel.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
