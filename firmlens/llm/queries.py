@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, simhash, urls
+from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, simhash, urls, wordpiece
 from firmlens.llm.common import LOWER, UPPER, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,6 +34,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_words", "n_tokens")
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
