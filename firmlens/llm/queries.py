@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, simhash, urls, wordpiece
+from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, quotes, simhash, urls, wordpiece
 from firmlens.llm.common import LOWER, UPPER, small_batches, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
 @query("op2_main_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
