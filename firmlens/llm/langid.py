@@ -13,12 +13,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: documents a language is learned from, at most; taken in the order of a hash of their id
+#: documents a language is learned from, about; taken by a hash of their id
 SAMPLE_PER_LANGUAGE = 1000
 #: letters up to here have a vector of their own, later ones share FOLDED
 OWN_LETTERS, FOLDED = 0x250, 431
@@ -84,14 +84,18 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def sampled(labelled: DataFrame, key: Column, lang: Column, per_language: int) -> DataFrame:
-    """(lang, text): up to ``per_language`` rows of each language, those whose key has the smallest hash."""
-    rows = labelled.select(lang.alias("lang"), F.xxhash64(key).alias("h"), "text")
-    rank = Window.partitionBy("lang").orderBy("h")
-    last = rows.select("lang", "h").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("last")).collect()
-    if not last:
+    """(lang, text): about ``per_language`` rows of each language, all of them if there are no more.
+
+    A row is taken if the hash of its key lies in the first per_language / n of the hash range, n being the
+    language's rows. Only the counts reach the driver; nothing is sorted or gathered.
+    """
+    rows = labelled.select(lang.alias("lang"), key.alias("key"), "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
         return rows.select("lang", "text").where("false")
-    bound = F.create_map(*(F.lit(x) for r in last for x in (r.lang, r.last)))
-    return rows.where(F.col("h") <= bound[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r.n))))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return rows.where(place < share[F.col("lang")]).select("lang", "text")
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimensions: int = DIMENSIONS, key: str = "key") -> tuple[list[str], np.ndarray]:
