@@ -14,7 +14,7 @@ PLAIN_TO = "\"\"\"\"''''''------   "
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
 INVISIBLE = r"[\x{200B}\x{200C}\x{2060}\x{FEFF}\x{00AD}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}]"
-NAME_KEY = r"^(.*)_(\d{4})(?:_([A-Za-z]+))?\.\w+$"
+NAME_KEY = r"^(.*)[_-](\d{4})(?:_([A-Za-z]+))?(?:\.\w+)?$"
 
 
 def html_text(html: Column) -> Column:
@@ -44,6 +44,6 @@ def pieces(text: Column, size: int) -> Column:
 
 
 def name_key(file_name: Column) -> dict[str, Column]:
-    """Company, year and report type from '{company}_{year}[_{type}].ext'; nulls when the name does not fit."""
+    """Company, year and report type from '{company}_{year}[_{type}][.ext]' or with a dash before the year; nulls when the name does not fit."""
     part = lambda i: F.nullif(F.regexp_extract(file_name, NAME_KEY, i), F.lit(""))
     return {"company_id": part(1), "year": part(2).try_cast("int"), "report_type": part(3)}

@@ -1,7 +1,7 @@
 """Documents from pages, and chunks from documents.
 
-A document's text is assembled in parts of bounded length, because one company-year
-may hold a large share of all pages; an ordinary document is a single part.
+One company-year may hold a large share of all pages, so no row holds a whole document:
+texts are assembled per source file, and chunks are cut from pages by their offsets.
 Character offsets count from the start of the document.
 """
 
@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 
 from firmlens.functions.splitter import MARKDOWN_SEPARATORS, SEPARATORS, split_spans
 from firmlens.functions.text import pieces
-from firmlens.operators.scale import bounded_lists, running_before
+from firmlens.operators.scale import running_before
 
 CHUNK_SIZE = 400
 CHUNK_OVERLAP = 100
-PART_CHARACTERS = 32_000_000
 PAGE_BIN = 4_096
 
 
 def files_by_key(files: DataFrame, keys: Sequence[str] = ("company_id", "year")) -> DataFrame:
-    """File names per company and year."""
-    return bounded_lists(files, list(keys), "file_name", "files")
+    """Distinct file names of every company and year, one row each."""
+    return files.select(*keys, "file_name").distinct()
 
 
 def page_ledger(pages: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -44,29 +43,54 @@ def page_ledger(pages: DataFrame, key: str = "doc_key") -> DataFrame:
     return placed.withColumn("page_end", F.col("page_start") + F.col("text_length"))
 
 
-def assemble(pages: DataFrame, key: str = "doc_key", part_characters: int = PART_CHARACTERS) -> DataFrame:
-    """Document text and page metadata in page order, as (key, part_no, part_start, text, metadata).
+def _gap() -> Column:
+    """What follows a page: a space, and a blank line after the last page of a file."""
+    return F.when(F.col("step") > F.col("text_length") + 1, " \n\n").otherwise(" ")
 
-    Offsets come from the narrow ledger, so the text itself is moved twice only:
-    to meet its offset and to join its part.
+
+def assemble(pages: DataFrame, key: str = "doc_key") -> DataFrame:
+    """Text of every source file with its offset in the document, as (key, file_no, file_start, text, metadata).
+
+    The texts of a document in file order, put together, are its whole text. Offsets
+    come from the narrow ledger, so the text is moved once.
     """
-    ids = [key, "file_no", "page_no"]
     ledger = page_ledger(pages, key).drop("source_document")
-    gap = F.when(F.col("step") > F.col("text_length") + 1, " \n\n").otherwise(" ")
-    page = F.struct("file_no", "page_no", F.concat("text", gap).alias("text"), "source_document", "text_length", "page_start")
-    parts = pages.join(ledger, ids).withColumn("part_no", F.floor(F.col("page_start") / part_characters).cast("int"))
-    packed = parts.groupBy(key, "part_no").agg(F.array_sort(F.collect_list(page)).alias("p"))
-    return packed.select(
+    page = F.struct("page_no", "text", "source_document")
+    packed = pages.groupBy(key, "file_no").agg(F.array_sort(F.collect_list(page)).alias("p"))
+    starts = ledger.groupBy(key, "file_no").agg(F.min("page_start").alias("file_start"))
+    return packed.join(starts, [key, "file_no"]).select(
         key,
-        "part_no",
-        F.col("p")[0]["page_start"].alias("part_start"),
-        F.array_join("p.text", "").alias("text"),
-        F.transform(
-            "p", lambda x: F.struct(x["source_document"].alias("source_document"), x["page_no"].alias("page_number"), x["text_length"].alias("text_length"))
-        ).alias("metadata"),
+        "file_no",
+        "file_start",
+        F.concat(F.array_join("p.text", " "), F.lit(" \n\n")).alias("text"),
+        F.transform("p", lambda x: F.struct(x["source_document"].alias("source_document"), x["page_no"].alias("page_number"), F.length(x["text"]).alias("text_length"))).alias("metadata"),
     )
 
 
+def page_chunks(pages: DataFrame, key: str = "doc_key", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """The chunks of ``fixed_chunks`` over whole documents, cut from their pages.
+
+    A page knows its offset, so it knows which chunks it touches and emits its part
+    of each; a chunk joins the parts of the few pages it spans. The number and
+    the start are the document's at any document size.
+    """
+    step = size - overlap
+    ledger = page_ledger(pages, key).select(key, "file_no", "page_no", "page_start", "text_length", "step")
+    placed = pages.select(key, "file_no", "page_no", "text").join(ledger, [key, "file_no", "page_no"])
+    placed = placed.select(key, F.col("page_start").alias("at"), F.concat("text", _gap()).alias("text"))
+    first = F.greatest(F.floor((F.col("at") - size) / step) + 1, F.lit(0))
+    last = F.floor((F.col("at") + F.length("text") - 1) / step)
+    parts = placed.select(key, "at", "text", F.explode(F.sequence(first, last)).alias("i"))
+    start, at = F.col("i") * step, F.col("at")
+    begin = F.greatest(start - at, F.lit(0)).cast("int")
+    end = F.least(start + size - at, F.length("text").cast("long")).cast("int")
+    cut = parts.select(key, "i", "at", F.col("text").substr(begin + 1, end - begin).alias("text"))
+    chunks = cut.groupBy(key, "i").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "text")))["text"], "").alias("text"))
+    # past the first, a chunk must bring more than the overlap
+    chunks = chunks.where((F.col("i") == 0) | (F.length("text") > overlap))
+    return chunks.select(key, (F.col("i") + 1).cast("int").alias("sequence_number"), (F.col("i") * step).alias("start_index"), "text")
+
+
 def not_done(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Documents without output yet."""
     return todo.join(done.select(*keys), list(keys), "left_anti")

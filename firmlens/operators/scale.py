@@ -4,7 +4,6 @@
 * ``settle``         keep a small result as a local table, a large one as a staged table
 * ``with_each``      pair rows with the values of a small dimension, without a join
 * ``running_before`` ordered running sum inside groups of any size
-* ``bounded_lists``  group members as lists whose length has a limit, losing nothing
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from firmlens.session import cut_lineage
 
 BROADCAST_ROWS = 100_000  # rows of a few scalar columns: some MB at most
 GROUP_ROWS = 1_000_000  # rows one task may sort for one group
-LIST_ITEMS = 10_000  # members per emitted list
+EACH_VALUES = 50_000  # dimension rows in one array literal
 
 
 def collect_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -71,17 +70,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def with_each(df: DataFrame, values: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pair every row of ``df`` with every row of the small dimension ``values``.
+def with_each(df: DataFrame, values: DataFrame, block: int = EACH_VALUES) -> DataFrame:
+    """Pair every row of ``df`` with every row of the dimension ``values``.
 
-    The dimension travels as one array literal from a scalar subquery and is
-    unfolded inside the task, so neither side is shuffled. A dimension above
-    ``max_rows`` is refused: the product would not be a dimension any more.
+    The dimension travels as array literals of about ``block`` rows from scalar
+    subqueries and is unfolded inside the task, so neither side is shuffled. A
+    larger dimension is staged and takes more blocks; the rows are the same.
     """
-    if values.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"the dimension has more than {max_rows} rows")
-    packed = values.agg(F.collect_list(F.struct(*values.columns)).alias("packed")).scalar()
-    return df.select("*", packed.alias("__each")).select(*df.columns, F.inline("__each"))
+    local = collect_bounded(values, block)
+    values = cut_lineage(values) if local is None else local
+    blocks = 1 if local is not None else -(-values.count() // block)
+    own = F.pmod(F.xxhash64(*values.columns), F.lit(blocks))
+
+    def paired(b: int) -> DataFrame:
+        packed = values.where(own == b).agg(F.collect_list(F.struct(*values.columns)).alias("packed")).scalar()
+        return df.select("*", packed.alias("__each")).select(*df.columns, F.inline("__each"))
+
+    return reduce(DataFrame.unionByName, [paired(b) for b in range(blocks)])
 
 
 def running_before(
@@ -115,21 +120,3 @@ def running_before(
         .withColumn(out, F.coalesce(F.sum(weight).over(within), F.lit(0)) + F.col("__offset"))
         .drop("__slice", "__offset")
     )
-
-
-def bounded_lists(
-    df: DataFrame, keys: Sequence[str], item: str, out: str, max_items: int = LIST_ITEMS
-) -> DataFrame:
-    """Distinct, sorted members per group in lists of about ``max_items`` at most.
-
-    A group below the limit is one list (part 0 of 1). A larger one is dealt to
-    ``n_parts`` lists by hash, so that no list grows with the data and no member is lost.
-    """
-    members = df.select(*keys, item).distinct()
-    sizes = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_items)).cast("int").alias("n_parts"))
-    return (
-        join_on(members, sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64(item), F.col("n_parts")).cast("int"))
-        .groupBy(*keys, "part", "n_parts")
-        .agg(F.array_sort(F.collect_list(item)).alias(out))
-    )

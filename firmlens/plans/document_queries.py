@@ -16,15 +16,17 @@ PAGE = 1500  # characters per stand-in page
 
 def file_names(spark, d):
     kind = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("_"), F.when(F.col("o_orderstatus") == "F", "AR").otherwise("SR")))
-    good = F.concat(F.concat_ws("_", F.lit("firm"), F.col("o_custkey"), F.year("o_orderdate")), kind, F.lit(".pdf"))
+    mark = F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise("_")
+    ext = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(".pdf")
+    good = F.concat(F.lit("firm_"), F.col("o_custkey"), mark, F.year("o_orderdate"), kind, ext)
     return S.read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "readme.txt").otherwise(good).alias("file_name"))
 
 
-NAME_SQL = """names AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'readme.txt' ELSE 'firm_' || o_custkey || '_' || year(o_orderdate) ||
-  CASE o_orderstatus WHEN 'P' THEN '' WHEN 'F' THEN '_AR' ELSE '_SR' END || '.pdf' END AS file_name FROM orders),
-  keyed AS (SELECT *, nullif(regexp_extract(file_name, '^(.*)_(\\d{4})(?:_([A-Za-z]+))?\\.\\w+$', 1), '') AS company_id,
-    CAST(nullif(regexp_extract(file_name, '^(.*)_(\\d{4})(?:_([A-Za-z]+))?\\.\\w+$', 2), '') AS INT) AS year,
-    nullif(regexp_extract(file_name, '^(.*)_(\\d{4})(?:_([A-Za-z]+))?\\.\\w+$', 3), '') AS report_type FROM names)"""
+NAME_SQL = """names AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'readme.txt' ELSE 'firm_' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '_' END || year(o_orderdate) ||
+  CASE o_orderstatus WHEN 'P' THEN '' WHEN 'F' THEN '_AR' ELSE '_SR' END || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '.pdf' END END AS file_name FROM orders),
+  keyed AS (SELECT *, nullif(regexp_extract(file_name, '^(.*)[_-](\\d{4})(?:_([A-Za-z]+))?(?:\\.\\w+)?$', 1), '') AS company_id,
+    CAST(nullif(regexp_extract(file_name, '^(.*)[_-](\\d{4})(?:_([A-Za-z]+))?(?:\\.\\w+)?$', 2), '') AS INT) AS year,
+    nullif(regexp_extract(file_name, '^(.*)[_-](\\d{4})(?:_([A-Za-z]+))?(?:\\.\\w+)?$', 3), '') AS report_type FROM names)"""
 
 
 @query("a14_file_name_keys", f"WITH {NAME_SQL} SELECT * FROM keyed")
@@ -50,11 +52,11 @@ def _(spark, d):
 
 @query(
     "b01_files_by_company_year",
-    f"WITH {NAME_SQL} SELECT company_id, year, array_to_string(list_sort(list(DISTINCT file_name)), ',') AS files FROM keyed WHERE company_id IS NOT NULL GROUP BY ALL",
+    f"WITH {NAME_SQL} SELECT DISTINCT company_id, year, file_name FROM keyed WHERE company_id IS NOT NULL",
 )
 def _(spark, d):
     files = file_names(spark, d).withColumns(X.name_key(F.col("file_name"))).where(F.col("company_id").isNotNull())
-    return D.files_by_key(files).select("company_id", "year", F.array_join("files", ",").alias("files"))
+    return D.files_by_key(files)
 
 
 # documents as files of a company-year (source, language), pages as slices of the text
@@ -78,12 +80,12 @@ def page_rows(spark, d):
 
 @query(
     "b02_assembled_documents",
-    f"""WITH {PAGES_SQL}, a AS (SELECT doc_key, string_agg(text || ' ' || CASE WHEN step > length(text) + 1 THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY file_no, page_no) AS text, count(*) AS n_pages FROM steps GROUP BY ALL)
-  SELECT doc_key, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest, CAST(n_pages AS INT) AS n_pages FROM a""",
+    f"""WITH {PAGES_SQL}, a AS (SELECT doc_key, file_no, min(page_start) AS file_start, string_agg(text || ' ' || CASE WHEN step > length(text) + 1 THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY page_no) AS text, count(*) AS n_pages FROM ledger GROUP BY ALL)
+  SELECT doc_key, file_no, file_start, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest, CAST(n_pages AS INT) AS n_pages FROM a""",
 )
 def _(spark, d):
     docs = D.assemble(page_rows(spark, d))
-    return docs.select("doc_key", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.size("metadata").alias("n_pages"))
+    return docs.select("doc_key", "file_no", "file_start", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.size("metadata").alias("n_pages"))
 
 
 @query(
@@ -145,6 +147,16 @@ def _(spark, d):
     return chunks(spark, d).select("doc_id", "start_index", "text")
 
 
+@query(
+    "b07_page_chunks",
+    f"""WITH {PAGES_SQL}, whole AS (SELECT doc_key, string_agg(text || ' ' || CASE WHEN step > length(text) + 1 THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY file_no, page_no) AS text FROM steps GROUP BY ALL),
+  cut AS (SELECT doc_key, unnest(range(0, greatest(CAST(ceil((length(text) - 100) / 300.0) AS BIGINT), 1))) AS i, text FROM whole)
+  SELECT doc_key, CAST(i + 1 AS INT) AS sequence_number, i * 300 AS start_index, md5(substr(text, i * 300 + 1, 400)) AS digest FROM cut""",
+)
+def _(spark, d):
+    return D.page_chunks(page_rows(spark, d)).select("doc_key", "sequence_number", "start_index", F.md5("text").alias("digest"))
+
+
 @query("b08_recursive_chunks")
 def _(spark, d):
     return D.recursive_chunks(S.read_spread(spark, d, "documents"))

@@ -8,7 +8,6 @@ from firmlens.functions.ratings import TRIPLE_SCALE, coded, rating_codes
 from firmlens.operators import coverage as C
 from firmlens.operators import firmpanel as E
 from firmlens.operators.performance import constant_reporters
-from firmlens.operators.scale import bounded_lists
 from firmlens.plans import standins as S
 from firmlens.plans.panel_queries import STEADY, rounded
 from firmlens.plans.registry import query
@@ -317,11 +316,10 @@ def _(spark, d):
 @query(
     "f15_constant_reporters",
     f"""WITH {S.FACTS}, c AS (SELECT indicator, firm FROM facts WHERE value_final IS NOT NULL AND year IN {tuple(STEADY)} GROUP BY ALL HAVING count(DISTINCT year) = {len(STEADY)})
-  SELECT indicator, array_to_string(list_sort(list(firm)), ',') AS firms FROM c GROUP BY ALL""",
+  SELECT indicator, firm FROM c""",
 )
 def _(spark, d):
-    lists = bounded_lists(constant_reporters(S.facts(spark, d), STEADY), ["indicator"], "firm", "firms")
-    return lists.select("indicator", F.array_join("firms", ",").alias("firms"))
+    return constant_reporters(S.facts(spark, d), STEADY).select("indicator", "firm").distinct()
 
 
 LIST_SQL = """lists AS (SELECT o_custkey || '_' || year(o_orderdate) AS company_year, '[''' || o_custkey || '_' || year(o_orderdate) || '_AR.pdf''' ||

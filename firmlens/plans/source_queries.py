@@ -125,15 +125,22 @@ def _(spark, d):
     return R.read_documents(spark, path).select("text", F.inline("metadata"))
 
 
-@query("a11_text_key_fallback", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
+@query(
+    "a11_text_key_fallback",
+    """SELECT lang, CASE lang WHEN 'es' THEN 'txt' ELSE 'json' END AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY ALL""",
+)
 def _(spark, d):
+    """One folder per language: three JSON text keys, and Spanish as single .txt files beside the German ones that have a JSON file."""
     path = staging_path(spark, "texts")
     docs = S.read(spark, d, "documents")
     for lang, key in (("en", "text"), ("fr", "full_text"), ("de", "content")):
         docs.where(F.col("lang") == lang).select(F.col("text").alias(key)).write.json(f"{path}/{lang}")
-    docs.where("lang = 'es'").select(F.col("text").alias("content")).write.json(f"{path}/es")
-    parts = [R.read_texts(spark, f"{path}/{x}").select(F.lit(x).alias("lang"), "text") for x in ("en", "fr", "de", "es")]
-    return R.union_sources(*parts).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    # a .txt file is one text; these hold several, each closed by a mark that no text has
+    docs.where("lang = 'es'").select("text").write.option("lineSep", "\u241e").text(f"{path}/es")
+    json = [R.read_texts(spark, f"{path}/{x}").select(F.lit(x).alias("lang"), F.lit("json").alias("kind"), "text") for x in ("en", "fr", "de")]
+    txt = R.read_texts(spark, f"{path}/de", f"{path}/es").where(F.lower("file_name").endswith(".txt"))
+    txt = txt.select(F.lit("es").alias("lang"), F.lit("txt").alias("kind"), F.explode(F.split("text", "\u241e")).alias("text")).where("text <> ''")
+    return R.union_sources(*json, txt).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("a12_company_json", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS sector, c_mktsegment || '|' || c_nationkey AS indices FROM customer")
@@ -151,10 +158,9 @@ def _(spark, d):
 @query(
     "a13_grouped_list_json",
     f"""WITH {S.FACTS}, c AS (SELECT indicator, firm FROM facts WHERE value_final IS NOT NULL AND year IN {tuple(STEADY)} GROUP BY ALL HAVING count(DISTINCT year) = {len(STEADY)})
-  SELECT indicator, array_to_string(list_sort(list(firm)), ',') AS firms FROM c GROUP BY ALL""",
+  SELECT indicator, firm FROM c""",
 )
 def _(spark, d):
     path = staging_path(spark, "constant")
-    W.write_grouped_list(constant_reporters(S.facts(spark, d), STEADY), path, "indicator", "firm", "firms")
-    lists = spark.read.schema("indicator int, part int, n_parts int, firms array<long>").json(path)
-    return lists.select("indicator", F.array_join(F.col("firms").cast("array<string>"), ",").alias("firms"))
+    W.write_grouped_list(constant_reporters(S.facts(spark, d), STEADY), path, "indicator", "firm", "firm")
+    return spark.read.schema("indicator int, firm long").json(path)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.operators.scale import bounded_lists
 from firmlens.schemas import DEBUG_COLUMNS
 
 
@@ -37,5 +36,9 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def write_grouped_list(df: DataFrame, path: str, key: str, item: str, out: str) -> None:
-    """{key, part, n_parts, out: [members]} as JSON lines; lists have a bounded length."""
-    bounded_lists(df, [key], item, out).write.json(path)
+    """Distinct members as JSON lines {key, out: member}, the members of a key sorted and together.
+
+    One line per member at any group size; files follow each other in order of (key, member).
+    """
+    members = df.select(F.col(key), F.col(item).alias(out)).distinct()
+    members.repartitionByRange(key, out).sortWithinPartitions(key, out).write.json(path)

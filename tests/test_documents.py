@@ -24,12 +24,20 @@ def pages(spark):
     return spark.createDataFrame(rows, "doc_key string, file_no int, page_no int, text string, source_document string")
 
 
-@pytest.mark.parametrize("part", [1_000_000, 10])
-def test_offsets_agree_with_assembled_text(spark, part):
+@pytest.mark.parametrize("size, overlap", [(400, 100), (6, 2), (10, 0)])
+def test_page_chunks_are_the_chunks_of_the_whole_text(spark, size, overlap):
+    files = D.assemble(pages(spark)).orderBy("doc_key", "file_start").collect()
+    whole = spark.createDataFrame([(k, "".join(r["text"] for r in files if r["doc_key"] == k)) for k in "kz"], "doc_key string, text string")
+    want = {tuple(r) for r in D.fixed_chunks(whole, "doc_key", size, overlap).collect()}
+    assert {tuple(r) for r in D.page_chunks(pages(spark), "doc_key", size, overlap).collect()} == want
+
+
+def test_offsets_agree_with_assembled_text(spark):
     """Offsets include the blank line after each file, so they point at the page in the text."""
     ledger = D.page_ledger(pages(spark))
-    parts = D.assemble(pages(spark), part_characters=part).orderBy("part_no").collect()
+    parts = D.assemble(pages(spark)).orderBy("doc_key", "file_no").collect()
     text = {k: "".join(r["text"] for r in parts if r["doc_key"] == k) for k in "kz"}
+    assert [r["file_start"] for r in parts] == [0, len("alpha  \n\n"), 0]
     assert text["k"] == "alpha  \n\nbeta beta gamma \n\n" and text["z"] == "solo \n\n"
     for r in ledger.join(pages(spark), ["doc_key", "file_no", "page_no"]).collect():
         assert text[r["doc_key"]][r["page_start"] : r["page_end"]] == r["text"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from firmlens.operators import quantiles, scale
 from firmlens.operators.quantiles import exact_quantiles
-from firmlens.operators.scale import bounded_lists, running_before, small_side, with_each
+from firmlens.operators.scale import running_before, small_side, with_each
 from firmlens.operators.validation import spearman
 
 
@@ -53,13 +53,6 @@ def test_running_before(spark, group_rows):
         totals[i % 3] += i % 11
 
 
-def test_bounded_lists_lose_nothing(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id"))
-    lists = bounded_lists(df.union(df), ["k"], "id", "ids", max_items=100).collect()
-    assert len(lists) == 10 and sorted(i for r in lists for i in r["ids"]) == list(range(1000))
-    assert max(len(r["ids"]) for r in lists) < 200 and all(r["ids"] == sorted(r["ids"]) for r in lists)
-
-
 def test_small_side_falls_back(spark):
     df = spark.range(50)
     assert small_side(df, max_rows=10) is df
@@ -71,8 +64,12 @@ def test_with_each_has_no_join(spark):
     assert out.count() == 12
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
-    with pytest.raises(ValueError):
-        with_each(spark.range(4).toDF("a"), spark.range(30).toDF("b"), max_rows=10)
+
+
+@pytest.mark.parametrize("block", [2, 10**9])
+def test_with_each_at_any_dimension_size(spark, block):
+    out = with_each(spark.range(4).toDF("a"), spark.range(30).toDF("b"), block=block)
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == [(a, b) for a in range(4) for b in range(30)]
 
 
 @pytest.mark.parametrize("group_rows", [1_000_000, 20])
