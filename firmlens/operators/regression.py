@@ -1,30 +1,29 @@
-"""Panel regression with fixed effects and errors clustered by firm.
+"""Panel regression with fixed effects and errors clustered by firm, from sufficient statistics.
 
-Sums of products are Spark aggregates; only k x k matrices reach the driver. One
-set of fixed effects is removed by group means. With a second set, the large one
-(firms) is removed by means and the small one enters as columns that were demeaned
-the same way, so no iteration over the data is needed unless both sets are large.
+The rows are read once and reduced to cells (firm, effect levels) with counts, sums and
+sums of products around the sample mean. Every specification works on the cells: group
+means shift them, firm means are taken out of firm totals, and a second effect enters by
+its counts per (firm, level). Only matrices whose sides are regressors or levels of the
+smaller effect reach the driver; no iteration, one method at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmlens.functions.dist import t_p_value
 from firmlens.operators.quantiles import exact_quantiles
-from firmlens.operators.scale import collect_bounded, join_on, small_side
+from firmlens.operators.scale import join_on
 from firmlens.session import cut_lineage
 
-MAX_LEVELS = 500  # levels of the small fixed effect next to a large one; beyond, means are removed in turn
-MAX_ROUNDS, TOLERANCE = 500, 1e-10
 SCHEMA = "spec string, term string, estimate double, std_error double, t double, p double, stars string, n long, r2 double, adj_r2 double"
+Model = tuple[str, Sequence[str], Sequence[str], bool]  # spec, regressors, effect, firm effect
 
 
 def decile_dummies(df: DataFrame, score: str, low: str, high: str, by: str = "year") -> DataFrame:
@@ -48,28 +47,44 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def products(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, int]:
-    """Matrix of sums of products and the number of rows, in one aggregate."""
-    k = len(names)
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(*[F.sum(_c(names[i]) * _c(names[j])).alias(f"p{i}_{j}") for i, j in cells], F.count(F.lit(1)).alias("n")).first()
-    out = np.zeros((k, k))
-    for (i, j), value in zip(cells, row):
-        out[i, j] = out[j, i] = value or 0.0
-    return out, row["n"]
+def _pairs(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
+
 
+def _cells(rows: DataFrame, names: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """Counts, sums and sums of products per key, each variable less its sample mean, and the means."""
+    means = rows.agg(*[F.avg(_c(x)).alias(f"m{i}") for i, x in enumerate(names)]).first()
+    v = [_c(x) - F.lit(float(m or 0.0)) for x, m in zip(names, means)]
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(v)]
+    products = [F.sum(v[i] * v[j]).alias(f"p{i}_{j}") for i, j in _pairs(len(names))]
+    return cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)), [float(m or 0.0) for m in means]
 
-def spreads(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Sum of squares around the mean of every column."""
-    n = F.count(F.lit(1))
-    return np.array(rows.agg(*[F.coalesce(F.var_pop(_c(x)), F.lit(0.0)) * n for x in names]).first(), dtype=float)
 
+def _firms(cells: DataFrame, k: int, cluster: str, group: Sequence[str] = (), shift: DataFrame | None = None, within: bool = False) -> DataFrame:
+    """Totals per firm after taking ``shift`` (m0.. per group) from the variables and, if asked, the firm means.
 
-def _demeaned(rows: DataFrame, names: Sequence[str], group: Sequence[str]) -> DataFrame:
-    means = rows.groupBy(*group).agg(*[F.avg(_c(n)).alias(f"__m_{i}") for i, n in enumerate(names)])
-    joined = join_on(rows, small_side(means), list(group))
-    others = [c for c in rows.columns if c not in names]
-    return joined.select(*[_c(c) for c in others], *[(_c(n) - F.col(f"__m_{i}")).alias(n) for i, n in enumerate(names)])
+    r and q keep the unshifted squares and sums, for the spread of the sample.
+    """
+    m = [F.col(f"m{i}") if shift is not None else F.lit(0.0) for i in range(k)]
+    s, p = lambda i: F.col(f"s{i}"), lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}")
+    moved = cells if shift is None else join_on(cells, shift, list(group))
+    totals = moved.groupBy(cluster).agg(
+        F.sum("n").alias("n"),
+        *[F.sum(s(i) - F.col("n") * m[i]).alias(f"s{i}") for i in range(k)],
+        *[F.sum(p(i, j) - m[i] * s(j) - m[j] * s(i) + F.col("n") * m[i] * m[j]).alias(f"p{i}_{j}") for i, j in _pairs(k)],
+        *[F.sum(p(i, i)).alias(f"r{i}") for i in range(k)],
+        *[F.sum(s(i)).alias(f"q{i}") for i in range(k)],
+    )
+    if within:
+        totals = totals.withColumns({f"p{i}_{j}": p(i, j) - s(i) * s(j) / F.col("n") for i, j in _pairs(k)}).withColumns({f"s{i}": F.lit(0.0) for i in range(k)})
+    return totals
+
+
+def _matrix(row, k: int, prefix: str = "p") -> np.ndarray:
+    out = np.zeros((k, k))
+    for i, j in _pairs(k):
+        out[i, j] = out[j, i] = row[f"{prefix}{i}_{j}"] or 0.0
+    return out
 
 
 def _usable(gram: np.ndarray, raw: np.ndarray) -> list[int]:
@@ -85,168 +100,159 @@ def _usable(gram: np.ndarray, raw: np.ndarray) -> list[int]:
     return kept
 
 
-def fit(
-    df: DataFrame,
-    y: str,
-    xs: Sequence[str],
-    spec: str,
-    effect: Sequence[str] = (),
-    firm_effect: bool = False,
-    cluster: str = "firm",
-) -> DataFrame:
-    """Least squares of ``y`` on ``xs`` within ``effect`` groups and, if asked, within firms.
-
-    Without effects there is an intercept. Rows with a null are left out, as are
-    columns without variation of their own (their estimate is null).
-    """
-    xs = list(xs)
-    names = [y, *xs]
-    keep = list(dict.fromkeys([cluster, *effect]))
-    rows = df.select(*keep, *[_c(n).cast("double").alias(n) for n in names]).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if effect and firm_effect:
-            result = _two_way(rows, y, xs, list(effect), cluster)
-        else:
-            result = _one_way(rows, y, xs, [cluster] if firm_effect else list(effect), cluster)
-        return _table(df, spec, [*result["intercept"], *xs], result)
-    finally:
-        rows.unpersist()
-
-
-def _one_way(rows: DataFrame, y: str, xs: list[str], group: list[str], cluster: str) -> dict:
-    if not group:
-        return _solve(rows.withColumn("(Intercept)", F.lit(1.0)), rows, y, xs, ["(Intercept)", *xs], cluster, 0, 0)
-    levels = rows.select(*group).distinct().count()
-    nested = group == [cluster]
-    return _solve(_demeaned(rows, [y, *xs], group), rows, y, xs, xs, cluster, 1 if nested else levels, levels)
+@dataclass
+class _Spec:
+    name: str
+    xs: list[str]
+    effect: list[str]
+    firm_effect: bool
+    means: list[float]
+    levels: int = 0
+    rank: int = 0
 
 
-def _alternating(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster: str, levels: int) -> dict:
-    """Two large effects: subtract both group means in turn until nothing changes.
+def _second_effect(cells: DataFrame, k: int, cluster: str, effect: list[str]) -> tuple[DataFrame, int, int]:
+    """Shift per level that takes out the small effect next to firm effects, with its levels and rank.
 
-    Each round is staged, so the lineage stays short and a lost executor costs one round.
+    The dummies' products are diag(n_g) - sum_f n_fg n_fh / n_f, from the counts of the cells alone.
     """
-    names = [y, *xs]
-    data = rows
-    for _ in range(MAX_ROUNDS):
-        data = cut_lineage(_demeaned(_demeaned(data, names, effect), names, [cluster]))
-        left = data.groupBy(*effect).agg(*[F.avg(_c(n)).alias(f"m{i}") for i, n in enumerate(names)])
-        if max(left.agg(*[F.max(F.abs(f"m{i}")) for i in range(len(names))]).first()) < TOLERANCE:
-            break
-    clusters = rows.select(cluster).distinct().count()
-    return _solve(data, rows, y, xs, xs, cluster, levels, levels + clusters - 1)
-
-
-def _solve(data: DataFrame, rows: DataFrame, y: str, xs: list[str], terms: list[str], cluster: str, fixed_se: int, fixed_all: int) -> dict:
-    """Coefficients and clustered errors of demeaned columns; ``fixed_*`` count the absorbed levels."""
-    grouped = terms == xs
-    gram, n = products(data, [y, *terms])
-    spread = spreads(rows, [y, *xs])
-    kept = _usable(gram[1:, 1:], spread[1:] if grouped else np.diag(gram)[1:])
+    spark = cells.sparkSession
+    own = cells.groupBy(cluster, *effect).agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+    firm = own.groupBy(cluster).agg(F.sum("n").alias("__n"), *[F.sum(f"s{i}").alias(f"__s{i}") for i in range(k)])
+    both = cut_lineage(own.join(firm, cluster))
+    share = F.col("n") / F.col("__n")
+    levels = both.groupBy(*effect).agg(F.sum("n").alias("n"), *[F.sum(F.col(f"s{i}") - share * F.col(f"__s{i}")).alias(f"d{i}") for i in range(k)]).collect()
+    place = {tuple(r[e] for e in effect): g for g, r in enumerate(levels)}
+    left = both.select(cluster, F.struct(*effect).alias("a"), share.alias("share"))
+    right = both.select(cluster, F.struct(*effect).alias("b"), F.col("n").alias("m"))
+    dummies = np.diag([float(r["n"]) for r in levels])
+    for r in left.join(right, cluster).groupBy("a", "b").agg(F.sum(F.col("share") * F.col("m")).alias("x")).toLocalIterator():
+        dummies[place[tuple(r["a"])], place[tuple(r["b"])]] -= r["x"]
+    cross = np.array([[r[f"d{i}"] for i in range(k)] for r in levels])
+    shift = np.linalg.pinv(dummies, rcond=1e-10, hermitian=True) @ cross
+    rank = int(np.linalg.matrix_rank(dummies, tol=1e-8 * max(1.0, np.abs(dummies).max()), hermitian=True))
+    schema = T.StructType([*[cells.schema[e] for e in effect], *[T.StructField(f"m{i}", T.DoubleType()) for i in range(k)]])
+    return spark.createDataFrame([(*key, *map(float, shift[g])) for key, g in place.items()], schema), len(levels), rank
+
+
+def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm") -> DataFrame:
+    """Least squares of ``y`` for several (spec, regressors, effect, firm effect), errors clustered by firm.
+
+    Effects are taken out within their groups and, if asked, within firms; without any there is an
+    intercept. Rows with a null in a model's columns are left out of it, as are columns without variation
+    of their own (their estimate is null).
+    """
+    effects = list(dict.fromkeys(c for _, _, effect, _ in models for c in effect))
+    used = dict.fromkeys([cluster, y, *[c for _, xs, _, _ in models for c in xs], *effects])
+    rows = cut_lineage(df.select(*[_c(c) for c in used]).dropna(subset=[cluster, y]))
+    tables, specs = [], []
+    by_columns: dict[tuple[str, ...], tuple] = {}
+    for name, xs, effect, firm_effect in models:
+        names, k = [y, *xs], len(xs) + 1
+        if tuple(xs) not in by_columns:
+            sample = rows.dropna(subset=list(xs)).select(cluster, *effects, *[_c(n).cast("double").alias(n) for n in names])
+            by_columns[tuple(xs)] = _cells(sample, names, [cluster, *effects])
+        cells, means = by_columns[tuple(xs)]
+        group = list(effect)
+        cells = cells.dropna(subset=group) if group else cells
+        spec = _Spec(name, list(xs), group, firm_effect, means)
+        if group and firm_effect:
+            shift, spec.levels, spec.rank = _second_effect(cells, k, cluster, group)
+            table = _firms(cells, k, cluster, group, shift, within=True)
+        elif group:
+            n = F.sum("n")
+            shift = cells.groupBy(*group).agg(*[(F.sum(f"s{i}") / n).alias(f"m{i}") for i in range(k)])
+            table = _firms(cells, k, cluster, group, shift)
+            spec.levels = shift.count()
+        else:
+            table = _firms(cells, k, cluster, within=firm_effect)
+        specs.append(spec)
+        tables.append(table.withColumn("__spec", F.lit(len(specs) - 1)))
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table, allowMissingColumns=True)
+    every = cut_lineage(every)
+    most = max(len(s.xs) for s in specs) + 1
+    wanted = [f"{c}{i}" for c in "srq" for i in range(most)] + [f"p{i}_{j}" for i, j in _pairs(most)]
+    sums = {r["__spec"]: r for r in every.groupBy("__spec").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in wanted]).collect()}
+    solved = [_coefficients(spec, sums[i]) if i in sums else None for i, spec in enumerate(specs)]
+    meat = _meat(every, solved, most)
+    parts = [_rows_of(spec, sums[i], solved[i], meat[i]) for i, spec in enumerate(specs) if solved[i] is not None]
+    return df.sparkSession.createDataFrame([r for part in parts for r in part], SCHEMA)
+
+
+def fit(df: DataFrame, y: str, xs: Sequence[str], spec: str, effect: Sequence[str] = (), firm_effect: bool = False, cluster: str = "firm") -> DataFrame:
+    """One model of ``fit_all``."""
+    return fit_all(df, y, [(spec, xs, effect, firm_effect)], cluster)
+
+
+def _coefficients(spec: _Spec, row) -> tuple[list[int], np.ndarray, np.ndarray, float, float]:
+    """Kept columns, their coefficients, the inverse of their products, residual and total sums of squares."""
+    k = len(spec.xs) + 1
+    gram = _matrix(row, k)
+    spread = np.array([row[f"r{i}"] - row[f"q{i}"] ** 2 / row["n"] for i in range(k)])
+    kept = _usable(gram[1:, 1:], spread[1:])
     inverse = np.linalg.inv(gram[1:, 1:][np.ix_(kept, kept)])
-    beta = inverse @ gram[1:, 0][kept]
-    used = [terms[i] for i in kept]
-    residual = _c(y) - sum((_c(t) * float(b) for t, b in zip(used, beta)), F.lit(0.0))
-    scores = (
-        data.withColumn("__u", residual).groupBy(cluster).agg(*[F.sum(_c(t) * F.col("__u")).alias(f"s{i}") for i, t in enumerate(used)])
-    )
-    meat, clusters = products(scores, [f"s{i}" for i in range(len(used))])
-    ssr = float(gram[0, 0] - 2 * beta @ gram[1:, 0][kept] + beta @ gram[1:, 1:][np.ix_(kept, kept)] @ beta)
-    return _result(
-        spread[0], used, beta, inverse, meat, clusters, n, len(used) + fixed_se, len(used) + fixed_all, ssr, [] if grouped else ["(Intercept)"]
-    )
-
-
-def _two_way(rows: DataFrame, y: str, xs: list[str], effect: list[str], cluster: str) -> dict:
-    """Firm effects by means, the small effect as firm-demeaned columns."""
-    distinct = rows.select(*effect).distinct()
-    levels = collect_bounded(distinct, MAX_LEVELS)
-    if levels is None:
-        return _alternating(rows, y, xs, effect, cluster, distinct.count())
-    listed = sorted(tuple(r) for r in levels.collect())
-    g = len(listed)
-    ids = F.broadcast(rows.sparkSession.createDataFrame([(*v, i) for i, v in enumerate(listed)], T.StructType([*levels.schema.fields, T.StructField("__g", T.IntegerType())])))
-    names = [y, *xs]
-    coded = join_on(rows, ids, effect)
-    # level shares per firm: at most one entry per level, whatever the size of the firm
-    shares = coded.groupBy(cluster, "__g").agg(F.count(F.lit(1)).alias("c")).groupBy(cluster).agg(
-        F.collect_list("__g").alias("__gs"), F.collect_list("c").alias("__cs")
-    )
-    flat = _demeaned(coded.select(cluster, "__g", *[_c(x) for x in names]), names, [cluster])
-    data = join_on(flat, shares, [cluster]).toDF(cluster, "__g", *[f"v{i}" for i in range(len(names))], "__gs", "__cs")
-    k = len(names)
-
-    def columns(batch: pd.DataFrame) -> np.ndarray:
-        values = batch[[f"v{i}" for i in range(k)]].to_numpy(dtype=float)
-        dummies = np.zeros((len(batch), g))
-        dummies[np.arange(len(batch)), batch["__g"].to_numpy()] = 1.0
-        for r, (gs, cs) in enumerate(zip(batch["__gs"], batch["__cs"])):
-            dummies[r, gs] -= np.asarray(cs) / np.sum(cs)
-        return np.hstack([values, dummies])
-
-    def gram_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k + g, k + g))
-        for batch in batches:
-            z = columns(batch)
-            total += z.T @ z
-        yield pd.DataFrame({"pos": np.arange(total.size), "x": total.ravel()})
-
-    cells = data.mapInPandas(gram_part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
-    gram = np.zeros((k + g) ** 2)
-    gram[cells["pos"].to_numpy()] = cells["x"].to_numpy()
-    gram = gram.reshape(k + g, k + g)
-    inner = np.linalg.pinv(gram[k:, k:], rcond=1e-10)
-    loadings = inner @ gram[k:, :k]
-    reduced = gram[:k, :k] - gram[:k, k:] @ loadings
-    spread = spreads(rows, names)
-    kept = _usable(reduced[1:, 1:], spread[1:])
-    inverse = np.linalg.inv(reduced[1:, 1:][np.ix_(kept, kept)])
-    beta = inverse @ reduced[1:, 0][kept]
-    used = [xs[i] for i in kept]
-
-    def score_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z = columns(batch)
-            clean = z[:, :k] - z[:, k:] @ loadings
-            x = clean[:, 1:][:, kept]
-            s = x * (clean[:, 0] - x @ beta)[:, None]
-            part = pd.DataFrame(s, columns=[f"s{i}" for i in range(len(used))]).assign(**{cluster: batch[cluster].to_numpy()})
-            yield part.groupby(cluster, as_index=False).sum()[[cluster, *[f"s{i}" for i in range(len(used))]]]
-
-    kind = dict(rows.dtypes)[cluster]
-    schema = ", ".join([f"{cluster} {kind}", *[f"s{i} double" for i in range(len(used))]])
-    scores = data.mapInPandas(score_part, schema).groupBy(cluster).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(used))])
-    meat, clusters = products(scores, [f"s{i}" for i in range(len(used))])
-    n = rows.count()
-    rank = int(np.linalg.matrix_rank(gram[k:, k:], tol=1e-8 * max(1.0, np.abs(gram[k:, k:]).max())))
-    ssr = float(reduced[0, 0] - 2 * beta @ reduced[1:, 0][kept] + beta @ reduced[1:, 1:][np.ix_(kept, kept)] @ beta)
-    return _result(spread[0], used, beta, inverse, meat, clusters, n, len(used) + g, len(used) + rank + clusters, ssr, [])
-
-
-def _result(total, used, beta, inverse, meat, clusters, n, k_se, k_all, ssr, intercept) -> dict:
-    total, ssr = float(total), float(ssr)
-    adjust = (n - 1) / (n - k_se) * clusters / (clusters - 1)
-    errors = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * adjust, 0.0))
-    return {
-        "used": used, "beta": beta, "errors": errors, "df": clusters - 1, "n": n, "intercept": intercept,
-        "r2": 1 - ssr / total if total else None,
-        "adj_r2": 1 - (ssr / (n - k_all)) / (total / (n - 1)) if total and n > k_all else None,
-    }
-
-
-def _table(df: DataFrame, spec: str, terms: list[str], r: dict) -> DataFrame:
-    rows = []
+    cross = gram[1:, 0][kept]
+    beta = inverse @ cross
+    return kept, beta, inverse, float(gram[0, 0] - 2 * beta @ cross + beta @ gram[1:, 1:][np.ix_(kept, kept)] @ beta), float(spread[0])
+
+
+def _meat(every: DataFrame, solved: list, most: int) -> dict[int, np.ndarray]:
+    """Products of the firms' scores of each spec; place 0 is the intercept's."""
+    full = []
+    for found in solved:
+        beta = np.zeros(most - 1)
+        if found is not None:
+            beta[found[0]] = found[1]
+        full.append(beta)
+    b = F.array(*[F.array(*[F.lit(float(x)) for x in beta]) for beta in full])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    p = lambda i, j: zero(f"p{min(i, j)}_{max(i, j)}")
+    scored = every.withColumn("__b", F.get(b, F.col("__spec")))
+    own = [F.get("__b", F.lit(j)) for j in range(most - 1)]
+    residual = lambda of: of(0) - sum((own[j] * of(j + 1) for j in range(most - 1)), F.lit(0.0))
+    scores = {"u0": residual(lambda j: zero(f"s{j}"))} | {f"u{a}": residual(lambda j, a=a: p(a, j)) for a in range(1, most)}
+    cells = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}_{j}") for i, j in _pairs(most)]
+    return {r["__spec"]: _matrix(r, most) for r in scored.withColumns(scores).groupBy("__spec").agg(*cells).collect()}
+
+
+def _rows_of(spec: _Spec, row, solved, meat: np.ndarray) -> list[tuple]:
+    kept, beta, inverse, ssr, total = solved
+    n, clusters, ss = row["n"], row["clusters"], [1 + i for i in kept]
+    if not spec.effect and not spec.firm_effect:
+        # the variables are centred, so the intercept stands alone; it is moved back to the original zero
+        bread = np.zeros((len(kept) + 1,) * 2)
+        bread[0, 0], bread[1:, 1:] = 1 / n, inverse
+        move = np.eye(len(kept) + 1)
+        move[0, 1:] = [-spec.means[1 + i] for i in kept]
+        bread, places = move @ bread, [0, *ss]
+        used, values = ["(Intercept)", *[spec.xs[i] for i in kept]], [spec.means[0] - sum(b * spec.means[1 + i] for i, b in zip(kept, beta)), *beta]
+        fixed_se = fixed_all = 0
+        terms = ["(Intercept)", *spec.xs]
+    else:
+        bread, places, used, values, terms = inverse, ss, [spec.xs[i] for i in kept], list(beta), spec.xs
+        if spec.effect:
+            fixed_se, fixed_all = spec.levels, spec.rank + clusters if spec.firm_effect else spec.levels
+        else:
+            fixed_se, fixed_all = 1, clusters
+    adjust = (n - 1) / (n - len(used) - fixed_se) * clusters / (clusters - 1)
+    variance = bread @ meat[np.ix_(places, places)] @ bread.T * adjust
+    errors = dict(zip(used, np.sqrt(np.maximum(np.diag(variance), 0.0))))
+    k_all = len(used) + fixed_all
+    r2 = 1 - ssr / total if total else None
+    adj = 1 - (ssr / (n - k_all)) / (total / (n - 1)) if total and n > k_all else None
+    values, out = dict(zip(used, values)), []
     for term in terms:
-        if term not in r["used"]:
-            rows.append((spec, term, None, None, None, None, "", r["n"], r["r2"], r["adj_r2"]))
+        if term not in values:
+            out.append((spec.name, term, None, None, None, None, "", n, r2, adj))
             continue
-        i = r["used"].index(term)
-        b, se = float(r["beta"][i]), float(r["errors"][i])
-        t = b / se if se > 0 else None
-        p = t_p_value(t, r["df"]) if t is not None else None
+        estimate, error = float(values[term]), float(errors[term])
+        t = estimate / error if error > 0 else None
+        p = t_p_value(t, clusters - 1) if t is not None else None
         mark = "" if p is None else "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else ""
-        rows.append((spec, term, b, se, t, p, mark, r["n"], r["r2"], r["adj_r2"]))
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+        out.append((spec.name, term, estimate, error, t, p, mark, n, r2, adj))
+    return out
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:
@@ -256,13 +262,6 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def fit_all(df: DataFrame, y: str, models: Sequence[tuple[str, Sequence[str], Sequence[str], bool]], cluster: str = "firm") -> DataFrame:
-    """Several models (spec, regressors, effect, firm effect) over one staged copy of the columns they use."""
-    used = dict.fromkeys([cluster, y, *[c for _, xs, effect, _ in models for c in (*xs, *effect)]])
-    rows = cut_lineage(df.select(*[_c(c) for c in used]))
-    return union_all([fit(rows, y, xs, spec, effect, firm, cluster) for spec, xs, effect, firm in models])
-
-
 def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str]) -> DataFrame:
     """Six specifications: none, controls, then year, sector, sector x year, and sector x year + firm effects."""
     full = [*main, *controls]

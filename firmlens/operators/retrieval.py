@@ -1,22 +1,21 @@
 """Retrieval inside documents: vector and keyword ranking, fusion, reranking, context.
 
-A document's chunks are ranked for every query. The queries are a small table
-that travels to the chunks, so chunks are never paired with queries by a shuffle
-join, and every task passes on at most ``k`` chunks per (document, query).
+A document's chunks are ranked for every query. Vectors are ranked in blocks: packs of
+a document's chunks meet blocks of queries, each pair is one matrix product, and at
+most ``k`` chunks per (pack, query) go on. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.operators.scale import small_side, with_each
+from firmlens.operators.scale import join_on, spread_lookup, with_each
 from firmlens.session import cut_lineage
 
 CANDIDATES = 30
@@ -24,20 +23,34 @@ KEPT = 10
 WINDOW = 1
 K1, B = 1.5, 0.75
 FUSION_OFFSET = 60
-QUERY_SLICE = 5_000  # queries sent to the chunks at a time
-QUERY_BLOCK = 256  # queries scored at once in a task
+QUERY_BLOCK, CHUNK_PACK = 256, 1_000  # queries and chunks in one matrix product, about
+DIGITS = 9  # scores equal to so many decimals tie
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def term_slots(text: Column, dimensions: int) -> Column:
+    """Slot of every lower-case term: the first eight hexadecimal digits of its MD5, modulo the dimensions."""
+    slot = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimensions
+    return F.transform(terms(F.lower(text)), slot)
+
+
+def hashed_counts(text: Column, dimensions: int) -> Column:
+    """Terms per slot, as an array of ``dimensions`` counts. The one-element ``transform`` binds the slots."""
+    entry = lambda slots: lambda s: F.struct(s.alias("k"), F.size(F.filter(slots, lambda x: x == s)).alias("v"))
+    counts = F.transform(F.array(term_slots(text, dimensions)), lambda slots: F.map_from_entries(F.transform(F.array_distinct(slots), entry(slots))))
+    dense = lambda m: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)))
+    return F.get(F.transform(counts, dense), F.lit(0))
+
+
 def hashed_vectors(df: DataFrame, text: str, dimensions: int = 256, out: str = "vector") -> DataFrame:
-    """Normalised hashed term counts: the built-in stand-in for an embedding model."""
-    tokens = df.withColumn("__t", terms(F.lower(text)))
-    counts = HashingTF(numFeatures=dimensions, inputCol="__t", outputCol="__c").transform(tokens)
-    unit = Normalizer(inputCol="__c", outputCol="__u").transform(counts)
-    return unit.withColumn(out, vector_to_array("__u")).drop("__t", "__c", "__u")
+    """Normalised hashed term counts: the built-in stand-in for an embedding model. No terms give the zero vector."""
+    counted = df.withColumn("__c", hashed_counts(F.col(text), dimensions))
+    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("__c", lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(F.lit(0.0)))
+    return counted.withColumn("__n", norm).withColumn(out, unit).drop("__c", "__n")
 
 
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray] | None = None, out: str = "vector") -> DataFrame:
@@ -57,7 +70,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
     Each task cuts its own rows to ``k`` per group before the shuffle.
     """
-    order = Window.partitionBy("doc", "query_id").orderBy(F.desc(F.round("score", 9)), "chunk")
+    order = Window.partitionBy("doc", "query_id").orderBy(F.desc(F.round("score", DIGITS)), "chunk")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -67,52 +80,35 @@ def _unit_rows(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _query_slices(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """All queries on the driver, at most about ``QUERY_SLICE`` at a time."""
-    first = queries.limit(QUERY_SLICE + 1).toPandas()
-    if len(first) <= QUERY_SLICE:
-        yield first
-        return
-    slices = -(-queries.count() // QUERY_SLICE)
-    for s in range(slices):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
-        if not part.empty:
-            yield part
-
-
-def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, pack: int = CHUNK_PACK, block: int = QUERY_BLOCK) -> DataFrame:
     """Cosine top-k chunks (doc, chunk, vector) per document for each (query_id, vector).
 
-    Scores are one matrix product per Arrow batch and query block; only the best
-    ``k`` of a batch per (document, query) leave the task.
+    The cut inside a pack goes by rounded scores like the last one, so the result does not depend on how rows
+    are packed or partitioned. A null document is a document of its own.
     """
-    spark = chunks.sparkSession
-    types = dict(chunks.dtypes), dict(queries.dtypes)
-    schema = f"doc {types[0]['doc']}, query_id {types[1]['query_id']}, chunk {types[0]['chunk']}, score double"
-    found = None
-    for part in _query_slices(queries):
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit_rows(part["vector"])))
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, wanted = shared.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                matrix = _unit_rows(batch["vector"])
-                names = batch["chunk"].to_numpy()
-                groups = list(batch.groupby("doc", sort=False).indices.items())
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    scores = matrix @ wanted[at : at + QUERY_BLOCK].T
-                    parts = []
-                    for doc, rows in groups:
-                        own = scores[rows]
-                        kth = -np.partition(-own, k - 1, axis=0)[k - 1] if len(rows) > k else np.full(own.shape[1], -np.inf)
-                        r, q = np.nonzero(own >= kth)  # ties at the k-th score stay in
-                        parts.append(pd.DataFrame({"doc": doc, "query_id": ids[at + q], "chunk": names[rows[r]], "score": own[r, q]}))
-                    yield pd.concat(parts)
-
-        scored = chunks.select("doc", "chunk", "vector").mapInPandas(score, schema)
-        found = scored if found is None else found.unionByName(scored)
+    sizes = chunks.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / pack).cast("int").alias("__packs"))
+    own = F.pmod(F.xxhash64("chunk"), F.col("__packs")).cast("int")
+    packed = join_on(chunks.select("doc", "chunk", "vector"), sizes, ["doc"]).groupBy("doc", own.alias("__pack"))
+    packed = packed.agg(F.collect_list("chunk").alias("chunks"), F.collect_list(F.col("vector").cast("array<double>")).alias("vectors"))
+    blocks = max(1, -(-queries.count() // block))
+    wanted = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("__block"))
+    wanted = wanted.agg(F.collect_list("query_id").alias("query_ids"), F.collect_list(F.col("vector").cast("array<double>")).alias("query_vectors"))
+    pairs = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(wanted, "__block")
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk": dict(chunks.dtypes)["chunk"]}
+
+    @F.pandas_udf(f"array<struct<query_id:{kinds['query_id']},chunk:{kinds['chunk']},score:double>>")
+    def best(chunks: pd.Series, vectors: pd.Series, query_ids: pd.Series, query_vectors: pd.Series) -> pd.Series:
+        out = []
+        for names, rows, ids, asked in zip(chunks, vectors, query_ids, query_vectors):
+            scores = _unit_rows(rows) @ _unit_rows(asked).T
+            names, found = np.asarray(names), []
+            for q, one in enumerate(scores.T):
+                first = np.lexsort((names, -np.round(one, DIGITS)))[:k]
+                found += [{"query_id": ids[q], "chunk": names[i], "score": one[i]} for i in first]
+            out.append(found)
+        return pd.Series(out)
+
+    found = pairs.select("doc", F.inline(best("chunks", "vectors", "query_ids", "query_vectors")))
     return top_k(found, k)
 
 
@@ -123,21 +119,21 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     from them. Tokens that no query uses are folded before the shuffle, and weights
     are placed by chunk, so the sum over query terms needs no further exchange.
     """
-    wanted = small_side(
-        queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("q"))
-    )
+    wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("q"))
+    wanted = cut_lineage(wanted)
     used = wanted.select("term").distinct().withColumn("used", F.lit(True))
     # one closing null per chunk: it carries the length and gathers the unused tokens
     tokens = chunks.select("doc", "chunk", terms(F.col("text")).alias("t")).select(
         "doc", "chunk", F.size("t").alias("length"), F.explode_outer(F.array_append("t", F.lit(None))).alias("term")
     )
-    marked = tokens.join(small_side(used), "term", "left").withColumn("term", F.when(F.col("used"), F.col("term")))
+    marked = spread_lookup(tokens, ["term"], used, F.xxhash64("doc", "chunk")).withColumn("term", F.when(F.col("used"), F.col("term")))
     counts = cut_lineage(marked.groupBy("doc", "chunk", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     corpus = counts.where(F.col("term").isNull()).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     spread = counts.where(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighted = counts.join(spread.join(corpus, "doc"), ["doc", "term"]).select("doc", "chunk", "term", weight.alias("w"))
+    weighted = spread_lookup(counts.where(F.col("term").isNotNull()), ["doc", "term"], join_on(spread, corpus, ["doc"]), F.xxhash64("chunk"))
+    weighted = weighted.select("doc", "chunk", "term", weight.alias("w"))
     return (
         weighted.repartition("doc", "chunk")
         .join(wanted, "term")
@@ -217,13 +213,14 @@ def context_text(texts: Column) -> Column:
     return F.replace(F.replace(joined, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
 
 
-def prompt_text(company: Column, year: Column, context: Column, request: Column) -> Column:
-    """Request text for the extractor."""
-    # fixed values: the wording of the request
-    return F.concat(
-        F.lit("Corporate report ("), company, F.lit(", year "), year.cast("string"), F.lit("): "), context,
-        F.lit("\n\nRequested data point: "), request, F.lit("\n\nAnswer:"),
-    )
+TEMPLATE = "Find one figure for {company} in {year}.\nFigure: {request}\nSources:\n{context}\nReply as JSON with value and unit."
+
+
+def prompt_text(company: Column, year: Column, context: Column, request: Column, template: str = TEMPLATE) -> Column:
+    """Request text for the extractor: the template with its four marks filled in, each wherever it stands."""
+    fields = {"company": company, "year": year.cast("string"), "context": context, "request": request}
+    parts = re.split(r"\{(" + "|".join(fields) + r")\}", template)
+    return F.concat(*[fields[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)])
 
 
 def prompt_size(prompt: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlens.session import cut_lineage
@@ -60,6 +60,17 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def spread_lookup(rows: DataFrame, keys: Sequence[str], table: DataFrame, salt: Column, ways: int = 64) -> DataFrame:
+    """Left join of ``rows`` to ``table`` (one row per ``keys``) in which no key is hot.
+
+    Rows are dealt ``ways`` ways by ``salt``; each way asks once for each of its keys, the answers
+    are joined within the way. Rows with a null key find nothing.
+    """
+    dealt = rows.withColumn("__way", F.pmod(salt, F.lit(ways)))
+    asked = dealt.select("__way", *keys).dropna(subset=list(keys)).distinct()
+    return dealt.join(asked.join(table, list(keys)), ["__way", *keys], "left").drop("__way")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a plain scan to all cores if it has fewer splits than cores.
 

@@ -1,8 +1,7 @@
 """Retrieval and extraction queries.
 
-The corpus joins the vectors with the texts of the same id; a vector's label is its
-document. The ten label centroids are the query vectors, the benchmark texts the
-query texts.
+All vectors and all texts are ranked; ten documents hold them by id modulo ten. The ten
+label centroids are the query vectors, the benchmark texts the query texts.
 """
 
 from __future__ import annotations
@@ -18,10 +17,12 @@ from firmlens.plans.panel_queries import rounded
 from firmlens.plans.registry import query
 
 
-def corpus(spark, d):
-    vectors = S.read(spark, d, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
-    texts = S.read(spark, d, "documents").select(F.col("doc_id").alias("chunk"), "text")
-    return vectors.join(texts, "chunk")
+def vectors(spark, d):
+    return S.read(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("doc"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
+
+
+def texts(spark, d):
+    return S.read_spread(spark, d, "documents").select((F.col("doc_id") % 10).alias("doc"), F.col("doc_id").alias("chunk"), "text")
 
 
 def centroids(spark, d):
@@ -34,10 +35,10 @@ def requests(spark, d):
     return S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-CORPUS = "corpus AS (SELECT label AS doc, vec_id AS chunk, embedding AS vector, text FROM embeddings JOIN documents ON doc_id = vec_id)"
-VECTOR_SQL = f"""{CORPUS}, cells AS (SELECT label AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
+CORPUS = "corpus AS (SELECT doc_id % 10 AS doc, doc_id AS chunk, text FROM documents)"
+VECTOR_SQL = f"""vecs AS (SELECT vec_id % 10 AS doc, vec_id AS chunk, embedding AS vector FROM embeddings), cells AS (SELECT label AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
   cent AS (SELECT query_id, list(x ORDER BY i) AS v FROM cells GROUP BY ALL),
-  vscore AS (SELECT doc, query_id, chunk, list_cosine_similarity(CAST(vector AS DOUBLE[]), v) AS score FROM corpus CROSS JOIN cent),
+  vscore AS (SELECT doc, query_id, chunk, list_cosine_similarity(CAST(vector AS DOUBLE[]), v) AS score FROM vecs CROSS JOIN cent),
   vtop AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM vscore) WHERE rank <= 30)"""
 
 
@@ -55,31 +56,42 @@ def bm25_sql(corpus, queries):
 QUERIES_SQL = "reqs AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
-@query("c01_chunk_vectors")
+HASH_SQL = "list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+
+
+@query(
+    "c01_chunk_vectors",
+    f"""WITH {CHUNK_SQL}, slots AS (SELECT doc_id, sequence_number, {HASH_SQL} AS h FROM chunks),
+  counted AS (SELECT doc_id, sequence_number, list_transform(range(64), lambda i: len(list_filter(h, lambda x: x = i))) AS c FROM slots),
+  normed AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM counted)
+  SELECT doc_id, sequence_number, array_to_string(c, ',') AS counts, round(coalesce(list_sum(list_transform(c, lambda x: x * x / n / n)), 0), 6) AS norm,
+    round(CASE WHEN n > 0 THEN c[1] / n ELSE 0 END, 6) AS first FROM normed""",
+)
 def _(spark, d):
-    out = R.embed(doc_chunks(spark, d), "text")
-    return out.select("doc_id", "sequence_number", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    out = R.hashed_vectors(doc_chunks(spark, d), "text", 64)
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    counts = F.array_join(R.hashed_counts(F.col("text"), 64).cast("array<string>"), ",")
+    return out.select("doc_id", "sequence_number", counts.alias("counts"), F.round(squares, 6).alias("norm"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
 @query("c02_vector_top_k", f"WITH {VECTOR_SQL} SELECT doc, query_id, chunk, rank, round(score, 6) AS score FROM vtop")
 def _(spark, d):
-    return rounded(R.vector_top_k(corpus(spark, d), centroids(spark, d)).select("doc", "query_id", "chunk", "rank", "score"), "score")
+    return rounded(R.vector_top_k(vectors(spark, d), centroids(spark, d)).select("doc", "query_id", "chunk", "rank", "score"), "score")
 
 
 @query("c03_keyword_top_k", f"WITH {CORPUS}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')} SELECT doc, query_id, chunk, rank, round(score, 6) AS score FROM ktop")
 def _(spark, d):
-    return rounded(R.keyword_top_k(corpus(spark, d), requests(spark, d)).select("doc", "query_id", "chunk", "rank", "score"), "score")
+    return rounded(R.keyword_top_k(texts(spark, d), requests(spark, d)).select("doc", "query_id", "chunk", "rank", "score"), "score")
 
 
-FUSED_SQL = f"""{VECTOR_SQL}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')},
+FUSED_SQL = f"""{VECTOR_SQL}, {CORPUS}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')},
   fused0 AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk, b.chunk) AS chunk, a.rank AS rank_1, b.rank AS rank_2,
     coalesce(0.5::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS score FROM vtop a FULL JOIN ktop b ON a.doc = b.doc AND a.query_id = b.query_id AND a.chunk = b.chunk),
   fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 12) DESC, chunk) AS INT) AS rank FROM fused0)"""
 
 
 def fused(spark, d):
-    c = corpus(spark, d)
-    return R.fuse_ranks(R.vector_top_k(c, centroids(spark, d)), R.keyword_top_k(c, requests(spark, d)))
+    return R.fuse_ranks(R.vector_top_k(vectors(spark, d), centroids(spark, d)), R.keyword_top_k(texts(spark, d), requests(spark, d)))
 
 
 @query("c04_rank_fusion", f"WITH {FUSED_SQL} SELECT doc, query_id, chunk, rank_1, rank_2, round(score, 8) AS score, rank FROM fused")
@@ -89,16 +101,15 @@ def _(spark, d):
 
 @query(
     "c05_rerank",
-    f"""WITH {CORPUS}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')},
-  cand AS (SELECT k.doc, k.query_id, k.chunk, c.text, r.text AS qt FROM ktop k JOIN corpus c USING (doc, chunk) JOIN reqs r USING (query_id)),
+    f"""WITH {FUSED_SQL},
+  cand AS (SELECT k.doc, k.query_id, k.chunk, c.text, r.text AS qt FROM fused k JOIN corpus c USING (doc, chunk) JOIN reqs r USING (query_id)),
   sc AS (SELECT doc, query_id, chunk, len(list_intersect(qd, td)) / len(qd) AS score FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(qt), '\\s+'), lambda x: x <> '')) AS qd,
     list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS td FROM cand))
   SELECT doc, query_id, chunk, rank, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM sc) WHERE rank <= 10""",
 )
 def _(spark, d):
-    c, q = corpus(spark, d), requests(spark, d)
-    found = R.keyword_top_k(c, q)
-    pairs = found.join(c.select("doc", "chunk", "text"), ["doc", "chunk"]).join(q.withColumnRenamed("text", "query_text"), "query_id")
+    asked = requests(spark, d).withColumnRenamed("text", "query_text")
+    pairs = fused(spark, d).drop("score").join(texts(spark, d), ["doc", "chunk"]).join(asked, "query_id")
     return rounded(R.rerank(pairs).select("doc", "query_id", "chunk", "rank", "score"), "score")
 
 
@@ -172,7 +183,7 @@ def prompts(spark, d):
     return joined.select("doc", R.prompt_text(F.col("company"), F.lit(2023), F.col("text"), F.lit("Water consumption")).alias("prompt"))
 
 
-PROMPT_SQL = f"""{CONTEXT_SQL}, prompts AS (SELECT doc, 'Corporate report (' || coalesce(c_name, '?') || ', year 2023): ' || context || chr(10) || chr(10) || 'Requested data point: Water consumption' || chr(10) || chr(10) || 'Answer:' AS prompt
+PROMPT_SQL = f"""{CONTEXT_SQL}, prompts AS (SELECT doc, 'Find one figure for ' || coalesce(c_name, '?') || ' in 2023.' || chr(10) || 'Figure: Water consumption' || chr(10) || 'Sources:' || chr(10) || context || chr(10) || 'Reply as JSON with value and unit.' AS prompt
   FROM blocks LEFT JOIN customer ON c_custkey = doc)"""
 
 

@@ -133,7 +133,7 @@ def test_quality_flags_need_every_pillar(spark):
     assert got == {1.0: (0, 1, 1), 2.0: (0, 0, 0), 3.0: (1, 0, 1), 5.0: (1, 0, 1)}
 
 
-def test_vector_top_k_equals_brute_force(spark, monkeypatch):
+def test_vector_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8))
     vectors[5] = vectors[6]  # exact copies tie
@@ -142,10 +142,9 @@ def test_vector_top_k_equals_brute_force(spark, monkeypatch):
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, vector array<double>")
     cos = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T
     want = {(d, q): sorted((i for i in range(300) if i % 3 == d), key=lambda i: (-round(cos[i, q], 9), i))[:7] for d in range(3) for q in range(11)}
-    for slice_size in (5000, 4):
-        monkeypatch.setattr(R, "QUERY_SLICE", slice_size)
+    for pack, block in ((5000, 5000), (4, 3)):
         got = {}
-        for r in R.vector_top_k(chunks, queries, 7).orderBy("rank").collect():
+        for r in R.vector_top_k(chunks, queries, 7, pack, block).orderBy("rank").collect():
             got.setdefault((r["doc"], r["query_id"]), []).append(r["chunk"])
         assert got == want
 
@@ -256,3 +255,19 @@ def test_new_documents_are_chunked_once(spark, tmp_path):
     chunk_new_documents(spark, source, target, name)
     chunk_new_documents(spark, source, target, name)
     assert sorted((r["doc_id"], r["sequence_number"]) for r in spark.read.parquet(target).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("partitions, pack, block", [(1, 1000, 256), (5, 2, 1), (50, 1, 2)])
+def test_vector_ranking_does_not_depend_on_packing(spark, partitions, pack, block):
+    """Near ties (equal to nine decimals) go by chunk, whatever meets in one matrix product."""
+    rows = [("d", c, [1.0, (5 - c) * 1e-11]) for c in range(1, 6)] + [(None, 7, [0.5, 0.5]), ("e", 8, [0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "doc string, chunk int, vector array<double>").repartition(partitions)
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(3)], "query_id int, vector array<double>")
+    got = sorted((str(r["doc"]), r["query_id"], r["rank"], r["chunk"]) for r in R.vector_top_k(chunks, queries, 2, pack, block).collect())
+    want = [(d, q, n, c) for d, found in (("None", [7]), ("d", [1, 2]), ("e", [8])) for q in range(3) for n, c in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
+def test_prompt_template(spark):
+    one = spark.range(1).select(R.prompt_text(F.lit("{year}"), F.lit(2020), F.lit("c"), F.lit("r"), "{request}: {context} / {company} / {year}").alias("p"))
+    assert one.first()["p"] == "r: c / {year} / 2020"

@@ -57,13 +57,48 @@ def test_fit_equals_dense(spark, panel, effect, firm, effects, nested):
     assert np.allclose([got["x1"]["std_error"], got["x2"]["std_error"]], errors, rtol=1e-6)
 
 
-def test_two_large_effects_by_turns(spark, panel, monkeypatch):
-    monkeypatch.setattr(regression, "MAX_LEVELS", 2)
-    monkeypatch.setattr(regression, "TOLERANCE", 1e-6)
-    got = {r["term"]: r for r in fit(spark.createDataFrame(panel), "y", ["x1", "x2"], "s", ["year"], True).collect()}
-    beta, errors = dense(panel, ["x1", "x2"], [["year"], ["firm"]], [["firm"]])
-    assert np.allclose([got["x1"]["estimate"], got["x2"]["estimate"]], beta, atol=1e-5)
-    assert np.allclose([got["x1"]["std_error"], got["x2"]["std_error"]], errors, rtol=1e-3)
+def test_adjusted_r2_counts_the_rank_of_overlapping_effects(spark, panel):
+    """Sector is constant within firms, so firm effects take one level of every sector."""
+    got = fit(spark.createDataFrame(panel), "y", ["x1", "x2"], "s", ["sector", "year"], True).first()
+    dummies = np.hstack([pd.get_dummies(panel[e].astype(str).agg("_".join, axis=1)).to_numpy(float) for e in (["sector", "year"], ["firm"])])
+    x = np.hstack([panel[["x1", "x2"]].to_numpy(), dummies])
+    y = panel["y"].to_numpy()
+    ssr = ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+    n, total = len(y), ((y - y.mean()) ** 2).sum()
+    assert abs(got["r2"] - (1 - ssr / total)) < 1e-9
+    assert abs(got["adj_r2"] - (1 - ssr / (n - np.linalg.matrix_rank(x)) / (total / (n - 1)))) < 1e-9
+
+
+def test_large_means_keep_their_digits(spark, panel):
+    far = panel.assign(y=panel["y"] + 1e8, x1=panel["x1"] + 1e8)
+    got = {r["term"]: r for r in fit(spark.createDataFrame(far), "y", ["x1", "x2"], "s").collect()}
+    want, errors = dense(panel, ["x1", "x2"], [], [])
+    assert np.allclose([got["x1"]["estimate"], got["x2"]["estimate"]], want, atol=1e-6)
+    assert np.allclose([got["x1"]["std_error"], got["x2"]["std_error"]], errors, rtol=1e-5)
+
+
+def test_intercept_error_equals_dense(spark, panel):
+    got = {r["term"]: r for r in fit(spark.createDataFrame(panel), "y", ["x1", "x2"], "s").collect()}["(Intercept)"]
+    x = np.column_stack([np.ones(len(panel)), panel["x1"], panel["x2"]])
+    y = panel["y"].to_numpy()
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ y
+    scores = pd.DataFrame(x * (y - x @ beta)[:, None]).groupby(panel["firm"].to_numpy()).sum().to_numpy()
+    n, c = len(y), len(scores)
+    error = np.sqrt((inverse @ scores.T @ scores @ inverse)[0, 0] * (n - 1) / (n - 3) * c / (c - 1))
+    assert abs(got["estimate"] - beta[0]) < 1e-9 and abs(got["std_error"] - error) < 1e-9
+
+
+def test_models_with_different_samples(spark, panel):
+    holes = panel.assign(x2=panel["x2"].where(panel.index % 5 > 0), sector=panel["sector"].where(panel.index % 7 > 0))
+    df = spark.createDataFrame(holes.replace({np.nan: None}))
+    models = [("a", ["x1"], [], False), ("b", ["x1", "x2"], ["sector"], False), ("c", ["x1", "x2"], ["year"], True)]
+    together = {(r["spec"], r["term"]): tuple(r) for r in regression.fit_all(df, "y", models).collect()}
+    for spec, xs, effect, firm in models:
+        for r in fit(df, "y", xs, spec, effect, firm).collect():
+            assert np.allclose([x for x in r if isinstance(x, float)], [x for x in together[(spec, r["term"])] if isinstance(x, float)])
+            assert r["n"] == together[(spec, r["term"])][7]
+    assert together[("b", "x1")][7] == len(holes.dropna())
 
 
 def test_column_without_own_variation_is_dropped(spark, panel):
