@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.operators.scale import GROUP_ROWS, join_on, running_before, settle, small_side
+from firmlens.session import cut_lineage
 
 BRACKET = 0.005  # half width of a bracket in rank share
 SKETCH_ACCURACY = 10_000  # rank error of the sketch is 1 / accuracy
@@ -30,24 +30,20 @@ def exact_quantiles(
     names: Sequence[str],
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One row per group with the requested quantiles, nulls and NaN ignored."""
+    """One row per group with the requested quantiles, nulls and NaN ignored.
+
+    The narrow rows are staged once; unless a group may be too large, the result is lazy.
+    """
     keys = list(keys)
-    rows = (
-        df.select(*keys, F.col(value).cast("double").alias("__v"))
-        .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        largest = sizes.agg(F.max("__n")).first()[0] or 0
-        if largest <= group_rows:
-            return settle(_gathered(rows, keys, probs, names))
-        hot = small_side(sizes.where(F.col("__n") > group_rows))
-        cold = join_on(rows, hot.select(*keys), keys, "left_anti")
-        parts = _gathered(cold, keys, probs, names)
-        return settle(parts.unionByName(_counted(rows, keys, hot, probs, names, group_rows)))
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")))
+    if rows.count() <= group_rows:  # then no group is larger
+        return _gathered(rows, keys, probs, names)
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    hot = sizes.where(F.col("__n") > group_rows)
+    if hot.isEmpty():
+        return _gathered(rows, keys, probs, names)
+    cold = join_on(rows, hot.select(*keys), keys, "left_anti")
+    return _gathered(cold, keys, probs, names).unionByName(_counted(rows, keys, hot, probs, names, group_rows))
 
 
 def _gathered(rows: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -78,8 +74,10 @@ def _counted(
             *[F.lit(float("inf")).alias(f"__b{i}") for i in range(len(probs))],
         )
         found = settle(_read_ranks(rows, keys, small_side(whole), probs, group_rows))
-    share = F.col("__rank") - F.floor("__rank")
-    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share
+    # the arithmetic of the built-in function, so that both ways agree to the last bit
+    rank, low, high = F.col("__rank"), F.floor("__rank"), F.ceil("__rank")
+    between = (high - rank) * F.col("__lo") + (rank - low) * F.col("__hi")
+    value = F.when((low == high) | (F.col("__lo") == F.col("__hi")), F.col("__lo")).otherwise(between)
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__i") == i, value)).alias(n) for i, n in enumerate(names)]
     )
@@ -94,7 +92,7 @@ def _read_ranks(
     for i in range(len(probs)):
         inside = inside | v.between(F.col(f"__a{i}"), F.col(f"__b{i}"))
     bounds = [f"__{side}{i}" for i in range(len(probs)) for side in "ab"]
-    counted = (
+    counted = cut_lineage(
         join_on(rows, brackets, keys)
         .withColumn("__kept", F.when(inside, v))
         .groupBy(*keys, "__kept", "__n", *bounds)
@@ -102,7 +100,6 @@ def _read_ranks(
             F.count(F.lit(1)).alias("__c"),
             *[F.sum((v < F.col(f"__a{i}")).cast("long")).alias(f"__below{i}") for i in range(len(probs))],
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     below = settle(
         counted.groupBy(*keys).agg(*[F.sum(f"__below{i}").alias(f"__below{i}") for i in range(len(probs))])
@@ -134,6 +131,4 @@ def _read_ranks(
         F.max(F.when(holds(F.floor("__rank")), F.col("__kept"))).alias("__lo"),
         F.max(F.when(holds(F.ceil("__rank")), F.col("__kept"))).alias("__hi"),
     )
-    result = settle(out)
-    counted.unpersist()
-    return result
+    return settle(out)

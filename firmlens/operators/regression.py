@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -145,7 +146,7 @@ def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm
     effects = list(dict.fromkeys(c for _, _, effect, _ in models for c in effect))
     used = dict.fromkeys([cluster, y, *[c for _, xs, _, _ in models for c in xs], *effects])
     rows = cut_lineage(df.select(*[_c(c) for c in used]).dropna(subset=[cluster, y]))
-    tables, specs = [], []
+    tables, specs, counts = [], [], []
     by_columns: dict[tuple[str, ...], tuple] = {}
     for name, xs, effect, firm_effect in models:
         names, k = [y, *xs], len(xs) + 1
@@ -163,15 +164,14 @@ def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm
             n = F.sum("n")
             shift = cells.groupBy(*group).agg(*[(F.sum(f"s{i}") / n).alias(f"m{i}") for i in range(k)])
             table = _firms(cells, k, cluster, group, shift)
-            spec.levels = shift.count()
+            counts.append(shift.select(F.lit(len(specs)).alias("spec")))
         else:
             table = _firms(cells, k, cluster, within=firm_effect)
         specs.append(spec)
         tables.append(table.withColumn("__spec", F.lit(len(specs) - 1)))
-    every = tables[0]
-    for table in tables[1:]:
-        every = every.unionByName(table, allowMissingColumns=True)
-    every = cut_lineage(every)
+    for r in union_all(counts).groupBy("spec").count().collect() if counts else ():
+        specs[r["spec"]].levels = r["count"]
+    every = cut_lineage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables))
     most = max(len(s.xs) for s in specs) + 1
     wanted = [f"{c}{i}" for c in "srq" for i in range(most)] + [f"p{i}_{j}" for i, j in _pairs(most)]
     sums = {r["__spec"]: r for r in every.groupBy("__spec").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in wanted]).collect()}
@@ -262,27 +262,27 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str]) -> DataFrame:
+def panel_specs(main: Sequence[str], controls: Sequence[str], prefix: str = "") -> list[Model]:
     """Six specifications: none, controls, then year, sector, sector x year, and sector x year + firm effects."""
     full = [*main, *controls]
-    return fit_all(
-        panel,
-        "transp",
-        [
-            ("0 none", main, [], False),
-            ("1 controls", full, [], False),
-            ("2 year", full, ["year"], False),
-            ("3 sector", full, ["sector"], False),
-            ("4 sector-year", full, ["sector", "year"], False),
-            ("5 sector-year and firm", full, ["sector", "year"], True),
-        ],
-    )
+    return [
+        (prefix + "0 none", main, [], False),
+        (prefix + "1 controls", full, [], False),
+        (prefix + "2 year", full, ["year"], False),
+        (prefix + "3 sector", full, ["sector"], False),
+        (prefix + "4 sector-year", full, ["sector", "year"], False),
+        (prefix + "5 sector-year and firm", full, ["sector", "year"], True),
+    ]
+
+
+def panel_models(panel: DataFrame, main: Sequence[str], controls: Sequence[str]) -> DataFrame:
+    return fit_all(panel, "transp", panel_specs(main, controls))
 
 
-def trend_models(panel: DataFrame, controls: Sequence[str]) -> DataFrame:
+def trend_models(panel: DataFrame, controls: Sequence[str], low: str = "q10", high: str = "q90") -> DataFrame:
     """Diverging trends of the bottom and top tenth: plain, controls, sector effects, firm effects."""
-    base = ["q10", "q90", "t", "q10:t", "q90:t"]
-    data = with_interactions(panel, [("q10", "t"), ("q90", "t")])
+    base = [low, high, "t", f"{low}:t", f"{high}:t"]
+    data = with_interactions(panel, [(low, "t"), (high, "t")])
     full = [*base, *controls]
     return fit_all(
         data,

@@ -110,7 +110,7 @@ def fit_band(fit: DataFrame, low: float = 0.0, high: float = 0.75, points: int =
     )
     line = F.col("intercept") + F.col("slope") * F.col("x")
     half = critical * F.sqrt(F.col("sigma2") * (1 / F.col("n") + (F.col("x") - F.col("mean_x")) ** 2 / F.col("sxx")))
-    return grid.select("x", line.alias("fit"), (line - half).alias("lower"), (line + half).alias("upper"))
+    return grid.select("x", line.alias("fit"), (half / critical).alias("std_error"), (line - half).alias("lower"), (line + half).alias("upper"))
 
 
 def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, out: str, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -151,7 +151,10 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, group_rows:
 def icc(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
     """Intraclass correlations of complete rows: one-way, two-way random, two-way mixed; single and mean."""
     k = len(raters)
-    rows = ratings.dropna(subset=list(raters)).select(*[F.col(r).cast("double").alias(r) for r in raters])
+    rows = cut_lineage(ratings.dropna(subset=list(raters)).select(*[F.col(r).cast("double").alias(r) for r in raters]))
+    # sums of squares around the mean of all ratings keep their digits when the mean is large
+    centre = rows.agg((sum((F.avg(r) for r in raters), F.lit(0.0)) / k).alias("m")).first()["m"] or 0.0
+    rows = rows.select(*[(F.col(r) - F.lit(centre)).alias(r) for r in raters])
     total = sum((F.col(r) for r in raters), F.lit(0.0))
     squares = sum((F.col(r) * F.col(r) for r in raters), F.lit(0.0))
     s = rows.agg(

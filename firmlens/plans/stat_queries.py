@@ -117,10 +117,17 @@ def _(spark, d):
     return rounded(rounded(out, "slope", "r2", "adj_r2"), "intercept", digits=3)
 
 
-@query("i06_fit_band")
+@query(
+    "i06_fit_band",
+    f"""WITH {SCALED.replace("mm AS (SELECT indicator,", "mm AS (SELECT indicator, year,").replace("pool AS (SELECT indicator, value_final", "pool AS (SELECT indicator, year, value_final").replace("UNION ALL SELECT indicator, ref_value", "UNION ALL SELECT indicator, year, ref_value").replace("cut AS (SELECT indicator, quantile_cont", "cut AS (SELECT indicator, year, quantile_cont").replace("USING (indicator)", "USING (indicator, year)").replace("sc AS (SELECT indicator,", "sc AS (SELECT indicator, year,").replace("means AS (SELECT indicator,", "means AS (SELECT indicator, year,")},
+  src AS (SELECT ref_value AS y, value_final AS x FROM means WHERE n > 3),
+  s AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_r2(y, x) AS r2, avg(x) AS mx FROM src)
+  SELECT round(x, 6) AS x, round(a + b * x, 6) AS fit, round(sqrt(syy * (1 - r2) / (n - 2) * (1 / n + (x - mx) * (x - mx) / sxx)), 6) AS std_error
+  FROM s, (SELECT i * CAST(0.75 AS DOUBLE) / 199 AS x FROM range(200) t(i))""",
+)
 def _(spark, d):
-    means = V.scaled_means(merged(spark, d), ["indicator", "year"], "value_final", "ref_value")
-    return V.fit_band(V.simple_fit(means, "ref_value", "value_final"))
+    means = V.scaled_means(merged(spark, d), ["indicator", "year"], "value_final", "ref_value", more_than=3)
+    return rounded(V.fit_band(V.simple_fit(means, "ref_value", "value_final")).select("x", "fit", "std_error"), "x", "fit", "std_error")
 
 
 @query(
@@ -128,25 +135,36 @@ def _(spark, d):
     """WITH k AS (SELECT l_linenumber AS indicator, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2 AS a,
     rank() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linenumber, l_extendedprice) - 1) / 2 AS b FROM lineitem),
   c AS (SELECT indicator, count(*) AS n, corr(a, b) AS cor FROM k GROUP BY ALL)
-  SELECT indicator, n, round(cor, 6) AS cor, round(cor * sqrt((n - 2) / (1 - cor * cor)), 3) AS t FROM c""",
+  SELECT indicator, n, round(cor, 6) AS cor, round(cor * sqrt((n - 2) / (1 - cor * cor)), 3) AS t, round((CAST(n AS DOUBLE) * n * n - n) * (1 - cor) / 6 / n / n, 3) AS scaled_s,
+    printf('%.2f', cor) AS shown FROM c""",
 )
 def _(spark, d):
     pairs = S.read(spark, d, "lineitem").select(F.col("l_linenumber").alias("indicator"), "l_quantity", "l_extendedprice")
-    out = V.spearman(pairs, ["indicator"], "l_quantity", "l_extendedprice").select("indicator", "n", "cor", "t")
-    return rounded(rounded(out, "cor"), "t", digits=3)
+    out = V.spearman(pairs, ["indicator"], "l_quantity", "l_extendedprice")
+    out = out.select("indicator", "n", "cor", "t", (F.col("s_statistic") / F.col("n") / F.col("n")).alias("scaled_s"), F.regexp_extract("label", r"^[-0-9.]+", 0).alias("shown"))
+    return rounded(rounded(out, "cor"), "t", "scaled_s", digits=3)
+
+
+def agreement_sql(pair, first, second):
+    return f"""{pair}x AS (SELECT {first} AS a, {second} AS b, {first} + {second} AS s FROM merged WHERE {first} IS NOT NULL AND {second} IS NOT NULL),
+  {pair}t AS (SELECT count(*) AS n, sum(a*a + b*b) AS sq, sum(s*s) AS rsq, sum(s) AS al, sum(a) AS ca, sum(b) AS cb FROM {pair}x),
+  {pair}m AS (SELECT n, al*al/(2*n) AS mp, rsq/2 - al*al/(2*n) AS sr, (ca*ca + cb*cb)/n - al*al/(2*n) AS sc, sq - al*al/(2*n) AS sa FROM {pair}t),
+  {pair}q AS (SELECT n, sr/(n-1) AS b, (sa-sr)/n AS w, sc AS j, (sa-sr-sc)/(n-1) AS e FROM {pair}m),
+  {pair}o AS (SELECT '{pair}' AS pair, n, type, round(icc, 5) AS icc FROM (SELECT n, 'ICC1' AS type, (b-w)/(b+w) AS icc FROM {pair}q UNION ALL SELECT n, 'ICC2', (b-e)/(b+e+2*(j-e)/n) FROM {pair}q UNION ALL SELECT n, 'ICC3', (b-e)/(b+e) FROM {pair}q
+    UNION ALL SELECT n, 'ICC1k', (b-w)/b FROM {pair}q UNION ALL SELECT n, 'ICC2k', (b-e)/(b+(j-e)/n) FROM {pair}q UNION ALL SELECT n, 'ICC3k', (b-e)/b FROM {pair}q))"""
+
+
+RATERS = {"people": ("manual_value", "second_value"), "machine": ("value_final", "manual_value")}
 
 
 @query(
     "i08_rater_agreement",
-    f"""WITH {TRUTH}, x AS (SELECT manual_value AS a, second_value AS b, manual_value + second_value AS s FROM merged WHERE manual_value IS NOT NULL AND second_value IS NOT NULL),
-  t AS (SELECT count(*) AS n, sum(a*a + b*b) AS sq, sum(s*s) AS rsq, sum(s) AS al, sum(a) AS ca, sum(b) AS cb FROM x),
-  m AS (SELECT n, al*al/(2*n) AS mp, rsq/2 - al*al/(2*n) AS sr, (ca*ca + cb*cb)/n - al*al/(2*n) AS sc, sq - al*al/(2*n) AS sa FROM t),
-  q AS (SELECT n, sr/(n-1) AS b, (sa-sr)/n AS w, sc AS j, (sa-sr-sc)/(n-1) AS e FROM m)
-  SELECT n, type, round(icc, 5) AS icc FROM (SELECT n, 'ICC1' AS type, (b-w)/(b+w) AS icc FROM q UNION ALL SELECT n, 'ICC2', (b-e)/(b+e+2*(j-e)/n) FROM q UNION ALL SELECT n, 'ICC3', (b-e)/(b+e) FROM q
-    UNION ALL SELECT n, 'ICC1k', (b-w)/b FROM q UNION ALL SELECT n, 'ICC2k', (b-e)/(b+(j-e)/n) FROM q UNION ALL SELECT n, 'ICC3k', (b-e)/b FROM q)""",
+    f"WITH {TRUTH}, {', '.join(agreement_sql(p, *c) for p, c in RATERS.items())} SELECT * FROM peopleo UNION ALL SELECT * FROM machineo",
 )
 def _(spark, d):
-    return rounded(V.icc(merged(spark, d), ["manual_value", "second_value"]), "icc", digits=5)
+    rows = merged(spark, d)
+    both = [V.icc(rows, columns).withColumn("pair", F.lit(pair)) for pair, columns in RATERS.items()]
+    return rounded(both[0].unionByName(both[1]), "icc", digits=5)
 
 
 @query(
@@ -160,8 +178,11 @@ def _(spark, d):
     return rounded(rounded(out, "diff_pp", "t", digits=4), "df", digits=3)
 
 
-def panel(spark, d):
-    """Firm-year panel with sector, log size, rating and their yearly decile dummies."""
+MAIN = {"size": ("q10", "q90"), "score": ("low_score", "high_score"), "n_orders": ("low_orders", "high_orders")}
+
+
+def panel(spark, d, mains=("size",)):
+    """Firm-year panel with sector, log size, rating, orders, and yearly decile dummies of the main scores."""
     base = T.firm_year_transparency(T.firm_cells(S.enriched(spark, d)))
     score = coded(F.col("rating"), rating_codes(TRIPLE_SCALE))
     wide = (
@@ -169,13 +190,39 @@ def panel(spark, d):
         .join(S.firms(spark, d).select("firm", "sector"), "firm", "left")
         .select("firm", "year", "sector", "transp", F.ln("mkcap").alias("size"), score.cast("double").alias("score"), F.col("n_orders").cast("double").alias("n_orders"))
     )
-    return G.decile_dummies(cut_lineage(wide), "size", "q10", "q90")
+    out = cut_lineage(wide)
+    for main in mains:
+        out = G.decile_dummies(out, main, *MAIN[main])
+    return out
 
 
-PANEL = f"""{S.ENRICHED}, {S.FIRMS}, {S.FIRM_YEARS}, base AS (SELECT t.firm, t.year, sector, transp, ln(mkcap) AS size, {S.cases('y.rating', S.HIGH_BEST)} AS score, n_orders
+PANEL = f"""{S.ENRICHED}, {S.FIRMS}, {S.FIRM_YEARS}, base AS (SELECT t.firm, t.year, sector, transp, ln(mkcap) AS size, CAST({S.cases('y.rating', S.HIGH_BEST)} AS DOUBLE) AS score, CAST(n_orders AS DOUBLE) AS n_orders
     FROM transp t LEFT JOIN firm_years y USING (firm, year) LEFT JOIN firms USING (firm)),
-  q AS (SELECT year, quantile_cont(size, 0.1) AS lo, quantile_cont(size, 0.9) AS hi FROM base GROUP BY ALL),
-  panel AS (SELECT base.*, CAST(size <= lo AS DOUBLE) AS q10, CAST(size >= hi AS DOUBLE) AS q90 FROM base LEFT JOIN q USING (year))"""
+  q AS (SELECT year, {", ".join(f"quantile_cont({m}, 0.1) AS {lo}_, quantile_cont({m}, 0.9) AS {hi}_" for m, (lo, hi) in MAIN.items())} FROM base GROUP BY ALL),
+  panel AS (SELECT base.*, {", ".join(f"CAST({m} <= {lo}_ AS DOUBLE) AS {lo}, CAST({m} >= {hi}_ AS DOUBLE) AS {hi}" for m, (lo, hi) in MAIN.items())} FROM base LEFT JOIN q USING (year))"""
+
+
+def least_squares_sql(tag: str, spec: str, xs: dict[str, str], group: str, source: str = "panel") -> str:
+    """Coefficients and R2 of transp on the expressions xs within groups, by successive residuals and back substitution.
+
+    Plain SQL on the rows: every step takes one regressor out of the ones after it. The spread is that of the sample.
+    """
+    k = len(xs)
+    known = " AND ".join(f"({e}) IS NOT NULL" for e in xs.values())
+    grouped = " AND ".join(f"{c} IS NOT NULL" for c in group.split(", ")) if group != "1" else "TRUE"
+    out = [f"{tag}r AS MATERIALIZED (SELECT *, {', '.join(f'({e}) AS x{i}' for i, e in enumerate(xs.values(), 1))} FROM {source} WHERE {known} AND {grouped})"]
+    out.append(f"{tag}0 AS MATERIALIZED (SELECT transp - avg(transp) OVER w AS x0, {', '.join(f'x{i} - avg(x{i}) OVER w AS x{i}' for i in range(1, k + 1))} FROM {tag}r WINDOW w AS (PARTITION BY {group}))")
+    for j in range(1, k + 1):
+        rest = [0, *range(j + 1, k + 1)]
+        out.append(f"{tag}a{j} AS MATERIALIZED (SELECT sum(x{j} * x{j}) AS d, {', '.join(f'sum(x{j} * x{i}) / sum(x{j} * x{j}) AS r{i}' for i in rest)} FROM {tag}{j - 1})")
+        out.append(f"{tag}{j} AS MATERIALIZED (SELECT {', '.join(f'x{i} - r{i} * x{j} AS x{i}' for i in rest)} FROM {tag}{j - 1}, {tag}a{j})")
+    for j in range(k, 0, -1):
+        known_b = "".join(f" - a{j}.r{i} * b{i}.b" for i in range(j + 1, k + 1))
+        later = "".join(f", {tag}b{i} b{i}" for i in range(j + 1, k + 1))
+        out.append(f"{tag}b{j} AS MATERIALIZED (SELECT a{j}.r0{known_b} AS b FROM {tag}a{j} a{j}{later})")
+    out.append(f"{tag}f AS MATERIALIZED (SELECT 1 - (SELECT sum(x0 * x0) FROM {tag}{k}) / (SELECT var_pop(transp) * count(*) FROM {tag}r) AS r2, (SELECT count(*) FROM {tag}r) AS n)")
+    rows = " UNION ALL ".join(f"SELECT '{spec}' AS spec, '{name}' AS term, n, b AS estimate, r2 FROM {tag}b{j}, {tag}f" for j, name in enumerate(xs, 1))
+    return ", ".join(out) + f", {tag}o AS ({rows})"
 
 
 @query("i11_decile_dummies", f"WITH {PANEL} SELECT firm, year, round(size, 6) AS size, q10, q90 FROM panel")
@@ -211,13 +258,37 @@ def _(spark, d):
     return rounded(out.select("spec", "term", "n", "estimate", "std_error"), "estimate", "std_error")
 
 
-@query("i10_panel_models")
+GROUPS = {"0 none": "1", "1 controls": "1", "2 year": "year", "3 sector": "sector", "4 sector-year": "sector, year", "4 firm": "firm", "1 plain": "1", "2 controls": "1"}
+
+
+def models_sql(specs, expressions=None, source="panel") -> str:
+    """The models (spec, regressors) as SQL; the part of a spec's name behind ': ' names its groups."""
+    parts, outs = [], []
+    for i, (spec, xs) in enumerate(specs):
+        parts.append(least_squares_sql(f"m{i}_", spec, {x: (expressions or {}).get(x, x) for x in xs}, GROUPS[spec.split(": ")[-1]], source))
+        outs.append(f"SELECT * FROM m{i}_o")
+    return f"WITH {PANEL}, " + ", ".join(parts) + " SELECT spec, term, n, round(estimate, 6) AS estimate, round(r2, 6) AS r2 FROM (" + " UNION ALL ".join(outs) + ")"
+
+
+def panel_specs(with_firms: bool):
+    """Three panels: size, rating and orders (for controversies) as the main score, the other two as controls."""
+    specs = [m for main, pair in MAIN.items() for m in G.panel_specs(pair, [c for c in MAIN if c != main], f"{main}: ")]
+    return [m for m in specs if m[3] == with_firms]
+
+
+@query("i10_panel_models", models_sql([(spec, xs) for spec, xs, _, _ in panel_specs(False)]))
 def _(spark, d):
-    return G.panel_models(panel(spark, d), ["q10", "q90"], ["score", "n_orders"])
+    out = G.fit_all(panel(spark, d, MAIN), "transp", panel_specs(False)).where("term <> '(Intercept)'")
+    return rounded(out.select("spec", "term", "n", "estimate", "r2"), "estimate", "r2")
+
 
+@query("i10_panel_two_effects")
+def _(spark, d):
+    return G.fit_all(panel(spark, d, MAIN), "transp", panel_specs(True))
 
-def trend_panel(spark, d):
-    return panel(spark, d).withColumn("t", (F.col("year") - 1995).cast("double"))
+
+def trend_panel(spark, d, mains=("size",)):
+    return panel(spark, d, mains).withColumn("t", (F.col("year") - 1995).cast("double"))
 
 
 @query(
@@ -232,9 +303,24 @@ def _(spark, d):
     return rounded(G.fit(data, "transp", ["q10", "q90", "t", "q10:t", "q90:t"], "1 plain").select("term", "estimate"), "estimate")
 
 
-@query("i12_trend_models")
+def trend_specs():
+    out = []
+    for main, (low, high) in MAIN.items():
+        base = [low, high, "t", f"{low}:t", f"{high}:t"]
+        full = [*base, *[c for c in MAIN if c != main]]
+        out += [(f"{main}: {spec}", xs) for spec, xs in (("1 plain", base), ("2 controls", full), ("3 sector", full), ("4 firm", full))]
+    return out
+
+
+TREND_TERMS = {"t": "CAST(year - 1995 AS DOUBLE)"} | {f"{x}:t": f"{x} * CAST(year - 1995 AS DOUBLE)" for pair in MAIN.values() for x in pair}
+
+
+@query("i12_trend_models", models_sql(trend_specs(), TREND_TERMS))
 def _(spark, d):
-    return G.trend_models(trend_panel(spark, d), ["size", "n_orders"])
+    rows = cut_lineage(trend_panel(spark, d, MAIN))
+    parts = [G.trend_models(rows, [c for c in MAIN if c != main], *pair).withColumn("spec", F.concat(F.lit(f"{main}: "), "spec")) for main, pair in MAIN.items()]
+    out = G.union_all(parts).where("term <> '(Intercept)'")
+    return rounded(out.select("spec", "term", "n", "estimate", "r2"), "estimate", "r2")
 
 
 OUT_YEARS = list(range(1995, 2002))

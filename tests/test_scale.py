@@ -43,6 +43,14 @@ def test_quantiles_stay_exact_with_a_useless_sketch(skewed, monkeypatch):
     assert np.allclose([got["a"], got["b"]], np.quantile(values, [0.37, 0.93]))
 
 
+def test_quantiles_agree_to_the_last_bit(spark):
+    """Thresholds sit on these values, so both ways must round alike."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.rand(7) * 1e6).alias("v"))
+    probs, names = [0.1, 1 / 3, 2 / 3, 0.9, 0.99], list("abcde")
+    ways = [{r["k"]: tuple(r) for r in exact_quantiles(df, ["k"], "v", probs, names, rows).collect()} for rows in (10**9, 50)]
+    assert ways[0] == ways[1]
+
+
 @pytest.mark.parametrize("group_rows", [1_000_000, 10])
 def test_running_before(spark, group_rows):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") % 11).alias("w"))
