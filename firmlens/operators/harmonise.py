@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions import units as U
-from firmlens.operators.scale import BROADCAST_ROWS, collect_bounded, join_on, local_table, small_side
+from firmlens.operators.scale import join_on, local_table
+from firmlens.session import cut_lineage
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WORD_BEFORE, WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -133,14 +134,18 @@ def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFra
     return t.drop(*[f"__n_{c}" for c in aliases.columns], "__d_alias", "__d_dim")
 
 
-def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame | None, max_units: int = BROADCAST_ROWS) -> DataFrame:
+def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame | None) -> DataFrame:
     """Unit columns for every row. Unit texts repeat, so each distinct text of
-    ``units`` is parsed once and looked up; with more than ``max_units`` texts
-    every row parses its own, still without a shuffle."""
-    texts = collect_bounded(units.toDF(text), max_units)
-    if texts is None:
-        return resolve_units(rows, text, quoted)
-    return join_on(rows, F.broadcast(resolve_units(texts, text, quoted)), [text], "left")
+    ``units`` is staged and parsed once and looked up; the planner sees the staged
+    size and broadcasts it if it is small."""
+    texts = cut_lineage(units.toDF(text))
+    return join_on(rows, resolve_units(texts, text, quoted), [text], "left")
+
+
+def rate_table(fx: DataFrame) -> DataFrame:
+    """One rate per (year, currency); a second one stops the job."""
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two rates for a year and currency"))).otherwise(F.first("rate"))
+    return fx.groupBy("year", "currency").agg(one.cast("double").alias("rate"))
 
 
 def typed_indicators(types: DataFrame) -> DataFrame:
@@ -154,14 +159,11 @@ def typed_indicators(types: DataFrame) -> DataFrame:
         "__free": kind.isin(U.UNITLESS_TYPES),
         "__needs": kind.isin(U.UNIT_TYPES),
     }
-    listed = types.select("indicator", "type_standard")
-    local = collect_bounded(listed)
-    flagged = (listed if local is None else local).withColumns({name: F.coalesce(flag, no) for name, flag in flags.items()})
-    full = flagged.join(targets, kind == F.col("__type"), "left").drop("__type")
-    return full if local is None else F.broadcast(full)
+    flagged = types.select("indicator", "type_standard").withColumns({name: F.coalesce(flag, no) for name, flag in flags.items()})
+    return flagged.join(targets, kind == F.col("__type"), "left").drop("__type")
 
 
-def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False, max_units: int = BROADCAST_ROWS) -> DataFrame:
+def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False) -> DataFrame:
     """Standard value and unit per row; ``trace`` keeps the intermediate columns."""
     spark, col, no = df.sparkSession, F.col, F.lit(False)
     t = df.join(typed_indicators(types), "indicator", "left")
@@ -187,10 +189,10 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
     )
 
     # unit text -> dimension, factor and multipliers, then the rate of the year
-    quoted = None if fx is None else small_side(fx.select("currency").distinct())
+    quoted = None if fx is None else fx.select("currency").distinct()
     units = df.select("unit").union(local_table(spark, [("percent",)], "unit string")).distinct()
-    t = with_units(t, "__unit", units, quoted, max_units)
-    yearly = None if fx is None else small_side(fx.select("year", "currency", "rate"))
+    t = with_units(t, "__unit", units, quoted)
+    yearly = None if fx is None else rate_table(fx)
     for side in ("num", "den"):
         if yearly is None:
             t = t.withColumn(f"rate_{side}", F.lit(None).cast("double"))

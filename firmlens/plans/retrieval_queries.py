@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from firmlens.operators import extraction as E
 from firmlens.operators import retrieval as R
 from firmlens.operators.coverage import has_value_text
+from firmlens.operators.harmonise import harmonise
 from firmlens.plans import standins as S
 from firmlens.plans.document_queries import CHUNK_SQL, chunks as doc_chunks
 from firmlens.plans.panel_queries import rounded
 from firmlens.plans.registry import query
+from firmlens.session import cut_lineage
 
 
 def vectors(spark, d):
@@ -36,10 +38,11 @@ def requests(spark, d):
 
 
 CORPUS = "corpus AS (SELECT doc_id % 10 AS doc, doc_id AS chunk, text FROM documents)"
+VTOP_SQL = """vscore AS (SELECT doc, query_id, chunk, list_cosine_similarity(CAST(vector AS DOUBLE[]), v) AS score FROM vecs CROSS JOIN cent),
+  vtop AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM vscore) WHERE rank <= 30)"""
 VECTOR_SQL = f"""vecs AS (SELECT vec_id % 10 AS doc, vec_id AS chunk, embedding AS vector FROM embeddings), cells AS (SELECT label AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
   cent AS (SELECT query_id, list(x ORDER BY i) AS v FROM cells GROUP BY ALL),
-  vscore AS (SELECT doc, query_id, chunk, list_cosine_similarity(CAST(vector AS DOUBLE[]), v) AS score FROM vecs CROSS JOIN cent),
-  vtop AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM vscore) WHERE rank <= 30)"""
+  {VTOP_SQL}"""
 
 
 def bm25_sql(corpus, queries):
@@ -84,10 +87,14 @@ def _(spark, d):
     return rounded(R.keyword_top_k(texts(spark, d), requests(spark, d)).select("doc", "query_id", "chunk", "rank", "score"), "score")
 
 
-FUSED_SQL = f"""{VECTOR_SQL}, {CORPUS}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')},
-  fused0 AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk, b.chunk) AS chunk, a.rank AS rank_1, b.rank AS rank_2,
+FUSE_SQL = """fused0 AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk, b.chunk) AS chunk, a.rank AS rank_1, b.rank AS rank_2,
     coalesce(0.5::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0) AS score FROM vtop a FULL JOIN ktop b ON a.doc = b.doc AND a.query_id = b.query_id AND a.chunk = b.chunk),
   fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 12) DESC, chunk) AS INT) AS rank FROM fused0)"""
+FUSED_SQL = f"{VECTOR_SQL}, {CORPUS}, {QUERIES_SQL}, {bm25_sql('corpus', 'reqs')}, {FUSE_SQL}"
+RERANK_SQL = """cand AS (SELECT k.doc, k.query_id, k.chunk, c.text, r.text AS qt FROM fused k JOIN corpus c USING (doc, chunk) JOIN reqs r USING (query_id)),
+  sc AS (SELECT doc, query_id, chunk, len(list_intersect(qd, td)) / len(qd) AS score FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(qt), '\\s+'), lambda x: x <> '')) AS qd,
+    list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS td FROM cand)),
+  reranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM sc) WHERE rank <= 10)"""
 
 
 def fused(spark, d):
@@ -101,11 +108,7 @@ def _(spark, d):
 
 @query(
     "c05_rerank",
-    f"""WITH {FUSED_SQL},
-  cand AS (SELECT k.doc, k.query_id, k.chunk, c.text, r.text AS qt FROM fused k JOIN corpus c USING (doc, chunk) JOIN reqs r USING (query_id)),
-  sc AS (SELECT doc, query_id, chunk, len(list_intersect(qd, td)) / len(qd) AS score FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(qt), '\\s+'), lambda x: x <> '')) AS qd,
-    list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS td FROM cand))
-  SELECT doc, query_id, chunk, rank, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, query_id ORDER BY round(score, 9) DESC, chunk) AS INT) AS rank FROM sc) WHERE rank <= 10""",
+    f"WITH {FUSED_SQL}, {RERANK_SQL} SELECT doc, query_id, chunk, rank, round(score, 6) AS score FROM reranked",
 )
 def _(spark, d):
     asked = requests(spark, d).withColumnRenamed("text", "query_text")
@@ -268,6 +271,63 @@ def _(spark, d):
     )
 
 
+SLOTS = 64
+END_TO_END_SQL = f"""{CHUNK_SQL}, {QUERIES_SQL}, corpus AS (SELECT doc_id AS doc, sequence_number AS chunk, text, start_index FROM chunks),
+  vecs AS (SELECT doc, chunk, list_transform(range({SLOTS}), lambda i: len(list_filter(h, lambda x: x = i))) AS vector FROM (SELECT doc, chunk, {HASH_SQL} AS h FROM corpus)),
+  cent AS (SELECT query_id, CAST(list_transform(range({SLOTS}), lambda i: len(list_filter(h, lambda x: x = i))) AS DOUBLE[]) AS v FROM (SELECT query_id, {HASH_SQL} AS h FROM reqs)),
+  {VTOP_SQL}, {bm25_sql('corpus', 'reqs')}, {FUSE_SQL}, {RERANK_SQL},
+  windows AS (SELECT t.doc, t.query_id, t.rank, string_agg(c.text, ' ' ORDER BY c.chunk) AS text FROM reranked t JOIN corpus c ON c.doc = t.doc AND c.chunk BETWEEN t.chunk - 1 AND t.chunk + 1 GROUP BY ALL),
+  pages_of AS (SELECT t.doc, t.query_id, string_agg('[' || array_to_string(range(start_index // 1500 + 1, (start_index + length(text)) // 1500 + 2), ',') || ']', ';' ORDER BY rank) AS page_numbers
+    FROM reranked t JOIN corpus USING (doc, chunk) GROUP BY ALL),
+  ctx AS (SELECT doc, query_id, list(text ORDER BY rank) AS l FROM windows GROUP BY ALL),
+  texts AS (SELECT *, replace(replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: 'Chunk ' || i || ':' || chr(10) || l[i]), chr(10) || chr(10)), '{{', '{{{{'), '}}', '}}}}') AS context FROM ctx),
+  asked AS (SELECT t.*, 'Find one figure for doc' || doc || ' in 2023.' || chr(10) || 'Figure: ' || r.text || chr(10) || 'Sources:' || chr(10) || context || chr(10) || 'Reply as JSON with value and unit.' AS prompt
+    FROM texts t JOIN reqs r USING (query_id)),
+  answered AS (SELECT *, regexp_replace(regexp_replace(nullif(regexp_extract(context, '(-?\\d[\\d.,]*)\\s*([%€$£]|[^\\W\\d_][\\w²³₂/]*)', 1), ''), '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g') AS value,
+    nullif(regexp_extract(context, '(-?\\d[\\d.,]*)\\s*([%€$£]|[^\\W\\d_][\\w²³₂/]*)', 2), '') AS unit FROM asked)"""
+
+
+@query(
+    "c16_end_to_end",
+    f"""WITH {END_TO_END_SQL} SELECT CAST(doc AS VARCHAR) AS company_id, CAST(query_id AS VARCHAR) AS data_point_id, len(l) AS n_context, md5(array_to_string(l, '|')) AS context, 'file' || doc || '.pdf' AS source_document, page_numbers,
+  CAST(len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda x: x <> '')) AS INT) AS num_tokens, true AS model_output_valid, value, unit,
+  CASE WHEN regexp_matches(value, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN CAST(value AS DOUBLE) END AS value_num
+  FROM answered JOIN pages_of USING (doc, query_id)""",
+)
+def _(spark, d):
+    """Documents to harmonised figures: chunks, both rankings fused, rerank, windows, context, prompt, answer, record, number."""
+    chunks = doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "start_index", "text")
+    chunks, asked = cut_lineage(chunks), requests(spark, d)
+    ranked = R.fuse_ranks(
+        R.vector_top_k(R.hashed_vectors(chunks, "text", SLOTS), R.hashed_vectors(asked, "text", SLOTS)), R.keyword_top_k(chunks.select("doc", "chunk", "text"), asked)
+    )
+    pairs = ranked.drop("score").join(chunks, ["doc", "chunk"]).join(asked.withColumnRenamed("text", "query_text"), "query_id")
+    best = cut_lineage(R.rerank(pairs).select("doc", "query_id", "chunk", "rank", "start_index", F.length("text").alias("length")))
+    windows = R.with_neighbours(best, chunks)
+    page = lambda at: F.floor(at / 1500).cast("int") + 1
+    numbers = F.sequence(page(F.col("start_index")), page(F.col("start_index") + F.col("length")))
+    found = windows.join(best.select("doc", "query_id", F.col("chunk").alias("target"), numbers.alias("pages")), ["doc", "query_id", "target"])
+    info = F.transform("pages", lambda p: F.struct(F.concat(F.lit("file"), F.col("doc"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")))
+    context = found.groupBy("doc", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", info.alias("source_info")))).alias("context"))
+    work = context.withColumns(R.context_columns(F.col("context"))).withColumn("context", R.context_text(F.col("texts"))).join(asked, "query_id")
+    work = work.withColumn("prompt", R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), F.col("context"), F.col("text")))
+    # the built-in extractor reads the sources only; a model would read the prompt
+    answered = E.run_extractor(work, "context").withColumn("num_tokens", R.prompt_size(F.col("prompt")))
+    records = E.result_records(
+        answered.select(
+            F.col("doc").cast("string").alias("company_id"), F.lit(2023).alias("year"), F.concat(F.col("doc"), F.lit("_2023")).alias("company_year"), F.col("query_id").cast("string").alias("data_point_id"),
+            "raw_output", F.col("texts").alias("retrieved_context"), F.array("source_document").alias("source_documents"), "page_numbers", "num_tokens",
+        )
+    )
+    types = requests(spark, d).select(F.col("query_id").cast("string").alias("indicator"), F.lit("decimal").alias("type_standard"))
+    numbers = harmonise(records.withColumn("indicator", F.col("data_point_id")).withColumn("valid", F.col("model_output_valid")).withColumn("raw_value", F.col("value")).withColumn("raw_unit", F.col("unit")), types, None)
+    shown = F.transform("page_numbers", lambda p: F.concat(F.lit("["), F.array_join(p.cast("array<string>"), ","), F.lit("]")))
+    return numbers.select(
+        "company_id", "data_point_id", F.size("retrieved_context").alias("n_context"), F.md5(F.array_join("retrieved_context", "|")).alias("context"), F.get("source_documents", F.lit(0)).alias("source_document"),
+        F.array_join(shown, ";").alias("page_numbers"), "num_tokens", "model_output_valid", F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), "value_num",
+    )
+
+
 @query(
     "c17_resume",
     f"""WITH {S.ROWS}, prev AS (SELECT DISTINCT firm, year, indicator FROM rows_ WHERE l_returnflag <> 'N'), docs AS (SELECT DISTINCT firm, year FROM rows_)

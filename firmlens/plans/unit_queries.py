@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firmlens.functions import units as U
-from firmlens.operators.harmonise import fx_long, harmonise, safe_date, safe_number
+from firmlens.operators.harmonise import fx_long, harmonise, resolve_units, safe_date, safe_number
 from firmlens.operators.scale import local_table
 from firmlens.plans import standins as S
 from firmlens.plans.registry import query
@@ -224,6 +224,41 @@ def _(spark, d):
     )
 
 
+# What each unit text means, by hand: name and multiplier over and under the line, dimension and factor (rates into USD known
+# for EUR, GBP, CHF and SEK). Written from the meaning of the texts, not from the tables of the code.
+READINGS = """
+  ('€m', 'EUR', 1e6, NULL, 1, 'currency', 1), ('mio.EUR', 'EUR', 1e6, NULL, 1, 'currency', 1), ('k$', 'USD', 1e3, NULL, 1, 'currency', 1),
+  ('tonnes of CO2 equivalents', 'tCO2e', 1, NULL, 1, 'mass', 1e6), ('million tonnes CO2e', 'tCO2e', 1e6, NULL, 1, 'mass', 1e6),
+  ('MWh/EURm', 'MWh', 1, 'EUR', 1e6, 'energy/currency', 3.6e9), ('m³/USD', 'cubic_meter', 1, 'USD', 1, 'volume/currency', 1),
+  ('tCO2e/year', 'tCO2e', 1, 'year', 1, NULL, NULL), ('hundredthousand t', 'thousandt', 100, NULL, 1, NULL, NULL),
+  ('1000 CHF', '1000CHF', 1, NULL, 1, NULL, NULL), ('%', '%', 1, NULL, 1, 'ratio', 0.01), ('per cent', 'percent', 1, NULL, 1, 'ratio', 0.01),
+  ('acres', 'acres', 1, NULL, 1, NULL, NULL), ('USD', 'USD', 1, NULL, 1, 'currency', 1), ('EUR million', 'EUR', 1e6, NULL, 1, 'currency', 1),
+  ('USD thousands', 'USD', 1e3, NULL, 1, 'currency', 1), ('£bn', 'GBP', 1e9, NULL, 1, 'currency', 1), ('CHF', 'CHF', 1, NULL, 1, 'currency', 1),
+  ('JPY', 'JPY', 1, NULL, 1, NULL, NULL), ('ktCO2e', 'ktCO2e', 1, NULL, 1, 'mass', 1e9), ('kg CO2e', 'kgCO2e', 1, NULL, 1, 'mass', 1e3),
+  ('tCO₂', 'tCO2e', 1, NULL, 1, 'mass', 1e6), ('Mt CO2eq', 'MtCO2e', 1, NULL, 1, 'mass', 1e12), ('metric tons of CO2e', 'tCO2e', 1, NULL, 1, 'mass', 1e6),
+  ('kilotonnes CO2', 'ktCO2e', 1, NULL, 1, 'mass', 1e9), ('kgCO2eq', 'kgCO2eq', 1, NULL, 1, NULL, NULL), ('GWh', 'GWh', 1, NULL, 1, 'energy', 3.6e12),
+  ('kWh', 'kWh', 1, NULL, 1, 'energy', 3.6e6), ('TJ', 'TJ', 1, NULL, 1, 'energy', 1e12), ('million kWh', 'kWh', 1e6, NULL, 1, 'energy', 3.6e6),
+  ('tCO2e/USD million', 'tCO2e', 1, 'USD', 1e6, 'mass/currency', 1e6), ('cubic meters', 'cubic_meter', 1, NULL, 1, 'volume', 1),
+  ('t', 't', 1, NULL, 1, 'mass', 1e6), ('tonnes', 'tonnes', 1, NULL, 1, 'mass', 1e6), ('kg', 'kg', 1, NULL, 1, 'mass', 1e3), ('ha', 'ha', 1, NULL, 1, 'area', 1e4),
+  ('km2', 'km2', 1, NULL, 1, 'area', 1e6), ('Percent', 'Percent', 1, NULL, 1, 'ratio', 0.01), ('hours', 'hours', 1, NULL, 1, 'time', 3600),
+  ('days', 'days', 1, NULL, 1, 'time', 86400), ('years', 'years', 1, NULL, 1, 'time', 31557600), ('', '', 1, NULL, 1, NULL, NULL),
+  ('people', 'people', 1, NULL, 1, NULL, NULL), ('billions of SEK', 'SEK', 1e9, NULL, 1, 'currency', 1), ('MWh/t', 'MWh', 1, 't', 1, NULL, NULL),
+  ('/USD', '', 1, 'USD', 1, NULL, NULL), ('GJ / kEUR', 'GJ', 1, 'EUR', 1e3, 'energy/currency', 1e9)"""
+
+
+@query(
+    "d17_unit_readings",
+    f"""WITH {ANSWERS}, reading(unit, name_num, times_num, name_den, times_den, dimension, factor) AS (VALUES {READINGS})
+  SELECT unit, count(*) AS n, name_num, CAST(times_num AS DOUBLE) AS times_num, name_den, CAST(times_den AS DOUBLE) AS times_den, dimension, CAST(factor AS DOUBLE) AS factor
+  FROM answers JOIN reading USING (unit) GROUP BY ALL""",
+)
+def _(spark, d):
+    texts = answers(spark, d).where("unit IS NOT NULL").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    read = resolve_units(texts, "unit", fx_long(fx_wide(spark)).select("currency").distinct())
+    times = lambda side: (F.col(f"multiplier_{side}") * F.col(f"suffix_{side}")).alias(f"times_{side}")
+    return read.select("unit", "n", F.col("unified_num").alias("name_num"), times("num"), F.col("unified_den").alias("name_den"), times("den"), "dimension", "factor")
+
+
 @query(
     "d14_fx_wide_to_long",
     f"WITH fx(year, currency, rate) AS (VALUES {S.values(_FX_ROWS)}) SELECT fx.year, currency, CAST(rate AS DOUBLE) AS rate, count(*) AS n_orders FROM fx JOIN orders ON year(o_orderdate) = fx.year GROUP BY ALL",

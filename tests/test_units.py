@@ -66,10 +66,8 @@ def rates(spark):
     return fx_long(spark.createDataFrame(FX, "p int, e double, c double").toDF("Time Period", "EUR/USD", "CHF/USD"))
 
 
-@pytest.mark.parametrize("max_units", [100_000, 3])
-def test_cases(spark, max_units):
-    """The same result from the unit lookup and, past its limit, from parsing in the row."""
-    got = run(spark, CASES, rates(spark), max_units=max_units)
+def test_cases(spark):
+    got = run(spark, CASES, rates(spark))
     for i, case in enumerate(CASES):
         value, unit, valid = case[4:]
         r = got[i]
@@ -125,3 +123,9 @@ def test_safe_number_and_date(spark):
     got = [r[0] for r in df.select(safe_number(F.col("t"))).collect()]
     assert got == [None, None, None, None, 2.5, None, -300.0, 0.5, 5.0, None]
     assert df.select(safe_date(F.lit("0000-00-00"))).first()[0] is None
+
+
+def test_second_rate_stops_the_job(spark):
+    twice = rates(spark).union(rates(spark))
+    with pytest.raises(Exception, match="two rates"):
+        run(spark, CASES, twice)
