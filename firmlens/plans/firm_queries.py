@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmlens.functions.ratings import TRIPLE_SCALE, coded, rating_codes
+from firmlens.functions.field_names import FUNDAMENTALS, PROVIDER_FIELDS, RATINGS
+from firmlens.functions.ratings import LETTER_SCALE, TRIPLE_SCALE, coded, rating_codes
 from firmlens.operators import coverage as C
 from firmlens.operators import firmpanel as E
 from firmlens.operators.performance import constant_reporters
@@ -53,6 +54,75 @@ def _(spark, d):
     return E.mapped(S.read(spark, d, "orders"), {"o_custkey": "firm", "o_totalprice": "sales", "o_orderpriority": "rating"})
 
 
+@query(
+    "e04_fundamentals_names",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS isin, CAST(year(o_orderdate) AS INT) AS year, o_totalprice * 2 AS industry_group, o_totalprice * 3 AS
+  worldscope_ticker, o_totalprice * 4 AS worldscope_permno, o_totalprice * 5 AS sales, o_totalprice * 6 AS salesUSD, o_totalprice * 7 AS deprec,
+  o_totalprice * 8 AS deprec_amort, o_totalprice * 9 AS impairment_ppe, o_totalprice * 10 AS impairment_gw, o_totalprice * 11 AS opinc, o_totalprice *
+  12 AS netinc, o_totalprice * 13 AS netincUSD, o_totalprice * 14 AS assets_asreported, o_totalprice * 15 AS assets, o_totalprice * 16 AS ppe_gross,
+  o_totalprice * 17 AS deprec_accum, o_totalprice * 18 AS ppe_net, o_totalprice * 19 AS assetsUSD, o_totalprice * 20 AS debt, o_totalprice * 21 AS
+  risk_provisions, o_totalprice * 22 AS op_provisions, o_totalprice * 23 AS mkcapUSD, o_totalprice * 24 AS equityUSD FROM orders""",
+)
+def _(spark, d):
+    """A raw fundamentals table under the vendor's names; one column more than is mapped."""
+    raw = {"ITEM6008": F.col("o_orderkey").cast("string"), "year_": F.year("o_orderdate")}
+    raw |= {name: F.col("o_totalprice") * i for i, name in enumerate(FUNDAMENTALS) if i > 1}
+    table = S.read(spark, d, "orders").select(*[c.alias(name) for name, c in raw.items()], F.lit(1).alias("ITEM9999"))
+    return E.mapped(table, FUNDAMENTALS)
+
+
+@query(
+    "e04_provider_names",
+    """SELECT l_orderkey AS isin, max(CASE WHEN l_partkey % 35 = 0 THEN l_extendedprice END) AS ref_esg_score, max(CASE WHEN l_partkey % 35 = 1 THEN l_extendedprice END) AS
+  ref_esg_combined_score, max(CASE WHEN l_partkey % 35 = 2 THEN l_extendedprice END) AS ref_esg_controversies_score, max(CASE WHEN l_partkey % 35 = 3
+  THEN l_extendedprice END) AS ref_env_score, max(CASE WHEN l_partkey % 35 = 4 THEN l_extendedprice END) AS ref_soc_score, max(CASE WHEN l_partkey % 35
+  = 5 THEN l_extendedprice END) AS ref_gov_score, max(CASE WHEN l_partkey % 35 = 6 THEN l_extendedprice END) AS ref_res_use_score, max(CASE WHEN
+  l_partkey % 35 = 7 THEN l_extendedprice END) AS ref_emissions_score, max(CASE WHEN l_partkey % 35 = 8 THEN l_extendedprice END) AS
+  ref_innovation_score, max(CASE WHEN l_partkey % 35 = 9 THEN l_extendedprice END) AS ref_workforce_score, max(CASE WHEN l_partkey % 35 = 10 THEN
+  l_extendedprice END) AS ref_human_rights_score, max(CASE WHEN l_partkey % 35 = 11 THEN l_extendedprice END) AS ref_community_score, max(CASE WHEN
+  l_partkey % 35 = 12 THEN l_extendedprice END) AS ref_product_responsibility_score, max(CASE WHEN l_partkey % 35 = 13 THEN l_extendedprice END) AS
+  ref_management_score, max(CASE WHEN l_partkey % 35 = 14 THEN l_extendedprice END) AS ref_shareholders_score, max(CASE WHEN l_partkey % 35 = 15 THEN
+  l_extendedprice END) AS ref_csr_strategy_score, max(CASE WHEN l_partkey % 35 = 16 THEN l_extendedprice END) AS ref_scope1, max(CASE WHEN l_partkey %
+  35 = 17 THEN l_extendedprice END) AS ref_scope2, max(CASE WHEN l_partkey % 35 = 18 THEN l_extendedprice END) AS ref_scope3, max(CASE WHEN l_partkey %
+  35 = 19 THEN l_extendedprice END) AS ref_total, max(CASE WHEN l_partkey % 35 = 20 THEN l_extendedprice END) AS climate_commercial_riskopp_aware,
+  max(CASE WHEN l_partkey % 35 = 21 THEN l_extendedprice END) AS carbon_offsets, max(CASE WHEN l_partkey % 35 = 22 THEN l_extendedprice END) AS
+  emission_reduction_target, max(CASE WHEN l_partkey % 35 = 23 THEN l_extendedprice END) AS emission_reduction_target_year, max(CASE WHEN l_partkey % 35
+  = 24 THEN l_extendedprice END) AS emission_trading, max(CASE WHEN l_partkey % 35 = 25 THEN l_extendedprice END) AS csr_sust_committee, max(CASE WHEN
+  l_partkey % 35 = 26 THEN l_extendedprice END) AS csr_assurance, max(CASE WHEN l_partkey % 35 = 27 THEN l_extendedprice END) AS csr_assurance_name,
+  max(CASE WHEN l_partkey % 35 = 28 THEN l_extendedprice END) AS csr_global_scope, max(CASE WHEN l_partkey % 35 = 29 THEN l_extendedprice END) AS
+  csr_separate_report, max(CASE WHEN l_partkey % 35 = 30 THEN l_extendedprice END) AS esg_reporting_scope, max(CASE WHEN l_partkey % 35 = 31 THEN
+  l_extendedprice END) AS global_compact_signatory, max(CASE WHEN l_partkey % 35 = 32 THEN l_extendedprice END) AS gri_reporting, max(CASE WHEN
+  l_partkey % 35 = 33 THEN l_extendedprice END) AS integrated_mda, max(CASE WHEN l_partkey % 35 = 34 THEN l_extendedprice END) AS esg_compensation FROM lineitem GROUP BY ALL""",
+)
+def _(spark, d):
+    """Field and value rows of the provider, pivoted by its field names and renamed."""
+    names = F.array(*[F.lit(name) for name in PROVIDER_FIELDS])
+    rows = S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("isin"), F.get(names, (F.col("l_partkey") % 35).cast("int")).alias("field"), "l_extendedprice")
+    cells = rows.groupBy("isin", "field").agg(F.max("l_extendedprice").alias("value"))
+    return E.mapped(E.pivot_fields(cells, ["isin"], "field", "value", list(PROVIDER_FIELDS)), {"isin": "isin"} | PROVIDER_FIELDS)
+
+
+@query("e04_rating_names", """SELECT c_name || '0' AS name, c_name || '1' AS isin, c_name || '2' AS msci_as_of_date, c_name || '3' AS msci_industry, c_name || '4' AS msci_rating_date,
+  c_name || '5' AS msci_company_rating, c_name || '6' AS msci_env_score, c_name || '7' AS msci_soc_score, c_name || '8' AS msci_gov_score FROM customer""")
+def _(spark, d):
+    raw = [F.concat("c_name", F.lit(str(i))).alias(name) for i, name in enumerate(RATINGS)]
+    return E.mapped(S.read(spark, d, "customer").select(*raw, F.lit(1).alias("OTHER")), RATINGS)
+
+
+@query(
+    "e09_letter_scale",
+    """SELECT c_custkey, CASE c_custkey % 13 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 WHEN 7 THEN 8 WHEN 8 THEN 9
+  WHEN 9 THEN 10 WHEN 10 THEN 11 WHEN 11 THEN 12 END AS low_best, CASE c_custkey % 13 WHEN 0 THEN 12 WHEN 1 THEN 11 WHEN 2 THEN 10 WHEN 3 THEN 9 WHEN 4 THEN 8 WHEN 5 THEN 7 WHEN 6 THEN 6
+  WHEN 7 THEN 5 WHEN 8 THEN 4 WHEN 9 THEN 3 WHEN 10 THEN 2 WHEN 11 THEN 1 END AS high_best FROM customer""",
+)
+def _(spark, d):
+    """A+ to D- in both directions; the thirteenth letter is not on the scale."""
+    letters = ["A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "D-", "E"]
+    letter = F.get(F.array(*[F.lit(x) for x in letters]), (F.col("c_custkey") % 13).cast("int"))
+    code = lambda best: coded(letter, rating_codes(LETTER_SCALE, best=best)).alias(f"{best}_best")
+    return S.read(spark, d, "customer").select("c_custkey", code("low"), code("high"))
+
+
 @query(
     "e05_lag_by_key",
     f"WITH {S.FIRM_YEARS} SELECT a.firm, a.year, a.mkcap, b.mkcap AS mkcap_lagged FROM firm_years a LEFT JOIN firm_years b ON a.firm = b.firm AND a.year = b.year + 1",
