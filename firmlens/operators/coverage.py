@@ -139,20 +139,19 @@ def opportunity_counts(stages: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def extractability_counts(stages: DataFrame, results: DataFrame) -> DataFrame:
-    """Possible, extracted and final per indicator over the full year x indicator grid."""
+    """Possible, extracted and final per indicator over the full year x indicator grid.
+
+    The grid's sums need no grid: every indicator is possible once per eligible firm-year.
+    """
     eligible = cut_lineage(eligible_firm_years(stages))
-    possible = eligible.groupBy("year").agg(F.count(F.lit(1)).alias("n_possible"))
-    counted = _observations(eligible, results).groupBy("year", "indicator").agg(
-        F.count_if("extracted").alias("n_extracted"), F.count_if("final").alias("n_final")
-    )
+    possible = eligible.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counted = _observations(eligible, results).groupBy("indicator").agg(F.count_if("extracted").alias("n_extracted"), F.count_if("final").alias("n_final"))
     ids = results.select("indicator").where(F.col("indicator").isNotNull()).distinct()
-    grid = with_each(ids, possible).join(counted, ["year", "indicator"], "left")
-    zero = F.lit(0)
-    return grid.groupBy("indicator").agg(
-        F.sum("n_possible").alias("n_possible"),
-        F.sum(F.coalesce("n_extracted", zero)).alias("n_extracted"),
-        F.sum(F.coalesce("n_final", zero)).alias("n_final"),
+    none = F.lit(0).cast("long")
+    counts = ids.join(counted, "indicator", "left").select(
+        "indicator", possible.alias("n_possible"), F.coalesce("n_extracted", none).alias("n_extracted"), F.coalesce("n_final", none).alias("n_final")
     )
+    return counts.where(F.col("n_possible") > 0)
 
 
 def _rate(num: str, den: str) -> Column:

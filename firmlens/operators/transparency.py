@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions.ratings import AREA_LEVELS, level_order, topic_group
@@ -76,10 +76,8 @@ def transparency_by_sector(facts: DataFrame, firms: DataFrame) -> DataFrame:
     overall = (
         firm_year_transparency(cells).join(sectors, "firm").groupBy("sector").agg(F.avg("transp").alias("transp"))
     )
-    lines = overall.agg(F.array_sort(F.collect_list(F.struct("transp", "sector"))).alias("o")).select(
-        F.posexplode("o").alias("pos", "s")
-    )
-    order = lines.select(F.col("s.sector").alias("sector"), (F.col("pos") + 1).alias("sector_order"))
+    # one row per sector is left
+    order = overall.select("sector", F.row_number().over(Window.orderBy("transp", "sector")).alias("sector_order"))
     return with_overall(topics, overall, "std").join(order, "sector")
 
 
