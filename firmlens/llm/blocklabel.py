@@ -31,45 +31,46 @@ HIDDEN, ROUNDS, BATCH, RATE, SEED = 24, 8, 32, 0.01, 11
 SAMPLE_PAGES, LAYOUTS, SAMPLE_CHARS = 200, 1000, 20_000
 #: blocks that are scored together; longer pages are scored alone
 SCORED = 20_000
+#: tag paths whose projection a task keeps
+PATHS_KEPT = 20_000
 #: private-use character in front of article texts in training layouts
 MARK = "\ue000"
-_TOKEN = re.compile(r"\w+")
+_TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+")
 
 
-@lru_cache(maxsize=1 << 16)
 def _slot(word: str, slots: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % slots
 
 
 @lru_cache(maxsize=1 << 14)
-def _path_slots(tag: str, words: tuple[str, ...], place: str) -> tuple[int, ...]:
+def _names(tag: str, words: tuple[str, ...], place: str) -> tuple[int, ...]:
     names = [f"{place}t{tag}"] + [f"{place}w{w}" for w in words] + [f"{place}p{w[:5]}" for w in words if len(w) > 5]
     return tuple(_slot(n, PATH_SLOTS) for n in names)
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """(blocks, inputs) of one page."""
-    out = np.zeros((len(page), PATH_SLOTS + WORD_SLOTS + MEASURES), np.float32)
+def path_slots(path: tuple) -> list[int]:
+    """Slots of a tag path: every ancestor's tag and names, and once more those of the two innermost."""
+    found = {slot for tag, words in path for slot in _names(tag, words, "a")}
+    return sorted(found.union(slot for tag, words in path[-2:] for slot in _names(tag, words, "i")))
+
+
+def text_features(page: list[Block]) -> np.ndarray:
+    """(blocks, word slots and measures) of one page."""
+    out = np.zeros((len(page), WORD_SLOTS + MEASURES), np.float32)
+    crc = zlib.crc32
     for row, block in enumerate(page):
-        x = out[row]
-        for tag, words in block.path:
-            for slot in _path_slots(tag, words, "a"):
-                x[slot] = 1
-        for tag, words in block.path[-2:]:
-            for slot in _path_slots(tag, words, "i"):
-                x[slot] = 1
-        words = _TOKEN.findall(block.text.lower())
-        if words:
-            hashed = np.bincount([_slot(w, WORD_SLOTS) if len(w) < 40 else 0 for w in words], minlength=WORD_SLOTS)
-            x[PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.sqrt(hashed / len(words))
         text, n = block.text, len(block.text)
-        x[-MEASURES:] = (
+        words = _TOKEN.findall(text.lower().encode("utf-8", "surrogatepass"))
+        if words:
+            hashed = np.bincount([crc(w) % WORD_SLOTS for w in words], minlength=WORD_SLOTS)
+            out[row, :WORD_SLOTS] = np.sqrt(hashed / len(words))
+        out[row, WORD_SLOTS:] = (
             math.log1p(n) / 8,
             math.log1p(len(words)) / 6,
             min(1.0, block.linked / n),
             sum(map(text.count, ".,;:!?")) * 10 / n,
             text[-1] in ".!?:;\"'”»)",
-            min(1, sum(c.isdigit() for c in text[:200]) / min(n, 200)),
+            sum(map(text.count, "0123456789")) / n,
             text[:1].isupper(),
             row / len(page),
             1 / (1 + row),
@@ -78,6 +79,36 @@ def features(page: list[Block]) -> np.ndarray:
     return out
 
 
+def features(page: list[Block]) -> np.ndarray:
+    """(blocks, inputs) of one page: path slots, word slots, measures."""
+    paths = np.zeros((len(page), PATH_SLOTS), np.float32)
+    for row, block in enumerate(page):
+        paths[row, path_slots(block.path)] = 1
+    return np.hstack([paths, text_features(page)])
+
+
+class Labeller:
+    """A fitted model. Pages repeat their tag paths, so each path is multiplied with the input weights once."""
+
+    def __init__(self, weights: lstm.Weights):
+        self.weights = weights
+        self._inputs, self._bias = lstm.input_weights(weights)
+        self._paths: dict[tuple, np.ndarray] = {}
+
+    def _path(self, path: tuple) -> np.ndarray:
+        found = self._paths.get(path)
+        if found is None:
+            if len(self._paths) >= PATHS_KEPT:
+                self._paths.clear()
+            found = self._paths[path] = self._inputs[path_slots(path)].sum(axis=0) + self._bias
+        return found
+
+    def __call__(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Probability of every block of every page (none without blocks)."""
+        dense = [text_features(p) @ self._inputs[PATH_SLOTS:] for p in pages]
+        return lstm.predict_projected([d + np.array([self._path(b.path) for b in p]) for d, p in zip(dense, pages)], self.weights)
+
+
 # ---- layouts for training ---------------------------------------------------------------------------------------------
 
 #: names that pages give to their parts
@@ -269,6 +300,7 @@ def fit(texts: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> lstm.Weig
 
 def main_texts(htmls: list[str | None], weights: lstm.Weights) -> list[str]:
     """Article text of each page: its positive blocks in page order, one line each."""
+    label = Labeller(weights)
     pages = [blocks(h) for h in htmls]
     out = [""] * len(pages)
     todo = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
@@ -276,7 +308,7 @@ def main_texts(htmls: list[str | None], weights: lstm.Weights) -> list[str]:
         group = [todo.pop()]
         while todo and (len(group) + 1) * len(pages[group[0]]) <= SCORED:
             group.append(todo.pop())
-        for i, found in zip(group, lstm.predict([features(pages[i]) for i in group], weights)):
+        for i, found in zip(group, label([pages[i] for i in group])):
             out[i] = "\n".join(b.text for b, p in zip(pages[i], found) if p >= 0.5)
     return out
 

@@ -24,11 +24,10 @@ def initial(n_inputs: int, hidden: int, seed: int) -> Weights:
     return out
 
 
-def _run(x: np.ndarray, w: Weights, side: str, keep: bool):
-    """Hidden states (batch, time, hidden) of one direction, and what the way back needs."""
-    batch, time, _ = x.shape
+def _run(gates_in: np.ndarray, w: Weights, side: str, keep: bool):
+    """Hidden states (batch, time, hidden) of one direction from its projected inputs, and what the way back needs."""
+    batch, time, _ = gates_in.shape
     n = w[f"h{side}"].shape[0]
-    gates_in = x @ w[f"x{side}"] + w[f"c{side}"]
     h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
     states, trace = np.zeros((batch, time, n), np.float32), []
     for t in range(time):
@@ -77,19 +76,38 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _forward(sequences: list[np.ndarray], w: Weights, keep: bool):
     x, turned, real = _padded(sequences)
-    forth, trace_f = _run(x, w, "f", keep)
+    forth, trace_f = _run(x @ w["xf"] + w["cf"], w, "f", keep)
     x_back = np.take_along_axis(x, turned, axis=1)
-    back, trace_b = _run(x_back, w, "b", keep)
+    back, trace_b = _run(x_back @ w["xb"] + w["cb"], w, "b", keep)
+    found, states = _output(forth, back, turned, w)
+    return found, (x, x_back, turned, real, states, trace_f, trace_b)
+
+
+def _output(forth: np.ndarray, back: np.ndarray, turned: np.ndarray, w: Weights):
     states = np.concatenate([forth, np.take_along_axis(back, turned, axis=1)], axis=2)
-    return _sigmoid(states @ w["out"] + w["bias"])[:, :, 0], (x, x_back, turned, real, states, trace_f, trace_b)
+    return _sigmoid(states @ w["out"] + w["bias"])[:, :, 0], states
 
 
-def predict(sequences: list[np.ndarray], w: Weights) -> list[np.ndarray]:
-    """Probability of the positive label for every element of each sequence."""
+def input_weights(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Input weights and biases of both directions side by side."""
+    return np.hstack([w["xf"], w["xb"]]), np.concatenate([w["cf"], w["cb"]])
+
+
+def predict_projected(sequences: list[np.ndarray], w: Weights) -> list[np.ndarray]:
+    """Probabilities from inputs that were already multiplied with ``input_weights``."""
     if not sequences:
         return []
-    found, _ = _forward(sequences, w, False)
-    return [p[: len(s)] for p, s in zip(found, sequences)]
+    x, turned, _ = _padded(sequences)
+    half = x.shape[2] // 2
+    forth, _ = _run(x[:, :, :half], w, "f", False)
+    back, _ = _run(np.take_along_axis(x[:, :, half:], turned, axis=1), w, "b", False)
+    return [p[: len(s)] for p, s in zip(_output(forth, back, turned, w)[0], sequences)]
+
+
+def predict(sequences: list[np.ndarray], w: Weights) -> list[np.ndarray]:
+    """Probability of the positive label for every element of each sequence."""
+    weights, bias = input_weights(w)
+    return predict_projected([s @ weights + bias for s in sequences], w)
 
 
 def gradients(sequences: list[np.ndarray], labels: list[np.ndarray], w: Weights) -> tuple[float, Weights]:

@@ -22,7 +22,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
-    path: list[tuple[str, tuple[str, ...]]]
+    path: tuple[tuple[str, tuple[str, ...]], ...]
     text: str
     linked: int
 
@@ -34,7 +34,7 @@ class _Reader(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.at: list[tuple[str, tuple[str, ...]]] = []
+        self.at: tuple[tuple[str, tuple[str, ...]], ...] = ()
         self.unseen = 0
         self.count: Counter[str] = Counter()
 
@@ -93,7 +93,7 @@ class _Reader(HTMLParser):
         if self.unseen:
             return
         if not self.parts or not "".join(self.parts[-1:]).strip():
-            self.at = self.open[:] if len(self.open) <= 2 * ENDS else self.open[:ENDS] + self.open[-ENDS:]
+            self.at = tuple(self.open if len(self.open) <= 2 * ENDS else self.open[:ENDS] + self.open[-ENDS:])
         self.parts.append(data)
         if any(tag == "a" for tag, _ in self.open[-4:]):
             self.linked += len(data.strip())
