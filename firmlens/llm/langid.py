@@ -164,7 +164,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows in which no language is recognised (``und``, or no likeness to any prototype: score 0)."""
+    """``docs`` without the rows that are ``und``: null text or no letter. A doubtful language is no reason to drop a document,
+    and if no language can be learned, documents with a letter stay."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(rows.where(~held_out(F.col("key")) & F.col("lang").isNotNull()))
-    return docs.where(predict(docs, model, text_col)["score"] > 0)
+    if not model[0]:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    return docs.where(predict(docs, model, text_col)["lang_pred"] != UNKNOWN)

@@ -113,9 +113,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with one row of each component, the one whose id names it; all columns kept. Rows with a null id that no other
-    id stands for stay."""
-    (keep,) = fresh(docs, "component_keep")
+    """``docs`` with one document of each component, the one whose id names it; all columns kept.
+
+    Rows that repeat both id and text are one document and leave one row. Rows with a null id stay: nothing names them.
+    """
+    keep, same = fresh(docs, "component_keep", "component_text")
     found = simhash_components(docs, id_col, text_col, shingle, seed)
     stay = found.select(F.col("component_id").alias(keep)).where(F.col(keep).isNotNull()).distinct()
-    return docs.join(stay, F.col(id_col) == F.col(keep), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.withColumn(same, F.xxhash64(F.col(text_col), F.octet_length(F.col(text_col))))
+    named = named.join(stay, F.col(id_col) == F.col(keep), "left_semi").dropDuplicates([id_col, same]).drop(same)
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -129,6 +129,12 @@ def test_drop_near_duplicates(make_docs):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_drop_near_duplicates_of_repeated_rows(make_docs):
+    docs = make_docs([(1, "a b c d"), (1, "a b c d"), (1, "something else entirely here"), (2, "a b c d"), (None, "a b c d"), (None, "x")])
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, "a b c d"), (1, "something else entirely here"), (None, "a b c d"), (None, "x")], key=str)
+
+
 def test_components_of_chain(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (1000, 1001)]
     got = {r.u: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}

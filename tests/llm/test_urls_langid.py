@@ -95,7 +95,7 @@ def test_labels_of_held_out_rows_are_not_used(make_docs):
 def test_nothing_to_learn(make_docs, rows):
     got = langid.identify(make_docs(rows)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * len(rows)
-    assert langid.keep_recognised(make_docs(rows)).count() == 0
+    assert langid.keep_recognised(make_docs(rows)).count() == sum(bool(t) for _, t, _ in rows)
 
 
 def test_keep_recognised(make_docs, sample):
