@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.operators.scale import join_on, spread_lookup, with_each
+from firmlens.operators.scale import attach, join_on, with_each
 from firmlens.session import cut_lineage
 
 CANDIDATES = 30
@@ -121,18 +121,19 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("q"))
     wanted = cut_lineage(wanted)
-    used = wanted.select("term").distinct().withColumn("used", F.lit(True))
+    used = cut_lineage(wanted.select("term").distinct().withColumn("used", F.lit(True)))
     # one closing null per chunk: it carries the length and gathers the unused tokens
     tokens = chunks.select("doc", "chunk", terms(F.col("text")).alias("t")).select(
         "doc", "chunk", F.size("t").alias("length"), F.explode_outer(F.array_append("t", F.lit(None))).alias("term")
     )
-    marked = spread_lookup(tokens, ["term"], used, F.xxhash64("doc", "chunk")).withColumn("term", F.when(F.col("used"), F.col("term")))
+    marked = attach(tokens, ["term"], used, F.xxhash64("doc", "chunk")).withColumn("term", F.when(F.col("used"), F.col("term")))
     counts = cut_lineage(marked.groupBy("doc", "chunk", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     corpus = counts.where(F.col("term").isNull()).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     spread = counts.where(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighted = spread_lookup(counts.where(F.col("term").isNotNull()), ["doc", "term"], join_on(spread, corpus, ["doc"]), F.xxhash64("chunk"))
+    statistics = cut_lineage(join_on(spread, corpus, ["doc"]))
+    weighted = attach(counts.where(F.col("term").isNotNull()), ["doc", "term"], statistics, F.xxhash64("chunk"))
     weighted = weighted.select("doc", "chunk", "term", weight.alias("w"))
     return (
         weighted.repartition("doc", "chunk")

@@ -71,6 +71,17 @@ def spread_lookup(rows: DataFrame, keys: Sequence[str], table: DataFrame, salt:
     return dealt.join(asked.join(table, list(keys)), ["__way", *keys], "left").drop("__way")
 
 
+def attach(rows: DataFrame, keys: Sequence[str], table: DataFrame, salt: Column) -> DataFrame:
+    """Left join of ``rows`` to a staged ``table`` (one row per ``keys``) that stays safe on hot keys.
+
+    The planner broadcasts a staged table whose bytes are below its own limit, and the rows stay where
+    they are; a larger one is looked up by ``spread_lookup``. The rows are the same.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = rows._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return rows.join(table, list(keys), "left") if size <= limit else spread_lookup(rows, keys, table, salt)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a plain scan to all cores if it has fewer splits than cores.
 

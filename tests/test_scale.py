@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from firmlens.operators import quantiles, scale
 from firmlens.operators.quantiles import exact_quantiles
-from firmlens.operators.scale import running_before, small_side, with_each
+from firmlens.operators.scale import attach, running_before, small_side, spread_lookup, with_each
 from firmlens.operators.validation import spearman
+from firmlens.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +81,14 @@ def test_with_each_at_any_dimension_size(spark, block):
     assert sorted((r["a"], r["b"]) for r in out.collect()) == [(a, b) for a in range(4) for b in range(30)]
 
 
+def test_attach_is_the_same_at_any_table_size(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")).withColumn("k", F.when(F.col("v") % 3 > 0, F.lit(1)).otherwise(F.col("k")))
+    table = cut_lineage(spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w")))
+    broadcast = attach(rows, ["k"], table, F.xxhash64("v"))
+    looked_up = spread_lookup(rows, ["k"], table, F.xxhash64("v"))
+    assert sorted(map(tuple, broadcast.collect()), key=str) == sorted(map(tuple, looked_up.select(*broadcast.columns).collect()), key=str)
+
+
 @pytest.mark.parametrize("group_rows", [1_000_000, 20])
 def test_spearman_ranks_with_ties(spark, group_rows):
     rng = random.Random(3)
