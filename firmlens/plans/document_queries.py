@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import text as X
@@ -167,6 +168,36 @@ def _(spark, d):
     return D.markdown_chunks(S.read_spread(spark, d, "documents"))
 
 
+def chunk_properties(cut, docs, separators):
+    """Per document: every chunk is the text at its offset, only one without a separator (but at its front) is longer than the
+    size, and only blanks lie outside the chunks."""
+    spans = cut.join(docs.withColumnRenamed("text", "whole"), "doc_id")
+    end = F.col("start_index") + F.length("text")
+    before = F.coalesce(F.max(end).over(Window.partitionBy("doc_id").orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("before", before).withColumn("gap", F.substr("whole", F.col("before") + 1, F.greatest(F.col("start_index") - F.col("before"), F.lit(0))))
+    blank = lambda text: F.regexp_replace(text, r"\s+", "") == ""
+    return spans.groupBy("doc_id").agg(
+        F.bool_and(F.col("text") == F.substr("whole", F.col("start_index") + 1, F.length("text"))).alias("at_offset"),
+        F.bool_and((F.length("text") <= D.CHUNK_SIZE) | ~F.regexp_replace("text", r"^\s+|\s+$", "").rlike("(?s)^.+?(" + "|".join(separators) + ")")).alias("bounded"),
+        (F.bool_and(blank(F.col("gap"))) & blank(F.substr(F.first("whole"), F.max(end) + 1))).alias("covered"),
+    )
+
+
+PROPERTIES_SQL = "SELECT doc_id, true AS at_offset, true AS bounded, true AS covered FROM documents WHERE regexp_matches(text, '\\S')"
+
+
+@query("b08_recursive_properties", PROPERTIES_SQL)
+def _(spark, d):
+    docs = S.read_spread(spark, d, "documents").select("doc_id", "text")
+    return chunk_properties(D.recursive_chunks(docs), docs, D.SEPARATORS)
+
+
+@query("b09_markdown_properties", PROPERTIES_SQL)
+def _(spark, d):
+    docs = S.read_spread(spark, d, "documents").select("doc_id", "text")
+    return chunk_properties(D.markdown_chunks(docs), docs, D.MARKDOWN_SEPARATORS)
+
+
 @query("b10_chunk_sequence", f"WITH {CHUNK_SQL} SELECT doc_id, sequence_number, start_index FROM chunks")
 def _(spark, d):
     return chunks(spark, d).select("doc_id", "sequence_number", "start_index")
