@@ -11,8 +11,16 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input svg math".split()
 )
+#: what may stand in a head; anything else ends it
+METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: drawings and formulas: their elements make no blocks. A start tag of BREAKS ends them, except inside the elements of HOSTS
+FOREIGN = frozenset("svg math".split())
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOSTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: an opening tag that ends these open elements when it comes right inside them
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: ancestors kept for a block: so many outermost and so many innermost
@@ -36,6 +44,7 @@ class _Reader(HTMLParser):
         self.linked = 0
         self.at: tuple[tuple[str, tuple[str, ...]], ...] = ()
         self.unseen = 0
+        self.foreign: int | None = None  # place of the outermost open svg or math
         self.count: Counter[str] = Counter()
 
     def flush(self) -> None:
@@ -49,11 +58,27 @@ class _Reader(HTMLParser):
             self.unseen -= tag in UNSEEN
             self.count[tag] -= 1
         del self.open[index:]
+        if self.foreign is not None and index <= self.foreign:
+            self.foreign = None
+
+    def _hosted(self) -> bool:
+        """Whether an open element of the svg or math holds HTML."""
+        return any(self.count[tag] for tag in HOSTS) and any(tag in HOSTS for tag, _ in self.open[self.foreign :])
+
+    def _empty(self, tag: str) -> bool:
+        """Whether a slash closes the start tag: in svg and math only, there also one that ends an unquoted value."""
+        return (tag in FOREIGN or self.foreign is not None) and self.get_starttag_text().endswith("/>") and (tag in FOREIGN or not self._hosted())
 
     def handle_starttag(self, tag, attrs):
         if tag == "body" and self.count["head"]:
             self._pop(next(i for i, (t, _) in enumerate(self.open) if t == "head"))
-        if tag not in INLINE:
+        elif tag not in METADATA and self.open and self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+        if self.foreign is not None and tag in BREAKS and not self._hosted():
+            self._pop(self.foreign)
+        if self.foreign is not None:
+            pass
+        elif tag not in INLINE:
             self.flush()
             for i in range(len(self.open) - 1, -1, -1):
                 name = self.open[i][0]
@@ -66,12 +91,14 @@ class _Reader(HTMLParser):
                     break
         elif tag == "br":
             self.parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or self._empty(tag):
             return
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop"))
         words = tuple(w.lower() for w in _WORD.findall(named))
         if any(k == "hidden" or (k == "style" and "display:none" in (v or "").replace(" ", "")) for k, v in attrs):
             words += ("hidden",)
+        if self.foreign is None and tag in FOREIGN:
+            self.foreign = len(self.open)
         self.open.append((tag, words))
         self.unseen += tag in UNSEEN
         self.count[tag] += 1
@@ -80,6 +107,11 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.foreign is not None and self.count[tag]:
+            for i in range(len(self.open) - 1, self.foreign - 1, -1):
+                if self.open[i][0] == tag:
+                    self._pop(i)
+                    return
         if tag not in INLINE:
             self.flush()
         for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
@@ -90,6 +122,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._pop(len(self.open) - 1)
         if self.unseen:
             return
         if not self.parts or not "".join(self.parts[-1:]).strip():

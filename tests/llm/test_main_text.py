@@ -66,6 +66,26 @@ def test_blocks(html, want):
     assert got == want or (html and "closed" in html and got[-1] == "x")
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>T</title><article><p>text</article>", ["text"]),
+        ("<head><meta charset=x><title>T</title> \n plain <p>text", ["plain", "text"]),
+        ("<head><template><p>n</p></template><style>p{}</style><noscript><p>n</noscript></head><p>text", ["text"]),
+        ("<body><div>a<head><title>T</title><p>b</div>", ["a", "b"]),
+        ("<article><p>one <svg class=i/> two</p><p>three</p></article>", ["one two", "three"]),
+        ("<article><p>one <math/>two</p>three</article>", ["one two", "three"]),
+        ("<p>one <svg><title>n</title><g><path d=x /><text>n</text></g><style/></svg> two</p>", ["one two"]),
+        ("<p>one <svg><path d=x> n<p>two</p>three", ["one", "two", "three"]),
+        ("<p>one <svg><path></p><p>two", ["one", "two"]),
+        ("<p>a <svg><foreignObject><p>n<div/>n</div></foreignObject>n</svg> b <math><mtext><b>n</b></mtext></math>c", ["a b c"]),
+        ("<svg><svg><g></svg>n</svg>a", ["a"]),
+    ],
+)
+def test_head_and_drawings_end(html, want):
+    assert [b.text for b in pageblocks.blocks(html)] == want
+
+
 def test_held_out_layouts(weights, pages):
     texts = blocklabel.sample_texts(pages, F.col("page_id"), F.col("html"))
     inputs, labels = blocklabel.training_set(texts, 200, seed=99)
