@@ -50,6 +50,18 @@ def test_hits_equal_regular_expressions(spark):
         assert own.hits(text) == (sorted(filter(whole, urls.STRICT)), sorted(filter(whole, urls.SOFT)))
 
 
+@pytest.mark.parametrize(
+    "url",
+    [
+        "https://x.com/deals", "https://shop.example.com/free/track", "https://farm.example.com/track", "https://x.com/farm", "https://shop.example.net/hot/deals",
+        "https://bank.example.net/loans/free", "https://example.net/cheap/click-and-collect", "https://a.example.net/win/prize", "https://run.example.net/track/bonus",
+        "https://cars.example.net/ford/escort", "https://mail.example.net/help/spam", "https://safety.example.net/phishing/malware",
+    ],
+)
+def test_clean_hosts_are_allowed(url):
+    assert urls.Filter(urls.STRICT, urls.SOFT, urls.SOFT_HITS, ()).judge(url)[3] == "allow"
+
+
 def test_empty_vocabulary():
     assert urls.Filter((), (), 1, ()).judge("http://casino.net/")[3] == "allow"
 
