@@ -2,7 +2,7 @@
 
 1. Lines are split by quote level (``>`` marks). Runs of one level are passages; what is left is the message's own text.
 2. Own texts (whole, and each line) and passages (whole, and each line) are hashed after normalising.
-3. A hash is answered by the latest earlier message of the conversation that has it, else by the first message of all.
+3. A hash is answered by the latest earlier message of the conversation that has it, else by the first message of another.
 4. A passage goes to the message that answers most of its characters; a message replies to the one its outermost quotes go to.
 5. Replies form trees; their pre-order is ranked by pointer doubling over the tour of each tree.
 
@@ -116,10 +116,14 @@ def links(rows: DataFrame) -> DataFrame:
     questions = asked.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "hash", "turn").distinct().withColumn("who", F.lit(None).cast("long"))
     near = latest_before(said.where("conv IS NOT NULL AND turn IS NOT NULL").unionByName(questions), ["conv", "hash"], "turn", "who", "near")
     answered = lookup(asked, "part", ["conv", "hash", "turn"], near)
-    first = said.groupBy("hash").agg(F.min(F.struct("conv", "turn", "who")).alias("first"))
-    answered = lookup(answered, "part", ["hash"], first)
+    # the first message of the two smallest conversations, so that one of them is not the asker's; null turns come last
+    known = said.where("conv IS NOT NULL").select("hash", F.struct("conv", F.col("turn").isNull().alias("late"), "turn", "who").alias("by"))
+    first = cut_lineage(known.groupBy("hash").agg(F.min("by").alias("first")))
+    others = lookup(known.withColumn("part", F.pmod(F.xxhash64("by.conv"), F.lit(256)).cast("int")), "part", ["hash"], first).where("by.conv <> first.conv")
+    answers = first.join(others.groupBy("hash").agg(F.min("by").alias("second")), "hash", "left")
+    answered = lookup(answered, "part", ["hash"], answers)
     # anybody else's message, if no earlier one of the conversation has it
-    elsewhere = F.when(F.col("first.conv").isNotNull() & ~F.col("first.conv").eqNullSafe(F.col("conv")), F.col("first.who"))
+    elsewhere = F.when(F.col("first.conv").eqNullSafe(F.col("conv")), F.col("second.who")).otherwise(F.col("first.who"))
     answered = answered.select("m", "passage", "weight", F.coalesce("near", elsewhere).alias("to")).where("to IS NOT NULL")
     votes = answered.groupBy("m", "passage", "to").agg(F.sum("weight").alias("votes"))
     best = votes.groupBy("m", "passage").agg(F.max_by("to", F.struct("votes", "to")).alias("to"))

@@ -136,6 +136,31 @@ def test_edges(spark):
     assert quotes.reply_order(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_links_to_other_conversations(spark):
+    # null conversations, later repeats in the asker's own one and null turns don't take the place of the original
+    cases = [(None, 0, "b"), (1, 0, "b"), (2, 0, "> b"), (3, 0, "> c"), (3, 1, "c"), (4, 0, "c"), (5, 0, "c"), (6, None, "d"), (6, 4, "d"), (7, 0, "> d"), (None, 9, "> c")]
+    rows = [(c, t, "user", x) for c, t, x in cases]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in [(2, 0), (3, 0), (7, 0), (None, 9)]] == [(1, 0), (4, 0), (6, 4), (3, 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_follow_the_contract(spark, seed):
+    rng = random.Random(seed)
+    # one line quoted, one line said, out of few, so that lines repeat in and between conversations
+    rows = [(c, t, rng.randrange(60) if rng.random() < 0.5 else None, rng.choice([rng.randrange(60), 0])) for c in [None, *range(12)] for t in range(15)]
+    frame = spark.createDataFrame([(c, t, "user", ("" if q is None else f"> line {q}\n") + f"line {own}") for c, t, q, own in rows], SCHEMA)
+    said = defaultdict(list)
+    for c, t, _, own in rows:
+        if c is not None:
+            said[own].append((c, t))
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.reply_order(frame.repartition(3)).collect()}
+    for c, t, q, _ in rows:
+        near = [k for k in said[q] if k[0] == c and k[1] < t]
+        other = [k for k in said[q] if k[0] != c]
+        assert got[c, t] == (max(near) if near else min(other, default=(None, None))), (c, t)
+
+
 def test_given_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = quotes.reply_order(table)
