@@ -112,14 +112,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return lookup(rows, "part", ["fp"], alone).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with one document of each component, the one whose id names it; all columns kept.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, dense: int = DENSE) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns kept.
 
-    Rows that repeat both id and text are one document and leave one row. Rows with a null id stay: nothing names them.
+    Rows are told apart by id and text: rows that repeat both are one document and leave one row, and an id with several texts is
+    judged text by text. Rows with a null id cannot name a component; one of them stays beside the named one.
     """
-    keep, same = fresh(docs, "component_keep", "component_text")
-    found = simhash_components(docs, id_col, text_col, shingle, seed)
-    stay = found.select(F.col("component_id").alias(keep)).where(F.col(keep).isNotNull()).distinct()
-    named = docs.withColumn(same, F.xxhash64(F.col(text_col), F.octet_length(F.col(text_col))))
-    named = named.join(stay, F.col(id_col) == F.col(keep), "left_semi").dropDuplicates([id_col, same]).drop(same)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    (key,) = fresh(docs, "component_key")
+    text = F.col(text_col)
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    mark = F.concat_ws(":", F.xxhash64(text, F.octet_length(text)).cast("string"), F.octet_length(text).cast("string"), name)
+    rows = fingerprints(docs.select(F.col(id_col).alias("id"), text.alias("text"), mark.alias("mark")), "text", "fp", shingle, seed)
+    best = F.min(F.struct("id", "mark"))
+    nodes = cut_lineage(rows.groupBy("fp", F.col("id").isNull().alias("nameless")).agg(best.alias("best")))
+    groups = components(links(nodes.select("fp").distinct(), dense)).select(F.col("u").alias("fp"), "root")
+    rooted = nodes.join(groups, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "nameless", "best")
+    stay = rooted.groupBy("root", "nameless").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(key))
+    return docs.withColumn(key, mark).join(stay, key, "left_semi").dropDuplicates([key]).drop(key)

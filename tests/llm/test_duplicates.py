@@ -135,6 +135,15 @@ def test_drop_near_duplicates_of_repeated_rows(make_docs):
     assert got == sorted([(1, "a b c d"), (1, "something else entirely here"), (None, "a b c d"), (None, "x")], key=str)
 
 
+def test_one_document_of_each_group_stays(make_docs):
+    rows = [(3, "a b c d"), (7, "a b c d"), (7, "something else entirely here"), (None, "x y z"), (None, "x y z"), (None, "X y z")]
+    got = sorted(((r.doc_id, r.text.lower()) for r in simhash.drop_near_duplicates(make_docs(rows)).collect()), key=str)
+    assert got == sorted([(3, "a b c d"), (7, "something else entirely here"), (None, "x y z")], key=str)
+    copies = near_copies(random.Random(5), 60)
+    left = simhash.drop_near_duplicates(make_docs([(None, t) for t in copies])).count()
+    assert left == len({r[2] for r in brute_components(list(enumerate(copies)))}) < 60
+
+
 def test_components_of_chain(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (1000, 1001)]
     got = {r.u: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
