@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from firmlens.session import cut_lineage
+
 BATCH_ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,3 +45,20 @@ def lookup(rows: DataFrame, part: str, keys: Sequence[str], found: DataFrame) ->
     """
     asked = rows.select(part, *keys).distinct()
     return rows.join(asked.join(found, list(keys)), [part, *keys], "left")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """``rows`` with their place (1 first) in the given order, which must tell rows apart.
+
+    Rows are dealt by ranges of the order and numbered within each range; the driver gets one count per range.
+    """
+    piece, nth = fresh(rows, "piece", "nth")
+    dealt = rows.repartitionByRange(shuffle_partitions(rows), *order).withColumn(piece, F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    before, total = [], 0
+    for row in dealt.groupBy(piece).count().orderBy(piece).collect():
+        before.append((row[0], total))
+        total += row[1]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, f"{piece} int, {out} long"))
+    inside = F.row_number().over(Window.partitionBy(piece).orderBy(*order))
+    return dealt.withColumn(nth, inside).join(starts, piece).withColumn(out, F.col(out) + F.col(nth)).drop(piece, nth)

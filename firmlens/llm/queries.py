@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import blocklabel, bpe, exactdup, langid, multiset, packing, quotes, simhash, urls, wordpiece
+from firmlens.llm import blocklabel, bpe, exactdup, idshards, langid, multiset, packing, quotes, resample, simhash, urls, wordpiece
 from firmlens.llm.common import LOWER, UPPER, small_batches, table
+from firmlens.session import staging_path
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +125,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query("op12_id_shards")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = staging_path(spark, "ids")
+    idshards.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path(WORD_BPE), end=1)
+    return idshards.read_back(spark, path)
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024)
