@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import LOWER, UPPER, numbered
+from firmlens.llm.common import numbered
 from firmlens.session import cut_lineage
 
-_FOLD = str.maketrans(UPPER, LOWER)
-_SEPARATORS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A-Z to a-z, other ASCII bytes that are neither letters nor digits to spaces
+_FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _SCALE = 1 << 32
 
 
@@ -39,7 +40,7 @@ class Features:
 
 def _pattern(n: int) -> regex.Pattern:
     """``n`` words between spaces or the text's ends; nothing in it is tried twice."""
-    return regex.compile(rb"(?<![^ ])[^ ]++(?: [^ ]++){%d}(?![^ ])" % (n - 1))
+    return regex.compile(rb"(?<![^ ])" + b" ".join([rb"[^ ]++"] * n) + rb"(?![^ ])")
 
 
 class Scanner:
@@ -50,33 +51,53 @@ class Scanner:
         self._buckets = features.buckets
 
     def collapsed(self, text: str | None) -> bytes:
-        return _SEPARATORS.sub(" ", (text or "").translate(_FOLD)).encode("utf-8", "surrogatepass")
+        """Words of the text, one space between them."""
+        return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
-    def spans(self, data: bytes) -> Iterator[tuple[int, int]]:
-        for pattern in self._patterns:
-            for m in pattern.finditer(data, overlapped=True):
-                yield m.span()
+    def spans(self, data: bytes) -> Iterator[regex.Match]:
+        return chain.from_iterable(p.finditer(data, overlapped=True) for p in self._patterns)
 
     def buckets(self, data: bytes) -> np.ndarray:
-        crc = zlib.crc32
-        return np.fromiter((crc(data[a:b]) for a, b in self.spans(data)), np.uint32) % self._buckets
+        return np.fromiter(map(zlib.crc32, map(itemgetter(0), self.spans(data))), np.uint32) % np.uint32(self._buckets)
 
     def words(self, data: bytes) -> int:
-        return len(data.split(b" ")) - data.startswith(b" ") - data.endswith(b" ") if data.strip(b" ") else 0
+        return data.count(b" ") + 1 if data else 0
 
 
-def bucket_counts(texts: DataFrame, features: Features, text_col: str = "text") -> np.ndarray:
-    """Occurrences of every bucket over all texts. The driver gets one number per bucket, each task sends as many at most."""
+def _type(features: Features) -> np.dtype:
+    return np.dtype("<u2" if features.buckets <= 1 << 16 else "<u4")
+
+
+def scanned(texts: DataFrame, features: Features, text_col: str = "text") -> DataFrame:
+    """``texts`` with (n_words, n_features, found): the buckets of all features of each text as raw numbers, written once."""
+
+    @F.pandas_udf("n_words long, n_features long, found binary")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scanner, kind = Scanner(features), _type(features)
+        for batch in batches:
+            rows = []
+            for text in batch:
+                data = scanner.collapsed(text)
+                found = scanner.buckets(data)
+                rows.append((scanner.words(data), len(found), found.astype(kind).tobytes()))
+            yield pd.DataFrame(rows, columns=["n_words", "n_features", "found"])
+
+    kept = [c for c in texts.columns if c != text_col]
+    return cut_lineage(texts.select(*kept, scan(F.col(text_col)).alias("s")).select(*kept, "s.*"))
+
+
+def bucket_counts(rows: DataFrame, features: Features) -> np.ndarray:
+    """Occurrences of every bucket over all ``scanned`` rows. The driver gets one number per bucket, each task sends as many at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner, total = Scanner(features), np.zeros(features.buckets, np.int64)
+        total = np.zeros(features.buckets, np.int64)
         for batch in batches:
-            for text in batch["t"]:
-                total += np.bincount(scanner.buckets(scanner.collapsed(text)), minlength=features.buckets)
+            for found in batch["found"]:
+                total += np.bincount(np.frombuffer(found, _type(features)), minlength=features.buckets)
         (used,) = total.nonzero()
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
-    found = texts.select(F.col(text_col).alias("t")).mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = rows.select("found").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(features.buckets, np.int64)
     for row in found.collect():
         out[row.bucket] = row.n
@@ -105,25 +126,21 @@ def resample(
     by score descending, then by ascending id (null ids first), then by the order of reading; all other rows have a null rank.
     Null and empty texts have no features and weight 0. A null id has the noise of the empty name. Repeated rows are
     rows of their own, with the same noise if they share an id. An empty ``target`` counts as all buckets alike; empty ``docs`` give an
-    empty result. Texts are scanned whole, a span at a time. Other columns are not read. ``docs`` is scanned twice:
-    once for the counts, once for the weights.
+    empty result. Texts are scanned whole and once; the buckets found are staged and read for the counts and
+    for the weights. Other columns are not read.
     """
-    gain = gains(bucket_counts(docs, features, text_col), bucket_counts(target, features, target_text_col))
+    source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows, wanted = scanned(source, features), scanned(target.select(F.col(target_text_col).alias("text")), features)
+    gain = gains(bucket_counts(rows, features), bucket_counts(wanted, features))
 
-    @F.pandas_udf("n_words long, n_features long, weight long, score long")
+    @F.pandas_udf("weight long, noise long")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(features)
-        for names, texts in batches:
-            rows = []
-            for name, text in zip(names, texts):
-                data = scanner.collapsed(text)
-                found = scanner.buckets(data)
-                weight = int(gain[found].sum())
-                rows.append((scanner.words(data), len(found), weight, weight + noise(seed, name or "")))
-            yield pd.DataFrame(rows, columns=["n_words", "n_features", "weight", "score"], dtype="int64")
+        for names, every in batches:
+            weights = [int(gain[np.frombuffer(found, _type(features))].sum()) for found in every]
+            yield pd.DataFrame({"weight": weights, "noise": [noise(seed, name or "") for name in names]}, dtype="int64")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), scored(F.col(id_col).cast("string"), F.col(text_col)).alias("s"))
-    rows = cut_lineage(rows.select("id", "row", "s.*"))
+    rows = rows.select("id", "row", "n_words", "n_features", scored(F.col("id").cast("string"), F.col("found")).alias("s"))
+    rows = cut_lineage(rows.select("id", "row", "n_words", "n_features", "s.weight", (F.col("s.weight") + F.col("s.noise")).alias("score")))
     able = F.col("n_words") >= min_words
     drawn = rows.where(able).count() * percent // 100
     ranked = numbered(rows.where(able), [F.desc("score"), F.asc_nulls_first("id"), F.asc("row")], "rank")
