@@ -13,7 +13,7 @@ from firmlens.llm import idshards
 from firmlens.session import staging_path
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "\n\t", "It's THE end's", "a\x1cb \x1d", "ΑΣ ΣΑΣ", "İstanbul ǅ ŉ", "é ́ x", "ﬁ ½ ²a 12ab", "<|endoftext|> a<|startoftext|>b", "漢字 かな", "a\x85b c\xa0d", "​﻿", "😀" * 40, "x" * 3000, "don't'll'VE"]
+ODD = ["", " ", "\n\t", "It's THE end's", "a\x1cb \x1d", "ΑΣ ΣΑΣ", "İstanbul ǅ ŉ", "é ́ x", "ﬁ ½ ²a 12ab", "<|endoftext|> a<|startoftext|>b", "漢字 かな", "a\x85b c\xa0d", "​﻿", "😀" * 40, "x" * 3000, "don't'll'VE", "a.'sure ''s 1's,'t '", "’t x’s \x00'd _a_ ²3", "a" * 399 + "b. " + "c" * 401, "ok <|endoftext|>", "é" * 500 + "!"]
 
 
 def expected(rows, path, end):
@@ -63,6 +63,14 @@ def test_encoder_equals_library(path, sample):
         assert [np.frombuffer(x, own.type).tolist() for x in own.batch(texts)] == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_encoder_random_marks():
+    rng, library, own = random.Random(5), Tokenizer.from_file(WORDS), idshards.Encoder(WORDS, 1)
+    marks = "abstrevmld STREVMLD" + "'" * 5 + "..,!1²\t\n_-é’\x1c\x0b\xa0"
+    texts = ["".join(rng.choices(marks, k=rng.randrange(60))) for _ in range(20_000)]
+    texts += ["".join(rng.choices("etaoinsrhldcumfpgwybvkxjqz", k=rng.randrange(1, 390))) for _ in range(3000)]
+    assert own.batch(texts) == [np.array([*e.ids, 1], own.type).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_encoder_every_letter():
     texts = [" ".join(chr(c) + x for c in range(a, a + 64) if not 0xD800 <= c < 0xE000 for x in ("", "a", "1", "!A")) for a in range(1, 0x3100, 64)]
     own, library = idshards.Encoder(WORDS, 1), Tokenizer.from_file(WORDS)
