@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import blocklabel, bpe, exactdup, idshards, langid, multiset, packing, quotes, resample, simhash, urls, wordpiece
+from firmlens.llm import blocklabel, bpe, exactdup, idshards, langid, multiset, packing, phrases, quotes, resample, simhash, urls, wordpiece
 from firmlens.llm.common import LOWER, UPPER, small_batches, table
 from firmlens.session import staging_path
 
@@ -127,6 +127,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+@query(
+    "op11_phrase_mining",
+    """
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+               regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]', chr(10), 'g') AS text
+        FROM documents
+    ), pieces AS (SELECT lang, unnest(string_split(text, chr(10))) AS piece FROM docs
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces
+    ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+    ), starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+    ), grams AS (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS size FROM starts
+    ), f AS (
+        SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS n FROM grams WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30
+    ), cuts AS (
+        SELECT lang, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a // (x.n + y.n))::BIGINT AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+    ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), inner_parts AS (
+        SELECT lang, n, array_to_string(string_split(phrase, ' ')[i : i + k - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM f WHERE size > 2))
+    ), longer AS (SELECT lang, phrase, max(n) AS f FROM inner_parts GROUP BY ALL
+    ), kept AS (SELECT b.* FROM best b LEFT JOIN longer g USING (lang, phrase) WHERE g.f IS NULL OR 100::HUGEINT * g.f < 80::HUGEINT * b.a
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000, covered_percent=80)
+
+
 @query("op12_id_shards")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
