@@ -1,10 +1,10 @@
 """Collocations by Rabin-Karp fingerprints.
 
 Prefix polynomials over the bytes of many texts give every word a hash, prefix polynomials over the words give every n-gram one:
-a difference of two prefixes, so an n-gram costs the same at any length. Tasks combine equal fingerprints by sorting; the
-shuffle sums them and keeps two occurrence pointers (text, offset) each. Only n-grams whose shorter n-grams are all frequent are counted
-at all: what is frequent at one length is a bitmap for the next. Pointers of frequent fingerprints are then read, checked against the text
-and turned into phrases; scores and ranks are plain joins of phrases.
+a difference of two prefixes, so an n-gram costs the same at any length. Tasks combine equal fingerprints by sorting and deal sorted
+runs by ranges of the fingerprint; merging the runs of a range sums the counts and keeps two occurrence pointers (hashes of texts). Only
+n-grams whose shorter n-grams are all frequent are counted at all: what is frequent at one length is a bitmap for the next. Frequent
+fingerprints are then looked up in the texts they point to, checked and turned into phrases; scores and ranks are plain joins of phrases.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmlens.llm.common import shuffle_partitions
 from firmlens.session import cut_lineage
 
 LONGEST = 4
 #: bytes hashed at a time, words combined at a time
 BLOCK, CHUNK = 1 << 21, 1 << 21
-OUT_ROWS = 1 << 16
+#: ranges of the fingerprint, for each shuffle partition
+RANGES_EACH = 4
 #: a bitmap has 16 bits for each frequent n-gram, within these bounds; a full one only lets more n-grams be counted
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 28, 16
 PRIME = (1 << 31) - 1
@@ -37,8 +39,8 @@ BASES = (
 _SPACE, _BREAK = 32, 10
 #: A-Z to a-z, tabs to spaces, marks between pieces to line ends
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else _SPACE if c == 9 else _BREAK if chr(c) in ".,;:!?\n\v\f\r" else c for c in range(256))
+_POINTER = (1 << 32) - 1
 _SEPARATOR = re.compile(rb"[ \n]")
-_TOTAL = -1  # check of the row that counts all words of a language
 
 
 def _powers(base: int, n: int, modulus: int) -> np.ndarray:
@@ -173,47 +175,67 @@ class Bitmap:
         return (self._cells.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
 
 
-_COUNTED = "fp long, check int, n long, doc long, at int"
+#: a run: columns of fingerprint, check, count and pointer one after the other
+_RUN = [("fp", "<u8"), ("check", "<u4"), ("n", "<u8"), ("doc", "<u4")]
+_RUNS, _COUNTED = "size int, range int, rows int, run binary", "fp long, check int, size int, n long, low long, high long"
 
 
-def _batch(fp, check, n, doc, at) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(fp.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], names=["fp", "check", "n", "doc", "at"])
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(c.astype(kind).tobytes() for c, (_, kind) in zip(columns, _RUN))
 
 
-def _combined(fp: np.ndarray, check: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row for each distinct (fingerprint, check), with its count and one occurrence."""
+def _unpacked(run: bytes, rows: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for _, kind in _RUN:
+        out.append(np.frombuffer(run, kind, rows, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _groups(fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal (fingerprint, check) stand together, and where each group begins."""
     order = np.argsort(fp)
-    fp, check = fp[order], check[order]
+    same = fp[order][1:] == fp[order][:-1]
+    if (same & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, fp))
     first = np.ones(len(fp), bool)
-    first[1:] = (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])
-    first = np.flatnonzero(first)
-    return _batch(fp[first], check[first], np.diff(first, append=len(fp)), doc[order[first]], at[order[first]])
+    first[1:] = (fp[order][1:] != fp[order][:-1]) | (check[order][1:] != check[order][:-1])
+    return order, np.flatnonzero(first)
 
 
 def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | None = None, least: int = 1, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(fp, check, size, n, low, low_at, high, high_at): n-grams of these sizes that occur ``least`` times or more, with their counts and two occurrences.
+    """(fp, check, size, n, low, high): n-grams of these sizes that occur ``least`` times or more, with their counts and two pointers.
 
-    ``texts`` has (text, lang_key, doc). The fingerprint covers the language. With ``shorter``, only n-grams are counted whose parts of one
-    word less than the smallest size are all in it. Size 1 also counts all words under the language's key.
+    ``texts`` has (text, lang_key, doc); pointers are the lower halves of ``doc``. The fingerprint covers the language. With ``shorter``, only
+    n-grams are counted whose parts of one word less than the smallest size are all in it. Size 1 also counts all words
+    under the language's key, as size 0.
     """
     least_size, longest = min(sizes), max(sizes)
+    ranges = max(1, (RANGES_EACH * shuffle_partitions(texts)).bit_length())
+
+    def runs(size: int, fp: np.ndarray, check: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, first = _groups(fp, check)
+        n, order = np.diff(first, append=len(fp)), order[first]
+        yield from dealt(size, fp[order], check[order], n, doc[order])
+
+    def dealt(size: int, fp: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = (fp >> np.uint64(64 - ranges)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(fp)]))
+        parts = [_packed(*(c[a:b] for c in (fp, *columns))) for a, b in cuts]
+        yield pa.record_batch([pa.array([size] * len(cuts), pa.int32()), pa.array(of[starts].astype(np.int32)), pa.array([b - a for a, b in cuts], pa.int32()), pa.array(parts, pa.binary())], names=["size", "range", "rows", "run"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, totals = Words(bases, block), {}
-        held = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
-
-        def sized(b: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
-            b = b.append_column("size", pa.array(np.full(b.num_rows, n, np.int32)))
-            for i in range(0, b.num_rows, OUT_ROWS):
-                yield b.slice(i, OUT_ROWS)
+        held = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.uint64, np.uint64)]
 
         def grams(last: bool) -> Iterator[pa.RecordBatch]:
-            fp, check, piece, lang, doc, at = held
+            fp, check, piece, lang, doc = held
             starts = len(fp) if last else len(fp) - (longest - 1)
             alive = None
             if shorter is not None:
                 parts, _ = own.ngrams(fp, check, least_size - 1)
-                alive = shorter.has(parts + lang.view(np.uint64)[: len(parts)])
+                alive = shorter.has(parts + lang[: len(parts)])
             for n in sizes:
                 g, c = own.ngrams(fp, check, n)
                 m = min(len(g), starts)
@@ -223,81 +245,83 @@ def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | Non
                         keep &= alive[k : k + m]
                 (i,) = np.nonzero(keep)
                 if len(i):
-                    yield from sized(_combined(g[i] + lang.view(np.uint64)[i], c[i], doc[i], at[i]), n)
+                    yield from runs(n, g[i] + lang[i], c[i], doc[i])
 
         for batch in batches:
-            langs, docs = batch.column("lang_key").to_numpy(), batch.column("doc").to_numpy()
+            langs, docs = (batch.column(c).to_numpy().view(np.uint64) for c in ("lang_key", "doc"))
             raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for fp, check, piece, number, at in own.hashed(raw):
+            for fp, check, piece, number, _ in own.hashed(raw):
                 if 1 in sizes:
                     for key, k in zip(*np.unique(langs[number], return_counts=True)):
                         totals[key] = totals.get(key, 0) + int(k)
-                held = [np.concatenate(x) for x in zip(held, (fp, check, piece, langs[number], docs[number], at))]
+                held = [np.concatenate(x) for x in zip(held, (fp, check, piece, langs[number], docs[number] & np.uint64(_POINTER)))]
                 if len(held[0]) >= chunk:
                     yield from grams(False)
                     held = [x[len(x) - (longest - 1) :] for x in held]
         yield from grams(True)
         if totals:
-            keys = np.array(list(totals), np.int64)
-            zero = np.zeros(len(keys), np.int64)
-            yield from sized(_batch(keys, np.full(len(keys), _TOTAL), np.array(list(totals.values())), zero, zero), 0)
-
-    rows = texts.select("text", "lang_key", "doc").mapInArrow(count, f"{_COUNTED}, size int")
-    sums = rows.groupBy("size", "fp", "check").agg(
-        F.sum("n").alias("n"), F.min("doc").alias("low"), F.min_by("at", "doc").alias("low_at"), F.max("doc").alias("high"), F.max_by("at", "doc").alias("high_at")
-    )
-    return sums.where((F.col("n") >= least) | (F.col("check") == _TOTAL))
-
-
-def _fingerprints(phrases: list[bytes], sizes: list[int], bases) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and check of each phrase, read as text again."""
-    own = Words(bases)
-    found = [np.concatenate(x) for x in zip(*own.hashed(phrases))]
-    fp, check, number = found[0], found[1], found[3]
-    first = np.searchsorted(number, np.arange(len(phrases)))
-    out, out_check = np.zeros(len(phrases), np.uint64), np.zeros(len(phrases), np.uint64)
-    for n in set(sizes):
-        (i,) = np.nonzero(np.array(sizes) == n)
-        g, c = own.ngrams(fp, check, n)
-        out[i], out_check[i] = g[first[i]], c[first[i]]
-    return out, out_check
+            keys = np.array(sorted(totals), np.uint64)
+            zero = np.zeros(len(keys), np.uint64)
+            yield from dealt(0, keys, zero, np.array([totals[k] for k in keys], np.uint64), zero)
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = [np.concatenate(c) for c in zip(*(_unpacked(run, rows) for run, rows in zip(table.column("run").to_pylist(), table.column("rows").to_pylist())))]
+        fp, check, n, doc = columns
+        order, first = _groups(fp, check)
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        low, high = (f.reduceat(doc[order], first).astype(np.int64) for f in (np.minimum, np.maximum))
+        keep = (n >= least) | (key[0].as_py() == 0)
+        fp, check = fp[order[first]][keep].view(np.int64), check[order[first]][keep].astype(np.int32)
+        return pa.table({"fp": fp, "check": check, "size": np.full(len(fp), key[0].as_py(), np.int32), "n": n[keep], "low": low[keep], "high": high[keep]})
+
+    return texts.select("text", "lang_key", "doc").mapInArrow(count, _RUNS).groupBy("size", "range").applyInArrow(merged, _COUNTED)
 
 
 def materialised(texts: DataFrame, found: DataFrame, bases) -> DataFrame | None:
     """(lang, size, phrase, n) of the rows of ``counted``; None if texts under one fingerprint differ.
 
-    Both occurrences of each row are read from the texts, hashed again and compared. The second hash (modulo a prime) is part of the key,
-    so other occurrences differ only if both hashes collide. Only texts that hold an occurrence are shuffled, copies once.
+    The texts that the pointers name are hashed again, the fingerprints found in them and the words there compared. The second hash
+    (modulo a prime) is part of the key, so other occurrences differ only if both hashes collide. Only texts that a
+    pointer names are shuffled, copies once.
     """
-    either = F.array(F.struct(F.col("low").alias("doc"), F.col("low_at").alias("at")), F.struct(F.col("high").alias("doc"), F.col("high_at").alias("at")))
-    wanted = cut_lineage(found.select("fp", "check", "size", F.explode(either).alias("o")).select("fp", "check", "size", "o.*").distinct())
-    held = Bitmap.of(wanted.select(F.col("doc").alias("fp")).distinct(), wanted.count())
+    wanted = found.select("fp", "check", "size", F.explode(F.array("low", "high")).alias("pointer")).distinct()
+    wanted = cut_lineage(wanted)
+    held = Bitmap.of(wanted.select(F.col("pointer").alias("fp")).distinct(), wanted.count())
 
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for doc in batches:
-            yield pd.Series(held.has(doc.to_numpy().view(np.uint64)))
+        for pointer in batches:
+            yield pd.Series(held.has(pointer.to_numpy().view(np.uint64)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, phrases = [], []
-            for text, lang, key, spans in zip(batch["text"], batch["lang"], batch["lang_key"], batch["spans"]):
-                data = text.encode("utf-8", "surrogatepass").translate(_CLEAN)
-                for s in spans:
-                    m = re.compile(rb"[^ \n]+" + rb" +[^ \n]+" * (s["size"] - 1)).match(data, s["at"])
-                    if m:
-                        phrases.append(b" ".join(w for w in m[0].split(b" ") if w))
-                        rows.append((s["fp"], s["check"], s["size"], lang, key))
-            out = pd.DataFrame(rows, columns=["fp", "check", "size", "lang", "key"])
-            if rows:
-                fp, check = _fingerprints(phrases, out["size"].tolist(), bases)
-                same = (fp + out.pop("key").to_numpy(np.int64).view(np.uint64) == out["fp"].to_numpy(np.int64).view(np.uint64)) & (check == out["check"].to_numpy(np.int64).view(np.uint64))
-                out["phrase"] = [p.decode("utf-8", "surrogatepass") for p in phrases]
-                yield out[same]
-
-    spans = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "check", "size", "at")).alias("spans"))
-    holding = texts.where(holds("doc")).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("text", "lang", "lang_key")))
-    said = holding.join(spans, "doc").mapInPandas(read, "fp long, check int, size int, lang string, phrase string")
+            rows = []
+            for text, lang, key, asked in zip(batch["text"], batch["lang"], batch["lang_key"], batch["asked"]):
+                own, data = Words(bases), text.encode("utf-8", "surrogatepass")
+                parts = [np.concatenate(x) for x in zip(*own.hashed([data]))]
+                clean = data.translate(_CLEAN)
+                for size in {a["size"] for a in asked}:
+                    fp, check = own.ngrams(parts[0], parts[1], size)
+                    fp = (fp + np.int64(key).view(np.uint64)).view(np.int64)
+                    last = np.arange(len(fp)) + size - 1
+                    (whole,) = np.nonzero(parts[2][: len(fp)] == parts[2][last])
+                    whole = whole[np.argsort(fp[whole], kind="stable")]
+                    for a in asked:
+                        if a["size"] != size:
+                            continue
+                        i, j = (np.searchsorted(fp[whole], a["fp"], side) for side in ("left", "right"))
+                        for k in whole[i:j]:
+                            if check[k] == a["check"]:
+                                m = re.compile(rb"[^ \n]+" + rb" +[^ \n]+" * (size - 1)).match(clean, int(parts[4][k]))
+                                phrase = b" ".join(w for w in m[0].split(b" ") if w)
+                                rows.append((a["fp"], a["check"], size, lang, phrase.decode("utf-8", "surrogatepass")))
+                                break
+            yield pd.DataFrame(rows, columns=["fp", "check", "size", "lang", "phrase"])
+
+    asked = wanted.groupBy("pointer").agg(F.collect_list(F.struct("fp", "check", "size")).alias("asked"))
+    pointed = texts.withColumn("pointer", F.col("doc").bitwiseAND(F.lit(_POINTER))).where(holds("pointer"))
+    pointed = pointed.groupBy("pointer", "doc").agg(*(F.first(c).alias(c) for c in ("text", "lang", "lang_key")))
+    said = pointed.join(asked, "pointer").mapInPandas(read, "fp long, check int, size int, lang string, phrase string")
     said = said.groupBy("fp", "check", "size").agg(F.min("lang").alias("lang"), F.max("lang").alias("lang2"), F.min("phrase").alias("phrase"), F.max("phrase").alias("phrase2"))
     full = cut_lineage(found.select("fp", "check", "size", "n").join(said, ["fp", "check", "size"], "left"))
     if not full.where("phrase IS NULL OR phrase <> phrase2 OR lang <> lang2").isEmpty():
