@@ -23,8 +23,8 @@ from firmlens.llm.common import shuffle_partitions
 from firmlens.session import cut_lineage
 
 LONGEST = 4
-#: bytes hashed at a time, words combined at a time
-BLOCK, CHUNK = 1 << 21, 1 << 21
+#: bytes hashed at a time, n-grams combined at a time
+BLOCK, CHUNK = 1 << 19, 1 << 21
 #: ranges of the fingerprint, for each shuffle partition
 RANGES_EACH = 4
 #: a bitmap has 16 bits for each frequent n-gram, within these bounds; a full one only lets more n-grams be counted
@@ -64,7 +64,7 @@ class _Polynomial:
     def prefixes(self, values: np.ndarray) -> np.ndarray:
         """Sum of values[i] * base**i over the first k values, for every k."""
         if len(values) + 1 > len(self._up):
-            n = 1 << (len(values) + 1).bit_length()
+            n = len(values) + 1 + len(values) // 4
             self._up, self._down = _powers(self.base, n, self.modulus), _powers(pow(self.base, -1, self.modulus), n, self.modulus)
         out = np.zeros(len(values) + 1, np.uint64)
         terms = values * self._up[: len(values)]
@@ -192,15 +192,18 @@ def _unpacked(run: bytes, rows: int) -> list[np.ndarray]:
     return out
 
 
-def _groups(fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order in which equal (fingerprint, check) stand together, and where each group begins."""
+def _grouped(fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order in which equal (fingerprint, check) stand together, both in that order, and where each group begins."""
     order = np.argsort(fp)
-    same = fp[order][1:] == fp[order][:-1]
-    if (same & (check[order][1:] != check[order][:-1])).any():
+    sorted_fp, sorted_check = fp[order], check[order]
+    new_fp, new_check = sorted_fp[1:] != sorted_fp[:-1], sorted_check[1:] != sorted_check[:-1]
+    if (new_check & ~new_fp).any():
         order = np.lexsort((check, fp))
+        sorted_fp, sorted_check = fp[order], check[order]
+        new_fp, new_check = sorted_fp[1:] != sorted_fp[:-1], sorted_check[1:] != sorted_check[:-1]
     first = np.ones(len(fp), bool)
-    first[1:] = (fp[order][1:] != fp[order][:-1]) | (check[order][1:] != check[order][:-1])
-    return order, np.flatnonzero(first)
+    first[1:] = new_fp | new_check
+    return order, sorted_fp, sorted_check, np.flatnonzero(first)
 
 
 def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | None = None, least: int = 1, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -214,9 +217,8 @@ def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | Non
     ranges = max(1, (RANGES_EACH * shuffle_partitions(texts)).bit_length())
 
     def runs(size: int, fp: np.ndarray, check: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order, first = _groups(fp, check)
-        n, order = np.diff(first, append=len(fp)), order[first]
-        yield from dealt(size, fp[order], check[order], n, doc[order])
+        order, fp, check, first = _grouped(fp, check)
+        yield from dealt(size, fp[first], check[first], np.diff(first, append=len(fp)), doc[order[first]])
 
     def dealt(size: int, fp: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         of = (fp >> np.uint64(64 - ranges)).astype(np.int64)
@@ -227,9 +229,11 @@ def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | Non
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, totals = Words(bases, block), {}
-        held = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.uint64, np.uint64)]
+        # the last words of a block may begin n-grams that end in the next one
+        held = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.uint64, np.uint32)]
+        found = {n: [] for n in sizes}
 
-        def grams(last: bool) -> Iterator[pa.RecordBatch]:
+        def grams(last: bool) -> None:
             fp, check, piece, lang, doc = held
             starts = len(fp) if last else len(fp) - (longest - 1)
             alive = None
@@ -238,27 +242,35 @@ def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | Non
                 alive = shorter.has(parts + lang[: len(parts)])
             for n in sizes:
                 g, c = own.ngrams(fp, check, n)
-                m = min(len(g), starts)
+                m = max(0, min(len(g), starts))
                 keep = piece[:m] == piece[n - 1 : n - 1 + m] if n > 1 else np.ones(m, bool)
                 if alive is not None:
                     for k in range(n - least_size + 2):
                         keep &= alive[k : k + m]
                 (i,) = np.nonzero(keep)
-                if len(i):
-                    yield from runs(n, g[i] + lang[i], c[i], doc[i])
+                found[n].append((g[i] + lang[i], c[i].astype(np.uint32), doc[i]))
+
+        def flushed(limit: int) -> Iterator[pa.RecordBatch]:
+            for n, parts in found.items():
+                if sum(len(x[0]) for x in parts) >= limit:
+                    columns = [np.concatenate(x) for x in zip(*parts)]
+                    parts.clear()
+                    yield from runs(n, *columns)
 
         for batch in batches:
             langs, docs = (batch.column(c).to_numpy().view(np.uint64) for c in ("lang_key", "doc"))
             raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for fp, check, piece, number, _ in own.hashed(raw):
+                lang = langs[number]
                 if 1 in sizes:
-                    for key, k in zip(*np.unique(langs[number], return_counts=True)):
+                    for key, k in zip(*np.unique(lang, return_counts=True)):
                         totals[key] = totals.get(key, 0) + int(k)
-                held = [np.concatenate(x) for x in zip(held, (fp, check, piece, langs[number], docs[number] & np.uint64(_POINTER)))]
-                if len(held[0]) >= chunk:
-                    yield from grams(False)
-                    held = [x[len(x) - (longest - 1) :] for x in held]
-        yield from grams(True)
+                held = [np.concatenate(x) for x in zip(held, (fp, check, piece, lang, docs[number].astype(np.uint32)))]
+                grams(False)
+                held = [x[max(0, len(x) - (longest - 1)) :] for x in held]
+                yield from flushed(chunk)
+        grams(True)
+        yield from flushed(1)
         if totals:
             keys = np.array(sorted(totals), np.uint64)
             zero = np.zeros(len(keys), np.uint64)
@@ -266,13 +278,12 @@ def counted(texts: DataFrame, sizes: Sequence[int], bases, shorter: Bitmap | Non
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_unpacked(run, rows) for run, rows in zip(table.column("run").to_pylist(), table.column("rows").to_pylist())))]
-        fp, check, n, doc = columns
-        order, first = _groups(fp, check)
-        n = np.add.reduceat(n[order].astype(np.int64), first)
-        low, high = (f.reduceat(doc[order], first).astype(np.int64) for f in (np.minimum, np.maximum))
+        order, fp, check, first = _grouped(columns[0], columns[1])
+        n, doc = np.add.reduceat(columns[2][order].astype(np.int64), first), columns[3][order]
         keep = (n >= least) | (key[0].as_py() == 0)
-        fp, check = fp[order[first]][keep].view(np.int64), check[order[first]][keep].astype(np.int32)
-        return pa.table({"fp": fp, "check": check, "size": np.full(len(fp), key[0].as_py(), np.int32), "n": n[keep], "low": low[keep], "high": high[keep]})
+        low, high = (f.reduceat(doc, first)[keep].astype(np.int64) for f in (np.minimum, np.maximum))
+        fp, check = fp[first][keep].view(np.int64), check[first][keep].astype(np.int32)
+        return pa.table({"fp": fp, "check": check, "size": np.full(len(fp), key[0].as_py(), np.int32), "n": n[keep], "low": low, "high": high})
 
     return texts.select("text", "lang_key", "doc").mapInArrow(count, _RUNS).groupBy("size", "range").applyInArrow(merged, _COUNTED)
 
@@ -294,10 +305,11 @@ def materialised(texts: DataFrame, found: DataFrame, bases) -> DataFrame | None:
             yield pd.Series(held.has(pointer.to_numpy().view(np.uint64)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Words(bases)
         for batch in batches:
             rows = []
             for text, lang, key, asked in zip(batch["text"], batch["lang"], batch["lang_key"], batch["asked"]):
-                own, data = Words(bases), text.encode("utf-8", "surrogatepass")
+                data = text.encode("utf-8", "surrogatepass")
                 parts = [np.concatenate(x) for x in zip(*own.hashed([data]))]
                 clean = data.translate(_CLEAN)
                 for size in {a["size"] for a in asked}:
