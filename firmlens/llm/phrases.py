@@ -29,6 +29,8 @@ BLOCK, CHUNK = 1 << 19, 1 << 21
 RANGES_EACH = 4
 #: a bitmap has 16 bits for each frequent n-gram, within these bounds; a full one only lets more n-grams be counted
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 28, 16
+#: shares of a language that are ranked apart first
+SHARES = 64
 PRIME = (1 << 31) - 1
 #: (factor of bytes, factor of words) modulo 2**64 and modulo PRIME; the next row is taken if texts under one fingerprint differ
 BASES = (
@@ -391,7 +393,10 @@ def collocations(
     longer = inner.groupBy("lang", joined(F.col("i"), F.col("k")).alias("phrase")).agg(F.max("n").alias("f"))
     covered = F.col("f").cast("decimal(20, 0)") * 100 >= F.col("a").cast("decimal(20, 0)") * covered_percent
     kept = best.join(longer, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each share of a language first, so that one task gets a bounded number of rows
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    kept = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     ranked = ranked.withColumn("lang_key", F.xxhash64("lang")).join(totals, "lang_key")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
