@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-#: fixed values of the HTML standard: elements without content, elements that are not rendered as text, elements inside a line
+#: fixed values of the HTML standard: elements without content, elements whose content is not read as text (not rendered, or part of a
+#: form control), elements inside a line
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input svg math".split()
+UNSEEN = frozenset("audio button canvas datalist head iframe math meter noembed noframes noscript object output progress script select style svg template textarea title video".split())
+INLINE = (UNSEEN - {"head"}) | frozenset(
+    "a abbr acronym area b bdi bdo big br cite code data del dfn em embed font i img input ins kbd label link map mark meta nobr param picture q rp rt ruby s samp slot small source span strike strong sub sup time track tt u var wbr".split()
 )
 #: what may stand in a head; anything else ends it
 METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -36,16 +37,19 @@ class Block:
 
 
 class _Reader(HTMLParser):
+    """Keeps the places of open elements by name, so that no tag looks through the open elements."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
+        self.walls: list[int] = []  # places of the open elements that are no part of a line
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
         self.at: tuple[tuple[str, tuple[str, ...]], ...] = ()
         self.unseen = 0
         self.foreign: int | None = None  # place of the outermost open svg or math
-        self.count: Counter[str] = Counter()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -54,41 +58,52 @@ class _Reader(HTMLParser):
         self.parts, self.linked = [], 0
 
     def _pop(self, index: int) -> None:
-        for tag, _ in self.open[index:]:
+        for tag, _ in reversed(self.open[index:]):
             self.unseen -= tag in UNSEEN
-            self.count[tag] -= 1
+            self.places[tag].pop()
         del self.open[index:]
+        while self.walls and self.walls[-1] >= index:
+            self.walls.pop()
         if self.foreign is not None and index <= self.foreign:
             self.foreign = None
 
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open element of the name, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
     def _hosted(self) -> bool:
         """Whether an open element of the svg or math holds HTML."""
-        return any(self.count[tag] for tag in HOSTS) and any(tag in HOSTS for tag, _ in self.open[self.foreign :])
+        return any(self._last(tag) >= self.foreign for tag in HOSTS)
 
     def _empty(self, tag: str) -> bool:
         """Whether a slash closes the start tag: in svg and math only, there also one that ends an unquoted value."""
         return (tag in FOREIGN or self.foreign is not None) and self.get_starttag_text().endswith("/>") and (tag in FOREIGN or not self._hosted())
 
+    def _close_before(self, tag: str) -> None:
+        """End open paragraphs, and the element that the block tag ends if it comes right inside it."""
+        while self.walls:
+            i = self.walls[-1]
+            name = self.open[i][0]
+            if name == "p":
+                self._pop(i)
+                continue
+            if name in CLOSES.get(tag, ()):
+                self._pop(i)
+            break
+
     def handle_starttag(self, tag, attrs):
-        if tag == "body" and self.count["head"]:
-            self._pop(next(i for i, (t, _) in enumerate(self.open) if t == "head"))
+        if tag == "body" and self.places["head"]:
+            self._pop(self.places["head"][0])
         elif tag not in METADATA and self.open and self.open[-1][0] == "head":
             self._pop(len(self.open) - 1)
         if self.foreign is not None and tag in BREAKS and not self._hosted():
             self._pop(self.foreign)
-        if self.foreign is not None:
+        if self.unseen or self.foreign is not None:
             pass
         elif tag not in INLINE:
             self.flush()
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name == "p" or name in CLOSES.get(tag, ()):
-                    self._pop(i)
-                    if name == "p":
-                        continue
-                    break
-                if name not in INLINE:
-                    break
+            self._close_before(tag)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID or self._empty(tag):
@@ -99,27 +114,30 @@ class _Reader(HTMLParser):
             words += ("hidden",)
         if self.foreign is None and tag in FOREIGN:
             self.foreign = len(self.open)
+        if tag not in INLINE:
+            self.walls.append(len(self.open))
+        self.places[tag].append(len(self.open))
         self.open.append((tag, words))
         self.unseen += tag in UNSEEN
-        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.foreign is not None and self.count[tag]:
-            for i in range(len(self.open) - 1, self.foreign - 1, -1):
-                if self.open[i][0] == tag:
-                    self._pop(i)
-                    return
-        if tag not in INLINE:
+        at = self._last(tag)
+        if self.foreign is not None and at >= self.foreign:
+            self._pop(at)
+            return
+        # what is opened inside an unread element ends there; an element around it ends it too
+        if tag not in INLINE and not (self.unseen and (at < 0 or self._unread(at))):
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        if at < 0 or (tag in INLINE and tag not in UNSEEN and self.walls and self.walls[-1] > at):
+            return
+        self._pop(at)
+
+    def _unread(self, place: int) -> bool:
+        """Whether the element at the place stands inside an unread one."""
+        return any(0 <= places[0] < place for tag in UNSEEN if (places := self.places.get(tag)))
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():

@@ -1,6 +1,7 @@
 """The block labeller: gradients by differences, block parsing, accuracy on held-out layouts and on the given pages."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +67,48 @@ def test_blocks(html, want):
     assert got == want or (html and "closed" in html and got[-1] == "x")
 
 
+@pytest.mark.parametrize("tag", sorted(pageblocks.UNSEEN - {"head", "svg", "math", "title"}))
+def test_unread_elements_stay_in_their_line(tag):
+    found = pageblocks.blocks(f"<article><p>one<{tag}>1</{tag}> two</p><p>three</p></article>")
+    assert [b.text for b in found] == ["one two", "three"]
+    assert [t for t, _ in found[0].path] == ["article", "p"]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>one<button><div>b</div><p>n</p></button> two</p>three", ["one two", "three"]),
+        ("<p>one<template><p>n<p>m</template> two", ["one two"]),
+        ("<p>one<noscript><p>n</noscript> two</p>", ["one two"]),
+        ("<div><p>one<select><option>1<option>2</select> two<p>three</div>", ["one two", "three"]),
+        ("<p>one<button>b</p><p>two", ["one", "two"]),
+        ("<p>a<embed src=x>b<img>c<link rel=x><meta name=x>d<p>e", ["abcd", "e"]),
+        ("<i><p>" + "<b>" * 3 + "</i>x</p>y", ["x", "y"]),
+    ],
+)
+def test_lines_with_controls(html, want):
+    assert [b.text for b in pageblocks.blocks(html)] == want
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<b>" * 100_000 + "x<hr>" * 100_000,
+        "<b>" * 250_000 + "</i></p>" * 30_000,
+        "<i><p>" + "<b>" * 150_000 + "</i>" * 100_000,
+        "<desc><svg>" + "<g>" * 150_000 + "x" + "</g>" * 100_000,
+        "<button>" * 60_000 + "<p>x</div>" * 60_000,
+        "<p>" * 200_000 + "<li>x" * 100_000,
+        "<div>" * 150_000 + "</td>" * 100_000,
+    ],
+    ids=range(7),
+)
+def test_reading_is_linear(html):
+    start = time.perf_counter()
+    pageblocks.blocks(html)
+    assert time.perf_counter() - start < 10
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
