@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 import uuid
 from collections import Counter
 
@@ -271,3 +273,15 @@ def test_vector_ranking_does_not_depend_on_packing(spark, partitions, pack, bloc
 def test_prompt_template(spark):
     one = spark.range(1).select(R.prompt_text(F.lit("{year}"), F.lit(2020), F.lit("c"), F.lit("r"), "{request}: {context} / {company} / {year}").alias("p"))
     assert one.first()["p"] == "r: c / {year} / 2020"
+
+
+def test_complex_words_in_linear_time(spark):
+    texts = ["", "banana", "queue idea", "Überraschung naïveté", "bãnana banana1ananas", "strengths rhythm", "aXbaba x", "é" * 9 + "bébéb", "ananas-bananas _ananas"]
+    texts += ["".join(random.Random(i).choices("abeéãxBñ 1-", k=40)) for i in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", Q.complex_words(F.col("text")).alias("n")).collect()
+    old = f"[{Q.CONSONANTS}]*(?:[{Q.VOWELS}]+[{Q.CONSONANTS}]+){{2}}[{Q.VOWELS}]+[A-Za-zÀ-ÿ]*"
+    assert [r["n"] for r in rows] == [len(re.findall(old, r["text"])) for r in rows]
+    long = spark.createDataFrame([("b" * 1_000_000,), ("ab" * 500_000,), ("c" * 500_000 + "anana",)], "text string")
+    start = time.perf_counter()
+    assert sorted(r[0] for r in long.select(Q.complex_words(F.col("text"))).collect()) == [0, 1, 1]
+    assert time.perf_counter() - start < 5
