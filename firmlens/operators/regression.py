@@ -3,8 +3,9 @@
 The rows are read once and reduced to cells (firm, effect levels) with counts, sums and
 sums of products around the sample mean. Every specification works on the cells: group
 means shift them, firm means are taken out of firm totals, and a second effect enters by
-its counts per (firm, level). Only matrices whose sides are regressors or levels of the
-smaller effect reach the driver; no iteration, one method at every size.
+its counts per (firm, level). Up to ``DIRECT_LEVELS`` levels its normal equations are solved
+on the driver; beyond that by preconditioned conjugate gradients whose vectors stay in Spark.
+The driver sees matrices of regressors, of so many levels, or a few numbers per round.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from firmlens.operators.scale import join_on
 from firmlens.session import cut_lineage
 
 SCHEMA = "spec string, term string, estimate double, std_error double, t double, p double, stars string, n long, r2 double, adj_r2 double"
+DIRECT_LEVELS = 1000  # a matrix of 8 MB on the driver
+TOLERANCE, ROUNDING, MAX_ROUNDS = 1e-11, 1e-14, 2000
 Model = tuple[str, Sequence[str], Sequence[str], bool]  # spec, regressors, effect, firm effect
 
 
@@ -112,36 +115,100 @@ class _Spec:
     rank: int = 0
 
 
-def _second_effect(cells: DataFrame, k: int, cluster: str, effect: list[str]) -> tuple[DataFrame, int, int]:
-    """Shift per level that takes out the small effect next to firm effects, with its levels and rank.
+def _second_effect(cells: DataFrame, k: int, cluster: str, effect: list[str], direct: int) -> tuple[DataFrame, int, int]:
+    """Shift per level that takes out the other effect next to firm effects, with its levels and rank.
 
-    The dummies' products are diag(n_g) - sum_f n_fg n_fh / n_f, from the counts of the cells alone.
+    The dummies' products within firms are diag(n_g) - sum_f n_fg n_fh / n_f, from the counts of the cells alone. That is the
+    Laplacian of the levels that share firms, so its rank is the number of levels less that of connected parts.
     """
-    spark = cells.sparkSession
     own = cells.groupBy(cluster, *effect).agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
     firm = own.groupBy(cluster).agg(F.sum("n").alias("__n"), *[F.sum(f"s{i}").alias(f"__s{i}") for i in range(k)])
-    both = cut_lineage(own.join(firm, cluster))
-    share = F.col("n") / F.col("__n")
-    levels = both.groupBy(*effect).agg(F.sum("n").alias("n"), *[F.sum(F.col(f"s{i}") - share * F.col(f"__s{i}")).alias(f"d{i}") for i in range(k)]).collect()
-    place = {tuple(r[e] for e in effect): g for g, r in enumerate(levels)}
-    left = both.select(cluster, F.struct(*effect).alias("a"), share.alias("share"))
+    both = cut_lineage(own.join(firm, cluster).withColumn("share", F.col("n") / F.col("__n")))
+    across = [F.sum(F.col(f"s{i}") - F.col("share") * F.col(f"__s{i}")).alias(f"d{i}") for i in range(k)]
+    levels = cut_lineage(both.groupBy(*effect).agg(F.sum("n").alias("n"), *across))
+    both = both.select(cluster, *effect, "n", "share")
+    count = levels.count()
+    if count <= direct:
+        return _direct(both, levels, k, cluster, effect)
+    spread = cells.agg(*[F.sum(f"p{i}_{i}").alias(f"p{i}") for i in range(k)]).first()
+    return _conjugate_gradients(both, levels, [float(v) for v in spread], cluster, effect), count, count - _parts(both, cluster, effect)
+
+
+def _direct(both: DataFrame, levels: DataFrame, k: int, cluster: str, effect: list[str]) -> tuple[DataFrame, int, int]:
+    """The normal equations as one matrix, for a bounded number of levels."""
+    rows = levels.collect()
+    place = {tuple(r[e] for e in effect): g for g, r in enumerate(rows)}
+    left = both.select(cluster, F.struct(*effect).alias("a"), "share")
     right = both.select(cluster, F.struct(*effect).alias("b"), F.col("n").alias("m"))
-    dummies = np.diag([float(r["n"]) for r in levels])
+    dummies = np.diag([float(r["n"]) for r in rows])
     for r in left.join(right, cluster).groupBy("a", "b").agg(F.sum(F.col("share") * F.col("m")).alias("x")).toLocalIterator():
         dummies[place[tuple(r["a"])], place[tuple(r["b"])]] -= r["x"]
-    cross = np.array([[r[f"d{i}"] for i in range(k)] for r in levels])
+    cross = np.array([[r[f"d{i}"] for i in range(k)] for r in rows])
     shift = np.linalg.pinv(dummies, rcond=1e-10, hermitian=True) @ cross
     rank = int(np.linalg.matrix_rank(dummies, tol=1e-8 * max(1.0, np.abs(dummies).max()), hermitian=True))
-    schema = T.StructType([*[cells.schema[e] for e in effect], *[T.StructField(f"m{i}", T.DoubleType()) for i in range(k)]])
-    return spark.createDataFrame([(*key, *map(float, shift[g])) for key, g in place.items()], schema), len(levels), rank
+    schema = T.StructType([*[levels.schema[e] for e in effect], *[T.StructField(f"m{i}", T.DoubleType()) for i in range(k)]])
+    return levels.sparkSession.createDataFrame([(*key, *map(float, shift[g])) for key, g in place.items()], schema), len(rows), rank
 
 
-def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm") -> DataFrame:
+def _conjugate_gradients(both: DataFrame, levels: DataFrame, spread: list[float], cluster: str, effect: list[str]) -> DataFrame:
+    """The same shifts by conjugate gradients with the counts as preconditioner; one written table of levels and one row to the driver a round.
+
+    The right sides go side by side, each with its own step; what is rounding beside the variable's own ``spread`` counts as solved. A round costs two sums over (firm, level) counts: the product with
+    the matrix is n_g p_g less the share of each firm's sum of n_fh p_h.
+    """
+    each = range(len(spread))
+    state = levels.select(*effect, "n", *[F.lit(0.0).alias(f"x{i}") for i in each], *[F.col(f"d{i}").alias(f"r{i}") for i in each], *[(F.col(f"d{i}") / F.col("n")).alias(f"p{i}") for i in each])
+    first: list[float] | None = None
+    for _ in range(MAX_ROUNDS):
+        moved = join_on(both, state.select(*effect, *[f"p{i}" for i in each]), effect)
+        firms = moved.groupBy(cluster).agg(*[F.sum(F.col("n") * F.col(f"p{i}")).alias(f"t{i}") for i in each])
+        taken = join_on(both, firms, [cluster]).groupBy(*effect).agg(*[F.sum(F.col("share") * F.col(f"t{i}")).alias(f"t{i}") for i in each])
+        now = join_on(state, taken, effect).withColumns({f"q{i}": F.col("n") * F.col(f"p{i}") - F.col(f"t{i}") for i in each}).drop(*[f"t{i}" for i in each])
+        now = cut_lineage(now)
+        sums = []
+        for i in each:
+            p, q, r = F.col(f"p{i}"), F.col(f"q{i}"), F.col(f"r{i}")
+            sums += [F.sum(p * q).alias(f"pq{i}"), F.sum(r * r / F.col("n")).alias(f"rr{i}"), F.sum(r * q / F.col("n")).alias(f"rq{i}"), F.sum(q * q / F.col("n")).alias(f"qq{i}")]
+        row = now.agg(*sums).first()
+        left = [row[f"rr{i}"] for i in each]
+        first = first or left
+        steps, turns = [], []
+        for i in each:
+            live = left[i] > max(TOLERANCE**2 * first[i], ROUNDING**2 * spread[i]) and row[f"pq{i}"] > 0
+            step = left[i] / row[f"pq{i}"] if live else 0.0
+            after = max(left[i] - 2 * step * row[f"rq{i}"] + step * step * row[f"qq{i}"], 0.0)
+            steps.append(step)
+            turns.append(after / left[i] if live else 0.0)
+        if not any(steps):
+            return now.select(*effect, *[F.col(f"x{i}").alias(f"m{i}") for i in each])
+        r = [F.col(f"r{i}") - F.lit(steps[i]) * F.col(f"q{i}") for i in each]
+        state = now.select(
+            *effect, "n", *[(F.col(f"x{i}") + F.lit(steps[i]) * F.col(f"p{i}")).alias(f"x{i}") for i in each],
+            *[r[i].alias(f"r{i}") for i in each], *[(r[i] / F.col("n") + F.lit(turns[i]) * F.col(f"p{i}")).alias(f"p{i}") for i in each],
+        )
+    raise ValueError("the effects could not be separated")
+
+
+def _parts(both: DataFrame, cluster: str, effect: list[str]) -> int:
+    """Connected parts of the levels that share firms: every level takes the smallest name among its neighbours', then that one's own name."""
+    ties = cut_lineage(both.select(cluster, F.xxhash64(*effect).alias("level")))
+    names = cut_lineage(ties.groupBy("level").agg(F.first("level").alias("name")))
+    while True:
+        by_firm = ties.join(names, "level").groupBy(cluster).agg(F.min("name").alias("low"))
+        low = ties.join(by_firm, cluster).groupBy("level").agg(F.min("low").alias("low"))
+        known = names.select(F.col("level").alias("low"), F.col("name").alias("lower"))
+        new = cut_lineage(names.join(low.join(known, "low"), "level").select("level", F.least("name", "lower").alias("next"), "name"))
+        if new.where("next <> name").isEmpty():
+            return new.select("name").distinct().count()
+        names = new.select("level", F.col("next").alias("name"))
+
+
+def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm", direct: int = DIRECT_LEVELS) -> DataFrame:
     """Least squares of ``y`` for several (spec, regressors, effect, firm effect), errors clustered by firm.
 
     Effects are taken out within their groups and, if asked, within firms; without any there is an
     intercept. Rows with a null in a model's columns are left out of it, as are columns without variation
-    of their own (their estimate is null).
+    of their own (their estimate is null). Beside firm effects, up to ``direct`` levels are solved on the driver.
     """
     effects = list(dict.fromkeys(c for _, _, effect, _ in models for c in effect))
     used = dict.fromkeys([cluster, y, *[c for _, xs, _, _ in models for c in xs], *effects])
@@ -158,7 +225,7 @@ def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm
         cells = cells.dropna(subset=group) if group else cells
         spec = _Spec(name, list(xs), group, firm_effect, means)
         if group and firm_effect:
-            shift, spec.levels, spec.rank = _second_effect(cells, k, cluster, group)
+            shift, spec.levels, spec.rank = _second_effect(cells, k, cluster, group, direct)
             table = _firms(cells, k, cluster, group, shift, within=True)
         elif group:
             n = F.sum("n")
@@ -181,9 +248,9 @@ def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm
     return df.sparkSession.createDataFrame([r for part in parts for r in part], SCHEMA)
 
 
-def fit(df: DataFrame, y: str, xs: Sequence[str], spec: str, effect: Sequence[str] = (), firm_effect: bool = False, cluster: str = "firm") -> DataFrame:
+def fit(df: DataFrame, y: str, xs: Sequence[str], spec: str, effect: Sequence[str] = (), firm_effect: bool = False, cluster: str = "firm", direct: int = DIRECT_LEVELS) -> DataFrame:
     """One model of ``fit_all``."""
-    return fit_all(df, y, [(spec, xs, effect, firm_effect)], cluster)
+    return fit_all(df, y, [(spec, xs, effect, firm_effect)], cluster, direct)
 
 
 def _coefficients(spec: _Spec, row) -> tuple[list[int], np.ndarray, np.ndarray, float, float]:

@@ -202,26 +202,28 @@ PANEL = f"""{S.ENRICHED}, {S.FIRMS}, {S.FIRM_YEARS}, base AS (SELECT t.firm, t.y
   panel AS (SELECT base.*, {", ".join(f"CAST({m} <= {lo}_ AS DOUBLE) AS {lo}, CAST({m} >= {hi}_ AS DOUBLE) AS {hi}" for m, (lo, hi) in MAIN.items())} FROM base LEFT JOIN q USING (year))"""
 
 
-def least_squares_sql(tag: str, spec: str, xs: dict[str, str], group: str, source: str = "panel") -> str:
+def least_squares_sql(tag: str, spec: str, xs: dict[str, str], group: str, source: str = "panel", hidden: int = 0) -> str:
     """Coefficients and R2 of transp on the expressions xs within groups, by successive residuals and back substitution.
 
-    Plain SQL on the rows: every step takes one regressor out of the ones after it. The spread is that of the sample.
+    Plain SQL on the rows: every step takes one regressor out of the ones after it. The spread is that of the sample. The first
+    ``hidden`` regressors are dummies: they may have no variation of their own, and their coefficients are left out.
     """
     k = len(xs)
+    share = lambda i, j: f"sum(x{j} * x{i}) / sum(x{j} * x{j})" if j > hidden else f"CASE WHEN sum(x{j} * x{j}) > 1e-9 THEN sum(x{j} * x{i}) / sum(x{j} * x{j}) ELSE 0 END"
     known = " AND ".join(f"({e}) IS NOT NULL" for e in xs.values())
     grouped = " AND ".join(f"{c} IS NOT NULL" for c in group.split(", ")) if group != "1" else "TRUE"
     out = [f"{tag}r AS MATERIALIZED (SELECT *, {', '.join(f'({e}) AS x{i}' for i, e in enumerate(xs.values(), 1))} FROM {source} WHERE {known} AND {grouped})"]
     out.append(f"{tag}0 AS MATERIALIZED (SELECT transp - avg(transp) OVER w AS x0, {', '.join(f'x{i} - avg(x{i}) OVER w AS x{i}' for i in range(1, k + 1))} FROM {tag}r WINDOW w AS (PARTITION BY {group}))")
     for j in range(1, k + 1):
         rest = [0, *range(j + 1, k + 1)]
-        out.append(f"{tag}a{j} AS MATERIALIZED (SELECT sum(x{j} * x{j}) AS d, {', '.join(f'sum(x{j} * x{i}) / sum(x{j} * x{j}) AS r{i}' for i in rest)} FROM {tag}{j - 1})")
+        out.append(f"{tag}a{j} AS MATERIALIZED (SELECT sum(x{j} * x{j}) AS d, {', '.join(f'{share(i, j)} AS r{i}' for i in rest)} FROM {tag}{j - 1})")
         out.append(f"{tag}{j} AS MATERIALIZED (SELECT {', '.join(f'x{i} - r{i} * x{j} AS x{i}' for i in rest)} FROM {tag}{j - 1}, {tag}a{j})")
-    for j in range(k, 0, -1):
+    for j in range(k, hidden, -1):
         known_b = "".join(f" - a{j}.r{i} * b{i}.b" for i in range(j + 1, k + 1))
         later = "".join(f", {tag}b{i} b{i}" for i in range(j + 1, k + 1))
         out.append(f"{tag}b{j} AS MATERIALIZED (SELECT a{j}.r0{known_b} AS b FROM {tag}a{j} a{j}{later})")
     out.append(f"{tag}f AS MATERIALIZED (SELECT 1 - (SELECT sum(x0 * x0) FROM {tag}{k}) / (SELECT var_pop(transp) * count(*) FROM {tag}r) AS r2, (SELECT count(*) FROM {tag}r) AS n)")
-    rows = " UNION ALL ".join(f"SELECT '{spec}' AS spec, '{name}' AS term, n, b AS estimate, r2 FROM {tag}b{j}, {tag}f" for j, name in enumerate(xs, 1))
+    rows = " UNION ALL ".join(f"SELECT '{spec}' AS spec, '{name}' AS term, n, b AS estimate, r2 FROM {tag}b{j}, {tag}f" for j, name in enumerate(xs, 1) if j > hidden)
     return ", ".join(out) + f", {tag}o AS ({rows})"
 
 
@@ -282,9 +284,22 @@ def _(spark, d):
     return rounded(out.select("spec", "term", "n", "estimate", "r2"), "estimate", "r2")
 
 
-@query("i10_panel_two_effects")
+SECTORS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def two_effects_sql() -> str:
+    """Firm effects by their means, sector-year effects by a dummy for each sector and year but the first."""
+    dummies = {f"d{i}": f"CAST(sector = '{sector}' AND year = {year} AS DOUBLE)" for i, (sector, year) in enumerate((s, y) for s in SECTORS for y in range(1996, 2002))}
+    specs = [(spec, xs) for spec, xs, _, _ in panel_specs(True)]
+    parts = [least_squares_sql(f"m{i}_", spec, dummies | {x: x for x in xs}, "firm", "(SELECT * FROM panel WHERE sector IS NOT NULL)", len(dummies)) for i, (spec, xs) in enumerate(specs)]
+    outs = " UNION ALL ".join(f"SELECT * FROM m{i}_o" for i in range(len(specs)))
+    return f"WITH {PANEL}, " + ", ".join(parts) + f" SELECT spec, term, n, round(estimate, 6) AS estimate, round(r2, 6) AS r2 FROM ({outs})"
+
+
+@query("i10_panel_two_effects", two_effects_sql())
 def _(spark, d):
-    return G.fit_all(panel(spark, d, MAIN), "transp", panel_specs(True))
+    out = G.fit_all(panel(spark, d, MAIN), "transp", panel_specs(True))
+    return rounded(out.select("spec", "term", "n", "estimate", "r2"), "estimate", "r2")
 
 
 def trend_panel(spark, d, mains=("size",)):

@@ -69,6 +69,31 @@ def test_adjusted_r2_counts_the_rank_of_overlapping_effects(spark, panel):
     assert abs(got["adj_r2"] - (1 - ssr / (n - np.linalg.matrix_rank(x)) / (total / (n - 1)))) < 1e-9
 
 
+@pytest.mark.parametrize("xs", [["x1", "x2"], ["x1", "x2", "constant_in_firm"]])
+def test_conjugate_gradients_equal_the_direct_solve(spark, panel, xs):
+    """Sectors are parts of their own; a hole and a firm of its own make more."""
+    data = spark.createDataFrame(pd.concat([panel, pd.DataFrame([(99, 2030, "Z", 1.0, 2.0, 3.0, 0.0), (98, 2031, "A", 1.0, 0.0, 1.0, 1.0)], columns=panel.columns)]))
+    ways = [[tuple(r) for r in fit(data, "y", xs, "s", ["sector", "year"], True, direct=d).collect()] for d in (0, 1000)]
+    for a, b in zip(*ways):
+        assert a[:2] == b[:2] and [x is None for x in a] == [x is None for x in b]
+        assert np.allclose([x for x in a[2:] if isinstance(x, float)], [x for x in b[2:] if isinstance(x, float)], rtol=1e-6, atol=1e-9)
+
+
+def test_many_levels(spark):
+    """3,000 levels, no matrix of them: estimates equal those of a sparse alternation on the rows."""
+    rng = np.random.default_rng(11)
+    n, firms, levels = 12_000, 900, 3_000
+    df = pd.DataFrame({"firm": rng.integers(0, firms, n), "place": rng.integers(0, levels, n), "x1": rng.normal(size=n), "x2": rng.normal(size=n)})
+    df["y"] = 0.7 * df["x1"] - 0.3 * df["x2"] + rng.normal(size=firms)[df["firm"]] + rng.normal(size=levels)[df["place"]] + rng.normal(size=n)
+    within = df[["y", "x1", "x2"]].copy()
+    for _ in range(300):
+        for key in ("firm", "place"):
+            within -= within.groupby(df[key]).transform("mean")
+    want = np.linalg.lstsq(within[["x1", "x2"]].to_numpy(), within["y"].to_numpy(), rcond=None)[0]
+    got = {r["term"]: r["estimate"] for r in fit(spark.createDataFrame(df), "y", ["x1", "x2"], "s", ["place"], True).collect()}
+    assert np.allclose([got["x1"], got["x2"]], want, atol=1e-8)
+
+
 def test_large_means_keep_their_digits(spark, panel):
     far = panel.assign(y=panel["y"] + 1e8, x1=panel["x1"] + 1e8)
     got = {r["term"]: r for r in fit(spark.createDataFrame(far), "y", ["x1", "x2"], "s").collect()}
