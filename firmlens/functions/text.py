@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html as html_lib
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities and their characters (the ampersand comes last).
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 # Typographic characters and their plain forms, same length.
 PLAIN_FROM = "“”„‟‘’‚‛´`‐‑‒–—−   "
 PLAIN_TO = "\"\"\"\"''''''------   "
@@ -17,18 +21,79 @@ INVISIBLE = r"[\x{200B}\x{200C}\x{2060}\x{FEFF}\x{00AD}\x{0000}-\x{0008}\x{000B}
 NAME_KEY = r"^(.*)[_-](\d{4})(?:_([A-Za-z]+))?(?:\.\w+)?$"
 
 
+def _mapped(text: Column, change) -> Column:
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(change, na_action="ignore")
+
+    return of(text)
+
+
+def decoded(text: Column) -> Column:
+    """Character references (all standard names, decimal, hexadecimal) as their characters, in one pass."""
+    return _mapped(text, html_lib.unescape)
+
+
+def _table_of_bytes() -> dict[str, int]:
+    """Which byte from 0x80 on a character stands for in the two western one-byte tables."""
+    out = {chr(b): b for b in range(0x80, 0x100)}
+    for b in range(0x80, 0xA0):
+        try:
+            out[bytes([b]).decode("cp1252")] = b
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+_BYTE = _table_of_bytes()
+_tail = "[" + "".join(re.escape(c) for c, b in _BYTE.items() if b < 0xC0) + "]"
+_MISREAD = re.compile(f"[\u00c2-\u00df]{_tail}|[\u00e0-\u00ef]{_tail}{{2}}|[\u00f0-\u00f4]{_tail}{{3}}")
+# Marks that may follow the last letter of a word in capitals.
+_CLOSING = "…”’»“›—–™®°"
+
+
+def _reread(m: re.Match) -> str:
+    """The character that the bytes of a suspect run stand for in UTF-8, if it is the likelier reading."""
+    run, text = m[0], m.string
+    try:
+        char = bytes(_BYTE[c] for c in run).decode("utf-8")
+    except UnicodeDecodeError:
+        return run
+    before = text[m.start() - 1 : m.start()]
+    if len(run) == 2:
+        if (before.isupper() and run[1] in _CLOSING) or char < "\u00a0":
+            return run
+        # a letter beyond the western ones needs a neighbour that speaks for it
+        if run[0] > "Ã" and not (before.islower() or _MISREAD.match(text, m.end()) or (m.start() > 1 and _MISREAD.match(text, m.start() - 2))):
+            return run
+    return char if char.isprintable() or char == "\u00a0" else run
+
+
+def repair(text: str) -> str:
+    """Text whose UTF-8 was read in a western one-byte table, read again (also if that happened twice); composed canonically."""
+    while not text.isascii():
+        again = unicodedata.normalize("NFC", _MISREAD.sub(_reread, text))
+        if again == text:
+            break
+        text = again
+    return text
+
+
+def repaired(text: Column) -> Column:
+    return _mapped(text, repair)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text of a page: no script, style, comment or tag; entities decoded, spaces folded."""
+    """Visible text of a page: no script, style, comment or tag; character references decoded, spaces folded."""
     out = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(decoded(out), r"[\s\x{00A0}]+", " "))
 
 
 def clean_text(text: Column) -> Column:
-    """Plain typography, no emoji or invisible characters, single spaces, at most one blank line."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
+    """Misread characters repaired, plain typography, no emoji or invisible characters, single spaces, at most one blank line."""
+    out = F.regexp_replace(repaired(text), r"\r\n?", "\n")
     out = F.translate(out, PLAIN_FROM, PLAIN_TO)
     for ligature, letters in LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))

@@ -35,15 +35,19 @@ def _(spark, d):
     return file_names(spark, d).withColumns(X.name_key(F.col("file_name")))
 
 
+# Character references of the given pages, some without their semicolon; the ampersand comes last.
+REFERENCES = {"&nbsp;?": chr(160), "&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "'", "&apos;": "'", "&copy;?": "©", "&middot;?": "·", "&amp;?": "&"}
+
+
 def _entities(expr):
-    for entity, char in X.ENTITIES.items():
-        expr = f"replace({expr}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for entity, char in REFERENCES.items():
+        expr = f"regexp_replace({expr}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
     return expr
 
 
 HTML_SQL = "trim(regexp_replace(" + _entities(
     "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-) + ", '\\s+', ' ', 'g'))"
+) + ", '[\\s\\x{00A0}]+', ' ', 'g'))"
 
 
 @query("a15_page_text", f"SELECT page_id, url, {HTML_SQL} AS text FROM pages")
@@ -99,7 +103,7 @@ def _(spark, d):
 
 def _clean_sql():
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    out = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+    out = "regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g')"  # the given texts hold no misread characters
     out = f"translate({out}, {q(X.PLAIN_FROM)}, {q(X.PLAIN_TO)})"
     for lig, letters in X.LIGATURES.items():
         out = f"replace({out}, '{lig}', '{letters}')"

@@ -1,5 +1,6 @@
 """Documents, chunks, quality, retrieval and answers on small rows, some against brute force."""
 
+import html
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmlens.functions.splitter import MARKDOWN_SEPARATORS, SEPARATORS, split_spans
-from firmlens.functions.text import clean_text, html_text, name_key
+from firmlens.functions.text import clean_text, decoded, html_text, name_key, repair
 from firmlens.operators import documents as D
 from firmlens.operators import extraction as E
 from firmlens.operators import quality as Q
@@ -285,3 +286,45 @@ def test_complex_words_in_linear_time(spark):
     start = time.perf_counter()
     assert sorted(r[0] for r in long.select(Q.complex_words(F.col("text"))).collect()) == [0, 1, 1]
     assert time.perf_counter() - start < 5
+
+
+def test_character_references(spark):
+    rng = random.Random(3)
+    parts = ["&amp;", "&amp;lt;", "&#233;", "&#xE9;", "&#X20AC;", "&eacute;", "&hellip;", "&CounterClockwiseContourIntegral;", "&nbsp;", "&unknown;", "&", "&#;", "&copy", "&#0;", "&#x110000;", "x", " "]
+    texts = ["".join(rng.choices(parts, k=12)) for _ in range(200)] + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decoded(F.col("t")).alias("d"), html_text(F.concat(F.lit("<p>"), "t", F.lit("</p>"))).alias("p")).orderBy("i").collect()
+    for row, text in zip(rows, texts):
+        assert row["d"] == (None if text is None else html.unescape(text))
+        assert row["p"] == (None if text is None else re.sub(r"[\s\u00a0]+", " ", html.unescape(text)).strip(" "))
+
+
+MISREAD = {
+    "cafÃ© dÃ©jÃ\u00a0 vu": "café déjà vu", "â€œHiâ€\u009d â€“ itâ€™s": "“Hi” – it’s", "20Â°C Â£5 Â© Â½": "20°C £5 © ½", "GrÃ¼ÃŸe": "Grüße", "Ã‰tÃ©": "Été", "â‚¬ 5â„¢": "€ 5™", "ÐŸÑ€Ð¸Ð²ÐµÑ‚": "Привет",
+    "ÎšÎ±Î»Î·": "Καλη", "Å‚Ã³dÅº": "łódź", "zaÅ¼Ã³Å‚Ä‡": "zażółć", "ðŸ˜€": "😀", "ÃƒÂ©": "é", "e\u0301": "é", "A\u030a": "Å",
+    "CAFÉ… MAÇÃ” AMANHÃ…": "CAFÉ… MAÇÃ” AMANHÃ…", "naïve façade Übung": "naïve façade Übung", "Â": "Â", "SÃO PAULO": "SÃO PAULO", "plain": "plain", "": "", "5 € – „so“": "5 € – „so“",
+}
+
+
+@pytest.mark.parametrize("text", MISREAD)
+def test_misread_text(text):
+    assert repair(text) == MISREAD[text]
+
+
+def test_repair_is_idempotent_and_leaves_good_text_alone(spark, sample_texts):
+    rng = random.Random(9)
+    for _ in range(3000):
+        once = repair("".join(rng.choices("aé€™ÃÂâ€œ\u009dÐŸÑ€ð\u0301 ", k=12)))
+        assert repair(once) == once
+    for text in sample_texts:
+        assert repair(text) == text
+        wrong = text.encode().decode("cp1252", "replace")
+        if "\ufffd" not in wrong and not re.search(r"[A-ZÀ-Þ][À-Þ]", text):
+            assert repair(wrong) == text
+    got = spark.createDataFrame([("sofort Ã¼ber  e\u0301 â€œxâ€œ",), (None,)], "t string").select(clean_text(F.col("t"))).collect()
+    assert [r[0] for r in got] == ['sofort über é "x"', None]
+
+
+@pytest.fixture(scope="module")
+def sample_texts(spark):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+
