@@ -2,11 +2,16 @@
 
 Alias keys are lower case. The alias table is generated from the unit list and
 the prefixes; units outside the list are unknown on purpose. CO2 equivalents
-count as mass, so tonnes and tCO2e convert one to one.
+count as mass, so tonnes and tCO2e convert one to one. Products and powers of
+listed units, with numbers before them, are evaluated by ``unit_expression``.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from functools import lru_cache
+
 # Scale words in the order they are tried.
 SCALE_WORDS = {
     "hundred": 1e2,
@@ -117,6 +122,57 @@ def unit_aliases() -> list[tuple[str, str, float, bool]]:
     return [(alias, *row) for alias, row in out.items()]
 
 
+#: dimension -> exponents of gram, metre and second, and its unit in these
+_EXPONENTS = {
+    "mass": ((1, 0, 0), 1.0),
+    "length": ((0, 1, 0), 1.0),
+    "area": ((0, 2, 0), 1.0),
+    "volume": ((0, 3, 0), 1.0),
+    "time": ((0, 0, 1), 1.0),
+    "energy": ((1, 2, -2), 1000.0),
+    "ratio": ((0, 0, 0), 1.0),
+}
+_RAISED = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
+_FACTOR = re.compile(r"(?P<number>\d+(?:\.\d+)?(?:e[+-]?\d+)?)|(?P<name>[^\W\d⁰¹²³⁴-⁹]+(?:\d[^\W\d⁰¹²³⁴-⁹]+)*[23]?|[%‰])(?:(?:\^|\*\*)(?P<power>[+-]?\d+)|(?P<raised>⁻?[⁰¹²³⁴-⁹]+))?")
+MOST_POWER = 9
+
+
+@lru_cache(maxsize=1)
+def _coherent() -> dict[str, tuple[tuple[int, int, int], float]]:
+    """Alias -> exponents and factor in gram, metre, second."""
+    return {alias: (_EXPONENTS[dim][0], factor * _EXPONENTS[dim][1]) for alias, dim, factor, _ in unit_aliases() if dim in _EXPONENTS}
+
+
+def unit_expression(text: str | None) -> tuple[str, float] | None:
+    """(dimension, factor) of numbers and listed units with whole powers, multiplied by ``*``, ``·``, ``×``, or a number right before a unit.
+
+    ``text`` is lower case without white space. None if it does not fit, names an unlisted unit, or has no named dimension.
+    """
+    at, exponents, factor, follows = 0, [0, 0, 0], 1.0, False
+    text, units, known = text or "", 0, _coherent()
+    while at < len(text):
+        if at and text[at] in "*·⋅×" and at + 1 < len(text):
+            at, follows = at + 1, False
+        m = _FACTOR.match(text, at)
+        # two factors side by side only as a number before a unit
+        if not m or (follows and not (m["name"] and follows == "number")):
+            return None
+        if m["number"]:
+            factor, follows = factor * float(m["number"]), "number"
+        else:
+            power = int(m["power"] or (m["raised"] or "1").translate(_RAISED))
+            if m["name"] not in known or abs(power) > MOST_POWER:
+                return None
+            own, scale = known[m["name"]]
+            exponents = [e + power * o for e, o in zip(exponents, own)]
+            factor, follows, units = factor * scale**power, "unit", units + 1
+        at = m.end()
+    found = next((dim for dim, (own, _) in _EXPONENTS.items() if list(own) == exponents), None)
+    if not units or found is None or not (0 < factor < math.inf):
+        return None
+    return found, factor / _EXPONENTS[found][1]
+
+
 def currency_pattern() -> str:
     """Prefix magnitude, currency, suffix magnitude; the caller excludes digits."""
     magnitude = "|".join(m.replace(".", r"\.") for m in MAGNITUDES)

@@ -8,8 +8,10 @@ its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,22 @@ def unit_key(num: Column, den: Column) -> Column:
     return F.when(den.isNull(), num).when(num.isNull(), F.concat(F.lit("per_"), den)).otherwise(F.concat_ws("_per_", num, den))
 
 
+#: dimensions of unit expressions that may stand over a currency
+OVER_CURRENCY = ("energy", "volume")
+
+
+def expressions(unit: Column) -> Column:
+    """(dim, fac) of unit expressions such as ``1000kg`` or ``m^3``; for tables of distinct texts."""
+
+    @F.pandas_udf("dim string, fac double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [U.unit_expression(t) if isinstance(t, str) else None for t in texts]
+            yield pd.DataFrame({"dim": [f and f[0] for f in found], "fac": [f and f[1] for f in found]}).astype({"dim": object, "fac": float})
+
+    return of(F.lower(unit))
+
+
 def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFrame:
     """Add every unit column to rows holding unit text in ``text``.
 
@@ -120,6 +138,10 @@ def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFra
         col("alias").alias("__d_alias"), col("dim").alias("__d_dim")
     )
     t = t.join(upper, F.lower("usd_num") == col("__n_alias"), "left").join(lower, F.lower("usd_den") == col("__d_alias"), "left")
+    # what no alias names may be an expression of them
+    t = t.withColumn("__e", expressions(F.when(col("__n_alias").isNull(), col("usd_num"))))
+    named = {"__n_dim": F.coalesce("__n_dim", "__e.dim"), "__n_fac": F.coalesce("__n_fac", "__e.fac"), "__n_over": F.coalesce("__n_over", col("__e.dim").isin(*OVER_CURRENCY))}
+    t = t.withColumns(named).drop("__e")
     ratio = F.when(col("__n_over") & col("__d_dim").isNotNull(), F.concat_ws("/", "__n_dim", "__d_dim"))
     t = t.withColumns(
         {"unit_key": unit_key(col("usd_num"), col("usd_den")), "dimension": F.when(col("usd_den").isNull(), col("__n_dim")).otherwise(ratio)}

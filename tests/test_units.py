@@ -129,3 +129,40 @@ def test_second_rate_stops_the_job(spark):
     twice = rates(spark).union(rates(spark))
     with pytest.raises(Exception, match="two rates"):
         run(spark, CASES, twice)
+
+
+# unit text (lower case, no spaces) -> dimension and factor in gram, metre, second, joule
+EXPRESSIONS = {
+    "m^3": ("volume", 1), "m**3": ("volume", 1), "m**2": ("area", 1), "m^2": ("area", 1), "km^2": ("area", 1e6), "km**2": ("area", 1e6), "cm^3": ("volume", 1e-6),
+    "1000kg": ("mass", 1e6), "1000t": ("mass", 1e9), "10^3kg": None, "1e3kg": ("mass", 1e6), "1.5kg": ("mass", 1500), "0.5l": ("volume", 5e-4), "1000m3": ("volume", 1e3),
+    "1000m^3": ("volume", 1e3), "1000*m^3": ("volume", 1e3), "10*100kg": ("mass", 1e6), "kg*m^2*s^-2": ("energy", 1), "kg·m²·s⁻²": ("energy", 1), "kg*m2*s^-2": ("energy", 1),
+    "wh*h^-1*h": ("energy", 3600), "1000mwh": ("energy", 3.6e12), "100gj": ("energy", 1e11), "m*m": ("area", 1), "m·m·m": ("volume", 1), "m×km": ("area", 1e3),
+    "ha*m": ("volume", 1e4), "m³": ("volume", 1), "km³": ("volume", 1e9), "m²": ("area", 1), "m⁻²*m⁴": ("area", 1), "1000hours": ("time", 3.6e6), "24h": ("time", 86400), "365days": ("time", 31536000),
+    "100%": ("ratio", 1), "10ppm": ("ratio", 1e-5), "t*t^-1": ("ratio", 1), "kg*t^-1": ("ratio", 1e-3), "g^1": ("mass", 1), "t^+1": ("mass", 1e6), "1000tco2e": ("mass", 1e9),
+    "100l": ("volume", 0.1), "l^1": ("volume", 1e-3), "cm*m": ("area", 1e-2),
+    "": None, "1000": None, "acre": None, "1000acres": None, "m^": None, "m^^2": None, "m^2.5": None, "kgm": None, "kg1000": None, "*kg": None, "kg*": None, "kg**": None, "kg*s": None, "m^99": None,
+    "0kg": None, "1000chf": None, "1000usd": None, "k": None, "m//s": None, "1e": None, "2 kg": None, "(kg)": None, "1e999kg": None, "m^0": ("ratio", 1),
+}
+
+
+@pytest.mark.parametrize("text", EXPRESSIONS)
+def test_unit_expression(text):
+    got, want = U.unit_expression(text), EXPRESSIONS[text]
+    assert (got is None) == (want is None) and (got is None or (got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-12))), got
+
+
+def test_expressions_agree_with_the_aliases():
+    for alias, dim, factor, _ in U.unit_aliases():
+        got = U.unit_expression(f"10*{alias}")
+        assert got is None or (got[0] == dim and got[1] == pytest.approx(10 * factor)), alias
+
+
+def test_expressions_in_rows(spark):
+    rows = [("m3", "2", "m^3", True), ("tonnes", "2", "1000 kg", True), ("hectares", "3", "m**2", True), ("tonnes", "1", "kg*s", True), (U.VOLUME_PER_USD, "1", "1000 m^3/USD", True), (U.CO2_PER_USD, "1", "1000kg/USD", True)]
+    table = spark.createDataFrame([(i, t, 2020, v, u, ok) for i, (t, v, u, ok) in enumerate(rows)], "indicator int, type string, year int, value string, unit string, valid boolean")
+    types = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "indicator int, type_standard string")
+    fx = spark.createDataFrame([(2020, "EUR", 1.2)], "year int, currency string, rate double")
+    got = {r["indicator"]: (r["value_num"], r["valid"]) for r in harmonise(table.drop("type"), types, fx).collect()}
+    assert got[0] == (2.0, True) and got[1] == (2.0, True) and got[2] == (pytest.approx(3e-4), True) and got[3] == (None, False)
+    assert got[4] == (1000.0, True) and got[5] == (None, False)
+
