@@ -1,13 +1,15 @@
 """Fixed-effect regressions against dense dummy-variable least squares in numpy."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from firmlens.functions.dist import incomplete_beta, t_p_value, t_quantile
+from firmlens.functions.dist import _distance_tail, incomplete_beta, rank_distances, rank_p_value, t_p_value, t_quantile
 from firmlens.operators import regression
 from firmlens.operators.regression import fit
-from firmlens.operators.validation import icc, welch
+from firmlens.operators.validation import icc, spearman, welch
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +154,32 @@ def test_welch(spark):
     assert abs(got["diff_pp"] - 47.5) < 1e-9 and got["n"] == 4
     se2 = np.var([0.5, 0.6, 0.7, 0.9], ddof=1) / 4 + np.var([0.1, 0.2, 0.3], ddof=1) / 3
     assert abs(got["t"] - 0.475 / np.sqrt(se2)) < 1e-9 and got["label"].startswith("diff = +47.5 p.p.")
+
+
+@pytest.mark.parametrize("n", range(2, 9))
+def test_rank_p_values_by_all_orders(n):
+    base = np.arange(n)
+    sums = sorted(((base - np.array(order)) ** 2).sum() for order in itertools.permutations(range(n)))
+    for s in set(sums):
+        above, below = np.mean([x >= s for x in sums]), np.mean([x <= s for x in sums])
+        want = min(1.0, 2 * (above if s > (n**3 - n) / 6 else below))
+        assert rank_p_value(float(s), n) == pytest.approx(want, abs=1e-12)
+
+
+def test_rank_series_is_near_the_exact_distribution():
+    for n in (10, 12):
+        counts = rank_distances(n)
+        tails = counts[::-1].cumsum()[::-1] / counts.sum()
+        worst = max(abs(_distance_tail(s, n) - tails[s]) for s in range(2, len(tails), 2))
+        assert worst < 2e-3
+
+
+def test_spearman_p(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(a), float(b)) for g, n in (("few", 7), ("some", 40), ("many", 1400)) for a, b in rng.permutation(n * 10)[: 2 * n].reshape(n, 2)] + [("tied", float(i // 2), float(i * i % 7)) for i in range(12)]
+    got = {r["g"]: r for r in spearman(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], "a", "b").collect()}
+    assert got["few"]["p"] == pytest.approx(rank_p_value(got["few"]["s_statistic"], 7)) and got["some"]["p"] == pytest.approx(rank_p_value(got["some"]["s_statistic"], 40))
+    for g in ("many", "tied"):
+        assert got[g]["p"] == pytest.approx(t_p_value(got[g]["t"], got[g]["n"] - 2))
+    assert abs(got["some"]["p"] - t_p_value(got["some"]["t"], 38)) < 0.01
+
