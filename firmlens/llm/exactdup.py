@@ -1,6 +1,6 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Each input partition turns its texts into one sorted run of (digest, best identifier, count). Runs then meet in rounds: in
+The texts of each input partition go into one sorted run of (digest, best identifier, count). Runs then meet in rounds: in
 round t, runs whose numbers differ in digit t only exchange rows by digit t of the digest, and a sort aggregate merges what
 arrives. A text costs one row per run at every level however often it is repeated, so a hot text never gathers, and
 after the last round every run owns one digest range.
@@ -33,7 +33,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows meet only when the SHA-256 digest, an independent 64-bit hash and the byte length agree.
 
     Null text equals the empty text. Null ids sort below all others. Repeated ids: of rows that tie, the one read last
-    stays, so each group keeps exactly one row. An empty table gives an empty result. Other columns are not read.
+    stays, so each group keeps exactly one row. Texts of any length are hashed where they are read; only digests move. An empty table
+    gives an empty result. Other columns are not read.
     """
     runs, rounds = fan_in, 1
     while runs < shuffle_partitions(docs):
@@ -51,7 +52,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
     )
     best, size = F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("size")
-    level = rows.groupBy("run", *key).agg(best, size)
+    # whole input partitions are dealt to runs; a run is then sorted and aggregated where it lies
+    level = rows.repartitionById(runs, "run").groupBy("run", *key).agg(best, size)
     prefix = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     for t in range(rounds):
         own = _digit(F.col("run"), t, fan_in)
@@ -70,10 +72,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` drops, all columns kept.
 
-    Rows that repeat both id and text are one document and leave one row; null ids with the same text likewise.
+    Rows that repeat both id and text are one document and leave one row; null ids with the same text likewise. An empty
+    table stays empty.
     """
     (key,) = fresh(docs, "dup_key")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
     stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.concat_ws(":", "text_sha256", name).alias(key))
     keyed = docs.withColumn(key, F.concat_ws(":", F.sha2(normalised(F.col(text_col)).cast("binary"), 256), name))
     return keyed.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -148,3 +148,33 @@ def test_components_of_chain(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (1000, 1001)]
     got = {r.u: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_no_shuffle_by_digest_before_the_tree(make_docs, sample):
+    """The first exchange above the staged rows deals whole runs."""
+    plan = exactdup.exact_duplicates(make_docs(sample))._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.split("\n") if "Exchange" in line and "Reused" not in line]
+    staged = [i for i, line in enumerate(plan.split("\n")) if "Scan parquet" in line]
+    lines = plan.split("\n")
+    above = [next(lines[j] for j in range(i, -1, -1) if "Exchange" in lines[j]) for i in staged]
+    assert first and any("hashpartitioning" not in line for line in above), above
+
+
+def test_empty_and_null_ids_keep_their_own_rows(spark):
+    rows = [("", "a"), (None, "a"), ("", "a"), ("x", "b"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.text) for r in exactdup.drop_duplicates(docs).collect()), key=str)
+    assert got == sorted([("", "a"), ("x", "b"), (None, "c")], key=str)
+
+
+def test_links_of_one_hot_half(spark):
+    """Every fingerprint has the same lower half, far more of them than ``dense``."""
+    rng = random.Random(1)
+    high = [rng.getrandbits(31) for _ in range(300)]
+    high += [h ^ (1 << rng.randrange(31)) for h in high[:100]] + [h ^ 3 for h in high[100:150]]
+    fps = sorted({(h << 32) | 12345 for h in high})
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 16).collect()}
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert got <= want
+    pairs = spark.createDataFrame(sorted(want), "u long, v long")
+    assert sorted(components.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 16)).collect()) == sorted(components.components(pairs).collect())
