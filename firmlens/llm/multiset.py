@@ -72,35 +72,33 @@ def _lanes(sums: list[Column]) -> Column:
     return F.array(*out)
 
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """How many of the ordered bounds are <= value, by binary search; null is 0."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    known = F.array(*map(F.lit, bounds))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.get(known, at + step - 1) <= value, step).otherwise(F.lit(0)))
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, bucket, id, text, next_text, extra): each text beside the next by ascending id, the last beside the first.
 
-    Ids are cut into ranges of similar size, and every range also gets the first row of the next one (``extra``), so
-    each range is finished alone and the texts are shuffled once. The driver sees a few numbers per range.
+    Rows are ordered by (id, hash of the text, row), which tells all rows apart, and cut into ranges of similar size, so that an
+    id that very many rows share is cut too. A range's first row is also given to the range before it (``extra``); each
+    range is then finished alone and the texts are shuffled once. The driver sees the first key of each range.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = BUCKETS_PER_PARTITION * shuffle_partitions(docs)
-    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("cuts")).first().cuts or []
-    bucket = _bucket(F.col("id"), sorted(set(cuts)))
-    firsts = sorted((r.bucket, r.first.id) for r in rows.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.min(F.struct("id")).alias("first")).collect())
-    kind = docs.schema[id_col].dataType.simpleString()
-    heads = docs.sparkSession.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], f"head {kind}, into int")
-    # heads has at most one small row per range, and every head is in one row of it
-    targets = F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("extra")), F.when(F.col("into").isNotNull(), F.struct(F.col("into").alias("bucket"), F.lit(1).alias("extra"))))
-    own = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")), "left").select("id", "text", F.explode(targets).alias("to"))
-    own = own.where("to IS NOT NULL").select("id", "text", "to.bucket", "to.extra")
-    order = Window.partitionBy("bucket").orderBy("extra", F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    placed = own.withColumn("next_text", F.lead("text").over(order)).withColumn("nth", F.row_number().over(order).cast("long"))
-    return placed.withColumn("rid", F.shiftleft(F.col("bucket").cast("long"), 40) + F.col("nth"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    key = F.struct("id", "h", "row")
+    dealt = rows.select("id", "h", "row").repartitionByRange(BUCKETS_PER_PARTITION * shuffle_partitions(docs), F.asc_nulls_first("id"), "h", "row")
+    firsts = sorted((r.first for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()), key=lambda f: (f.id is not None, f.id if f.id is not None else 0, f.h, f.row))
+    n = len(firsts)
+    if not n:
+        return rows.select("id", "text", F.lit(0).alias("bucket"), F.lit(0).alias("extra"), F.col("text").alias("next_text"), F.lit(0).cast("long").alias("rid")).where("false")
+    id_type = docs.schema[id_col].dataType
+    known = F.array(*(F.struct(F.lit(f.id).cast(id_type).alias("id"), F.lit(f.h).cast("long").alias("h"), F.lit(f.row).cast("long").alias("row")) for f in firsts))
+    steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)))
+    # how many first keys are not above the row's key, by binary search
+    not_above = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= n) & (F.get(known, at + step - 1) <= key), step).otherwise(F.lit(0)))
+    placed = rows.withColumn("bucket", not_above - 1)
+    before = F.when(F.get(known, F.col("bucket")) == key, F.pmod(F.col("bucket") - 1, F.lit(n)))
+    targets = F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")), F.when(before.isNotNull(), F.struct(before.alias("bucket"), F.lit(1).alias("extra"))))
+    own = placed.select("id", "text", "h", "row", F.explode(targets).alias("to")).where("to IS NOT NULL").select("id", "text", "h", "row", "to.bucket", "to.extra")
+    order = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("id"), "h", "row")
+    ordered = own.withColumn("next_text", F.lead("text").over(order)).withColumn("nth", F.row_number().over(order).cast("long")).drop("h", "row")
+    return ordered.withColumn("rid", F.shiftleft(F.col("bucket").cast("long"), 40) + F.col("nth"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +106,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many first ones of the next document by ascending
     id (all of it if it is shorter). Its fingerprint is that of the text less the paragraphs that the edit touches plus
-    the new ones. Null text is empty; the empty text is one empty paragraph. Ids are numbers; null ids come first,
+    the new ones. Null text is empty; the empty text is one empty paragraph. Ids are numbers or strings; null ids come first,
     repeated ids in the order of their texts' hashes. One row alone is its own next. An empty table gives an empty result.
     Other columns are not read.
     """

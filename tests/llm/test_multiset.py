@@ -1,8 +1,12 @@
 """Multiset fingerprints: edits, order, equality and likeness against plain Python."""
 
 import hashlib
+import math
 import random
+import re
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from firmlens.llm import multiset
@@ -67,3 +71,73 @@ def test_one_row_and_none(make_docs):
     assert multiset.edited_fingerprints(make_docs([])).count() == 0
     (row,) = multiset.edited_fingerprints(make_docs([(1, "abcdefgh")])).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and row.near_next == 1
+
+
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def vector(text):
+    """Both kinds of lanes of a text, from the definition."""
+    exact, like = [0] * 8, [0] * 64
+    for line in text.split("\n"):
+        for seed in range(4):
+            h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), xxhash.xxh64_intdigest(line.encode(), 42))
+            exact[2 * seed] = (exact[2 * seed] + h % 2**32) % 2**32
+            exact[2 * seed + 1] = (exact[2 * seed + 1] + (h >> 32)) % 2**32
+    for phrase in re.split(multiset.PHRASE_END, text):
+        h = signed(xxhash.xxh64_intdigest(phrase.encode(), 42))
+        like[h % 64] += len(phrase) * (-1 if (h >> 8) % 2 else 1)
+    return exact, like
+
+
+def cosine(a, b):
+    if a == b:
+        return 1.0
+    dot, norm = sum(x * y for x, y in zip(a[1], b[1])), math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+    return min(1.0, max(0.0, dot / norm)) if norm else 0.0
+
+
+def shown(lanes):
+    return "".join(f"{x % 2**32:08x}" for part in lanes for x in part)
+
+
+def by_definition(rows):
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    out = []
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        quarter = len(text) // 4
+        changed = text[: len(text) - quarter] + after[:quarter]
+        a, b, c = vector(text), vector(changed), vector(after)
+        out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), shown(a), shown(b), round(cosine(a, b), 9), round(cosine(a, c), 9)))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()), key=str)
+
+
+def test_every_column_by_definition(make_docs, sample):
+    rows = [r for r in EDGE if len(r[1] or "") < 1000] + [(100 + i, t) for i, t in sample[:80]]
+    assert found(multiset.edited_fingerprints(make_docs(rows, 5))) == by_definition(rows)
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_hot_id_is_cut(make_docs, hot):
+    """One id has most rows, some with the same text; no range gets many of them, and the order is that of the definition."""
+    rows = [(hot, f"text {i % 150} of many\nend") for i in range(300)] + [(i, f"row {i}") for i in range(40)]
+    docs = make_docs(rows, 7)
+    sizes = multiset.with_next(docs, "doc_id", "text").where("extra = 0").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= 40
+    assert found(multiset.edited_fingerprints(docs)) == by_definition(rows)
+
+
+def test_string_ids(spark):
+    rows = [("b", "one two"), ("a", "three four five"), (None, "six"), ("ä", "seven eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in multiset.edited_fingerprints(docs).collect()}
+    order = [None, "a", "b", "ä"]
+    text = dict(rows)
+    for i, after in zip(order, order[1:] + order[:1]):
+        n = len(text[i]) // 4
+        assert got[i] == hashlib.sha256((text[i][: len(text[i]) - n] + text[after][:n]).encode()).hexdigest()
