@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs.
 All but the last return the columns they got. Null texts, repeated rows and empty tables are treated as each operator's
-docstring says: null texts have no language and go, repeated rows leave one row, an empty table stays empty.
+docstring says: null texts have no language and go, as do texts that resemble no learned language, repeated rows leave one row, an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from firmlens.session import cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised."""
+    """Documents that resemble a learned language more than chance."""
     small_batches(spark)
     return langid.keep_recognised(docs)
 

@@ -7,7 +7,7 @@ with the largest cosine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -16,14 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.llm.common import fresh
+
 UNKNOWN = "und"
 DIMENSIONS = 1024
+#: the standard deviation of the cosine of two random vectors
+CHANCE = DIMENSIONS**-0.5
 #: documents a language is learned from, about; taken by a hash of their id
 SAMPLE_PER_LANGUAGE = 1000
 #: letters up to here have a vector of their own, later ones share FOLDED
 OWN_LETTERS, FOLDED = 0x250, 431
 COLUMN_BLOCK, TEXT_BLOCK = 4096, 128
 SEED = 7
+#: fineness of summed vectors
+FINE = 1 << 40
 
 
 @lru_cache(maxsize=1)
@@ -101,8 +107,8 @@ def sampled(labelled: DataFrame, key: Column, lang: Column, per_language: int) -
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimensions: int = DIMENSIONS, key: str = "key") -> tuple[list[str], np.ndarray]:
     """Language names (sorted) and their unit prototypes, from rows (key, lang, text) with a language.
 
-    The sample is bounded by ``per_language``; each text counts with the same weight. What reaches the driver is one vector per
-    language and task of the sample.
+    The sample is bounded by ``per_language``; each text counts with the same weight. Tasks sum their texts' vectors, Spark sums those place by
+    place, and the driver gets one vector per language.
     """
     rows = sampled(labelled, F.col(key), F.col("lang"), per_language)
 
@@ -116,8 +122,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimensio
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], ["lang", "vector"])
 
     total: dict[str, np.ndarray] = {}
-    for r in sorted(rows.mapInArrow(run, "lang string, vector array<double>").collect(), key=lambda r: (r.lang, r.vector)):
-        total[r.lang] = total.get(r.lang, 0) + np.array(r.vector)
+    # sums of whole numbers, so that their order does not matter
+    places = rows.mapInArrow(run, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "x"))
+    sums = places.groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * FINE).cast("long")).alias("x"))
+    for r in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect():
+        total[r.lang] = np.array([v.x for v in r.v], np.float64) / FINE
     names = sorted(total)
     return names, unit(np.array([total[n] for n in names])) if names else np.zeros((0, dimensions))
 
@@ -154,7 +163,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from text and language of rows that are not held out and have a language; predicts from the text alone. Null
     text or text without a letter is ``und`` with score 0, and so is everything if there is nothing to learn from. Equal
-    cosines go to the alphabetically first language. Repeated rows are predicted alike. An empty table gives an empty result.
+    cosines go to the alphabetically first language. Repeated rows are predicted alike; texts are read whole, very long ones by their
+    distinct trigrams. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", held_out(F.col("key")))
@@ -163,11 +173,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select(F.col("key").alias(id_col), "held_out", "found.lang_pred", "found.score")
 
 
-def keep_recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that are ``und``: null text or no letter. A doubtful language is no reason to drop a document,
-    and if no language can be learned, documents with a letter stay."""
+def keep_recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: Sequence[str] | None = None, least: float = CHANCE) -> DataFrame:
+    """``docs`` whose predicted language is one of ``languages`` (all learned ones if None) with a score above ``least``.
+
+    The default is the cosine that two unrelated vectors have by chance: texts that resemble no learned language more than
+    that go, as do null texts and texts without a letter. Rows that repeat fare alike, texts are read whole. If nothing can be learned, documents with a letter stay.
+    An empty table stays empty.
+    """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(rows.where(~held_out(F.col("key")) & F.col("lang").isNotNull()))
     if not model[0]:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    return docs.where(predict(docs, model, text_col)["lang_pred"] != UNKNOWN)
+    (work,) = fresh(docs, "predicted")
+    found = docs.withColumn(work, predict(docs, model, text_col))
+    wanted = F.col(work)["lang_pred"].isin(*(model[0] if languages is None else languages))
+    return found.where(wanted & (F.col(work)["score"] > least)).drop(work)

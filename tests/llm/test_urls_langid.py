@@ -110,6 +110,32 @@ def test_nothing_to_learn(make_docs, rows):
     assert langid.keep_recognised(make_docs(rows)).count() == sum(bool(t) for _, t, _ in rows)
 
 
+def test_keep_by_prediction(spark, sample):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(10**6, "漢字仮名交じり文の例である " * 20), (10**6 + 1, "1234 !!"), (10**6 + 2, None)], "doc_id long, text string")
+    every = docs.unionByName(extra, allowMissingColumns=True)
+    found = {r.doc_id: r for r in langid.identify(every).collect()}
+    kept = {r.doc_id for r in langid.keep_recognised(every).collect()}
+    assert kept == {i for i, r in found.items() if r.lang_pred != "und" and r.score > langid.CHANCE} and len(kept) >= docs.count() - 1
+    some = {r.doc_id for r in langid.keep_recognised(every, languages=["de", "fr"], least=0.5).collect()}
+    assert some == {i for i, r in found.items() if r.lang_pred in ("de", "fr") and r.score > 0.5}
+
+
+def test_prototypes_are_sums_of_unit_vectors(make_docs, sample):
+    rows = [(i, t, "xx" if i % 2 else "yy") for i, t in sample[:60]]
+    names, got = langid.train(make_docs(rows).withColumn("key", F.col("doc_id")))
+    assert names == ["xx", "yy"]
+    for n, name in enumerate(names):
+        total = langid.unit(langid.bundles([t for _, t, lang in rows if lang == name], langid.DIMENSIONS)).astype(float).sum(axis=0)
+        assert np.allclose(got[n], total / np.linalg.norm(total), atol=1e-6)
+
+
+def test_very_long_text(make_docs, sample):
+    rows = [(i, t, "en") for i, t in sample[:40]] + [(999, "the and of that " * 200_000, None)]
+    (row,) = langid.identify(make_docs(rows)).where("doc_id = 999").collect()
+    assert row.lang_pred == "en" and 0 < row.score <= 1
+
+
 def test_keep_recognised(make_docs, sample):
     docs = make_docs([(i, t, "en") for i, t in sample] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "1234 !!"), (None, "the and of the", "en"), (1, sample[0][1], "en")]).withColumn("found", F.lit(0))
     got = langid.keep_recognised(docs)
