@@ -8,7 +8,7 @@ import sys
 import time
 
 from firmlens.plans import catalog
-from firmlens.session import local_session
+from firmlens.session import drop_staged, local_session
 
 HEADLINE = [
     "a15_page_text",
@@ -47,6 +47,7 @@ def main() -> None:
         print(name, seconds[name], file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf}))
+    drop_staged(spark)
     spark.stop()
 
 

@@ -2,7 +2,7 @@
 
 * ``small_side``     broadcast a table only after its size was counted
 * ``settle``         keep a small result as a local table, a large one as a staged table
-* ``with_each``      pair rows with the values of a small dimension, without a join
+* ``with_each``      pair rows with the values of a small dimension, without a join; a large one by packs
 * ``running_before`` ordered running sum inside groups of any size
 """
 
@@ -92,23 +92,24 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def with_each(df: DataFrame, values: DataFrame, block: int = EACH_VALUES) -> DataFrame:
+def with_each(df: DataFrame, values: DataFrame, block: int = EACH_VALUES, ways: int = 64) -> DataFrame:
     """Pair every row of ``df`` with every row of the dimension ``values``.
 
-    The dimension travels as array literals of about ``block`` rows from scalar
-    subqueries and is unfolded inside the task, so neither side is shuffled. A
-    larger dimension is staged and takes more blocks; the rows are the same.
+    Up to ``block`` rows the dimension travels as one array literal from a scalar subquery and is unfolded inside the task, so
+    neither side is shuffled. A larger one is staged in packs of about ``block`` rows; rows, dealt ``ways`` ways so that no
+    pack gathers all of them, meet the packs by an equality of the pack's number. The rows are the same.
     """
     local = collect_bounded(values, block)
-    values = cut_lineage(values) if local is None else local
-    blocks = 1 if local is not None else -(-values.count() // block)
-    own = F.pmod(F.xxhash64(*values.columns), F.lit(blocks))
-
-    def paired(b: int) -> DataFrame:
-        packed = values.where(own == b).agg(F.collect_list(F.struct(*values.columns)).alias("packed")).scalar()
-        return df.select("*", packed.alias("__each")).select(*df.columns, F.inline("__each"))
-
-    return reduce(DataFrame.unionByName, [paired(b) for b in range(blocks)])
+    every = F.collect_list(F.struct(*values.columns))
+    if local is not None:
+        return df.select("*", local.agg(every).scalar().alias("__each")).select(*df.columns, F.inline("__each"))
+    staged = cut_lineage(values)
+    packs = max(1, -(-staged.count() // block))
+    own = F.pmod(F.xxhash64(*values.columns), F.lit(packs)).cast("int")
+    packed = cut_lineage(staged.groupBy(own.alias("__pack")).agg(every.alias("__each")))
+    packed = packed.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("__pack")).withColumn("__way", F.floor(F.rand(1) * ways).cast("int"))
+    return rows.join(packed, ["__pack", "__way"]).select(*df.columns, F.inline("__each"))
 
 
 def running_before(

@@ -10,9 +10,10 @@ sys.path.insert(0, str(ROOT / "tests"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from firmlens.session import local_session
+    from firmlens.session import drop_staged, local_session
 
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
