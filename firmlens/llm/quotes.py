@@ -22,14 +22,31 @@ from firmlens.llm.common import lookup
 from firmlens.session import cut_lineage
 
 _LEVEL = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-_INTRO = re.compile(r"\b(wrote|writes|said|schrieb|écrit|escribió)\b.*:\s*$", re.IGNORECASE)
+# Verbs of lines that introduce a quote, and the words that such lines begin a date with.
+_VERBS = "wrote|writes|said|schrieb|écrit|escribió"
+_VERB_LAST, _VERB = re.compile(rf"\b(?:{_VERBS})\s*:$", re.IGNORECASE), re.compile(rf"\b(?:{_VERBS})\b", re.IGNORECASE)
+_DATE = re.compile(r"(?:on|am|le|el)\b", re.IGNORECASE)
+LAST_CHARS = 40
 #: turns that one task puts in order at most, for one key
 TURNS = 1024
-PARSED = "own string, passages array<struct<level:int,text:string>>"
+PARSED = "own string, passages array<struct<level:int,text:string>>, introduced array<string>"
+
+
+def introduces(line: str) -> bool:
+    """Whether a line has the shape of an attribution: its verb right before the colon at its end, or a date, a digit and the verb."""
+    line = line.strip()
+    if not line.endswith(":"):
+        return False
+    return bool(_VERB_LAST.search(line[-LAST_CHARS:]) or (_DATE.match(line) and any(c.isdigit() for c in line) and _VERB.search(line)))
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text and quoted passages (level, text). Lines that introduce a deeper quote belong to neither."""
+    return parsed_parts(text)[:2]
+
+
+def parsed_parts(text: str | None) -> tuple[str, list[tuple[int, str]], list[str]]:
+    """Own text, quoted passages, and the lines that introduce a deeper quote, in order."""
     lines = []
     for line in (text or "").split("\n"):
         m = _LEVEL.match(line)
@@ -38,10 +55,11 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     deeper = 0  # level of the next line that is not blank, read from the end
     keep = []
     for level, content in reversed(lines):
-        keep.append(not (content and deeper > level and _INTRO.search(content)))
+        keep.append(not (content and deeper > level and introduces(content)))
         if content:
             deeper = level
-    for (level, content), kept in zip(lines, reversed(keep)):
+    keep.reverse()
+    for (level, content), kept in zip(lines, keep):
         if level != run_level:
             if run_level and any(run):
                 passages.append((run_level, "\n".join(run).strip("\n")))
@@ -50,7 +68,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
             (run if level else own).append(content)
     if run_level and any(run):
         passages.append((run_level, "\n".join(run).strip("\n")))
-    return "\n".join(own).strip("\n"), passages
+    return "\n".join(own).strip("\n"), passages, [content for (_, content), kept in zip(lines, keep) if not kept]
 
 
 def normalised(text: Column) -> Column:
@@ -91,16 +109,16 @@ def following(rows: DataFrame, key: str, order: str, value: str, out: str, turns
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """Parsed messages (m, part, conv, turn, role, own, passages), written once; m numbers the rows."""
+    """Parsed messages (m, part, conv, turn, role, own, passages, introduced), written once; m numbers the rows."""
 
     @F.pandas_udf(PARSED)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [parse(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame({"own": [o for o, _ in found], "passages": [[{"level": n, "text": t} for n, t in p] for _, p in found]})
+            found = [parsed_parts(t if isinstance(t, str) else None) for t in texts]
+            yield pd.DataFrame({"own": [o for o, _, _ in found], "passages": [[{"level": n, "text": t} for n, t in p] for _, p, _ in found], "introduced": [i for _, _, i in found]})
 
     rows = conversations.select(F.col("conv_id").alias("conv"), F.col("turn"), F.col("role"), parsed("text").alias("p"))
-    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("m"), F.spark_partition_id().alias("part"), "conv", "turn", "role", "p.own", "p.passages"))
+    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("m"), F.spark_partition_id().alias("part"), "conv", "turn", "role", "p.own", "p.passages", "p.introduced"))
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -157,7 +175,7 @@ def preorder(nodes: DataFrame, turns: int = TURNS) -> DataFrame:
 
 
 def reply_order(conversations: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, own_text (without quotes), n_quotes, n_linked, reply_conv and reply_turn (the message it
+    """One row per message: conv_id, turn, role, own_text (without quotes), introduced (lines that announce its quotes), n_quotes, n_linked, reply_conv and reply_turn (the message it
     replies to), thread_turn (turn of the first message of its reply tree), position in the tree's pre-order (0 first) and depth.
 
     Reading a conversation by (thread_turn, position) gives every message before its replies. A message replies to the message that
@@ -165,7 +183,8 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     conversation make trees; a quote from another conversation gives reply_conv and reply_turn and leaves the message a root.
 
     Null text is empty. Messages with null conv_id or turn are not searched in their conversation and stay roots. Repeated rows
-    are messages of their own; of messages with the same turn, the one read last answers. An empty table gives an empty result.
+    are messages of their own; of messages with the same turn, the one read last answers. Texts of any length are read line by line,
+    whole. An empty table gives an empty result.
     Other columns are not read.
     """
     rows = messages(conversations)
@@ -180,9 +199,9 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     nodes = cut_lineage(replies.withColumn("parent", parent))
     order = preorder(nodes.select("m", "turn", "parent"))
     roots = lookup(order.withColumn("part", F.pmod(F.xxhash64("m"), F.lit(256)).cast("int")), "part", ["root"], rows.select(F.col("m").alias("root"), F.col("turn").alias("thread_turn")))
-    out = rows.select("m", "role", "own").join(nodes, "m").join(roots.select("m", "position", "depth", "thread_turn"), "m").join(counts, "m", "left")
+    out = rows.select("m", "role", "own", "introduced").join(nodes, "m").join(roots.select("m", "position", "depth", "thread_turn"), "m").join(counts, "m", "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("own_text"), F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
+        F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("own_text"), "introduced", F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
         "reply_conv", "reply_turn", "thread_turn", "position", "depth",
     )

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -165,3 +166,47 @@ def test_given_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = quotes.reply_order(table)
     assert got.count() == table.count() and got.where("depth > 0 OR position > 0").count() == 0
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("As Tom said in 1990, the law is:", False), ("Tom wrote:", True), ("On 3 May 2020, tom@x.org wrote :", True), ("Am 3. Mai schrieb Tom:", True), ("Le 3 mai, Ann a écrit :", True),
+        ("he wrote: no", False), ("El martes 4 escribió Ana:", True), ("On balance he said what the law is:", False), ("", False), (":", False), ("SAID:", True),
+    ],
+)
+def test_lines_that_introduce(line, want):
+    assert quotes.introduces(line) == want
+
+
+def test_own_sentences_stay_and_long_lines_are_linear():
+    own, passages, introduced = quotes.parsed_parts("As Tom said in 1990, the law is:\n> a\nOn 1 May X wrote:\n> b")
+    assert own == "As Tom said in 1990, the law is:" and passages == [(1, "a"), (1, "b")] and introduced == ["On 1 May X wrote:"]
+    start = time.perf_counter()
+    quotes.parsed_parts("on 1 " + "said " * 400_000 + ":\n> a")
+    assert time.perf_counter() - start < 3
+
+
+def test_whole_table_quoted(spark):
+    """Every message of the given table quotes the one before it, and a third of all messages quote the same hot line."""
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").where("text IS NOT NULL")
+    rows = sorted((r.conv_id, r.turn, r.role, r.text) for r in given.distinct().collect())
+    made, want, n = [], {}, 0
+    for (c, t, role, text), before in zip(rows, [None, *rows]):
+        n += 1
+        own = f"reply {n}: " + text.replace("\n", " ")
+        if before and before[0] == c:
+            said = made[-1][3].split("\n")[-1]
+            own = f"On day {n} {before[2]} wrote:\n> {said}\n" + (f"> hot line for all\n{own}" if n % 3 == 0 else own)
+            want[c, t] = (before[1], n % 3 == 0)
+        made.append((c, t, role, own))
+    docs = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").repartition(8)
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_order(docs).collect()}
+    assert len(got) == len(made) and len(want) > 50
+    for (c, t), r in got.items():
+        assert r.own_text.startswith("reply ") and r.n_quotes == ((c, t) in want) and len(r.introduced) == ((c, t) in want)
+        if (c, t) in want:
+            assert (r.reply_conv, r.reply_turn) == (c, want[c, t][0]) and len(r.introduced) == 1
+    for c in {k[0] for k in got}:
+        own = sorted((r for k, r in got.items() if k[0] == c), key=lambda r: r.turn)
+        assert [r.position for r in own] == list(range(len(own))) and [r.depth for r in own] == list(range(len(own)))
