@@ -76,13 +76,15 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     mask = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
     keyed = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("variant"))
     keyed = keyed.select("fp", F.call_function("shiftleft", F.col("variant").cast("long"), F.lit(32)).bitwiseOR(low.bitwiseAND(mask)).alias("key"))
-    # counts are combined before the shuffle, so a half that very many fingerprints share gathers nowhere
-    sizes = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    if sizes.where(F.col("n") > dense).isEmpty():
-        shared = keyed.join(sizes, "key")
+    # the fingerprints of a variant have one of two values in its half, so without a half that more than dense / 2 share no
+    # variant is large and a window gathers little; halves are counted before the shuffle, two rows a fingerprint
+    halves = nodes.select(F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")), F.struct(F.lit(1).alias("i"), F.shiftrightunsigned("fp", 32).alias("v")))).alias("h"))
+    if halves.groupBy("h.i", "h.v").count().where(F.col("count") > dense // 2).isEmpty():
+        shared = keyed.select("fp", "key", F.expr("count(1) over (partition by key)").alias("n"))
     else:
-        shared = lookup(keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(256)).cast("int")), "part", ["key"], sizes).where("n > 1")
-    shared = cut_lineage(shared.select("fp", "key", "n"))
+        sizes = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        shared = lookup(keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(256)).cast("int")), "part", ["key"], sizes)
+    shared = cut_lineage(shared.select("fp", "key", "n").where("n > 1"))
     few = shared.where(F.col("n") <= dense)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & _near("u", "v")).select("u", "v")
