@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.dist import SERIES_RANKS, p_values, rank_p_values, stars, t_quantile
+from firmlens.functions.dist import SERIES_RANKS, f_p_value, f_quantile, p_values, rank_p_values, stars, t_quantile
 from firmlens.operators.harmonise import safe_number
 from firmlens.operators.quantiles import exact_quantiles
 from firmlens.operators.scale import GROUP_ROWS, join_on, running_before
@@ -153,8 +155,33 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, group_rows:
     )
 
 
-def icc(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
-    """Intraclass correlations of complete rows: one-way, two-way random, two-way mixed; single and mean."""
+def icc_limits(kind: str, n: int, k: int, b: float, w: float, j: float, e: float, level: float = 0.95) -> tuple[float, float]:
+    """Confidence limits of an intraclass correlation from the mean squares between rows, within rows, of raters and of the rest.
+
+    One-way and mixed ones come from the limits of F; the random one from Satterthwaite's degrees of freedom for the
+    denominator. Those of a mean of ``k`` ratings follow from the single one's by the Spearman-Brown formula.
+    """
+    prob, rows = (1 + level) / 2, n - 1
+    if kind.startswith("ICC2"):
+        ratio = (b - e) / (b + (k - 1) * e + k * (j - e) / n)
+        own, rest = k * ratio * j / e, n * (1 + (k - 1) * ratio) - k * ratio
+        df = (k - 1) * rows * (own + rest) ** 2 / (rows * own**2 + rest**2)
+        up, down = f_quantile(prob, rows, df), f_quantile(prob, df, rows)
+        noise = k * j + (k * n - k - n) * e
+        limits = n * (b - up * e) / (up * noise + n * b), n * (down * b - e) / (noise + n * down * b)
+    else:
+        error, df = (w, n * (k - 1)) if kind.startswith("ICC1") else (e, rows * (k - 1))
+        ends = b / error / f_quantile(prob, rows, df), b / error * f_quantile(prob, df, rows)
+        limits = tuple((f - 1) / (f + k - 1) for f in ends)
+    return tuple(x * k / (1 + x * (k - 1)) for x in limits) if kind.endswith("k") else limits
+
+
+def icc(ratings: DataFrame, raters: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Intraclass correlations of complete rows: one-way, two-way random, two-way mixed; single and mean.
+
+    Each has its F test against zero (``f``, ``df1``, ``df2``, ``p``) and confidence limits (``lower``, ``upper``). What would
+    divide by zero is null: everything below two rows, tests and limits of ratings that agree without a rest.
+    """
     k = len(raters)
     rows = cut_lineage(ratings.dropna(subset=list(raters)).select(*[F.col(r).cast("double").alias(r) for r in raters]))
     # sums of squares around the mean of all ratings keep their digits when the mean is large
@@ -169,28 +196,41 @@ def icc(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
         F.sum(total).alias("all"),
         *[F.sum(r).alias(f"col_{i}") for i, r in enumerate(raters)],
     )
-    n = F.col("n")
-    mean_part = F.col("all") ** 2 / (n * k)
+    n, over = F.col("n"), F.try_divide
+    mean_part = over(F.col("all") ** 2, n * k)
     ss_rows = F.col("row_sq") / k - mean_part
-    ss_cols = sum((F.col(f"col_{i}") ** 2 for i in range(k)), F.lit(0.0)) / n - mean_part
+    ss_cols = over(sum((F.col(f"col_{i}") ** 2 for i in range(k)), F.lit(0.0)), n) - mean_part
     ss_all = F.col("sq") - mean_part
     s = s.select(
         "n",
-        (ss_rows / (n - 1)).alias("msb"),
-        ((ss_all - ss_rows) / (n * (k - 1))).alias("msw"),
-        (ss_cols / (k - 1)).alias("msj"),
-        ((ss_all - ss_rows - ss_cols) / ((n - 1) * (k - 1))).alias("mse"),
+        over(ss_rows, n - 1).alias("msb"),
+        over(ss_all - ss_rows, n * (k - 1)).alias("msw"),
+        over(ss_cols, F.lit(k - 1)).alias("msj"),
+        over(ss_all - ss_rows - ss_cols, (n - 1) * (k - 1)).alias("mse"),
     )
     b, w, j, e = (F.col(c) for c in ("msb", "msw", "msj", "mse"))
+    mixed = over(b, e), n - 1, (n - 1) * (k - 1)
+    one_way = over(b, w), n - 1, n * (k - 1)
     values = {
-        "ICC1": (b - w) / (b + (k - 1) * w),
-        "ICC2": (b - e) / (b + (k - 1) * e + k * (j - e) / n),
-        "ICC3": (b - e) / (b + (k - 1) * e),
-        "ICC1k": (b - w) / b,
-        "ICC2k": (b - e) / (b + (j - e) / n),
-        "ICC3k": (b - e) / b,
+        "ICC1": (over(b - w, b + (k - 1) * w), *one_way),
+        "ICC2": (over(b - e, b + (k - 1) * e + k * over(j - e, n)), *mixed),
+        "ICC3": (over(b - e, b + (k - 1) * e), *mixed),
+        "ICC1k": (over(b - w, b), *one_way),
+        "ICC2k": (over(b - e, b + over(j - e, n)), *mixed),
+        "ICC3k": (over(b - e, b), *mixed),
     }
-    return s.select("n", F.inline(F.array(*[F.struct(F.lit(name).alias("type"), v.alias("icc")) for name, v in values.items()])))
+
+    @F.pandas_udf("p double, lower double, upper double")
+    def tested(kind: pd.Series, n: pd.Series, f: pd.Series, df1: pd.Series, df2: pd.Series, squares: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, size, ratio, a, c, mean_squares in zip(kind, n, f, df1, df2, squares.itertuples(index=False)):
+            known = ratio is not None and np.isfinite(ratio) and min(a, c) > 0
+            out.append((f_p_value(ratio, a, c), *icc_limits(name, size, k, *mean_squares, level)) if known else (None, None, None))
+        return pd.DataFrame(out, columns=["p", "lower", "upper"], dtype=float)
+
+    found = [F.struct(F.lit(t).alias("type"), v.alias("icc"), f.alias("f"), d1.alias("df1"), d2.alias("df2")) for t, (v, f, d1, d2) in values.items()]
+    s = s.select("n", F.struct("msb", "msw", "msj", "mse").alias("squares"), F.inline(F.array(*found)))
+    return s.withColumn("t", tested("type", "n", "f", "df1", "df2", "squares")).select("n", "type", "icc", "f", "df1", "df2", "t.p", "t.lower", "t.upper")
 
 
 def welch(df: DataFrame, value: str, group: str, targets: Sequence[str], reference: str) -> DataFrame:

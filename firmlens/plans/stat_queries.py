@@ -150,8 +150,9 @@ def agreement_sql(pair, first, second):
   {pair}t AS (SELECT count(*) AS n, sum(a*a + b*b) AS sq, sum(s*s) AS rsq, sum(s) AS al, sum(a) AS ca, sum(b) AS cb FROM {pair}x),
   {pair}m AS (SELECT n, al*al/(2*n) AS mp, rsq/2 - al*al/(2*n) AS sr, (ca*ca + cb*cb)/n - al*al/(2*n) AS sc, sq - al*al/(2*n) AS sa FROM {pair}t),
   {pair}q AS (SELECT n, sr/(n-1) AS b, (sa-sr)/n AS w, sc AS j, (sa-sr-sc)/(n-1) AS e FROM {pair}m),
-  {pair}o AS (SELECT '{pair}' AS pair, n, type, round(icc, 5) AS icc FROM (SELECT n, 'ICC1' AS type, (b-w)/(b+w) AS icc FROM {pair}q UNION ALL SELECT n, 'ICC2', (b-e)/(b+e+2*(j-e)/n) FROM {pair}q UNION ALL SELECT n, 'ICC3', (b-e)/(b+e) FROM {pair}q
-    UNION ALL SELECT n, 'ICC1k', (b-w)/b FROM {pair}q UNION ALL SELECT n, 'ICC2k', (b-e)/(b+(j-e)/n) FROM {pair}q UNION ALL SELECT n, 'ICC3k', (b-e)/b FROM {pair}q))"""
+  {pair}i AS (SELECT n, 'ICC1' AS type, (b-w)/(b+w) AS icc, b/w AS f, n AS df2 FROM {pair}q UNION ALL SELECT n, 'ICC2', (b-e)/(b+e+2*(j-e)/n), b/e, n-1 FROM {pair}q UNION ALL SELECT n, 'ICC3', (b-e)/(b+e), b/e, n-1 FROM {pair}q
+    UNION ALL SELECT n, 'ICC1k', (b-w)/b, b/w, n FROM {pair}q UNION ALL SELECT n, 'ICC2k', (b-e)/(b+(j-e)/n), b/e, n-1 FROM {pair}q UNION ALL SELECT n, 'ICC3k', (b-e)/b, b/e, n-1 FROM {pair}q),
+  {pair}o AS (SELECT '{pair}' AS pair, n, type, round(icc, 5) AS icc, round(f, 3) AS f, n - 1 AS df1, df2 FROM {pair}i)"""
 
 
 RATERS = {"people": ("manual_value", "second_value"), "machine": ("value_final", "manual_value")}
@@ -163,8 +164,9 @@ RATERS = {"people": ("manual_value", "second_value"), "machine": ("value_final",
 )
 def _(spark, d):
     rows = merged(spark, d)
-    both = [V.icc(rows, columns).withColumn("pair", F.lit(pair)) for pair, columns in RATERS.items()]
-    return rounded(both[0].unionByName(both[1]), "icc", digits=5)
+    shown = "n", "type", "icc", "f", "df1", "df2"
+    both = [V.icc(rows, columns).select(F.lit(pair).alias("pair"), *shown) for pair, columns in RATERS.items()]
+    return rounded(rounded(both[0].unionByName(both[1]), "icc", digits=5), "f", digits=3)
 
 
 @query(

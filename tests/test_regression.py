@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from firmlens.functions.dist import _distance_tail, incomplete_beta, rank_distances, rank_p_value, t_p_value, t_quantile
+from firmlens.functions.dist import _distance_tail, f_p_value, f_quantile, incomplete_beta, rank_distances, rank_p_value, t_p_value, t_quantile
 from firmlens.operators import regression
 from firmlens.operators.regression import fit
 from firmlens.operators.validation import icc, spearman, welch
@@ -148,6 +148,36 @@ def test_icc_published_example(spark):
     assert {k: round(v, 2) for k, v in got.items()} == want
 
 
+def test_icc_tests_and_limits(spark):
+    rows = [(9, 2, 5, 8), (6, 1, 3, 2), (8, 4, 6, 8), (7, 1, 2, 6), (10, 5, 6, 9), (6, 2, 4, 7)]
+    found = icc(spark.createDataFrame(rows, "a int, b int, c int, d int"), list("abcd")).collect()
+    want = {"ICC1": (1.8, 5, 18, -0.133, 0.72), "ICC2": (11.0, 5, 15, 0.019, 0.76), "ICC3": (11.0, 5, 15, 0.342, 0.95)}
+    want |= {"ICC1k": (1.8, 5, 18, -0.884, 0.91), "ICC2k": (11.0, 5, 15, 0.071, 0.93), "ICC3k": (11.0, 5, 15, 0.676, 0.99)}
+    assert {r["type"]: (round(r.f, 1), r.df1, r.df2, round(r.lower, 3), round(r.upper, 2)) for r in found} == want
+    assert {round(r.p, 5) for r in found} == {0.16477, 0.00013}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 2)], [(3, 3), (3, 3)], [(1, 1), (2, 2)], [(None, 1)]])
+def test_icc_of_few_or_equal_rows(spark, rows):
+    found = icc(spark.createDataFrame(rows, "a int, b int"), ["a", "b"]).collect()
+    assert len(found) == 6 and all(r.p is r.lower is r.upper is None for r in found)
+    assert all(r.icc == 1 for r in found) if rows == [(1, 1), (2, 2)] else all(r.icc is None for r in found)
+
+
+def test_f_distribution():
+    # with two degrees of freedom above or below, the tail has a closed form
+    for df, f in [(1, 0.3), (3, 2.5), (18, 1.1), (400, 3.0), (50_000, 1.2), (10**9, 2.0)]:
+        assert abs(f_p_value(f, 2, df) - np.exp(-df / 2 * np.log1p(2 * f / df))) < 1e-9
+        assert abs(f_p_value(f, df, 2) - (-np.expm1(-df / 2 * np.log1p(2 / (df * f))))) < 1e-9
+    assert abs(f_p_value(2.0, 1, 7) - t_p_value(2.0**0.5, 7)) < 1e-12
+    for d1, d2 in [(5, 18), (1, 1), (3.7, 900), (2e5, 1.5e5), (3e6, 5e6)]:
+        for prob in (0.025, 0.5, 0.975):
+            assert abs(f_p_value(f_quantile(prob, d1, d2), d1, d2) - (1 - prob)) < 1e-9
+        assert abs(f_quantile(0.975, d1, d2) * f_quantile(0.025, d2, d1) - 1) < 1e-6
+    near, far = f_p_value(1.002, 0.99e6, 0.99e6), f_p_value(1.002, 1.01e6, 1.01e6)
+    assert abs(near - far) < 0.01 and f_p_value(None, 1, 1) is None
+
+
 def test_welch(spark):
     rows = [("T", x) for x in (0.5, 0.6, 0.7, 0.9)] + [("M", x) for x in (0.1, 0.2, 0.3)] + [("M", None)]
     got = welch(spark.createDataFrame(rows, "g string, transp double"), "transp", "g", ["T"], "M").first()
