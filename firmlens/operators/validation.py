@@ -137,7 +137,7 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, group_rows:
     ranked = join_on(ranked, average_ranks(counts, keys, b, "rb", group_rows), [*keys, b])
     ra, rb, c = F.col("ra"), F.col("rb"), F.col("c")
     s = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(c * ra).alias("sa"), F.sum(c * rb).alias("sb"), F.sum(c * ra * ra).alias("saa"), F.sum(c * rb * rb).alias("sbb"), F.sum(c * ra * rb).alias("sab"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube leaves a long at 2.1 million pairs
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va, vb = F.col("saa") - F.col("sa") ** 2 / n, F.col("sbb") - F.col("sb") ** 2 / n
     # a tie takes at least a half from the squares of the ranks
@@ -149,7 +149,7 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, group_rows:
             "t": F.col("cor") * F.sqrt(F.try_divide(n - 2, 1 - F.col("cor") ** 2)),
         }
     )
-    p = rank_p_values(F.when(F.col("untied"), F.col("s_statistic")), n, p_values(F.col("t"), n - 2))
+    p = rank_p_values(F.when(F.col("untied"), F.col("s_statistic")), F.col("n"), p_values(F.col("t"), n - 2))
     return s.withColumn("p", p).drop("untied").withColumn(
         "label", F.concat(F.format_string("%.2f", "cor"), stars(F.col("p"), (0.01, 0.05, 0.1)))
     )

@@ -100,5 +100,12 @@ def test_spearman_ranks_with_ties(spark, group_rows):
     assert got["n"] == 2000 and abs(got["cor"] - want) < 1e-12
 
 
+def test_spearman_of_a_group_whose_cube_leaves_a_long(spark):
+    """Counted pairs, so that few rows stand for 2.4 million."""
+    rows = spark.range(2_400_000).select(F.lit("g").alias("k"), (F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"))
+    got = spearman(rows, ["k"], "a", "b").first()
+    assert got["n"] == 2_400_000 and abs(got["cor"]) < 1e-12 and abs(got["s_statistic"] / (2_400_000.0**3 / 6) - 1) < 1e-9
+
+
 def test_limits_are_declared():
     assert scale.BROADCAST_ROWS <= 1_000_000 and scale.GROUP_ROWS <= 10_000_000
