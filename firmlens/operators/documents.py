@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,25 +129,29 @@ def recursive_chunks(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     separators: Sequence[str] = SEPARATORS,
+    listed: bool = False,
 ) -> DataFrame:
     """Separator-aware chunks with their start offsets, numbered from 1 in text order.
 
-    The splitting rule is sequential inside one text, so each text goes through
-    an Arrow batch.
+    The splitting rule is sequential inside one text. A worker holds the texts and
+    chunks of a hundred rows at a time, however many a partition has. ``listed`` keeps one row
+    per document, (key, text, chunks), for work on a document's chunks beside its text.
     """
     split = partial(split_spans, size=size, overlap=overlap, separators=list(separators))
 
-    @F.pandas_udf("array<struct<start_index:int,text:string>>")
-    def chunked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start_index": a, "text": t[a:b]} for a, b in split(t)] if t else [])
+    @F.udf("array<struct<start_index:int,text:string>>", useArrow=False)
+    def chunked(text: str | None) -> list[tuple[int, str]]:
+        return [(a, text[a:b]) for a, b in split(text)] if text else []
 
+    if listed:
+        return docs.select(key, "text", chunked("text").alias("chunks"))
     cut = docs.select(key, F.posexplode(chunked("text")).alias("pos", "c"))
     return cut.select(key, (F.col("pos") + 1).alias("sequence_number"), "c.start_index", "c.text")
 
 
-def markdown_chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def markdown_chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, listed: bool = False) -> DataFrame:
     """Recursive chunks that prefer headings, fences and rules as boundaries."""
-    return recursive_chunks(docs, key, size, overlap, MARKDOWN_SEPARATORS)
+    return recursive_chunks(docs, key, size, overlap, MARKDOWN_SEPARATORS, listed)
 
 
 def chunk_pages(chunks: DataFrame, ledger: DataFrame, key: str = "doc_id", bin_size: int = PAGE_BIN) -> DataFrame:

@@ -328,3 +328,15 @@ def test_repair_is_idempotent_and_leaves_good_text_alone(spark, sample_texts):
 def sample_texts(spark):
     return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
 
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_workers_hold_few_texts(spark):
+    """An Arrow batch is 10,000 rows of any length; the plain batches are a hundred rows."""
+    from firmlens.operators.documents import markdown_chunks, recursive_chunks
+
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("One. Two\n\nthree "), F.lit(60)).alias("text"))
+    for cut in (recursive_chunks, markdown_chunks):
+        assert "BatchEvalPython" in _plan(cut(docs)) and "ArrowEvalPython" not in _plan(cut(docs))
