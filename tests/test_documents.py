@@ -340,3 +340,13 @@ def test_chunk_workers_hold_few_texts(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("One. Two\n\nthree "), F.lit(60)).alias("text"))
     for cut in (recursive_chunks, markdown_chunks):
         assert "BatchEvalPython" in _plan(cut(docs)) and "ArrowEvalPython" not in _plan(cut(docs))
+
+
+def test_cleaning_workers_hold_few_texts(spark):
+    from firmlens.functions.text import clean_text, html_text
+
+    texts = spark.createDataFrame([("caf\u00c3\u00a9",), (None,), ("",)], "text string")
+    for of in (clean_text, html_text):
+        plan = _plan(texts.select(of(F.col("text")).alias("c")))
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r["c"] for r in texts.select(clean_text(F.col("text")).alias("c")).collect()] == ["caf\u00e9", None, ""]
