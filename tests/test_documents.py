@@ -350,3 +350,19 @@ def test_cleaning_workers_hold_few_texts(spark):
         plan = _plan(texts.select(of(F.col("text")).alias("c")))
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert [r["c"] for r in texts.select(clean_text(F.col("text")).alias("c")).collect()] == ["caf\u00e9", None, ""]
+
+
+def test_chunk_properties_judge_a_document_in_its_row(spark):
+    from firmlens.operators.documents import SEPARATORS, recursive_chunks
+    from firmlens.plans.document_queries import chunk_properties
+
+    text = "alpha. beta. " + "x" * 500
+    good = [(0, "alpha. beta."), (13, "x" * 500)]
+    rows = [(1, text, good), (2, text, [(1, "alpha. beta."), good[1]]), (3, text, [good[1]]), (4, text, [good[0]]), (5, text, [(0, text)]), (6, text, [(0, text), (0, "alpha.")]), (7, "", [])]
+    lists = spark.createDataFrame(rows, "doc_id int, text string, chunks array<struct<start_index:int,text:string>>")
+    got = {r["doc_id"]: tuple(r)[1:] for r in chunk_properties(lists, SEPARATORS).collect()}
+    assert got == {1: (True, True, True), 2: (False, True, False), 3: (True, True, False), 4: (True, True, False), 5: (True, False, True), 6: (True, False, True)}
+    docs = spark.createDataFrame([(1, text), (2, None), (3, " \n ")], "doc_id int, text string")
+    out = chunk_properties(recursive_chunks(docs, listed=True), SEPARATORS)
+    assert [tuple(r) for r in out.collect()] == [(1, True, True, True)]
+    assert not any(step in _plan(out) for step in ("Exchange", "Window", "Join"))
