@@ -45,10 +45,17 @@ def with_lag(df: DataFrame, history: DataFrame, columns: Sequence[str], key: str
 
 
 def pivot_fields(df: DataFrame, keys: Sequence[str], field: str, value: str, fields: Sequence[str]) -> DataFrame:
-    """Field/value rows to columns; a duplicated (key, field) stops the job."""
+    """Field/value rows to columns; a duplicated (key, field) stops the job.
+
+    The cells of a key travel as a list of those it has, and become columns only in the result: sums over
+    rows as wide as all fields would hold a row per key in every task, before and after the shuffle.
+    """
     cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate key and field"))).otherwise(F.first(value))
-    cells = df.where(F.col(field).isin(list(fields))).groupBy(*keys, field).agg(cell.cast(df.schema[value].dataType).alias(value))
-    return cells.groupBy(*keys).pivot(field, list(fields)).agg(F.first(value))
+    cells = df.where(F.col(field).isin(list(fields))).groupBy(*keys, field).agg(cell.cast(df.schema[value].dataType).alias("__value"))
+    place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col(field)).cast("int").alias("__place")
+    listed = cells.select(*keys, place, "__value").groupBy(*keys).agg(F.collect_list(F.struct("__place", "__value")).alias("__cells"))
+    found = listed.select(*keys, F.map_from_entries("__cells").alias("__found"))
+    return found.select(*keys, *[F.try_element_at("__found", F.lit(i)).alias(f) for i, f in enumerate(fields, 1)])
 
 
 def last_in_period(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -109,3 +109,15 @@ def test_spearman_of_a_group_whose_cube_leaves_a_long(spark):
 
 def test_limits_are_declared():
     assert scale.BROADCAST_ROWS <= 1_000_000 and scale.GROUP_ROWS <= 10_000_000
+
+
+def test_pivoted_cells_are_no_wide_sums(spark):
+    """Sums over as many columns as there are fields would stand in every task, before and after the shuffle."""
+    from firmlens.operators.firmpanel import pivot_fields
+
+    cells = spark.createDataFrame([(1, "a", 1.0), (1, "c", None), (2, "b", 2.0), (2, "other", 9.0), (None, "a", 3.0)], "k long, f string, v double")
+    out = pivot_fields(cells, ["k"], "f", "v", ["a", "b", "c"])
+    assert "pivotfirst" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 1.0, None, None), (2, None, 2.0, None), (None, 3.0, None, None)]
+    with pytest.raises(Exception, match="duplicate key and field"):
+        pivot_fields(cells.union(cells), ["k"], "f", "v", ["a", "b", "c"]).collect()
