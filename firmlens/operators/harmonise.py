@@ -185,8 +185,12 @@ def typed_indicators(types: DataFrame) -> DataFrame:
     return flagged.join(targets, kind == F.col("__type"), "left").drop("__type")
 
 
-def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False) -> DataFrame:
-    """Standard value and unit per row; ``trace`` keeps the intermediate columns."""
+def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """Standard value and unit per row; ``trace`` keeps the intermediate columns.
+
+    ``texts`` are the unit texts of the rows (column ``unit``, repeats and more texts do no harm), for a caller
+    that has them without the joins behind ``df``; else ``df`` is evaluated once more for them.
+    """
     spark, col, no = df.sparkSession, F.col, F.lit(False)
     t = df.join(typed_indicators(types), "indicator", "left")
     is_number, is_percent, is_date, is_free, needs_unit = (F.coalesce(col(f"__{f}"), no) for f in ("number", "percent", "date", "free", "needs"))
@@ -212,7 +216,7 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
 
     # unit text -> dimension, factor and multipliers, then the rate of the year
     quoted = None if fx is None else fx.select("currency").distinct()
-    units = df.select("unit").union(local_table(spark, [("percent",)], "unit string")).distinct()
+    units = (df if texts is None else texts).select("unit").union(local_table(spark, [("percent",)], "unit string")).distinct()
     t = with_units(t, "__unit", units, quoted)
     yearly = None if fx is None else rate_table(fx)
     for side in ("num", "den"):

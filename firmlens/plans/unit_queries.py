@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import units as U
 from firmlens.operators.harmonise import fx_long, harmonise, resolve_units, safe_date, safe_number
-from firmlens.operators.scale import local_table
+from firmlens.operators.scale import hash_side, local_table
 from firmlens.plans import standins as S
 from firmlens.plans.registry import query
 
@@ -28,10 +28,21 @@ def fx_wide(spark):
     return local_table(spark, FX_WIDE, "p int, e double, g double, c double, s double").toDF(*FX_COLUMNS)
 
 
+def unit_text():
+    return F.get(F.array(*[F.lit(u) for u in UNITS]), (F.col("l_partkey") % len(UNITS)).cast("int"))
+
+
+def unit_texts(spark, d):
+    """The unit texts of all line items, without the join to their orders."""
+    return S.read(spark, d, "lineitem").select(unit_text().alias("unit"))
+
+
 def answers(spark, d):
-    """Value and unit text per line item; the text forms rotate over the rows."""
-    orders = S.read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    unit = F.get(F.array(*[F.lit(u) for u in UNITS]), (F.col("l_partkey") % len(UNITS)).cast("int"))
+    """Value and unit text per line item; the text forms rotate over the rows.
+
+    Orders, a key and a year each, are the side to hash, so that the line items are not sorted and spilled.
+    """
+    orders = hash_side(S.read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")))
     price = F.col("l_extendedprice").cast("string")
     is_date = F.col("l_suppkey") % len(TYPES) == TYPES.index("date")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
@@ -53,7 +64,7 @@ def answers(spark, d):
         .select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "year",
             (F.col("l_suppkey") % len(TYPES)).cast("int").alias("indicator"),
-            text.alias("value"), unit.alias("unit"), (F.col("l_returnflag") != "R").alias("valid"),
+            text.alias("value"), unit_text().alias("unit"), (F.col("l_returnflag") != "R").alias("valid"),
         )
     )
 
@@ -63,7 +74,7 @@ def types(spark):
 
 
 def traced(spark, d, rates=True):
-    return harmonise(answers(spark, d), types(spark), fx_long(fx_wide(spark)) if rates else None, trace=True)
+    return harmonise(answers(spark, d), types(spark), fx_long(fx_wide(spark)) if rates else None, trace=True, texts=unit_texts(spark, d))
 
 
 # --- SQL -------------------------------------------------------------------
@@ -274,4 +285,4 @@ def _(spark, d):
     f"WITH {RATED} SELECT {KEYS}, year, indicator, type_standard, value_num, value_date, unit_final, valid_final AS valid FROM final",
 )
 def _(spark, d):
-    return harmonise(answers(spark, d), types(spark), fx_long(fx_wide(spark)))
+    return harmonise(answers(spark, d), types(spark), fx_long(fx_wide(spark)), texts=unit_texts(spark, d))

@@ -121,3 +121,20 @@ def test_pivoted_cells_are_no_wide_sums(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 1.0, None, None), (2, None, 2.0, None), (None, 3.0, None, None)]
     with pytest.raises(Exception, match="duplicate key and field"):
         pivot_fields(cells.union(cells), ["k"], "f", "v", ["a", "b", "c"]).collect()
+
+
+def test_known_unit_texts_spare_the_rows(spark):
+    """The distinct unit texts are staged at once; with ``texts`` the rows, and the joins behind them, are not read for that."""
+    from firmlens.operators.harmonise import harmonise
+
+    unit = F.raise_error(F.lit("the rows were read")).cast("string")
+    rows = spark.range(1).select(F.lit(0).alias("indicator"), F.lit(2000).alias("year"), F.lit("1").alias("value"), unit.alias("unit"), F.lit(True).alias("valid"))
+    types = spark.createDataFrame([(0, "decimal")], "indicator int, type_standard string")
+    assert "valid" in harmonise(rows, types, None, texts=spark.createDataFrame([("kg",)], "unit string")).columns
+
+
+def test_a_large_narrow_side_is_hashed(spark):
+    wide, narrow = spark.range(10).toDF("k"), spark.range(10_000_000).toDF("k")
+    plan = lambda right: wide.repartition(3).hint("shuffle_hash").join(right, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert scale.hash_side(wide) is wide and scale.hash_side(narrow) is not narrow
+    assert "rightHint=(strategy=shuffle_hash)" in plan(scale.hash_side(narrow))
