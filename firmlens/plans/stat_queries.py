@@ -8,6 +8,7 @@ from firmlens.functions.ratings import TRIPLE_SCALE, coded, rating_codes
 from firmlens.operators import regression as G
 from firmlens.operators import transparency as T
 from firmlens.operators import validation as V
+from firmlens.operators.scale import hash_side
 from firmlens.plans import standins as S
 from firmlens.plans.panel_queries import FIRM_GROUPS, firm_groups, rounded
 from firmlens.plans.registry import query
@@ -17,27 +18,37 @@ NOISE = "(1 + (l_partkey % 21 - 10) / CAST(200 AS DOUBLE))"
 
 
 def truth_rows(spark, d):
-    orders = S.read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("firm"), F.year("o_orderdate").alias("year"))
+    orders = hash_side(S.read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("firm"), F.year("o_orderdate").alias("year")))
     return S.read(spark, d, "lineitem").join(orders, "l_orderkey").withColumn("indicator", F.col("l_linenumber"))
 
 
+def truth_cells(spark, d):
+    """The largest price per (firm, year, indicator) of each source, from one pass over the rows; staged."""
+    price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
+    manual = {name: [F.max(F.when(flag == name, price)).alias(name), F.max(flag == name).alias(f"has_{name}")] for name in ("A", "R")}
+    return cut_lineage(
+        truth_rows(spark, d).groupBy("firm", "year", "indicator").agg(
+            F.max(F.when(flag != "N", price)).alias("value_final"),
+            F.max(F.when(F.col("l_linestatus") == "O", price * F.expr(NOISE))).alias("licensed"),
+            *manual["A"], *manual["R"],
+        )
+    )
+
+
 def merged(spark, d):
-    rows = truth_rows(spark, d)
-    price = F.col("l_extendedprice")
-    facts = rows.groupBy(F.col("firm").cast("string").alias("firm"), "year", "indicator").agg(
-        F.max(F.when(F.col("l_returnflag") != "N", price)).alias("value_final")
-    )
+    cells = truth_cells(spark, d)
+    facts = cells.select(F.col("firm").cast("string").alias("firm"), "year", "indicator", "value_final")
     facts = facts.withColumn("exists", F.col("value_final").isNotNull()).withColumn(
         "field", F.when(F.col("indicator") <= 4, F.concat(F.lit("F"), F.col("indicator")))
     )
     customers = S.read(spark, d, "customer").select(F.col("c_name").alias("isin"), F.col("c_custkey").alias("id"))
     licensed = (
-        rows.join(customers, F.col("firm") == F.col("id"))
+        cells.join(hash_side(customers), F.col("firm") == F.col("id"))
         .groupBy("isin", "year", F.concat(F.lit("F"), F.col("indicator")).alias("fieldname"))
-        .agg(F.max(F.when(F.col("l_linestatus") == "O", price * F.expr(NOISE))).alias("value"))
+        .agg(F.max("licensed").alias("value"))
     )
     companies = customers.select("isin", F.col("id").cast("string").alias("firm"))
-    manual = lambda flag: rows.where(F.col("l_returnflag") == flag).groupBy(F.concat_ws("_", "firm", "year").alias("company_year"), "indicator").agg(F.format_number(F.max("l_extendedprice"), 2).alias("value"))
+    manual = lambda flag: cells.where(F.col(f"has_{flag}")).select(F.concat_ws("_", "firm", "year").alias("company_year"), "indicator", F.format_number(flag, 2).alias("value"))
     return V.ground_truth(facts, licensed, companies, manual("A"), manual("R"))
 
 
@@ -163,7 +174,7 @@ RATERS = {"people": ("manual_value", "second_value"), "machine": ("value_final",
     f"WITH {TRUTH}, {', '.join(agreement_sql(p, *c) for p, c in RATERS.items())} SELECT * FROM peopleo UNION ALL SELECT * FROM machineo",
 )
 def _(spark, d):
-    rows = merged(spark, d)
+    rows = cut_lineage(merged(spark, d).select(*sorted({c for columns in RATERS.values() for c in columns})))
     shown = "n", "type", "icc", "f", "df1", "df2"
     both = [V.icc(rows, columns).select(F.lit(pair).alias("pair"), *shown) for pair, columns in RATERS.items()]
     return rounded(rounded(both[0].unionByName(both[1]), "icc", digits=5), "f", digits=3)
@@ -343,9 +354,8 @@ def _(spark, d):
 OUT_YEARS = list(range(1995, 2002))
 
 
-def outcome(spark, d, column):
+def outcome(rows, column):
     """Share of the first three indicators reported next to the log of the first, extracted or licensed."""
-    rows = merged(spark, d)
     share = rows.where("indicator <= 3").groupBy("firm", "year").agg(F.avg(F.col("exists").cast("double")).alias("transp"))
     total = rows.where("indicator = 1").select("firm", "year", F.ln(column).alias("log_total"))
     return share.join(total, ["firm", "year"]).where(F.col("log_total").isNotNull())
@@ -366,8 +376,9 @@ def outcome_sql(name, column):
     f"WITH {TRUTH}, {outcome_sql('extracted', 'value_final')}, {outcome_sql('licensed', 'ref_value')} SELECT outcome, spec, term, round(e, 5) AS estimate, CASE WHEN term <> '(Intercept)' THEN round(exp(e), 5) END AS exp_estimate FROM (SELECT * FROM extractedo UNION ALL SELECT * FROM licensedo)",
 )
 def _(spark, d):
+    rows = cut_lineage(merged(spark, d).where("indicator <= 3").select("firm", "year", "indicator", "exists", "value_final", "ref_value"))
     parts = [
-        G.outcome_models(outcome(spark, d, column), "log_total", OUT_YEARS).withColumn("outcome", F.lit(name))
+        G.outcome_models(outcome(rows, column), "log_total", OUT_YEARS).withColumn("outcome", F.lit(name))
         for name, column in (("extracted", "value_final"), ("licensed", "ref_value"))
     ]
     out = G.union_all(parts).select("outcome", "spec", "term", "estimate", "exp_estimate")

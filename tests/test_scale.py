@@ -138,3 +138,10 @@ def test_a_large_narrow_side_is_hashed(spark):
     plan = lambda right: wide.repartition(3).hint("shuffle_hash").join(right, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert scale.hash_side(wide) is wide and scale.hash_side(narrow) is not narrow
     assert "rightHint=(strategy=shuffle_hash)" in plan(scale.hash_side(narrow))
+
+
+def test_ground_truth_reads_the_line_items_once(spark):
+    from firmlens.plans.stat_queries import merged
+
+    plan = merged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert "l_orderkey" not in plan.toString()
