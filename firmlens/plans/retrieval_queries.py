@@ -71,9 +71,9 @@ HASH_SQL = "list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'
     round(CASE WHEN n > 0 THEN c[1] / n ELSE 0 END, 6) AS first FROM normed""",
 )
 def _(spark, d):
-    out = R.hashed_vectors(doc_chunks(spark, d), "text", 64)
+    out = R.hashed_vectors(doc_chunks(spark, d), "text", 64, counts="counts")
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    counts = F.array_join(R.hashed_counts(F.col("text"), 64).cast("array<string>"), ",")
+    counts = F.array_join(F.col("counts").cast("array<string>"), ",")
     return out.select("doc_id", "sequence_number", counts.alias("counts"), F.round(squares, 6).alias("norm"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 

@@ -1,5 +1,6 @@
 """Documents, chunks, quality, retrieval and answers on small rows, some against brute force."""
 
+import hashlib
 import html
 import math
 import random
@@ -136,6 +137,18 @@ def test_quality_flags_need_every_pillar(spark):
     assert got == {1.0: (0, 1, 1), 2.0: (0, 0, 0), 3.0: (1, 0, 1), 5.0: (1, 0, 1)}
 
 
+def test_hashed_vectors_equal_brute_force_and_count_once(spark):
+    texts = ["Alpha beta\u00a0x ALPHA", " \t\n", "", None, "\u00c4rger \u0130x \x0bend\x0c"]
+    out = R.hashed_vectors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", 16, counts="counts")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in out.collect():
+        want = [0] * 16
+        for term in re.findall(r"[^ \t\n\x0b\f\r]+", (r["text"] or "").lower()):
+            want[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % 16] += 1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert r["counts"] == want and r["vector"] == [x / norm for x in want]
+
+
 def test_vector_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8))
