@@ -12,14 +12,17 @@ from pyspark.sql import types as T
 from firmlens.schemas import RESULTS
 
 # number followed by a unit word or sign
+ANY_QUANTITY = r"\d[\d.,]*\s*(?:[%€$£]|[^\W\d_])"  # where ``FIRST_QUANTITY`` finds one, found faster
 FIRST_QUANTITY = r"(-?\d[\d.,]*)\s*([%€$£]|[^\W\d_][\w²³₂/]*)"
 
 
 def first_quantity(context: Column) -> Column:
     """Built-in extractor: the first number with a unit, as a JSON answer."""
-    value = F.nullif(F.regexp_extract(context, FIRST_QUANTITY, 1), F.lit(""))
-    unit = F.nullif(F.regexp_extract(context, FIRST_QUANTITY, 2), F.lit(""))
-    return F.to_json(F.struct(value.alias("value"), unit.alias("unit")), {"ignoreNullFields": "false"})
+    part = lambda found, i, name: F.nullif(F.regexp_extract(found, FIRST_QUANTITY, i), F.lit("")).alias(name)
+    answer = lambda found: F.struct(part(found, 1, "value"), part(found, 2, "unit"))
+    # a long text is not searched for each part; the one-element ``transform`` binds what was found
+    first = F.transform(F.array(F.when(context.rlike(ANY_QUANTITY), F.regexp_extract(context, FIRST_QUANTITY, 0))), answer)
+    return F.to_json(F.get(first, F.lit(0)), {"ignoreNullFields": "false"})
 
 
 def run_extractor(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]] | None = None, out: str = "raw_output") -> DataFrame:

@@ -301,18 +301,24 @@ def _(spark, d):
     ranked = R.fuse_ranks(
         R.vector_top_k(R.hashed_vectors(chunks, "text", SLOTS), R.hashed_vectors(asked, "text", SLOTS)), R.keyword_top_k(chunks.select("doc", "chunk", "text"), asked)
     )
-    pairs = ranked.drop("score").join(chunks, ["doc", "chunk"]).join(asked.withColumnRenamed("text", "query_text"), "query_id")
-    best = cut_lineage(R.rerank(pairs).select("doc", "query_id", "chunk", "rank", "start_index", F.length("text").alias("length")))
-    windows = R.with_neighbours(best, chunks)
+    # pairs of chunk and request carry distinct terms, not texts, and those only up to the score
+    chunk_terms = chunks.select("doc", "chunk", "start_index", F.length("text").alias("length"), R.distinct_terms(F.col("text")).alias("text"))
+    pairs = ranked.drop("score").join(chunk_terms, ["doc", "chunk"]).join(asked.select("query_id", R.distinct_terms(F.col("text")).alias("query_text")), "query_id")
+    best = R.rerank(pairs, scorer=R.shared_terms).select("doc", "query_id", "chunk", "rank", "start_index", "length")
     page = lambda at: F.floor(at / 1500).cast("int") + 1
-    numbers = F.sequence(page(F.col("start_index")), page(F.col("start_index") + F.col("length")))
-    found = windows.join(best.select("doc", "query_id", F.col("chunk").alias("target"), numbers.alias("pages")), ["doc", "query_id", "target"])
-    info = F.transform("pages", lambda p: F.struct(F.concat(F.lit("file"), F.col("doc"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")))
-    context = found.groupBy("doc", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", info.alias("source_info")))).alias("context"))
+    info = lambda x: F.transform(
+        F.sequence(page(x["start_index"]), page(x["start_index"] + x["length"])),
+        lambda p: F.struct(F.concat(F.lit("file"), F.col("doc"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")),
+    )
+    context = R.with_neighbours(best, chunks, listed=True, measures={"n_tokens": R.prompt_size})
+    # white space stands around every text of a prompt, so its terms are those of the texts and of the prompt without them
+    context = context.withColumn("text_tokens", F.aggregate("context", F.lit(0), lambda a, x: a + x["n_tokens"])).withColumn("context", F.transform("context", lambda x: F.struct(x["rank"], x["text"], info(x).alias("source_info"))))
     work = context.withColumns(R.context_columns(F.col("context"))).withColumn("context", R.context_text(F.col("texts"))).join(asked, "query_id")
-    work = work.withColumn("prompt", R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), F.col("context"), F.col("text")))
+    prompt = lambda context: R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), context, F.col("text"))
+    frame = prompt(R.context_text(F.transform("texts", lambda t: F.lit(""))))
+    work = work.withColumns({"prompt": prompt(F.col("context")), "num_tokens": R.prompt_size(frame) + F.col("text_tokens")})
     # the built-in extractor reads the sources only; a model would read the prompt
-    answered = E.run_extractor(work, "context").withColumn("num_tokens", R.prompt_size(F.col("prompt")))
+    answered = E.run_extractor(work, "context")
     records = E.result_records(
         answered.select(
             F.col("doc").cast("string").alias("company_id"), F.lit(2023).alias("year"), F.concat(F.col("doc"), F.lit("_2023")).alias("company_year"), F.col("query_id").cast("string").alias("data_point_id"),
@@ -320,11 +326,17 @@ def _(spark, d):
         )
     )
     types = requests(spark, d).select(F.col("query_id").cast("string").alias("indicator"), F.lit("decimal").alias("type_standard"))
-    numbers = harmonise(records.withColumn("indicator", F.col("data_point_id")).withColumn("valid", F.col("model_output_valid")).withColumn("raw_value", F.col("value")).withColumn("raw_unit", F.col("unit")), types, None)
     shown = F.transform("page_numbers", lambda p: F.concat(F.lit("["), F.array_join(p.cast("array<string>"), ","), F.lit("]")))
+    # harmonise reads its rows twice: texts are made and digested once
+    answers = cut_lineage(
+        records.select(
+            "company_id", "year", "data_point_id", F.col("data_point_id").alias("indicator"), "model_output_valid", F.col("model_output_valid").alias("valid"), "value", F.col("value").alias("raw_value"), "unit", F.col("unit").alias("raw_unit"),
+            F.size("retrieved_context").alias("n_context"), F.md5(F.array_join("retrieved_context", "|")).alias("context"), F.get("source_documents", F.lit(0)).alias("source_document"), F.array_join(shown, ";").alias("page_numbers"), "num_tokens",
+        )
+    )
+    numbers = harmonise(answers, types, None)
     return numbers.select(
-        "company_id", "data_point_id", F.size("retrieved_context").alias("n_context"), F.md5(F.array_join("retrieved_context", "|")).alias("context"), F.get("source_documents", F.lit(0)).alias("source_document"),
-        F.array_join(shown, ";").alias("page_numbers"), "num_tokens", "model_output_valid", F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), "value_num",
+        "company_id", "data_point_id", "n_context", "context", "source_document", "page_numbers", "num_tokens", "model_output_valid", F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), "value_num"
     )
 
 

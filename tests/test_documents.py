@@ -204,6 +204,27 @@ def test_overlapping_windows_stay_whole(spark):
     assert got == {1: (2, "t1 t2"), 3: (1, "t2 t3 t4"), 4: (3, "t3 t4 t5")}
 
 
+def test_windows_of_many_queries_are_made_once(spark):
+    """Lists and rows agree for any block of queries; every list carries the measures of its windows."""
+    chunks = spark.createDataFrame([(d, i, f"t{d} {i} x") for d in (1, 2) for i in range(1, 8)], "doc int, chunk int, text string")
+    targets = spark.createDataFrame([(d, q, c, r, c * 10) for d in (1, 2) for q in range(30) for r, c in enumerate((1 + q % 7, 1 + (q + 3) % 7, 99), 1)], "doc int, query_id int, chunk int, rank int, at int")
+    for block in (256, 4):
+        out = R.with_neighbours(targets, chunks, listed=True, block=block, measures={"n": R.prompt_size}).collect()
+        rows = {(r["doc"], r["query_id"], r["target"], r["rank"]): r["text"] for r in R.with_neighbours(targets, chunks, block=block).collect()}
+        assert len(out) == 60 and len(rows) == 120
+        for r in out:
+            want = [(n, c, c * 10, " ".join(f"t{r['doc']} {i} x" for i in (c - 1, c, c + 1) if 1 <= i <= 7)) for n, c in enumerate((1 + r["query_id"] % 7, 1 + (r["query_id"] + 3) % 7), 1)]
+            assert [tuple(x)[:4] for x in r["context"]] == want and all(x["n"] == len(x["text"].split()) for x in r["context"])
+            assert all(rows[r["doc"], r["query_id"], x["target"], x["rank"]] == x["text"] for x in r["context"])
+
+
+@pytest.mark.parametrize("text", ["a -1,200.5 MWh b 3 kg", "12.5,", "x-3%", "7\n\nChunk 2:\n", "1_a 2", "none", "", None, "--5 \u00b2 4\u20ac"])
+def test_first_quantity_is_that_of_one_search(spark, text):
+    found = re.search(E.FIRST_QUANTITY, text or "", re.ASCII)
+    one = spark.createDataFrame([(text,)], "t string").select(E.stored_answer(E.first_quantity(F.col("t"))).alias("a")).first()["a"]
+    assert (one["value"], one["unit"]) == (found.groups() if found else (None, None))
+
+
 def test_context_of_chunks_without_page(spark):
     row = spark.sql("SELECT array(named_struct('text', 'a{b}', 'source_info', array(named_struct('source_document', 'f.pdf', 'page_number', 3))), named_struct('text', 'c', 'source_info', cast(array() AS array<struct<source_document:string,page_number:int>>))) AS context")
     out = row.withColumns(R.context_columns(F.col("context"))).withColumn("c", R.context_text(F.col("texts"))).first()
