@@ -64,24 +64,28 @@ def _cells(rows: DataFrame, names: Sequence[str], keys: Sequence[str]) -> tuple[
     return cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)), [float(m or 0.0) for m in means]
 
 
-def _firms(cells: DataFrame, k: int, cluster: str, group: Sequence[str] = (), shift: DataFrame | None = None, within: bool = False) -> DataFrame:
-    """Totals per firm after taking ``shift`` (m0.. per group) from the variables and, if asked, the firm means.
+def _moved(cells: DataFrame, k: int, cluster: str, group: Sequence[str] = (), shift: DataFrame | None = None) -> DataFrame:
+    """The cells after taking ``shift`` (m0.. per group) from the variables, for sums over any of them.
 
     r and q keep the unshifted squares and sums, for the spread of the sample.
     """
     m = [F.col(f"m{i}") if shift is not None else F.lit(0.0) for i in range(k)]
     s, p = lambda i: F.col(f"s{i}"), lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}")
-    moved = cells if shift is None else join_on(cells, shift, list(group))
-    totals = moved.groupBy(cluster).agg(
-        F.sum("n").alias("n"),
-        *[F.sum(s(i) - F.col("n") * m[i]).alias(f"s{i}") for i in range(k)],
-        *[F.sum(p(i, j) - m[i] * s(j) - m[j] * s(i) + F.col("n") * m[i] * m[j]).alias(f"p{i}_{j}") for i, j in _pairs(k)],
-        *[F.sum(p(i, i)).alias(f"r{i}") for i in range(k)],
-        *[F.sum(s(i)).alias(f"q{i}") for i in range(k)],
+    return (cells if shift is None else join_on(cells, shift, list(group))).select(
+        cluster,
+        "n",
+        *[(s(i) - F.col("n") * m[i]).alias(f"s{i}") for i in range(k)],
+        *[(p(i, j) - m[i] * s(j) - m[j] * s(i) + F.col("n") * m[i] * m[j]).alias(f"p{i}_{j}") for i, j in _pairs(k)],
+        *[p(i, i).alias(f"r{i}") for i in range(k)],
+        *[s(i).alias(f"q{i}") for i in range(k)],
     )
-    if within:
-        totals = totals.withColumns({f"p{i}_{j}": p(i, j) - s(i) * s(j) / F.col("n") for i, j in _pairs(k)}).withColumns({f"s{i}": F.lit(0.0) for i in range(k)})
-    return totals
+
+
+def _within(moved: DataFrame, k: int, cluster: str) -> DataFrame:
+    """Totals per firm with the firm means taken out."""
+    s, p = lambda i: F.col(f"s{i}"), lambda i, j: F.col(f"p{i}_{j}")
+    totals = moved.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in moved.columns if c != cluster])
+    return totals.withColumns({f"p{i}_{j}": p(i, j) - s(i) * s(j) / F.col("n") for i, j in _pairs(k)}).withColumns({f"s{i}": F.lit(0.0) for i in range(k)})
 
 
 def _matrix(row, k: int, prefix: str = "p") -> np.ndarray:
@@ -226,25 +230,26 @@ def fit_all(df: DataFrame, y: str, models: Sequence[Model], cluster: str = "firm
         spec = _Spec(name, list(xs), group, firm_effect, means)
         if group and firm_effect:
             shift, spec.levels, spec.rank = _second_effect(cells, k, cluster, group, direct)
-            table = _firms(cells, k, cluster, group, shift, within=True)
+            table = _moved(cells, k, cluster, group, shift)
         elif group:
             n = F.sum("n")
             shift = cells.groupBy(*group).agg(*[(F.sum(f"s{i}") / n).alias(f"m{i}") for i in range(k)])
-            table = _firms(cells, k, cluster, group, shift)
+            table = _moved(cells, k, cluster, group, shift)
             counts.append(shift.select(F.lit(len(specs)).alias("spec")))
         else:
-            table = _firms(cells, k, cluster, within=firm_effect)
+            table = _moved(cells, k, cluster)
+        table = cut_lineage(_within(table, k, cluster)) if firm_effect else table
         specs.append(spec)
         tables.append(table.withColumn("__spec", F.lit(len(specs) - 1)))
     for r in union_all(counts).groupBy("spec").count().collect() if counts else ():
         specs[r["spec"]].levels = r["count"]
-    every = cut_lineage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     most = max(len(s.xs) for s in specs) + 1
-    wanted = [f"{c}{i}" for c in "srq" for i in range(most)] + [f"p{i}_{j}" for i, j in _pairs(most)]
-    sums = {r["__spec"]: r for r in every.groupBy("__spec").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in wanted]).collect()}
+    wanted = [f"{c}{i}" for c in "rq" for i in range(most)] + [f"p{i}_{j}" for i, j in _pairs(most)]
+    sums = {r["__spec"]: r for r in every.groupBy("__spec").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in wanted]).collect()}
     solved = [_coefficients(spec, sums[i]) if i in sums else None for i, spec in enumerate(specs)]
-    meat = _meat(every, solved, most)
-    parts = [_rows_of(spec, sums[i], solved[i], meat[i]) for i, spec in enumerate(specs) if solved[i] is not None]
+    meat = _meat(every, solved, most, cluster)
+    parts = [_rows_of(spec, sums[i], solved[i], *meat[i]) for i, spec in enumerate(specs) if solved[i] is not None]
     return df.sparkSession.createDataFrame([r for part in parts for r in part], SCHEMA)
 
 
@@ -265,8 +270,11 @@ def _coefficients(spec: _Spec, row) -> tuple[list[int], np.ndarray, np.ndarray,
     return kept, beta, inverse, float(gram[0, 0] - 2 * beta @ cross + beta @ gram[1:, 1:][np.ix_(kept, kept)] @ beta), float(spread[0])
 
 
-def _meat(every: DataFrame, solved: list, most: int) -> dict[int, np.ndarray]:
-    """Products of the firms' scores of each spec; place 0 is the intercept's."""
+def _meat(every: DataFrame, solved: list, most: int, cluster: str) -> dict[int, tuple[np.ndarray, int]]:
+    """Products of the firms' scores of each spec, place 0 is the intercept's, and the number of firms.
+
+    A score is linear in sums and products, so the cells are scored first and only scores are shuffled by firm.
+    """
     full = []
     for found in solved:
         beta = np.zeros(most - 1)
@@ -281,12 +289,13 @@ def _meat(every: DataFrame, solved: list, most: int) -> dict[int, np.ndarray]:
     residual = lambda of: of(0) - sum((own[j] * of(j + 1) for j in range(most - 1)), F.lit(0.0))
     scores = {"u0": residual(lambda j: zero(f"s{j}"))} | {f"u{a}": residual(lambda j, a=a: p(a, j)) for a in range(1, most)}
     cells = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}_{j}") for i, j in _pairs(most)]
-    return {r["__spec"]: _matrix(r, most) for r in scored.withColumns(scores).groupBy("__spec").agg(*cells).collect()}
+    firms = scored.select("__spec", cluster, *[u.alias(name) for name, u in scores.items()]).groupBy("__spec", cluster).agg(*[F.sum(u).alias(u) for u in scores])
+    return {r["__spec"]: (_matrix(r, most), r["clusters"]) for r in firms.groupBy("__spec").agg(F.count(F.lit(1)).alias("clusters"), *cells).collect()}
 
 
-def _rows_of(spec: _Spec, row, solved, meat: np.ndarray) -> list[tuple]:
+def _rows_of(spec: _Spec, row, solved, meat: np.ndarray, clusters: int) -> list[tuple]:
     kept, beta, inverse, ssr, total = solved
-    n, clusters, ss = row["n"], row["clusters"], [1 + i for i in kept]
+    n, ss = row["n"], [1 + i for i in kept]
     if not spec.effect and not spec.firm_effect:
         # the variables are centred, so the intercept stands alone; it is moved back to the original zero
         bread = np.zeros((len(kept) + 1,) * 2)

@@ -213,3 +213,14 @@ def test_spearman_p(spark):
         assert got[g]["p"] == pytest.approx(t_p_value(got[g]["t"], got[g]["n"] - 2))
     assert abs(got["some"]["p"] - t_p_value(got["some"]["t"], 38)) < 0.01
 
+
+
+def test_firm_totals_are_staged_for_firm_effects_only(spark, panel, monkeypatch):
+    """Rows and cells are written; without firm effects only scores go by firm."""
+    staged, write = [], regression.cut_lineage
+    monkeypatch.setattr(regression, "cut_lineage", lambda df: staged.append(df.columns) or write(df))
+    for firm_effect, tables in ((False, 2), (True, 3)):
+        staged.clear()
+        got = {r["term"]: r for r in fit(spark.createDataFrame(panel), "y", ["x1", "x2"], "m", [] if firm_effect else ["sector"], firm_effect).collect()}
+        want, *_ = dense(panel, ["x1", "x2"], [["firm"]] if firm_effect else [["sector"]], [["firm"]] if firm_effect else [])
+        assert len(staged) == tables and [got[x]["estimate"] for x in ("x1", "x2")] == pytest.approx(list(want)[:2])
