@@ -25,13 +25,28 @@ def first_quantity(context: Column) -> Column:
     return F.to_json(F.get(first, F.lit(0)), {"ignoreNullFields": "false"})
 
 
-def run_extractor(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]] | None = None, out: str = "raw_output") -> DataFrame:
+NO_QUANTITY = '{"value":null,"unit":null}'  # what ``first_quantity`` says without one
+
+
+def block_answers(inner: Column, last: Column) -> Column:
+    """The built-in extractor's answers to one block of a context: with the head of a next block after it, and as the last one."""
+    return F.struct(first_quantity(inner).alias("inner"), first_quantity(last).alias("last"))
+
+
+def first_answer(answers: Column) -> Column:
+    """``first_quantity`` of a context from the ``block_answers`` of its blocks; a block's head holds no quantity."""
+    each = F.transform(answers, lambda a, i: F.when(i + 1 < F.size(answers), a["inner"]).otherwise(a["last"]))
+    return F.coalesce(F.get(F.filter(each, lambda a: a != NO_QUANTITY), F.lit(0)), F.lit(NO_QUANTITY))
+
+
+def run_extractor(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]] | None = None, out: str = "raw_output", answers: Column | None = None) -> DataFrame:
     """Answer text per prompt, from a batch model or the built-in extractor.
 
-    A batch the model fails on yields null answers, which a later attempt can redo.
+    A batch the model fails on yields null answers, which a later attempt can redo. ``answers`` are the built-in
+    extractor's ``block_answers`` to the prompt's blocks, for a caller whose blocks stand in many prompts.
     """
     if model is None:
-        return df.withColumn(out, first_quantity(F.col(prompt)))
+        return df.withColumn(out, first_quantity(F.col(prompt)) if answers is None else first_answer(answers))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,8 +108,8 @@ def has_value(answer: Column) -> Column:
     return F.coalesce(F.trim(answer["value"]) != "", F.lit(False))
 
 
-def result_records(df: DataFrame) -> DataFrame:
-    """The full result record in its declared types; a missing or failed part is null."""
+def result_records(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The full result record in its declared types, after the columns to ``keep``; a missing or failed part is null."""
     schema = T.StructType.fromDDL(RESULTS)
     answer = strict_answer(without_thousands(F.col("raw_output")))
     ready = df.withColumn("model_output", answer).withColumns(
@@ -105,7 +120,7 @@ def result_records(df: DataFrame) -> DataFrame:
         }
     )
     have = set(ready.columns)
-    return ready.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return ready.select(*keep, *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def still_to_do(work: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:

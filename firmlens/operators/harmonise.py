@@ -158,10 +158,9 @@ def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFra
 
 def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame | None) -> DataFrame:
     """Unit columns for every row. Unit texts repeat, so each distinct text of
-    ``units`` is staged and parsed once and looked up; the planner sees the staged
-    size and broadcasts it if it is small."""
-    texts = cut_lineage(units.toDF(text))
-    return join_on(rows, resolve_units(texts, text, quoted), [text], "left")
+    ``units`` is parsed once and what it means is staged and looked up; the planner
+    sees the staged size and broadcasts it if it is small, so the rows stay where they are."""
+    return join_on(rows, cut_lineage(resolve_units(units.toDF(text), text, quoted)), [text], "left")
 
 
 def rate_table(fx: DataFrame) -> DataFrame:
@@ -192,7 +191,7 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
     that has them without the joins behind ``df``; else ``df`` is evaluated once more for them.
     """
     spark, col, no = df.sparkSession, F.col, F.lit(False)
-    t = df.join(typed_indicators(types), "indicator", "left")
+    t = df.join(cut_lineage(typed_indicators(types)), "indicator", "left")
     is_number, is_percent, is_date, is_free, needs_unit = (F.coalesce(col(f"__{f}"), no) for f in ("number", "percent", "date", "free", "needs"))
 
     # required units, plain numbers, percent, dates

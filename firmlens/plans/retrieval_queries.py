@@ -287,6 +287,18 @@ END_TO_END_SQL = f"""{CHUNK_SQL}, {QUERIES_SQL}, corpus AS (SELECT doc_id AS doc
     nullif(regexp_extract(context, '(-?\\d[\\d.,]*)\\s*([%€$£]|[^\\W\\d_][\\w²³₂/]*)', 2), '') AS unit FROM asked)"""
 
 
+def large_contexts(chunks, asked, measures):
+    """Contexts of documents too large for a pack, ranked row by row."""
+    ranked = R.fuse_ranks(R.vector_top_k(chunks.select("doc", "chunk", "vector"), asked), R.keyword_top_k(chunks.select("doc", "chunk", "text"), asked))
+    # pairs of chunk and request carry distinct terms, not texts, and those only up to the score
+    chunk_terms = chunks.select("doc", "chunk", "source_info", R.distinct_terms(F.col("text")).alias("text"))
+    pairs = ranked.drop("score").join(chunk_terms, ["doc", "chunk"]).join(asked.select("query_id", R.distinct_terms(F.col("text")).alias("query_text")), "query_id")
+    best = R.rerank(pairs, scorer=R.shared_terms).select("doc", "query_id", "chunk", "rank", "source_info")
+    context = R.with_neighbours(best, chunks, listed=True, measures=measures)
+    fields = ("target", "source_info", "text", *measures)
+    return context.select("doc", F.array("query_id").alias("query_ids"), F.transform("context", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("context"))
+
+
 @query(
     "c16_end_to_end",
     f"""WITH {END_TO_END_SQL} SELECT CAST(doc AS VARCHAR) AS company_id, CAST(query_id AS VARCHAR) AS data_point_id, len(l) AS n_context, md5(array_to_string(l, '|')) AS context, 'file' || doc || '.pdf' AS source_document, page_numbers,
@@ -296,45 +308,49 @@ END_TO_END_SQL = f"""{CHUNK_SQL}, {QUERIES_SQL}, corpus AS (SELECT doc_id AS doc
 )
 def _(spark, d):
     """Documents to harmonised figures: chunks, both rankings fused, rerank, windows, context, prompt, answer, record, number."""
-    chunks = doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "start_index", "text")
-    chunks, asked = cut_lineage(chunks), requests(spark, d)
-    ranked = R.fuse_ranks(
-        R.vector_top_k(R.hashed_vectors(chunks, "text", SLOTS), R.hashed_vectors(asked, "text", SLOTS)), R.keyword_top_k(chunks.select("doc", "chunk", "text"), asked)
-    )
-    # pairs of chunk and request carry distinct terms, not texts, and those only up to the score
-    chunk_terms = chunks.select("doc", "chunk", "start_index", F.length("text").alias("length"), R.distinct_terms(F.col("text")).alias("text"))
-    pairs = ranked.drop("score").join(chunk_terms, ["doc", "chunk"]).join(asked.select("query_id", R.distinct_terms(F.col("text")).alias("query_text")), "query_id")
-    best = R.rerank(pairs, scorer=R.shared_terms).select("doc", "query_id", "chunk", "rank", "start_index", "length")
     page = lambda at: F.floor(at / 1500).cast("int") + 1
-    info = lambda x: F.transform(
-        F.sequence(page(x["start_index"]), page(x["start_index"] + x["length"])),
-        lambda p: F.struct(F.concat(F.lit("file"), F.col("doc"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")),
-    )
-    context = R.with_neighbours(best, chunks, listed=True, measures={"n_tokens": R.prompt_size})
-    # white space stands around every text of a prompt, so its terms are those of the texts and of the prompt without them
-    context = context.withColumn("text_tokens", F.aggregate("context", F.lit(0), lambda a, x: a + x["n_tokens"])).withColumn("context", F.transform("context", lambda x: F.struct(x["rank"], x["text"], info(x).alias("source_info"))))
-    work = context.withColumns(R.context_columns(F.col("context"))).withColumn("context", R.context_text(F.col("texts"))).join(asked, "query_id")
-    prompt = lambda context: R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), context, F.col("text"))
+    numbers = F.sequence(page(F.col("start_index")), page(F.col("start_index") + F.length("text")))
+    info = F.transform(numbers, lambda p: F.struct(F.concat(F.lit("file"), F.col("doc_id"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")))
+    chunks = cut_lineage(doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "text", info.alias("source_info")))
+    asked = cut_lineage(R.hashed_vectors(requests(spark, d), "text", SLOTS))
+    # what is taken of a window's text is taken once, not for every request
+    blocks = lambda text: E.block_answers(R.context_text(F.array(text, F.lit(""))), R.context_text(F.array(text)))
+    measures = {"n_tokens": R.prompt_size, "answers": blocks}
+    packs, large = R.in_packs(R.hashed_vectors(chunks, "text", SLOTS), asked)
+    best = R.rerank(R.fuse_ranks(R.vector_top_k(packs), R.keyword_top_k(packs)))
+    context = R.with_neighbours(best, listed=True, measures=measures)
+    if large is not None:
+        context = context.unionByName(large_contexts(cut_lineage(large), asked, measures))
+    # white space stands around every text of a prompt, so its terms are those of the texts, of the request and of the prompt without them
+    text_tokens = F.aggregate("context", F.lit(0), lambda a, x: a + x["n_tokens"])
+    work = context.withColumns(R.context_columns(F.col("context")) | {"text_tokens": text_tokens, "answers": F.col("context.answers")}).drop("context")
+    prompt = lambda context: R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), context, F.lit(""))
     frame = prompt(R.context_text(F.transform("texts", lambda t: F.lit(""))))
-    work = work.withColumns({"prompt": prompt(F.col("context")), "num_tokens": R.prompt_size(frame) + F.col("text_tokens")})
-    # the built-in extractor reads the sources only; a model would read the prompt
-    answered = E.run_extractor(work, "context")
+    # the built-in extractor reads the sources only; a model would read the prompt with the request
+    answered = E.run_extractor(work.withColumn("context", R.context_text(F.col("texts"))), "context", answers=F.col("answers"))
+    # requests that share a context share its record
     records = E.result_records(
         answered.select(
-            F.col("doc").cast("string").alias("company_id"), F.lit(2023).alias("year"), F.concat(F.col("doc"), F.lit("_2023")).alias("company_year"), F.col("query_id").cast("string").alias("data_point_id"),
-            "raw_output", F.col("texts").alias("retrieved_context"), F.array("source_document").alias("source_documents"), "page_numbers", "num_tokens",
-        )
-    )
-    types = requests(spark, d).select(F.col("query_id").cast("string").alias("indicator"), F.lit("decimal").alias("type_standard"))
+            "query_ids", F.col("doc").cast("string").alias("company_id"), F.lit(2023).alias("year"), F.concat(F.col("doc"), F.lit("_2023")).alias("company_year"),
+            "raw_output", F.col("texts").alias("retrieved_context"), F.array("source_document").alias("source_documents"), "page_numbers", (R.prompt_size(frame) + F.col("text_tokens")).alias("num_tokens"),
+        ), keep=["query_ids"],
+    )
     shown = F.transform("page_numbers", lambda p: F.concat(F.lit("["), F.array_join(p.cast("array<string>"), ","), F.lit("]")))
     # harmonise reads its rows twice: texts are made and digested once
-    answers = cut_lineage(
+    made = cut_lineage(
         records.select(
-            "company_id", "year", "data_point_id", F.col("data_point_id").alias("indicator"), "model_output_valid", F.col("model_output_valid").alias("valid"), "value", F.col("value").alias("raw_value"), "unit", F.col("unit").alias("raw_unit"),
+            "query_ids", "company_id", "year", "model_output_valid", "value", "unit",
             F.size("retrieved_context").alias("n_context"), F.md5(F.array_join("retrieved_context", "|")).alias("context"), F.get("source_documents", F.lit(0)).alias("source_document"), F.array_join(shown, ";").alias("page_numbers"), "num_tokens",
         )
     )
-    numbers = harmonise(answers, types, None)
+    request_tokens = asked.select("query_id", R.prompt_size(F.col("text")).alias("request_tokens"))
+    each = made.withColumn("query_id", F.explode("query_ids")).drop("query_ids").join(request_tokens, "query_id").withColumn("data_point_id", F.col("query_id").cast("string"))
+    answers = each.select(
+        "company_id", "year", "data_point_id", F.col("data_point_id").alias("indicator"), "model_output_valid", F.col("model_output_valid").alias("valid"), "value", F.col("value").alias("raw_value"), "unit", F.col("unit").alias("raw_unit"),
+        "n_context", "context", "source_document", "page_numbers", (F.col("num_tokens") + F.col("request_tokens")).alias("num_tokens"),
+    )
+    types = requests(spark, d).select(F.col("query_id").cast("string").alias("indicator"), F.lit("decimal").alias("type_standard"))
+    numbers = harmonise(answers, types, None, texts=made.select("unit"))
     return numbers.select(
         "company_id", "data_point_id", "n_context", "context", "source_document", "page_numbers", "num_tokens", "model_output_valid", F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), "value_num"
     )

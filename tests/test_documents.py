@@ -400,3 +400,50 @@ def test_chunk_properties_judge_a_document_in_its_row(spark):
     out = chunk_properties(recursive_chunks(docs, listed=True), SEPARATORS)
     assert [tuple(r) for r in out.collect()] == [(1, True, True, True)]
     assert not any(step in _plan(out) for step in ("Exchange", "Window", "Join"))
+
+
+@pytest.mark.parametrize("pack, block", [(1000, 256), (8, 3)])
+def test_packs_rank_like_rows(spark, pack, block):
+    """Contexts of packed documents are those of the row by row ranking; queries that share one share its row."""
+    from firmlens.plans.retrieval_queries import large_contexts
+
+    words = "the red Red fox 12 kg of co2 {x} İ runs over a very LAZY dog 3.5 % 7".split()
+    text = lambda d, c: " ".join(words[(d * 7 + c * 3 + i * i) % len(words)] for i in range((d + c) % 5 * 4))
+    rows = [(d if d else None, c, text(d, c % 6), [f"{d}-{c}"]) for d, n in enumerate((3, 1, 2, 35, 7)) for c in range(1, n + 1)]
+    chunks = spark.createDataFrame([(d, c, t, [(x, c)]) for d, c, t, (x,) in rows], "doc long, chunk int, text string, source_info array<struct<source_document:string,page_number:int>>")
+    asked = spark.createDataFrame([(q, text(q % 9, q % 4)) for q in range(20)], "query_id long, text string")
+    chunks, asked = (R.hashed_vectors(df, "text", 16).localCheckpoint() for df in (chunks, asked))
+    measures = {"n_tokens": R.prompt_size}
+    packs, large = R.in_packs(chunks, asked, pack, block)
+    assert (large is None) == (pack > 35) and (large is None or {r["doc"] for r in large.select("doc").collect()} == {3})
+    best = R.rerank(R.fuse_ranks(R.vector_top_k(packs), R.keyword_top_k(packs)))
+    shared = R.with_neighbours(best, listed=True, measures=measures)
+    flat = lambda df: {(r["doc"], q): [tuple(x) for x in r["context"]] for r in df.collect() for q in r["query_ids"]}
+    got, kept = flat(shared), chunks.where("doc IS NOT NULL")
+    want = flat(large_contexts(kept if large is None else kept.where("doc <> 3"), asked, measures))
+    assert {k: v for k, v in got.items() if k[0] is not None} == want and len(want) == (4 if large is None else 3) * 20
+    # a document without a key keeps its three chunks
+    assert sum(k[0] is None for k in got) == 20 and all(sorted(x[0] for x in v) == [1, 2, 3] for k, v in got.items() if k[0] is None)
+    assert shared.where("doc = 1").count() <= (1 if block > 20 else 7)  # its one chunk is every query's context
+
+
+def test_answers_of_blocks_are_the_answer_of_the_context(spark):
+    """A number at the end of a block takes the next block's head as its unit, at the end of the context it has none."""
+    texts = [["a 25", "b 3 kg"], ["a 25"], ["x", "7 t"], ["no", "none 4."], [], ["", "-1,5 MWh"], ["{1}", "2}"], ["5 \n", "", "6%"], ["1 kg", "2 t"]]
+    df = spark.createDataFrame([(t,) for t in texts], "texts array<string>")
+    blocks = F.transform("texts", lambda t: E.block_answers(R.context_text(F.array(t, F.lit(""))), R.context_text(F.array(t))))
+    df = df.withColumn("context", R.context_text(F.col("texts")))
+    both = E.run_extractor(E.run_extractor(df, "context", out="whole"), "context", out="shared", answers=blocks).collect()
+    assert [r["shared"] for r in both] == [r["whole"] for r in both] and "Chunk" in both[0]["shared"]
+
+
+def test_large_documents_end_to_end(spark, monkeypatch):
+    """The registered query, with documents over five chunks ranked row by row, equals DuckDB."""
+    from functools import partial
+
+    import __spark_entry__ as entry
+    from compare import duck, mismatch
+
+    monkeypatch.setattr(R, "in_packs", partial(R.in_packs, pack=5))
+    name, where = "c16_end_to_end", "/root/testdata/sf0.001"
+    assert mismatch(entry.queries()[name](spark, where), duck(where), entry.oracle_sql()[name]) is None

@@ -133,6 +133,22 @@ def test_known_unit_texts_spare_the_rows(spark):
     assert "valid" in harmonise(rows, types, None, texts=spark.createDataFrame([("kg",)], "unit string")).columns
 
 
+def test_harmonised_rows_stay_where_they_are(spark):
+    """Types and units are staged, so the planner knows that they are small and the rows are not shuffled to meet them."""
+    from firmlens.operators.harmonise import harmonise
+
+    rows = spark.range(5).select(F.col("id").cast("int").alias("indicator"), F.lit(2000).alias("year"), F.lit("1").alias("value"), F.lit("kg").alias("unit"), F.lit(True).alias("valid"))
+    types = spark.createDataFrame([(i, "tonnes") for i in range(5)], "indicator int, type_standard string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        out = harmonise(rows, types, None)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert {r["value_num"] for r in out.collect()} == {1e-3}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_large_narrow_side_is_hashed(spark):
     wide, narrow = spark.range(10).toDF("k"), spark.range(10_000_000).toDF("k")
     plan = lambda right: wide.repartition(3).hint("shuffle_hash").join(right, "k")._jdf.queryExecution().optimizedPlan().toString()
