@@ -26,17 +26,23 @@ def first_quantity(context: Column) -> Column:
 
 
 NO_QUANTITY = '{"value":null,"unit":null}'  # what ``first_quantity`` says without one
+HEAD_AS_UNIT = '"unit":"Chunk"}'  # how its answer ends if a block's number stands before the next block's head
 
 
 def block_answers(inner: Column, last: Column) -> Column:
-    """The built-in extractor's answers to one block of a context: with the head of a next block after it, and as the last one."""
-    return F.struct(first_quantity(inner).alias("inner"), first_quantity(last).alias("last"))
+    """The built-in extractor's answers to one block of a context: with the head of a next block after it, and as the last one.
+
+    Null if there is none. The two differ only where that head is taken for a unit, so only there is the second one looked for.
+    """
+    named = lambda a: F.when(a != NO_QUANTITY, a)
+    other = lambda a: F.when(F.endswith(a, F.lit(HEAD_AS_UNIT)), named(first_quantity(last))).otherwise(named(a))
+    return F.get(F.transform(F.array(first_quantity(inner)), lambda a: F.struct(named(a).alias("inner"), other(a).alias("last"))), F.lit(0))
 
 
 def first_answer(answers: Column) -> Column:
     """``first_quantity`` of a context from the ``block_answers`` of its blocks; a block's head holds no quantity."""
-    each = F.transform(answers, lambda a, i: F.when(i + 1 < F.size(answers), a["inner"]).otherwise(a["last"]))
-    return F.coalesce(F.get(F.filter(each, lambda a: a != NO_QUANTITY), F.lit(0)), F.lit(NO_QUANTITY))
+    inner = F.filter(F.slice(answers["inner"], 1, F.greatest(F.size(answers) - 1, F.lit(0))), lambda a: a.isNotNull())
+    return F.coalesce(F.get(inner, F.lit(0)), F.try_element_at(answers["last"], F.lit(-1)), F.lit(NO_QUANTITY))
 
 
 def run_extractor(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]] | None = None, out: str = "raw_output", answers: Column | None = None) -> DataFrame:

@@ -311,21 +311,22 @@ def _(spark, d):
     page = lambda at: F.floor(at / 1500).cast("int") + 1
     numbers = F.sequence(page(F.col("start_index")), page(F.col("start_index") + F.length("text")))
     info = F.transform(numbers, lambda p: F.struct(F.concat(F.lit("file"), F.col("doc_id"), F.lit(".pdf")).alias("source_document"), p.alias("page_number")))
-    chunks = cut_lineage(doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "text", info.alias("source_info")))
-    asked = cut_lineage(R.hashed_vectors(requests(spark, d), "text", SLOTS))
+    chunks = doc_chunks(spark, d).select(F.col("doc_id").alias("doc"), F.col("sequence_number").alias("chunk"), "text", info.alias("source_info"))
+    # counts have the cosine of their vectors of length 1 and are smaller
+    counted = lambda df: R.hashed_vectors(df, "text", SLOTS, out="unit_vector", counts="vector").drop("unit_vector")
+    asked = cut_lineage(counted(requests(spark, d)))
     # what is taken of a window's text is taken once, not for every request
-    blocks = lambda text: E.block_answers(R.context_text(F.array(text, F.lit(""))), R.context_text(F.array(text)))
-    measures = {"n_tokens": R.prompt_size, "answers": blocks}
-    packs, large = R.in_packs(R.hashed_vectors(chunks, "text", SLOTS), asked)
+    block, inner = lambda text: R.context_text(F.array(text)), lambda text: R.context_text(F.array(text, F.lit("")))
+    measures = {"n_tokens": lambda text: R.prompt_size(block(text)), "answers": lambda text: E.block_answers(inner(text), block(text))}
+    packs, large = R.in_packs(counted(chunks), asked)
     best = R.rerank(R.fuse_ranks(R.vector_top_k(packs), R.keyword_top_k(packs)))
     context = R.with_neighbours(best, listed=True, measures=measures)
     if large is not None:
         context = context.unionByName(large_contexts(cut_lineage(large), asked, measures))
-    # white space stands around every text of a prompt, so its terms are those of the texts, of the request and of the prompt without them
+    # white space stands around every block and the request of a prompt, so its terms are theirs and those of the prompt without them
     text_tokens = F.aggregate("context", F.lit(0), lambda a, x: a + x["n_tokens"])
     work = context.withColumns(R.context_columns(F.col("context")) | {"text_tokens": text_tokens, "answers": F.col("context.answers")}).drop("context")
-    prompt = lambda context: R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), context, F.lit(""))
-    frame = prompt(R.context_text(F.transform("texts", lambda t: F.lit(""))))
+    frame = R.prompt_text(F.concat(F.lit("doc"), F.col("doc")), F.lit(2023), F.lit(""), F.lit(""))
     # the built-in extractor reads the sources only; a model would read the prompt with the request
     answered = E.run_extractor(work.withColumn("context", R.context_text(F.col("texts"))), "context", answers=F.col("answers"))
     # requests that share a context share its record
