@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions import units as U
-from firmlens.operators.scale import join_on, local_table
+from firmlens.operators.scale import join_on, local_table, settle
 from firmlens.session import cut_lineage
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WORD_BEFORE, WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+UNIT_TEXTS = 20_000  # distinct unit texts to broadcast with all that is read from them: some MB
 STEPS = [
     "type_standard", "unit_kept", "value_kept", "number", "date", "numerator", "denominator", "multiplier_num", "unit_num",
     "multiplier_den", "unit_den", "unified_num", "suffix_num", "unified_den", "suffix_den", "usd_num", "usd_den", "rate_num",
@@ -158,9 +159,10 @@ def resolve_units(df: DataFrame, text: str, quoted: DataFrame | None) -> DataFra
 
 def with_units(rows: DataFrame, text: str, units: DataFrame, quoted: DataFrame | None) -> DataFrame:
     """Unit columns for every row. Unit texts repeat, so each distinct text of
-    ``units`` is parsed once and what it means is staged and looked up; the planner
-    sees the staged size and broadcasts it if it is small, so the rows stay where they are."""
-    return join_on(rows, cut_lineage(resolve_units(units.toDF(text), text, quoted)), [text], "left")
+    ``units`` is parsed once, settled and looked up. Up to ``UNIT_TEXTS`` of them are
+    broadcast, so the rows, many of them without a unit, stay where they are."""
+    texts = cut_lineage(units.toDF(text))
+    return join_on(rows, settle(resolve_units(texts, text, quoted), UNIT_TEXTS), [text], "left")
 
 
 def rate_table(fx: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def harmonise(df: DataFrame, types: DataFrame, fx: DataFrame | None, trace: bool
     that has them without the joins behind ``df``; else ``df`` is evaluated once more for them.
     """
     spark, col, no = df.sparkSession, F.col, F.lit(False)
-    t = df.join(cut_lineage(typed_indicators(types)), "indicator", "left")
+    t = df.join(settle(typed_indicators(types)), "indicator", "left")
     is_number, is_percent, is_date, is_free, needs_unit = (F.coalesce(col(f"__{f}"), no) for f in ("number", "percent", "date", "free", "needs"))
 
     # required units, plain numbers, percent, dates

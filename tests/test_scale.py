@@ -134,14 +134,15 @@ def test_known_unit_texts_spare_the_rows(spark):
 
 
 def test_harmonised_rows_stay_where_they_are(spark):
-    """Types and units are staged, so the planner knows that they are small and the rows are not shuffled to meet them."""
+    """Types and units are settled, so the rows are not shuffled to meet them, however many bytes their few thousand texts have."""
     from firmlens.operators.harmonise import harmonise
 
     rows = spark.range(5).select(F.col("id").cast("int").alias("indicator"), F.lit(2000).alias("year"), F.lit("1").alias("value"), F.lit("kg").alias("unit"), F.lit(True).alias("valid"))
     types = spark.createDataFrame([(i, "tonnes") for i in range(5)], "indicator int, type_standard string")
+    texts = spark.range(5000).select(F.concat(F.lit("kg"), F.when(F.col("id") > 0, F.md5(F.col("id").cast("string"))).otherwise("")).alias("unit"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
     try:
-        out = harmonise(rows, types, None)
+        out = harmonise(rows, types, None, texts=texts)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
         assert {r["value_num"] for r in out.collect()} == {1e-3}
